@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import fresh_path, table
 
 
@@ -13,6 +14,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("span_list", "text_key")
+
+
 def op6_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .codec import digests
 
@@ -39,5 +46,5 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_speculate_verify, op7_token_counts, op8_packing, op10_token_id_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op10_token_id_files)}
+ORACLES: dict[str, str] = {"op1_secret_scan": oracles.secrets_sql()}
