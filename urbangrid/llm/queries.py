@@ -38,6 +38,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .idfiles import read_ids, write_ids
 
@@ -46,5 +53,5 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op10_token_id_files)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op9_quality_classifier, op10_token_id_files)}
 ORACLES: dict[str, str] = {"op1_secret_scan": oracles.secrets_sql()}
