@@ -91,9 +91,10 @@ class BpeEncoder:
         self._pair_keys, self._pair_ranks = np.array(keys, dtype=np.int64)[order], np.array(rank_of, dtype=np.int64)[order]
         self._left, self._right, self._birth, self._n = left, right, birth, n
         self._merged = np.fromiter((self.vocab[a + b] for a, b in self.ranks), np.int64, len(self.ranks))
-        self._char_id = np.full(512, -1, dtype=np.int64)
-        for c in self._alphabet:
-            self._char_id[ord(c)] = self.vocab.get(c, -1)
+        self._byte_id = np.array([self.vocab[c] for c in self._alphabet])
+        self._end_id = np.full(n, -1)
+        if self.suffix:
+            self._end_id[self._byte_id] = [self.vocab[c + self.suffix] for c in self._alphabet]
         made = np.flatnonzero(left >= 0)
         sound = self._compatible(left[made], right[made], inner=True)
         reachable = np.ones(n, dtype=bool)
@@ -195,74 +196,80 @@ class BpeEncoder:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.vocab[p] for p in parts]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word; proposals of all words are verified in one vectorised pass."""
-        symbols = [*map(self._symbols, words)]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed token ids of each word; proposals of all words are verified in one vectorised pass."""
+        packed = [b""] * len(words)
         if not self.speculate:
-            out = [None] * len(words)
-            self._merge_all(symbols, np.arange(len(words)), out)
-            return out
-        out = [*map(self._propose, symbols)]
+            self._merge_all(words, np.arange(len(words)), packed)
+            return packed
+        out = [*map(self._propose, map(self._symbols, words))]
         sizes = np.fromiter(map(len, out), np.int64, len(out))
         flat = np.fromiter(itertools.chain.from_iterable(out), np.int64, int(sizes.sum()))
+        whole, at = flat.astype("<u4").tobytes(), 0
+        for i, m in enumerate(sizes.tolist()):
+            packed[i] = whole[at : (at := at + 4 * m)]
         if len(flat) > 1:
             owner = np.repeat(np.arange(len(out)), sizes)
             same = owner[1:] == owner[:-1]
             a, b = flat[:-1][same], flat[1:][same]
             failing = np.unique(owner[1:][same][~self._pairs_compatible(a, b)]) if len(a) else np.empty(0, np.int64)
-            self._merge_all(symbols, failing, out)
+            self._merge_all(words, failing, packed)
             self.merged_words += len(failing)
         self.verified_words += len(words)
-        return out
-
-    def _merge_all(self, symbols: list[str], failing: np.ndarray, out: list[list[int]]) -> None:
-        """Exact merging of the failing words, words of like length side by side: one step merges, in every word, its lowest-ranked pair."""
-        lengths = np.fromiter((len(symbols[i]) for i in failing), np.int64, len(failing))
-        for lo, hi in ((0, 8), (8, 12), (12, 18), (18, 32), (32, 64)):
-            some = failing[(lengths > lo) & (lengths <= hi)]
-            for k in range(0, len(some), 20_000):
-                block = some[k : k + 20_000]
-                for i, ids in zip(block.tolist(), self._merge_block([symbols[i] for i in block])):
+        return packed
+
+    def _merge_all(self, words: list[str], chosen: np.ndarray, out: list[bytes]) -> None:
+        """Exact merging of the chosen words, words of like length side by side: one step merges, in every word, its lowest-ranked pair."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))[chosen]
+        for lo, hi in ((0, 4), (4, 7), (7, 10), (10, 14), (14, 20), (20, 32), (32, 64)):
+            some = chosen[(lengths > lo) & (lengths <= hi)]
+            for k in range(0, len(some), 10_000):
+                block = some[k : k + 10_000].tolist()
+                for i, ids in zip(block, self._merge_block([raw[i] for i in block])):
                     out[i] = ids
-        for i in failing[lengths > 64].tolist():
-            out[i] = self._merge_long(symbols[i])
+        for i in chosen[lengths > 64].tolist():
+            out[i] = np.array(self._merge_long(self._symbols(words[i])), dtype="<u4").tobytes()
 
-    def _merge_block(self, symbols: list[str]) -> list[list[int]]:
-        w, size = len(symbols), np.fromiter(map(len, symbols), np.int64, len(symbols))
+    def _merge_block(self, raw: list[bytes]) -> list[bytes]:
+        """Packed ids of words, given as their bytes."""
+        w, size = len(raw), np.fromiter(map(len, raw), np.int64, len(raw))
         ids = np.full((w, int(size.max()) + 1), -1, dtype=np.int64)
         inside = np.arange(ids.shape[1]) < size[:, None]
-        ids[inside] = self._char_id[np.frombuffer("".join(symbols).encode("utf-16-le"), dtype="<u2")]
+        ids[inside] = self._byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         if self.suffix:
-            last = np.fromiter((self.vocab[s[-1] + self.suffix] for s in symbols), np.int64, w)
-            ids[np.arange(w), size - 1] = last
+            end = np.arange(w), size - 1
+            ids[end] = self._end_id[ids[end]]
         rank = np.full(ids.shape, _NO_PARENT, dtype=np.int64)
         at = inside[:, 1:]
         rank[:, :-1][at] = self._rank(ids[:, :-1][at], ids[:, 1:][at])
-        rows, done = np.arange(w), [None] * w
+        rows, done = np.arange(w), [b""] * w
         while len(rows):
+            n = np.arange(len(rows))
             best = rank.argmin(axis=1)
-            low = rank[np.arange(len(rows)), best]
+            low = rank[n, best]
             ended = low == _NO_PARENT
             if ended.any():
-                for r, line, n in zip(rows[ended].tolist(), ids[ended].tolist(), size[ended].tolist()):
-                    done[r] = line[:n]
+                packed, line = ids[ended].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for k, (r, m) in enumerate(zip(rows[ended].tolist(), size[ended].tolist())):
+                    done[r] = packed[k * line : k * line + 4 * m]
                 keep = ~ended
-                rows, ids, rank, size, best, low = rows[keep], ids[keep], rank[keep], size[keep], best[keep], low[keep]
+                rows, ids, rank, size, best, low, n = rows[keep], ids[keep], rank[keep], size[keep], best[keep], low[keep], n[: int(keep.sum())]
                 if not len(rows):
                     break
-            n = np.arange(len(rows))
             ids[n, best] = self._merged[low]
-            move = np.minimum(np.arange(ids.shape[1])[None, :] + (np.arange(ids.shape[1])[None, :] > best[:, None]), ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, move, 1)
-            rank = np.take_along_axis(rank, move, 1)
+            after = np.arange(ids.shape[1] - 1)[None, :] > best[:, None]
+            ids = np.where(after, ids[:, 1:], ids[:, :-1])
+            rank = np.where(after, rank[:, 1:], rank[:, :-1])
             size = size - 1
+            # the two pairs that the merged token is part of get new ranks
             right = best + 1 < size
-            rank[n, best] = _NO_PARENT
-            rank[n[right], best[right]] = self._rank(ids[n[right], best[right]], ids[n[right], best[right] + 1])
-            before = best > 0
-            rank[n[before], best[before] - 1] = self._rank(ids[n[before], best[before] - 1], ids[n[before], best[before]])
-            width = int(size.max()) + 1
-            ids, rank = ids[:, :width], rank[:, :width]
+            rank[n, np.minimum(best, rank.shape[1] - 1)] = _NO_PARENT
+            x, y = n[right], best[right]
+            rank[x, y] = self._rank(ids[x, y], ids[x, y + 1])
+            left = best > 0
+            x, y = n[left], best[left]
+            rank[x, y - 1] = self._rank(ids[x, y - 1], ids[x, y])
         return done
 
     def _merge_long(self, s: str) -> list[int]:
@@ -361,11 +368,7 @@ class _WordCache(dict):
             fresh = [*wanted]
         for k in range(0, len(fresh), 50_000):
             some = fresh[k : k + 50_000]
-            ids = self.encoder.encode_words(some)
-            packed = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4").tobytes()
-            at = 0
-            for w, x in zip(some, ids):
-                self[w] = packed[at : (at := at + 4 * len(x))]
+            self.update(zip(some, self.encoder.encode_words(some)))
 
     def __missing__(self, word: str) -> bytes:
         self.fill([word])

@@ -91,7 +91,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 2000, table_
         size += len(w.encode("utf-8", "surrogatepass")) + 3
         if size > max_bytes:
             break
-        kept[w] = len(ids)
+        kept[w] = len(ids) // 4
     return LengthTable(kept)
 
 
@@ -109,7 +109,7 @@ class _Lengths(dict):
             self.update(self.first)
             fresh = [*words.difference(self.keys())]
         for k in range(0, len(fresh), 50_000):
-            self.update(zip(fresh[k : k + 50_000], map(len, self.enc.encode_words(fresh[k : k + 50_000]))))
+            self.update((w, len(ids) // 4) for w, ids in zip(fresh[k : k + 50_000], self.enc.encode_words(fresh[k : k + 50_000])))
 
 
 _TABLES: dict[int, _Lengths] = {}
