@@ -5,15 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 512  # rows in an Arrow batch: bounds a worker's memory when texts are long
+ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; texts are sent to Python workers in short batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,3 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def id_bounds(docs: DataFrame, ranges: int, id_col: str = "doc_id") -> np.ndarray:
+    """Ascending ids that occur and cut the table into about `ranges` even ranges; the last is the greatest id.  Reads the id column only.
+
+    Range r holds the ids above bound r-1 up to bound r (`np.searchsorted`).  Known before the rows are dealt, so nothing is read or
+    computed twice to sample them.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null")
+    top = ids.agg(F.max("id")).first()[0]
+    if top is None:
+        return np.empty(0, np.int64)
+    return np.unique(np.array([*map(int, ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)), top], dtype=np.int64))

@@ -20,6 +20,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("span_list", "text_key")
 
 
+def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_duplicates
 
@@ -71,5 +77,5 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_embedding_near_dedup, op4_simhash_fingerprints, op5_minhash_near_dedup, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op9_quality_classifier, op10_token_id_files)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_scores, op3_embedding_near_dedup, op4_simhash_fingerprints, op5_minhash_near_dedup, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op9_quality_classifier, op10_token_id_files)}
 ORACLES: dict[str, str] = {"op1_secret_scan": oracles.secrets_sql()}

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, whole_texts, written
+from .common import id_bounds, shuffle_partitions, whole_texts, written
 from .minhash import _HASHES, _mix
 
 RADIUS, BLOCKS, CHUNK = 3, 5, 2048
@@ -71,11 +71,7 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint, next_fingerprint (of the next document in descending doc_id order), and digest and fingerprint of the edited text."""
     spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
-    n = 4 * shuffle_partitions(spark)
-    top = ids.agg(F.max("doc_id")).first()[0]
-    cut = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if top is not None else []
-    bounds = np.unique(np.array([*map(int, cut), *([top] if top is not None else [])], dtype=np.int64))  # every bound is an id that occurs
+    bounds = id_bounds(docs, 4 * shuffle_partitions(spark))
 
     def ranges(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
