@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, so that a round's lineage does not reach into the one before."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="urbangrid-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import stored
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -34,14 +21,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Null ends and loops are left out; repeated edges count once; without edges the result is empty.
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col(src).isNotNull() & F.col(dst).isNotNull()) & (F.col("u") != F.col("v"))).distinct()
-    pairs = _kept(pairs)
+    pairs = stored(pairs, "components")
     before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _with_least(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        pairs = _kept(small)
+        pairs = stored(small, "components")
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
