@@ -4,8 +4,8 @@ File: header (magic, version, bits, ids per block, documents, ids, blocks), docu
 of each block, blocks.  A block holds `block_ids` ids of `bits` bits each, least significant bit first, filled up to a byte;
 `bits` is the least that holds every id of the vocabulary.  Any range of ids is read through the offsets of its blocks alone.
 
-Documents are encoded where they lie, and only packed ids are shuffled, to ranges of doc_id; each task writes files of at most
-`file_ids` ids in turn.  A file appears under its name by a rename, so a task that runs again replaces it by the same bytes.  A small table
+Documents are encoded once, where they lie, and only packed ids are shuffled, to ranges of doc_id that are known before; each task writes
+its ranges as files of at most `file_ids` ids.  A file appears under its name by a rename, so a task that runs again replaces it by the same bytes.  A small table
 (`manifest`, a row for each file) gives the order of files.
 
 Defined results: a null or empty text is the end id alone; repeated ids lie side by side, ordered by their packed ids; documents without
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import encoder
-from .common import shuffle_partitions, whole_texts
+from .common import id_bounds, shuffle_partitions, whole_texts
 
 MAGIC = b"UGBP"
 HEADER = struct.Struct("<4sIIIQQQ")
@@ -94,17 +94,19 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, vocabula
     """Encode, append end_id, and write the files under folder (a URI); the manifest, as read back."""
     bits = width(vocabulary)
     spark = docs.sparkSession
+    bounds = id_bounds(docs, 2 * shuffle_partitions(spark))
 
     def encoded(batches):
         enc = encoder(path, cache_words, False)
         end = int(end_id).to_bytes(4, "little")
         for b in batches:
             ids = [np.frombuffer(x + end, "<u4") for x in enc.encode_batch(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([*map(len, ids)], pa.int32()), pa.array([pack_bits(x, bits) for x in ids], pa.binary())], names=["doc_id", "n", "packed"])
+            doc = b.column(0).fill_null(NO_ID).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, doc), pa.int32()), b.column(0), pa.array([*map(len, ids)], pa.int32()), pa.array([pack_bits(x, bits) for x in ids], pa.binary())], names=["range", "doc_id", "n", "packed"])
 
     def files(batches):
         where, root = fs.FileSystem.from_uri(folder)
-        part, attempt, seq = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
+        part, attempt, seq = None, TaskContext.get().taskAttemptId(), 0
         names, sizes, parts, held = [], [], [], 0
 
         def flush():
@@ -120,9 +122,11 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, vocabula
             return row
 
         for b in batches:
-            for doc, n, packed in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held + n > file_ids:
+            for where_to, doc, n, packed in zip(*(c.to_pylist() for c in b.columns)):
+                if names and (where_to != part or held + n > file_ids):
                     yield flush()
+                if where_to != part:
+                    part, seq = where_to, 0
                 names.append(NO_ID if doc is None else doc)
                 sizes.append(n)
                 parts.append(unpack_bits(packed, n, bits))
@@ -132,9 +136,9 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, vocabula
 
     (
         whole_texts(docs)
-        .mapInArrow(encoded, "doc_id long, n int, packed binary")
-        .repartitionByRange(shuffle_partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "packed")
+        .mapInArrow(encoded, "range int, doc_id long, n int, packed binary")
+        .repartition(shuffle_partitions(spark), "range")
+        .sortWithinPartitions("range", "doc_id", "packed")
         .mapInArrow(files, MANIFEST)
         .write.mode("overwrite")
         .parquet(f"{folder}/manifest")
