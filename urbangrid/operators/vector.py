@@ -70,7 +70,7 @@ def overlay_polygons(polys: DataFrame, res: float) -> DataFrame:
 def with_box(polys: DataFrame) -> DataFrame:
     """Adds the bounding box of the outer ring."""
     xs, ys = F.element_at("rings", 1)["x"], F.element_at("rings", 1)["y"]
-    return polys.select("*", F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
+    return polys.drop("x_min", "x_max", "y_min", "y_max").select("*", F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
 
 
 def as_rings(boxes: DataFrame) -> DataFrame:

@@ -261,7 +261,7 @@ def g20_reproject_xy(spark, d):
     return back.select("id", _r("x", 4, "rx"), _r("y", 4, "ry"), _r("rx", 6, "bx"), _r("ry", 6, "by"))
 
 
-@query(f"""WITH {duck('f2', 'f4')}, k AS (SELECT DISTINCT f2.y, f2.x FROM f2 JOIN f4 ON f2.x + 0.5 > x_min AND f2.x + 0.5 < x_max AND 100 - (f2.y + 0.5) > y_min AND 100 - (f2.y + 0.5) < y_max)
+@query(f"""WITH {duck('f2', 'f4')}, k AS (SELECT DISTINCT f2.y, f2.x FROM f2 JOIN f4 ON f2.x + 0.5 >= x_min AND f2.x + 0.5 < x_max AND 100 - (f2.y + 0.5) >= y_min AND 100 - (f2.y + 0.5) < y_max)
 SELECT f2.y, f2.x, CASE WHEN k.y IS NOT NULL THEN ROUND(height, 6) END AS value FROM f2 LEFT JOIN k ON k.y = f2.y AND k.x = f2.x""")
 def g21_mask_by_polygon(spark, d):
     px = _f2(spark, d).select("y", "x", F.col("height").alias("value"))
