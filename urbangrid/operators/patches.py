@@ -50,7 +50,7 @@ def extract_patches(px: DataFrame, centers: DataFrame, size: int, tile: int = TI
         grid[y[own] - y0, x[own] - x0] = v[own]
         cy, cx = y[~own], x[~own]
         step = np.arange(lo, hi + 1)
-        out = grid[(cy - y0)[:, None, None] + step[None, :, None], (cx - x0)[:, None, None] + step[None, None, :]].reshape(len(cy), -1)
+        out = grid[(cy - y0)[:, None, None] + step[None, :, None], (cx - x0)[:, None, None] + step[None, None, :]].reshape(len(cy), size * size)
         flat = pa.array(out.ravel(), pa.float64(), from_pandas=True)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cy) + 1, dtype=np.int32) * size * size), flat)
         return pa.Table.from_arrays([pa.array([band] * len(cy), pa.string()), pa.array(cy), pa.array(cx), pa.array(np.full(len(cy), size, np.int32)), lists], names=names)
@@ -163,7 +163,7 @@ def augment_flip(df: DataFrame, size: int, seed: int, patch: str = "patch", id_c
     h = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(6))
     row = lambda i, back: F.reverse(F.slice(patch, i * size + 1, size)) if back else F.slice(patch, i * size + 1, size)
     down, up = F.sequence(F.lit(0), F.lit(size - 1)), F.sequence(F.lit(size - 1), F.lit(0), F.lit(-1))
-    flipped = [F.flatten(F.transform(order, lambda i, b=back: row(i, b))) for order, back in ((up, False), (down, True), (up, True))]
+    flipped = [F.flatten(F.transform(up, lambda i: row(i, False))), F.flatten(F.transform(down, lambda i: row(i, True))), F.flatten(F.transform(up, lambda i: row(i, True)))]
     return df.withColumn("flip", F.when(h < 3, h + 1).otherwise(0).cast("int")).withColumn(patch, F.when(F.col("flip") == 1, flipped[0]).when(F.col("flip") == 2, flipped[1]).when(F.col("flip") == 3, flipped[2]).otherwise(F.col(patch)))
 
 
@@ -194,7 +194,8 @@ def patch_dataset(px: DataFrame, labels: DataFrame, size: int, chunk_size: int =
     good = reliable_samples(labels, **limits).withColumnRenamed("y", "cy").withColumnRenamed("x", "cx")
     bands = [r.band for r in px.select("band").distinct().limit(64).collect()]
     cut = assemble_patches(good, [(px, sorted(bands))], size)
-    kept = keep_complete(good.join(cut, ["cy", "cx"]), sorted(bands))
+    cut = cut.select("cy", "cx", *[F.col(b).alias(f"patch_{b}") for b in sorted(bands)])  # labels may have a band's name
+    kept = keep_complete(good.join(cut, ["cy", "cx"]), [f"patch_{b}" for b in sorted(bands)])
     return sample_chunks(kept, "city", ["cy", "cx"], chunk_size)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries() -> tuple[dict, dict]:
-    from . import composites, spatial, tables  # noqa: F401
+    from . import composites, patches, spatial, tables  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return dict(QUERIES), dict(ORACLES)

@@ -208,14 +208,14 @@ def flagship_urban_cells(spark, sf_dir):
 def _vv(name, expr_spark, sql):
     def run(spark, sf_dir):
         wide = _f1(spark, sf_dir).groupBy("y", "x").agg(*[F.avg(F.when(F.col("band") == b, F.col("value"))).alias(a) for a, b in (("r", "view"), ("g", "click"), ("b", "purchase"), ("nir", "signup"))]).dropna()
-        return wide.select("y", "x", F.round(expr_spark, 6).alias("value"))
+        return wide.select("y", "x", F.round(expr_spark(), 6).alias("value"))
 
     run.__name__ = name
     base = f"WITH {duck('f1')}, v AS (SELECT * FROM (SELECT y, x, AVG(CASE WHEN band = 'view' THEN value END) AS r, AVG(CASE WHEN band = 'click' THEN value END) AS g, AVG(CASE WHEN band = 'purchase' THEN value END) AS b, AVG(CASE WHEN band = 'signup' THEN value END) AS nir FROM f1 GROUP BY 1, 2) WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL AND nir IS NOT NULL)"
     query(f"{base} SELECT y, x, ROUND({sql}, 6) AS value FROM v")(run)
 
 
-_vv("p10_backscatter", S.backscatter(F.col("r") / 10 - 30), "least(1.0, pow(10.0, (r / 10 - 30) / 10))")
-_vv("p13_vvh", S.vvh(S.backscatter(F.col("r") / 10 - 30), S.backscatter(F.col("g") / 10 - 30)), "least(1.0, pow(10.0, (r / 10 - 30) / 10)) * pow(5.0, least(1.0, pow(10.0, (g / 10 - 30) / 10)))")
-_vv("p14_luminance", S.luminance("r", "g", "b"), "0.2126 * r + 0.7152 * g + 0.0722 * b")
-_vv("p15_normalized_index", S.normalized_index("nir", "r"), "CASE WHEN nir + r = 0 THEN 0 ELSE (nir - r) / (nir + r) END")
+_vv("p10_backscatter", lambda: S.backscatter(F.col("r") / 10 - 30), "least(1.0, pow(10.0, (r / 10 - 30) / 10))")
+_vv("p13_vvh", lambda: S.vvh(S.backscatter(F.col("r") / 10 - 30), S.backscatter(F.col("g") / 10 - 30)), "least(1.0, pow(10.0, (r / 10 - 30) / 10)) * pow(5.0, least(1.0, pow(10.0, (g / 10 - 30) / 10)))")
+_vv("p14_luminance", lambda: S.luminance("r", "g", "b"), "0.2126 * r + 0.7152 * g + 0.0722 * b")
+_vv("p15_normalized_index", lambda: S.normalized_index("nir", "r"), "CASE WHEN nir + r = 0 THEN 0 ELSE (nir - r) / (nir + r) END")
