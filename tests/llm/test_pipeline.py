@@ -1,0 +1,46 @@
+"""The pipeline's stages: columns, effects, and awkward documents."""
+
+import importlib.util
+import os
+
+import pytest
+
+PATH = os.path.join(os.path.dirname(__file__), "..", "..", "corpus_pipeline.py")
+pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no pipeline here")
+
+
+def load():
+    spec = importlib.util.spec_from_file_location("corpus_pipeline", PATH)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+def test_stages_follow_each_other(spark, sf_dir):
+    pipe = load()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = [n for n, _ in pipe.STAGES]
+    assert names == ["quality", "near_dedup", "secrets", "packing"]
+    from urbangrid.llm.common import written
+
+    now, sizes = docs, [docs.count()]
+    for name, stage in pipe.STAGES:
+        now = written(stage(spark, now, sf_dir), name)
+        sizes.append(now.count())
+        if name != "packing":
+            assert now.columns == docs.columns
+        if name == "near_dedup":
+            kept = {r.doc_id for r in now.select("doc_id").collect()}
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] > 0
+    assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == kept
+    whole = pipe.run(spark, sf_dir)
+    assert sorted(map(str, whole.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(str, now.select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_stages_take_awkward_documents(spark, sf_dir):
+    pipe = load()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "w " * 50_000, "en", "s", 100_000), (3, "w " * 50_000, "en", "s", 100_000), (4, "password=abcdefgh1", "en", "s", 18)], docs.schema)
+    for _, stage in pipe.STAGES:
+        assert stage(spark, odd, sf_dir).count() >= 0
+        stage(spark, odd.limit(0), sf_dir).collect()

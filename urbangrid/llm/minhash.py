@@ -7,8 +7,8 @@
 3. In a list, collisions over the whole signature are counted; a pair is counted in the first list it shares and skipped in later
    ones.  Lists above `chunk` classes are dealt to pairs of chunks, so no task holds a long list and none is cut short.
 4. Of the pairs at or above the match threshold a list gives only a spanning forest, best pairs first: as many rows as members, not all
-   pairs.  Each is confirmed on the full sets.  Where one fails, the list is asked again for pairs between parts that are not linked yet,
-   without those that failed, four times as many for each pair of parts in each round, until no untested pair could link two parts.
+   pairs.  Each is confirmed on the full sets.  A list where one fails is settled in its block: its members come with their sets, and every pair
+   of the list whose parts are not linked yet is tested, until links or pairs run out; again only links of a forest leave the block.
    So classes end in one component exactly when confirmed links join them.
 
 The chance to miss a pair lies in the signature alone: at the limit of 0.85, 45 of 64 coordinates are missed about once in 2,000 pairs, and far less above it.
@@ -113,11 +113,10 @@ def _roots(n: int):
     return root, find
 
 
-def list_pairs(ids: np.ndarray, parts: np.ndarray, side: np.ndarray, sigs: np.ndarray, at: int, least: int, failed: set, budget: int) -> list[tuple[int, int]]:
-    """Pairs of a block of one posting list that are to be confirmed.
+def candidates(sigs: np.ndarray, side: np.ndarray, parts: np.ndarray, at: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block with at least `least` equal coordinates, none before the list's own (at), and different parts; best first.
 
-    at: coordinate of the list.  side: 0 both, else 1 and 2 for the two chunks of a block between chunks.  parts: the component so far of each
-    member.  budget: the most pairs between any two parts.
+    side: 0 throughout, or 1 and 2 for the two chunks of a block between chunks.
     """
     rows, cols = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
     count = np.zeros((len(rows), len(cols)), np.uint8)
@@ -128,64 +127,67 @@ def list_pairs(ids: np.ndarray, parts: np.ndarray, side: np.ndarray, sigs: np.nd
         if k < at:
             earlier |= same
     good = (count >= least) & ~earlier & (parts[rows][:, None] != parts[cols][None, :])
-    if side.any():
-        i, j = np.nonzero(good)
-    else:
-        i, j = np.nonzero(np.triu(good, 1))
-    if not len(i):
-        return []
+    i, j = np.nonzero(good if side.any() else np.triu(good, 1))
     order = np.argsort(-count[i, j].astype(np.int16), kind="stable")
-    a, b = rows[i[order]], cols[j[order]]
+    return rows[i[order]], cols[j[order]]
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def forest(a: np.ndarray, b: np.ndarray, parts: np.ndarray, good=None) -> list[tuple[int, int]]:
+    """Pairs, in their order, that join parts not joined before and pass `good`."""
     names, member = np.unique(parts, return_inverse=True)
     root, find = _roots(len(names))
-    left, out, used = len(names) - 1, [], {}
-    for x, y in zip(a.tolist(), b.tolist()):
-        pair = (min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y])))
-        if pair in failed:
-            continue
-        p, q = int(member[x]), int(member[y])
-        rp, rq = find(p), find(q)
-        key = (min(p, q), max(p, q))
-        if rp != rq or used.get(key, budget) < budget:
-            root[rp] = rq
-            left -= rp != rq
-            used[key] = used.get(key, 0) + 1
-            out.append(pair)
-            if left == 0 and budget == 1:
+    left, out = len(names) - 1, []
+    for x, y, p, q in zip(a.tolist(), b.tolist(), member[a].tolist(), member[b].tolist()):
+        p, q = find(p), find(q)
+        if p != q and (good is None or good(x, y)):
+            root[p] = q
+            left -= 1
+            out.append((x, y))
+            if left == 0:
                 break
     return out
 
 
-def _ask(posts: DataFrame, least: int, budget: int) -> DataFrame:
-    """key, i, j, x, y: pairs from all blocks. posts: key, i, j, side, at, id, part, sig; rows with side 3 hold failed pairs (id, part)."""
+def _blocks(posts: DataFrame, least: int, percent: int | None = None) -> DataFrame:
+    """key, i, j, x, y: a spanning forest of each block's candidate pairs, or (with percent and a column shingles) of its links."""
     schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
 
     def block(key, rows):
-        failed = {(r[2], r[3]) for r in rows if r[0] == 3}
-        rows = [r for r in rows if r[0] != 3]
         if len(rows) < 2:
             return []
-        sigs = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), -1)
-        ids, parts, side = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 0))
-        return [(*key, x, y) for x, y in list_pairs(ids, parts, side, sigs, rows[0][1], least, failed, budget)]
+        side, at, ids, parts, sigs = (list(c) for c in zip(*(r[:5] for r in rows)))
+        a, b = candidates(np.frombuffer(b"".join(sigs), "<u2").reshape(len(rows), -1), np.array(side), np.array(parts), at[0], least)
+        good = None
+        if percent is not None:
+            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+            good = lambda x, y: linked(sets[x], sets[y], percent)
+        return [(*key, min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in forest(a, b, np.array(parts), good)]
 
     def run(batches):
         key, rows, out = None, [], []
         for b in batches:
             for k, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if (k, i, j) != key:
-                    out += block(key, rows) if rows else []
+                    out += block(key, rows)
                     key, rows = (k, i, j), []
                 rows.append(row)
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
                 out = []
-        out += block(key, rows) if rows else []
+        out += block(key, rows)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    dealt = posts.select("key", "i", "j", "side", "at", "id", "part", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
-    return dealt.mapInArrow(run, "key long, i int, j int, x long, y long")
+    dealt = posts.select("key", "i", "j", "side", "at", "id", "part", "sig", *(["shingles"] if percent is not None else []))
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id").mapInArrow(run, "key long, i int, j int, x long, y long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,11 +195,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            kept = []
-            for x, y in zip(b.column("set_x").to_pylist(), b.column("set_y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * both >= percent * (len(x) + len(y) - both))
+            kept = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("set_x").to_pylist(), b.column("set_y").to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(kept, pa.bool_())], names=["key", "i", "j", "x", "y", "linked"])
 
     with_x = pairs.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("set_x")), "x")
@@ -221,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
     )
     posts = written(blocks, "posts")
 
-    pairs = written(_ask(posts, least, 1), "pairs")
+    pairs = written(_blocks(posts, least), "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
 
     def as_sets(batches):
@@ -230,22 +228,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
 
     sets = written(whole_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(as_sets, "id long, shingles binary"), "sets")
     tested = written(_confirm(pairs, sets, percent), "tested")
-    links, failed, budget = tested.filter("linked"), tested.filter("not linked"), 1
-    parts = connected_components(links, "x", "y")
-    fresh = tested
-    while fresh.filter("not linked").limit(1).count():
-        budget *= 4
-        parts = written(parts, "parts")
-        # only lists with a failed pair can hold more
-        open_lists = failed.select("key", "i", "j").distinct()
-        again = posts.join(open_lists, ["key", "i", "j"], "left_semi").drop("part").join(parts, F.col("id") == F.col("node"), "left").select("key", "i", "j", "side", "at", "id", F.coalesce("component", "id").alias("part"), "sig")
-        barred = failed.select("key", "i", "j", F.lit(3).alias("side"), F.lit(0).alias("at"), F.col("x").alias("id"), F.col("y").alias("part"), F.lit(b"").alias("sig"))
-        fresh = written(_confirm(_ask(again.unionByName(barred), least, budget), sets, percent), "tested")
-        if fresh.isEmpty():
-            break
-        links = links.unionByName(fresh.filter("linked"))
-        failed = failed.unionByName(fresh.filter("not linked"))
-        parts = connected_components(links, "x", "y")
+    parts = written(connected_components(tested.filter("linked"), "x", "y"), "parts")
+    open_ = tested.filter("not linked").select("key", "i", "j").distinct()
+    if not open_.isEmpty():
+        labelled = posts.join(open_, ["key", "i", "j"], "left_semi").drop("part").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
+        more = written(_blocks(labelled.join(sets, "id"), least, percent).select("x", "y"), "links")
+        parts = connected_components(tested.filter("linked").select("x", "y").unionByName(more), "x", "y")
 
     named = classes.select("set_key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return drawn.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
