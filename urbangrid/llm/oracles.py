@@ -43,3 +43,27 @@ s AS (SELECT doc_id, {listed} AS t, count(*) FILTER (rank >= 3) AS n FROM (SELEC
 SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
   sha256(coalesce(b.t, '')) AS base_sha256, coalesce(s.t, '') AS spans, CAST(coalesce(s.n, 0) AS BIGINT) AS n_linked
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+def embeddings_sql(limit: float = 0.9) -> str:
+    """Cosines of all pairs; components by recursion."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {limit}),
+rc(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.j, rc.c FROM rc JOIN p ON p.i = rc.id),
+m AS (SELECT id, MIN(c) AS c FROM rc GROUP BY 1), n AS (SELECT i, COUNT(*) AS n FROM p GROUP BY 1)
+SELECT CAST(id AS BIGINT) AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(c AS BIGINT) AS component_id, id = c AS kept FROM m LEFT JOIN n ON n.i = m.id"""
+
+
+def near_duplicates_sql(percent: int = 85) -> str:
+    """Three-word shingle sets, sizes of all intersections, components by recursion."""
+    upper = "".join(chr(c) for c in range(65, 91))
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 3 THEN array_to_string(w[i:i+2], ' ') ELSE array_to_string(w, ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM w)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.doc_id AS i, y.doc_id AS j, COUNT(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT i, j FROM b JOIN n a ON a.doc_id = i JOIN n c ON c.doc_id = j WHERE 100 * k >= {percent} * (a.n + c.n - k)),
+rc(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT p.j, rc.c FROM rc JOIN p ON p.i = rc.id),
+m AS (SELECT id, MIN(c) AS c FROM rc GROUP BY 1)
+SELECT CAST(id AS BIGINT) AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(c AS BIGINT) AS component_id, id = c AS kept FROM m LEFT JOIN n ON n.doc_id = m.id"""

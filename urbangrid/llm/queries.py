@@ -78,4 +78,8 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_scores, op3_embedding_near_dedup, op4_simhash_fingerprints, op5_minhash_near_dedup, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op9_quality_classifier, op10_token_id_files)}
-ORACLES: dict[str, str] = {"op1_secret_scan": oracles.secrets_sql()}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": oracles.secrets_sql(),
+    "op3_embedding_near_dedup": oracles.embeddings_sql(),
+    "op5_minhash_near_dedup": oracles.near_duplicates_sql(),
+}
