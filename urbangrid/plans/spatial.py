@@ -40,11 +40,15 @@ def _f2(spark, d):
     return fixture(spark, d, "f2")
 
 
-@query(f"WITH {duck('f6')} SELECT city_id AS city, COUNT(*) AS n_scenes, MIN(x_min) AS x_min, MAX(x_max) AS x_max FROM f6 GROUP BY 1")
-def s01_manifest_join(spark, d):
-    scenes = fixture(spark, d, "f6")
-    jobs = scenes.select(F.col("city_id").alias("city")).distinct()
-    return scenes.join(jobs, scenes.city_id == jobs.city).groupBy("city").agg(F.count("*").alias("n_scenes"), F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"))
+@query(f"WITH {duck('f6')} SELECT CAST(city_id AS VARCHAR) AS city, CAST(MIN(year(acquired)) AS INTEGER) AS first_year, COUNT(*) AS n_scenes, MIN(x_min) AS x_min, MAX(x_max) AS x_max FROM f6 GROUP BY 1")
+def s01_read_manifest(spark, d):
+    """A manifest of the cities is written as CSV, read under its schema and joined with the scenes."""
+    scenes, path = fixture(spark, d, "f6"), shared_path(spark, "manifest")
+    jobs = scenes.groupBy(F.col("city_id").cast("string").alias("City")).agg(F.lit("scenes").alias("Path"), F.min(F.year("acquired")).alias("Year"))
+    jobs.write.option("header", True).csv(path)
+    job = io.read_manifest(spark, path, "cases").select(F.col("City").alias("city"), F.col("Year").alias("first_year"))
+    joined = scenes.withColumn("city", F.col("city_id").cast("string")).join(job, "city")
+    return joined.groupBy("city", "first_year").agg(F.count("*").alias("n_scenes"), F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"))
 
 
 @query(f"WITH {duck('f2')} SELECT y, x, ROUND(height, 6) AS value FROM f2 WHERE y BETWEEN 20 AND 60 AND x BETWEEN 10 AND 50")
