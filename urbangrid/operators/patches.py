@@ -21,9 +21,11 @@ def offsets(size: int) -> tuple[int, int]:
     return -((size - 1) // 2), size // 2
 
 
-def extract_patches(px: DataFrame, centers: DataFrame, size: int, tile: int = TILE) -> DataFrame:
+def extract_patches(px: DataFrame, centers: DataFrame, size: int, tile: int = TILE, bands: list[str] | None = None) -> DataFrame:
     """band, cy, cx, size, patch: the window around each centre (columns cy, cx); cells that are missing are null.
 
+    bands: the names asked for; a raster's own names (a handful) where not given.
+
     Cells travel once with their tile and once for each neighbour tile whose halo holds them, centres to their own tile; a task
     holds the cells of a tile as an array and slices it, so s * s rows for each centre are never made.
     """
@@ -32,13 +34,12 @@ def extract_patches(px: DataFrame, centers: DataFrame, size: int, tile: int = TI
     reach = max(-lo, hi)
     span = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
     cells = px.select("band", "y", "x", F.col("value").cast("double").alias("value"), F.explode(span("y")).alias("ty"), F.col("x").alias("_x")).withColumn("tx", F.explode(span("_x"))).drop("_x")
-    bands = px.select("band").distinct()
+    names = bands or sorted(r.band for r in px.select("band").distinct().limit(256).collect())
     asked = centers.select(F.col("cy").cast("long").alias("y"), F.col("cx").cast("long").alias("x")).distinct().withColumn("ty", ty).withColumn("tx", tx)
-    # a centre is asked of every band; the list of bands is short and the planner sends it by its own size check
-    asked = asked.join(bands).select("band", "y", "x", F.lit(None).cast("double").alias("value"), "ty", "tx", F.lit(1).alias("ask"))
+    asked = asked.withColumn("band", F.explode(F.array(*map(F.lit, names)))).select("band", "y", "x", F.lit(None).cast("double").alias("value"), "ty", "tx", F.lit(1).alias("ask")) if names else asked.select(F.lit(None).cast("string").alias("band"), "y", "x", F.lit(None).cast("double").alias("value"), "ty", "tx", F.lit(1).alias("ask")).limit(0)
     rows = cells.withColumn("ask", F.lit(0)).select("band", "y", "x", "value", "ty", "tx", "ask").unionByName(asked)
     schema = "band string, cy long, cx long, size int, patch array<double>"
-    names = ["band", "cy", "cx", "size", "patch"]
+    columns = ["band", "cy", "cx", "size", "patch"]
 
     def cut(key, table):
         band, t_y, t_x = key[0].as_py(), key[1].as_py(), key[2].as_py()
@@ -53,7 +54,7 @@ def extract_patches(px: DataFrame, centers: DataFrame, size: int, tile: int = TI
         out = grid[(cy - y0)[:, None, None] + step[None, :, None], (cx - x0)[:, None, None] + step[None, None, :]].reshape(len(cy), size * size)
         flat = pa.array(out.ravel(), pa.float64(), from_pandas=True)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cy) + 1, dtype=np.int32) * size * size), flat)
-        return pa.Table.from_arrays([pa.array([band] * len(cy), pa.string()), pa.array(cy), pa.array(cx), pa.array(np.full(len(cy), size, np.int32)), lists], names=names)
+        return pa.Table.from_arrays([pa.array([band] * len(cy), pa.string()), pa.array(cy), pa.array(cx), pa.array(np.full(len(cy), size, np.int32)), lists], names=columns)
 
     return rows.groupBy("band", "ty", "tx").applyInArrow(cut, schema)
 
@@ -75,7 +76,7 @@ def assemble_patches(centers: DataFrame, sources: list[tuple[DataFrame, list[str
     """cy, cx and one patch column for each band of each source."""
     out = None
     for px, bands in sources:
-        cut = extract_patches(px.filter(F.col("band").isin(*bands)), centers, size).groupBy("cy", "cx").agg(*[F.max(F.when(F.col("band") == b, F.col("patch"))).alias(b) for b in bands])
+        cut = extract_patches(px.filter(F.col("band").isin(*bands)), centers, size, bands=bands).groupBy("cy", "cx").agg(*[F.max(F.when(F.col("band") == b, F.col("patch"))).alias(b) for b in bands])
         out = cut if out is None else out.join(cut, ["cy", "cx"])
     return out
 
