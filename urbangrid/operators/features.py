@@ -108,12 +108,14 @@ MORPHOLOGY: dict[str, Callable] = {"opening": opening, "closing": closing, "open
 
 def dmp_mean(long: DataFrame, sizes: list[int], method: str = "opening", keys: tuple = KEYS) -> DataFrame:
     """keys, size, dmp: mean absolute difference of the operator at a size and at the size before it."""
-    op, out = pick(MORPHOLOGY, method), None
-    for a, b in zip(sizes, sizes[1:]):
-        x, y = op(long, a, keys=keys).withColumnRenamed("v", "a"), op(long, b, keys=keys).withColumnRenamed("v", "b")
-        one = x.join(y, [*keys, "i", "j"]).groupBy(*keys).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("dmp")).withColumn("size", F.lit(b))
-        out = one if out is None else out.unionByName(one)
-    return out.select(*keys, "size", "dmp")
+    op = pick(MORPHOLOGY, method)
+    every = None  # the operator runs once for each size; sizes meet in one aggregate, not in joins
+    for k in sizes:
+        one = op(long, k, keys=keys).withColumn("k", F.lit(k))
+        every = one if every is None else every.unionByName(one)
+    at = every.groupBy(*keys, "i", "j").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"v{k}") for k in sizes])
+    steps = F.array(*[F.struct(F.lit(b).alias("size"), F.avg(F.abs(F.col(f"v{a}") - F.col(f"v{b}"))).alias("dmp")) for a, b in zip(sizes, sizes[1:])])
+    return at.groupBy(*keys).agg(steps.alias("s")).select(*keys, F.explode("s").alias("s")).select(*keys, "s.size", "s.dmp")
 
 
 # fixed values: steps at distance 1 for 0, 45, 90 and 135 degrees
@@ -190,6 +192,7 @@ def _side(df: DataFrame, keys: tuple, band: str, prefix: str) -> DataFrame:
 def assemble_features(long: DataFrame, size: int, suffix: str, sizes: list[int], windows: list[int], optical: tuple = ("R", "G", "B", "NIR"), methods: tuple = ("opening", "closing")) -> DataFrame:
     """patch_id, names, features: all features of a patch in the order of their names; infinite and missing values are 0."""
     keys = ("patch_id",)
+    long = long.repartition("patch_id")  # one exchange that all aggregates below reuse
     head = f"{suffix}@"
     parts = [_side(band_stats(long), keys, "band", head)]
     wide = long.filter(F.col("band").isin(*optical)).groupBy("patch_id", "i", "j").agg(*[F.max(F.when(F.col("band") == b, F.col("v"))).alias(b) for b in optical])
