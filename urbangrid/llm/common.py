@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,23 @@ def id_bounds(docs: DataFrame, ranges: int, id_col: str = "doc_id") -> np.ndarra
     if top is None:
         return np.empty(0, np.int64)
     return np.unique(np.array([*map(int, ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)), top], dtype=np.int64))
+
+
+def likely_among(df: DataFrame, id_col: str, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows of df whose id may be among `ids` (one column): none that is goes, few others stay.
+
+    A bitmap of 2^bits hashed ids, a fixed size whatever the number of ids, is or-ed together by Spark and sent to the tasks; a join on the exact ids
+    follows, with far less to shuffle than the whole table where the ids are few.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
+    words = ids.select(place(ids.columns[0]).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS INT))")).alias("b"))
+    bitmap = np.zeros((1 << bits) // 64, np.int64)
+    table = words.toArrow()  # at most 2^bits / 64 rows
+    bitmap[table.column("w").to_numpy()] = table.column("b").to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool))
+
+    @F.pandas_udf("boolean")
+    def there(p: pd.Series) -> pd.Series:
+        return pd.Series(sent.value[p.to_numpy()])
+
+    return df.filter(there(place(id_col)))

@@ -8,7 +8,7 @@
    ones.  Lists above `chunk` classes are dealt to pairs of chunks, so no task holds a long list and none is cut short.
 4. Of the pairs at or above the match threshold a list gives only a spanning forest, best pairs first: as many rows as members, not all
    pairs.  Each is confirmed on the full sets.  A list where one fails is settled in its block: its members come with their sets, and every pair
-   of the list whose parts are not linked yet is tested, until links or pairs run out; again only links of a forest leave the block.
+   of the list whose ends are not joined yet is tested, until links or pairs run out; again only links of a forest leave the block.
    So classes end in one component exactly when confirmed links join them.
 
 The chance to miss a pair lies in the signature alone: at the limit of 0.85, 45 of 64 coordinates are missed about once in 2,000 pairs, and far less above it.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import whole_texts, written
+from .common import likely_among, whole_texts, written
 
 COORDINATES, LEAST, CHUNK = 64, 45, 1024
 
@@ -226,14 +226,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    sets = written(whole_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(as_sets, "id long, shingles binary"), "sets")
+    wanted = written(wanted, "wanted")
+    texts = likely_among(whole_texts(docs), "doc_id", wanted)
+    sets = written(texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(as_sets, "id long, shingles binary"), "sets")
     tested = written(_confirm(pairs, sets, percent), "tested")
-    parts = written(connected_components(tested.filter("linked"), "x", "y"), "parts")
+    links = tested.filter("linked").select("x", "y")
     open_ = tested.filter("not linked").select("key", "i", "j").distinct()
     if not open_.isEmpty():
-        labelled = posts.join(open_, ["key", "i", "j"], "left_semi").drop("part").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
-        more = written(_blocks(labelled.join(sets, "id"), least, percent).select("x", "y"), "links")
-        parts = connected_components(tested.filter("linked").select("x", "y").unionByName(more), "x", "y")
+        settled = posts.join(open_, ["key", "i", "j"], "left_semi").join(sets, "id")
+        links = links.unionByName(written(_blocks(settled, least, percent).select("x", "y"), "links"))
+    parts = connected_components(links, "x", "y")
 
     named = classes.select("set_key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return drawn.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
@@ -243,4 +245,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows, with their columns, of one document of each group: the one with the smallest id."""
     found = near_duplicates(docs, **options)
     kept = found.filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
