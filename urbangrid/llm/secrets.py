@@ -116,16 +116,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     """doc_id, text_key, counts of base kinds, base array, linked array, spans string, base_sha256."""
     found = written(candidates(docs, id_col, text_col), "secret-candidates")  # small rows without texts; read twice
     base = F.concat("assign", "access", "hex")
-    weak = F.coalesce("linked", F.array().cast(SPAN))
-    return found.join(linked(found, reach), "text_key", "left").select(
-        "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-        F.sha2(_written(base), 256).alias("base_sha256"),
-        _written(F.concat(base, weak)).alias("spans"),
-        F.size(weak).cast("long").alias("n_linked"),
-        F.array_sort(F.concat(base, weak)).alias("span_list"),
-        "text_key",
-    )
+    none = F.array().cast(SPAN)
+
+    def named(rows: DataFrame) -> DataFrame:
+        spans = F.concat(base, "linked")
+        return rows.select(
+            "doc_id",
+            *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
+            F.sha2(_written(base), 256).alias("base_sha256"),
+            _written(spans).alias("spans"),
+            F.size("linked").cast("long").alias("n_linked"),
+            F.array_sort(spans).alias("span_list"),
+            "text_key",
+        )
+
+    # a text without weak spans has nothing to link, so its rows (most of a table) are not shuffled
+    rest = found.filter(F.size("weak") > 0).join(linked(found, reach), "text_key", "left").withColumn("linked", F.coalesce("linked", none))
+    return named(found.filter(F.size("weak") == 0).withColumn("linked", none)).unionByName(named(rest))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", reach: int = REACH) -> DataFrame:
