@@ -10,8 +10,10 @@ endpoint with secret.  A weak part inside a base span is that span and not repor
 Spans are code points, end exclusive.  They come from the lengths of what a pattern matches and of what lies between, so no
 position function or UDF is needed.
 
-The interval join is an equi-join: a text is cut into buckets of `reach` code points, one side is posted to its own and both next buckets.  Few
-parts fit into a bucket, so a long text gives many small join groups and none grows with the text.  Equal texts are linked once.
+The interval join is an equi-join: a text is cut into buckets of `reach` code points.  The gap lies between an end of one part and the start of
+the other, so a weak part is posted to the buckets of its start and end, the other side to those and to the one before its start and after its
+end, whatever their lengths.  Few parts fit into a bucket, so a long text gives many small join groups and none grows with the text.  Equal
+texts are linked once.
 
 Defined results: a null or empty text has no span; repeated ids and rows keep a row each; an empty table gives an empty table;
 other columns are not read by `scan`, and `redact` carries them.
@@ -102,8 +104,10 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     part = texts.select("text_key", F.explode(F.array_distinct(F.concat("free", "base"))).alias("s")).select("text_key", "s.*")
     # roles: identifier, secret, endpoint; a named or hexadecimal value is a secret, an access key id an identifier
     part = part.withColumn("role", F.when(F.col("rank").isin(1, 3), 0).when(F.col("rank") == 5, 2).otherwise(1))
-    left = part.filter(F.col("rank") >= 3).withColumn("bucket", F.floor(F.col("start") / reach))
-    spread = F.sequence(F.floor(F.col("start") / reach) - 1, F.floor(F.col("end") / reach) + 1)
+    # parts within reach have the nearer ends in the same or in neighbouring buckets; matches are made distinct below
+    first, last = F.floor(F.col("start") / reach), F.floor(F.col("end") / reach)
+    left = part.filter(F.col("rank") >= 3).withColumn("bucket", F.explode(F.array_distinct(F.array(first, last))))
+    spread = F.array_distinct(F.array(first - 1, first, last, last + 1))
     right = part.select("text_key", F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("role").alias("role2"), F.explode(spread).alias("bucket"))
     near = F.greatest(F.col("start"), F.col("start2")) - F.least(F.col("end"), F.col("end2")) <= reach
     apart = (F.col("end") <= F.col("start2")) | (F.col("end2") <= F.col("start"))
