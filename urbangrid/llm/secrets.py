@@ -28,6 +28,7 @@ from .common import written
 
 # Patterns of the kinds.  The assignment pattern's second group is the value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+SHORT = ASSIGN[:-2] + "{1,5})(?![A-Za-z0-9+/_.=-])"  # a value too short for `assign`, asked once where it ends
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the same matches as [A-Z0-9]+ with 20 characters or more
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"""(?i:user_?name|user_?id|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
@@ -71,7 +72,7 @@ def weak_spans(text: Column) -> Column:
 
 def may_be_weak(text: Column) -> Column:
     """True for every text with a weak span, and for few others."""
-    return text.rlike(IDENT) | text.rlike(MIXED) | text.rlike(ASSIGN + "(?<![A-Za-z0-9+/_.=-]{6})") | text.rlike(ENDPOINT)
+    return text.rlike(IDENT) | text.rlike(MIXED) | text.rlike(SHORT) | text.rlike(ENDPOINT)
 
 
 def _overlaps(a: Column, b: Column) -> Column:
