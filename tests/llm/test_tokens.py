@@ -80,6 +80,18 @@ def test_table_is_bounded(spark):
     assert table.nbytes() <= 40
 
 
+def test_table_keeps_every_word():
+    lengths = {"the": 1, "\0": 1, "unbelievable": 3, "\0\0": 2, "é𝄞": 4, "x": 70_000}
+    assert codec.LengthTable(lengths).lookup() == lengths and codec.LengthTable({}).lookup() == {}
+
+
+def test_counts_with_nul_and_long_words(spark):
+    texts = ["the \0 unbelievable cat \0 xylophone \0\0 the cat", "\0", "qz" * 70_000] * 2
+    assert len(ids_of(WORD, texts[2])) > 65_535
+    got = sorted((r.doc_id, r.n_tokens) for r in codec.count_tokens(rows_of(spark, texts), WORD).collect())
+    assert got == sorted((d, len(ids_of(WORD, t))) for d, t in [*enumerate(texts), (900, None), (3, "a")])
+
+
 def test_empty_tables(spark):
     none = rows_of(spark).limit(0)
     assert codec.digests(none, BYTE).collect() == [] and codec.count_tokens(none, WORD).collect() == [] and packing.pack(none, WORD).collect() == []

@@ -54,17 +54,22 @@ def digests(docs: DataFrame, path: str, cache_words: int = CACHE_WORDS) -> DataF
 
 
 class LengthTable:
-    """Open-addressing hash table from pre-token to its number of ids: fixed arrays, so its size is known before it is sent."""
+    """Pre-tokens and their numbers of ids in flat arrays, so the size is known before it is sent; byte offsets, as any character may be in a word."""
+
+    WORD_BYTES = 12  # of a word beside its text
 
     def __init__(self, lengths: dict[str, int]):
-        self.words = "\0".join(lengths).encode("utf-8", "surrogatepass")
-        self.lengths = np.array([*lengths.values()], dtype=np.uint16)
+        coded = [w.encode("utf-8", "surrogatepass") for w in lengths]
+        self.words = b"".join(coded)
+        self.ends = np.cumsum([len(w) for w in coded], dtype=np.int64)
+        self.lengths = np.array([*lengths.values()], dtype=np.uint32)
 
     def nbytes(self) -> int:
-        return len(self.words) + self.lengths.nbytes
+        return len(self.words) + self.ends.nbytes + self.lengths.nbytes
 
     def lookup(self) -> dict[str, int]:
-        return dict(zip(self.words.decode("utf-8", "surrogatepass").split("\0"), self.lengths.tolist())) if len(self.lengths) else {}
+        ends = self.ends.tolist()
+        return {self.words[a:e].decode("utf-8", "surrogatepass"): n for a, e, n in zip([0, *ends], ends, self.lengths.tolist())}
 
 
 def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 2000, table_words: int = 65_536, max_bytes: int = 4_000_000) -> LengthTable:
@@ -88,7 +93,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 2000, table_
     enc = encoder(path, CACHE_WORDS)
     kept, size = {}, 0
     for w, ids in zip(words, enc.encode_words(words)):
-        size += len(w.encode("utf-8", "surrogatepass")) + 3
+        size += len(w.encode("utf-8", "surrogatepass")) + LengthTable.WORD_BYTES
         if size > max_bytes:
             break
         kept[w] = len(ids) // 4
