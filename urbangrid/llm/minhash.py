@@ -15,7 +15,7 @@ The chance to miss a pair lies in the signature alone: at the limit of 0.85, 45
 
 Defined results: null or empty texts (or texts of white space) have an empty set, are kept and linked with nothing; with fewer words than a
 shingle the whole sequence is one; repeated rows and equal texts are linked; a repeated id is one document on a row each; an empty
-table gives an empty table.
+table gives an empty table.  A row without id has no component in `near_duplicates`; `keep_one` numbers it and keeps one document of each group.
 """
 
 from __future__ import annotations
@@ -242,7 +242,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows, with their columns, of one document of each group: the one with the smallest id."""
-    found = near_duplicates(docs, **options)
+    """The rows, with their columns, of one document of each group: the one with the smallest id.
+
+    A row without id is a document of its own and comes after all ids: it is dropped where a near-duplicate with an id, or an earlier row without one, stays.
+    """
+    numbered = _numbered(docs)
+    found = near_duplicates(numbered.select(F.col("__id").alias("doc_id"), "text"), **options)
     kept = found.filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    return numbered.join(kept.hint("merge"), F.col("__id") == F.col("__kept"), "left_semi").select(*docs.columns)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds __id: the id, or for a row without one a number above all ids."""
+    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    top, without = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(-1)), F.count_if(F.col("doc_id").isNull())).first()
+    if not without:
+        return own
+    # written, so that a row keeps its number; a number is task and place in the task, closed up to stay near the number of rows
+    rows = written(docs.filter("doc_id is null").withColumn("__row", F.monotonically_increasing_id()), "without-id")
+    task, place = F.shiftright("__row", 33), F.col("__row").bitwiseAND((1 << 33) - 1)
+    most = rows.agg(F.max(place) + 1).first()[0]
+    return own.filter("doc_id is not null").unionByName(rows.withColumn("__id", F.lit(top).cast("long") + 1 + task * most + place).drop("__row"))
