@@ -161,3 +161,12 @@ def test_raster_round_trip_keeps_missing(spark, tmp_path):
 def test_manifest_with_byte_order_mark(spark, tmp_path):
     (tmp_path / "m.csv").write_bytes(b"\xef\xbb\xbfCity,Path,Year\nA,p,2020\n")
     assert io.read_manifest(spark, f"file://{tmp_path}/m.csv", "cases").first().asDict() == {"City": "A", "Path": "p", "Year": 2020}
+
+
+def test_maps_hold_every_cell(spark, sf_dir):
+    from urbangrid.sources.fixtures import fixture
+
+    cells = {(r.y, r.x) for r in fixture(spark, sf_dir, "f2").select("y", "x").collect()}
+    for name, each in (("m17_predict_single", 1), ("m18_predict_multi", 1), ("m19_tiled_map", 2)):
+        got = [(r.cy, r.cx) for r in all_queries()[0][name](spark, sf_dir).select("cy", "cx").collect()]
+        assert set(got) == cells and len(got) == each * len(cells)
