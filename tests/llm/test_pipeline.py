@@ -47,14 +47,16 @@ def test_stages_take_awkward_documents(spark, sf_dir):
 
 
 def test_stages_equal_brute_force(spark, sf_dir):
-    import re
     from collections import Counter, defaultdict
 
     import numpy as np
     import public_tokenizers
     import tokenizers
 
-    from urbangrid.llm import minhash, quality, secrets
+    from test_text import all_spans
+    from test_text import replaced as cut_out
+
+    from urbangrid.llm import minhash, quality
     from urbangrid.llm.common import table, written
 
     pipe = load()
@@ -92,23 +94,8 @@ def test_stages_equal_brute_force(spark, sf_dir):
             left[stay[0]] -= 1
         assert not +left
 
-    def spans(t):
-        found = lambda pattern, rank, group=0, least=1, most=1 << 30: [(m.start(), rank, m.end()) for m in re.finditer(pattern, t) if least <= len(m[group]) <= most]
-        base = found(secrets.ASSIGN, 0, 2, 6) + found(secrets.ACCESS, 1) + found(secrets.HEX, 2)
-        mixed = [s for s in found(secrets.OPAQUE, 4) if all(re.search(c, t[s[0] : s[2]]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
-        weak = found(secrets.IDENT, 3) + mixed + found(secrets.ASSIGN, 4, 2, 1, 5) + found(secrets.ENDPOINT, 5)
-        weak = [w for w in weak if not any(w[0] < b[2] and b[0] < w[2] for b in base)]
-        secret = lambda s: s[1] in (0, 2, 4)
-        near = lambda a, b: (a[2] <= b[0] or b[2] <= a[0]) and max(a[0], b[0]) - min(a[2], b[2]) <= 200
-        return sorted({*base, *(w for w in weak if any(near(w, x) and secret(w) != secret(x) for x in base + weak))})
-
     def replaced(t):
-        out, at = "", 0
-        for a, _, e in spans(t):
-            if a >= at:
-                out += t[at:a] + "[SECRET]"
-            at = max(at, e)
-        return out + t[at:]
+        return cut_out(t, all_spans(t))
 
     clean = [(d, t and replaced(t)) for d, t in start]
     assert Counter(plain(pipe.secrets_stage(spark, docs, sf_dir))) == Counter(clean) and replaced(hidden).endswith("is [SECRET] [SECRET] done")

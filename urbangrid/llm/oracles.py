@@ -2,47 +2,57 @@
 
 from __future__ import annotations
 
-from . import secrets as S
+# The patterns as RE2 has them.  A host is any run of host characters, kept where it ends in one of the suffixes.
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]+"
+IDENT = r"""(?i:user_?name|user_?id|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+OPAQUE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+ENDPOINT = r"(?:https?|ftp|ssh|jdbc:[a-z]+|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9.:@/_-]+|[a-z0-9.-]+"
+PLACE = r"://|[a-z0-9-]\.(?:amazonaws\.com|internal|cloud)\.?$"
+KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 
 
 def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-def _spans_sql(name: str, pattern: str, rank: int, group: int, least: int, most: int = 2**31 - 1, mixed: bool = False) -> str:
-    test = " AND regexp_matches(w[i], '[0-9]') AND regexp_matches(w[i], '[a-z]') AND regexp_matches(w[i], '[A-Z]')" if mixed else ""
-    return f"""{name} AS (SELECT doc_id, {rank} AS rank, s AS start, s + length(w[i]) AS stop FROM (
-  SELECT doc_id, i, w, v, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x))), 0) AS s FROM (
-    SELECT doc_id, w, v, b, unnest(range(1, len(w) + 1)) AS i FROM (
-      SELECT doc_id, regexp_extract_all(text, '{_q(pattern)}', 0) AS w, regexp_extract_all(text, '{_q(pattern)}', {group}) AS v, string_split_regex(text, '{_q(pattern)}') AS b FROM d)))
-  WHERE length(v[i]) BETWEEN {least} AND {most}{test})"""
+def _spans_sql(name: str, pattern: str, rank: int, least: int = 1, most: int = 2**31 - 1, group: int = 0, asked: tuple[str, ...] = (), only: str | None = None) -> str:
+    """Matches with their starts: lengths of matches and of what lies between, added up in order."""
+    test = "".join(f" AND regexp_matches(w, '{_q(x)}')" for x in asked)
+    given = f" WHERE regexp_matches(text, '{_q(only)}')" if only else ""
+    return f"""{name} AS (SELECT r, {rank} AS rank, s AS start, s + length(w) AS stop FROM (
+  SELECT r, w, v, CAST(sum(length(b) + length(w)) OVER (PARTITION BY r ORDER BY i) - length(w) AS BIGINT) AS s FROM (
+    SELECT r, unnest(w) AS w, unnest(v) AS v, unnest(b[1:len(w)]) AS b, unnest(range(1, len(w) + 1)) AS i FROM (
+      SELECT r, regexp_extract_all(text, '{_q(pattern)}', 0) AS w, regexp_extract_all(text, '{_q(pattern)}', {group}) AS v, string_split_regex(text, '{_q(pattern)}') AS b FROM d{given})))
+  WHERE length(v) BETWEEN {least} AND {most}{test})"""
 
 
-def secrets_sql(reach: int = S.REACH) -> str:
-    names = "CASE rank " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(S.KINDS)) + " END"
+def secrets_sql(reach: int = 200) -> str:
+    names = "CASE rank " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
     listed = f"string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
     role = "CASE WHEN rank IN (1, 3) THEN 0 WHEN rank = 5 THEN 2 ELSE 1 END"
     kinds = [
-        _spans_sql("a", S.ASSIGN, 0, 2, 6),
-        _spans_sql("k", S.ACCESS, 1, 0, 1),
-        _spans_sql("h", S.HEX, 2, 0, 1),
-        _spans_sql("i1", S.IDENT, 3, 0, 1),
-        _spans_sql("o1", S.OPAQUE, 4, 0, 1, mixed=True),
-        _spans_sql("o2", S.ASSIGN, 4, 2, 1, 5),
-        _spans_sql("e1", S.ENDPOINT, 5, 0, 1),
+        _spans_sql("a", ASSIGN, 0, 6, group=2),
+        _spans_sql("k", ACCESS, 1, 20),
+        _spans_sql("h", HEX, 2, 24),
+        _spans_sql("i1", IDENT, 3),
+        _spans_sql("o1", OPAQUE, 4, asked=("[0-9]", "[a-z]", "[A-Z]")),
+        _spans_sql("o2", ASSIGN, 4, 1, 5, group=2),
+        _spans_sql("e1", ENDPOINT, 5, asked=(PLACE,), only=r"://|\.(?:amazonaws\.com|internal|cloud)"),
     ]
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(kinds)},
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), {", ".join(kinds)},
 base AS (SELECT * FROM a UNION ALL SELECT * FROM k UNION ALL SELECT * FROM h),
 free AS (SELECT DISTINCT * FROM (SELECT * FROM i1 UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o2 UNION ALL SELECT * FROM e1) w
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND w.start < b.stop AND b.start < w.stop)),
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND w.start < b.stop AND b.start < w.stop)),
 part AS (SELECT *, {role} AS role FROM (SELECT * FROM base UNION ALL SELECT * FROM free)),
-linked AS (SELECT DISTINCT l.doc_id, l.rank, l.start, l.stop FROM part l JOIN part r ON l.doc_id = r.doc_id AND l.rank >= 3
-  AND greatest(l.start, r.start) - least(l.stop, r.stop) <= {reach} AND (l.stop <= r.start OR r.stop <= l.start) AND (l.role = 1) <> (r.role = 1)),
-b AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, {listed} AS t FROM base GROUP BY doc_id),
-s AS (SELECT doc_id, {listed} AS t, count(*) FILTER (rank >= 3) AS n FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+linked AS (SELECT DISTINCT l.r, l.rank, l.start, l.stop FROM part l JOIN part o ON l.r = o.r AND l.rank >= 3
+  AND greatest(l.start, o.start) - least(l.stop, o.stop) <= {reach} AND (l.stop <= o.start OR o.stop <= l.start) AND (l.role = 1) <> (o.role = 1)),
+b AS (SELECT r, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, {listed} AS t FROM base GROUP BY r),
+s AS (SELECT r, {listed} AS t, count(*) FILTER (rank >= 3) AS n FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY r)
 SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
   sha256(coalesce(b.t, '')) AS base_sha256, coalesce(s.t, '') AS spans, CAST(coalesce(s.n, 0) AS BIGINT) AS n_linked
-FROM d LEFT JOIN b USING (doc_id) LEFT JOIN s USING (doc_id)"""
+FROM d LEFT JOIN b USING (r) LEFT JOIN s USING (r)"""
 
 
 def embeddings_sql(limit: float = 0.9) -> str:
