@@ -76,20 +76,47 @@ def test_counts(spark):
 
 
 def test_table_is_bounded(spark):
-    table = codec.frequent_lengths(rows_of(spark), WORD, 100, 65_536, max_bytes=40)
-    assert table.nbytes() <= 40
+    table = codec.frequent_lengths(rows_of(spark, [*ODD, *["one two three four five six"] * 5]), WORD, 100, 65_536, max_bytes=120)
+    assert len(table.lengths) and table.nbytes() <= 120
+    # a word that does not fit is passed over, not the end of the table
+    texts = ["q" * 200 + " cat cat"] * 9
+    table = codec.frequent_lengths(rows_of(spark, texts), WORD, 100, max_bytes=100)
+    assert table.find(["cat", "q" * 200]).tolist() == [1, -1]
 
 
 def test_table_keeps_every_word():
-    lengths = {"the": 1, "\0": 1, "unbelievable": 3, "\0\0": 2, "é𝄞": 4, "x": 70_000}
-    assert codec.LengthTable(lengths).lookup() == lengths and codec.LengthTable({}).lookup() == {}
+    lengths = {"the": 1, "\0": 1, "unbelievable": 3, "\0\0": 2, "é𝄞": 4, "x": 70_000, **{f"w{i}": i for i in range(5000)}}
+    table = codec.LengthTable(lengths)
+    assert dict(zip(lengths, table.find([*lengths]).tolist())) == lengths and len(table.slots) <= 4 * len(lengths)
+    assert table.find(["", "\0the", "w5000", "é"]).tolist() == [-1] * 4
+    assert codec.LengthTable({}).find(["a"]).tolist() == [-1] and table.find([]).tolist() == []
 
 
-def test_counts_with_nul_and_long_words(spark):
-    texts = ["the \0 unbelievable cat \0 xylophone \0\0 the cat", "\0", "qz" * 70_000] * 2
-    assert len(ids_of(WORD, texts[2])) > 65_535
-    got = sorted((r.doc_id, r.n_tokens) for r in codec.count_tokens(rows_of(spark, texts), WORD).collect())
-    assert got == sorted((d, len(ids_of(WORD, t))) for d, t in [*enumerate(texts), (900, None), (3, "a")])
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(codec.xxhash, "xxh3_64_intdigest", lambda w: len(w) % 3)
+    lengths = {f"w{i}": i for i in range(200)}
+    table = codec.LengthTable(lengths)
+    assert dict(zip(lengths, table.find([*lengths]).tolist())) == lengths and table.find(["w200", "nope"]).tolist() == [-1, -1]
+
+
+def test_counts_of_any_characters_and_lengths(spark):
+    controls = "".join(map(chr, range(32))) + " ".join(map(chr, range(32))) + "\x7f\x80\x9f\u2028\ufeff"
+    texts = ["the \0 unbelievable cat \0 xylophone \0\0 the cat", "\0", "q\0z " * 50, controls, "qz" * 150_000] * 2
+    lib = tokenizers.Tokenizer.from_file(WORD)
+    n = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert n[4] > 200_000
+    for sample in (4000, 1):
+        got = sorted((r.doc_id, r.n_tokens) for r in codec.count_tokens(rows_of(spark, texts), WORD, sample_docs=sample).collect())
+        assert got == sorted([*enumerate(n), (900, 0), (3, len(ids_of(WORD, "a")))])
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_long_words_equal_the_library(path):
+    lib, enc = tokenizers.Tokenizer.from_file(path), bpe.BpeEncoder(path, 1000, False)
+    texts = ["qz" * 100_000, "ab\0" * 30_000, "-" * 100_000, "é" * 50_000, "\0" * 10_000]
+    for text in texts:
+        assert enc.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert enc.cache.used <= max(1000, bpe.weight([texts[-1]]) + 1)
 
 
 def test_empty_tables(spark):

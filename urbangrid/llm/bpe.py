@@ -353,19 +353,25 @@ def _le(i: int) -> bytes:
     return int(i).to_bytes(4, "little")
 
 
+def weight(words: list[str]) -> int:
+    """What words take of a cache: one each, and one more for every 32 characters."""
+    return len(words) + sum(map(len, words)) // 32
+
+
 class _WordCache(dict):
-    """word -> packed ids, filled in bulk; bounded."""
+    """word -> packed ids, filled in bulk; bounded in words, long ones counting as several."""
 
     def __init__(self, encoder: BpeEncoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.used = encoder, 0
 
     def fill(self, words) -> None:
         wanted = set(words)
         fresh = [*wanted.difference(self.keys())]
-        if len(self) + len(fresh) > self.encoder.cache_words:
+        if self.used + weight(fresh) > self.encoder.cache_words:
             self.clear()
-            fresh = [*wanted]
+            self.used, fresh = 0, [*wanted]
+        self.used += weight(fresh)
         for k in range(0, len(fresh), 50_000):
             some = fresh[k : k + 50_000]
             self.update(zip(some, self.encoder.encode_words(some)))

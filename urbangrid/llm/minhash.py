@@ -35,12 +35,14 @@ COORDINATES, LEAST, CHUNK = 64, 45, 1024
 
 
 class _WordHashes(dict):
-    """word -> 64-bit hash; bounded."""
+    """word -> 64-bit hash; bounded, and long words are not kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 256:
+            if len(self) > 400_000:
+                self.clear()
+            self[word] = h
         return h
 
 
