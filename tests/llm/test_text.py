@@ -314,6 +314,36 @@ def test_near_duplicates_equal_brute_force(spark, chunk):
     assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in got.items()} == {d: (len(sets[d]), want[d], want[d] == d) for d in sets}
 
 
+def test_no_pair_is_lost_to_colliding_marks():
+    """Lists together give exactly the pairs with enough equal coordinates, whatever the 16-bit marks say before the first shared one."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, (4, 64), dtype=np.uint64)
+    sigs = np.concatenate([np.where(rng.random((12, 64)) < 0.2, rng.integers(0, 2**63, (12, 64), dtype=np.uint64), b) for b in base])
+    sigs = (sigs & np.uint64((1 << 48) - 1)) | (sigs[:1] & ~np.uint64((1 << 48) - 1))  # the top 16 bits of a coordinate are the same in all rows
+    prefix, least, parts = 20, 45, np.arange(len(sigs))
+    same = (sigs[:, None, :] == sigs[None, :, :]).sum(axis=2)
+    found = set()
+    for at in range(prefix):
+        for value in np.unique(sigs[:, at]):
+            members = np.flatnonzero(sigs[:, at] == value)
+            marks = (sigs[members, at:] >> np.uint64(48)).astype("<u2")
+            a, b = minhash.candidates(marks, sigs[members, :at], np.zeros(len(members), int), parts[members], least)
+            pairs = {(int(members[x]), int(members[y])) for x, y in zip(a, b)}
+            assert not pairs & found  # each pair in one list
+            found |= pairs
+    want = {(i, j) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if same[i, j] >= least}
+    assert want and want <= found
+
+
+def test_long_sets_are_dealt_to_small_chunks(spark):
+    texts = [" ".join([*words(1, 900, 5000), f"e{k}", f"f{k}"]) for k in range(12)] + [" ".join(words(k, 900, 5000)) for k in range(5, 9)]
+    rows = [*enumerate(texts)]
+    sets = {d: shingles(t, 3) for d, t in rows}
+    want = components(sets, lambda x, y: 100 * len(x & y) >= 85 * len(x | y))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), chunk_shingles=2000).collect()}
+    assert got == want and len(set(want.values())) == 5
+
+
 def test_near_duplicate_corner_tables(spark):
     assert minhash.near_duplicates(frame(spark, [(1, "a")]).limit(0)).collect() == []
     twice = minhash.near_duplicates(frame(spark, [(1, "a b c d"), (1, "a b c d"), (0, "A B C D")])).collect()

@@ -5,7 +5,7 @@
 2. A class is posted under its (coordinate, value) pairs.  Two classes that agree in at least `least` of `coordinates` places
    agree in one of the first coordinates - least + 1, so only this prefix is posted, and lists of one class are dropped.
 3. In a list, collisions over the whole signature are counted; a pair is counted in the first list it shares and skipped in later
-   ones.  Lists above `chunk` classes are dealt to pairs of chunks, so no task holds a long list and none is cut short.
+   ones, by the keys themselves.  Lists above `chunk` classes, or with very long sets, are dealt to pairs of chunks, so no task holds a long list and none is cut short.
 4. Of the pairs at or above the match threshold a list gives only a spanning forest, best pairs first: as many rows as members, not all
    pairs.  Each is confirmed on the full sets.  A list where one fails is settled in its block: its members come with their sets, and every pair
    of the list whose ends are not joined yet is tested, until links or pairs run out; again only links of a forest leave the block.
@@ -82,7 +82,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int, prefix: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set; null: empty), keys (posting keys), sig (16 bits of each coordinate)."""
+    """doc_id, n_shingles, set_key (digest of the set; null: empty), keys (posting keys, 8 bytes each), sig (16 bits of each coordinate)."""
     spread = np.arange(1, prefix + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def run(batches):
@@ -94,13 +94,13 @@ def sketches(docs: DataFrame, n: int, prefix: int) -> DataFrame:
                     b.column(0),
                     pa.array([*map(len, sets)], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([None if g is None else _mix(g[:prefix] ^ spread).view(np.int64) for g in sigs], pa.list_(pa.int64())),
+                    pa.array([None if g is None else _mix(g[:prefix] ^ spread).astype("<u8").tobytes() for g in sigs], pa.binary()),
                     pa.array([None if g is None else (g >> np.uint64(48)).astype("<u2").tobytes() for g in sigs], pa.binary()),
                 ],
                 names=["doc_id", "n_shingles", "set_key", "keys", "sig"],
             )
 
-    return whole_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>, sig binary")
+    return whole_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys binary, sig binary")
 
 
 def _roots(n: int):
@@ -115,19 +115,20 @@ def _roots(n: int):
     return root, find
 
 
-def candidates(sigs: np.ndarray, side: np.ndarray, parts: np.ndarray, at: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block with at least `least` equal coordinates, none before the list's own (at), and different parts; best first.
+def candidates(sigs: np.ndarray, early: np.ndarray, side: np.ndarray, parts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block with at least `least` equal coordinates and different parts that meet in no earlier list; best first.
 
+    early: the keys under which each member is posted before this list, whole, so that a pair is passed over only where an earlier list does hold
+    it; sigs: 16 bits of each coordinate from the list's own on (a pair that is not passed over has none before).
     side: 0 throughout, or 1 and 2 for the two chunks of a block between chunks.
     """
     rows, cols = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
     count = np.zeros((len(rows), len(cols)), np.uint8)
     earlier = np.zeros((len(rows), len(cols)), bool)
     for k in range(sigs.shape[1]):
-        same = sigs[rows, k][:, None] == sigs[cols, k][None, :]
-        count += same
-        if k < at:
-            earlier |= same
+        count += sigs[rows, k][:, None] == sigs[cols, k][None, :]
+    for k in range(early.shape[1]):
+        earlier |= early[rows, k][:, None] == early[cols, k][None, :]
     good = (count >= least) & ~earlier & (parts[rows][:, None] != parts[cols][None, :])
     i, j = np.nonzero(good if side.any() else np.triu(good, 1))
     order = np.argsort(-count[i, j].astype(np.int16), kind="stable")
@@ -165,8 +166,9 @@ def _blocks(posts: DataFrame, least: int, percent: int | None = None) -> DataFra
     def block(key, rows):
         if len(rows) < 2:
             return []
-        side, at, ids, parts, sigs = (list(c) for c in zip(*(r[:5] for r in rows)))
-        a, b = candidates(np.frombuffer(b"".join(sigs), "<u2").reshape(len(rows), -1), np.array(side), np.array(parts), at[0], least)
+        side, ids, parts, sigs, early = (list(c) for c in zip(*(r[:5] for r in rows)))
+        whole = np.frombuffer(b"".join(early), "<u8").reshape(len(rows), -1) if early[0] else np.empty((len(rows), 0), np.uint64)
+        a, b = candidates(np.frombuffer(b"".join(sigs), "<u2").reshape(len(rows), -1), whole, np.array(side), np.array(parts), least)
         good = None
         if percent is not None:
             sets = [np.frombuffer(r[5], np.uint64) for r in rows]
@@ -188,7 +190,7 @@ def _blocks(posts: DataFrame, least: int, percent: int | None = None) -> DataFra
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    dealt = posts.select("key", "i", "j", "side", "at", "id", "part", "sig", *(["shingles"] if percent is not None else []))
+    dealt = posts.select("key", "i", "j", "side", "id", "part", "sig", "early", *(["shingles"] if percent is not None else []))
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id").mapInArrow(run, "key long, i int, j int, x long, y long")
 
 
@@ -205,19 +207,23 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_y.select("key", "i", "j", "x", "y", "set_x", "set_y").mapInArrow(run, "key long, i int, j int, x long, y long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least: int = LEAST, chunk: int = CHUNK, chunk_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     prefix = COORDINATES - least + 1
     drawn = written(sketches(docs, shingle, prefix), "sketches")
-    classes = written(drawn.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sig", "doc_id").alias("sig")), "classes")
+    classes = written(drawn.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_set"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sig", "doc_id").alias("sig")), "classes")
 
-    posted = classes.select(F.col("rep").alias("id"), F.posexplode("keys").alias("at", "key"))
-    sizes = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    deal = F.ceil(F.col("n") / chunk).cast("int")
+    key = F.conv(F.hex(F.substring("keys", F.col("at") * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    posted = classes.select(F.col("rep").alias("id"), "n_set", "keys", F.explode(F.sequence(F.lit(0), F.lit(prefix - 1))).alias("at")).select("id", "n_set", "at", key.alias("key"))
+    sizes = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_set").alias("n_set")).filter("n > 1")
+    # a chunk holds about `chunk` members and, where their sets are needed, about chunk_shingles of their shingles
+    deal = F.least("n", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("n_set") / chunk_shingles))).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int")
-    members = posted.join(sizes, "key").withColumn("chunks", deal).withColumn("c", own).join(classes.select(F.col("rep").alias("id"), "sig"), "id")
+    marks = classes.select(F.col("rep").alias("id"), "keys", "sig")
+    members = posted.drop("n_set").join(sizes.withColumn("chunks", deal), "key").withColumn("c", own).join(marks, "id")
+    early, late = F.substring("keys", F.lit(1), F.col("at") * 8), F.substring("sig", F.col("at") * 2 + 1, F.lit(2 * COORDINATES))
     blocks = members.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")).select(
-        "key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2).alias("side"), "at", "id", F.col("id").alias("part"), "sig"
+        "key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2).alias("side"), "id", F.col("id").alias("part"), late.alias("sig"), early.alias("early")
     )
     posts = written(blocks, "posts")
 
