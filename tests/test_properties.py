@@ -137,7 +137,7 @@ def test_learners_learn(spark):
 
     assert r2(models.fit_rf(ready, 10, 7).transform(ready)) > 0.6
     assert r2(models.fit_gbt(ready, 10, 4).transform(ready)) > 0.6
-    assert r2(models.predict_bagged_kernel(df, models.fit_bagged_kernel(df, cols, 3, 200), cols)) > 0.7
+    assert r2(models.predict_bagged_kernel(df, models.fit_bagged_kernel(df, cols, 3, 0.4, piece_rows=120), cols)) > 0.7
     assert r2(models.fit_kernel(df, 64, 1.0, cols).transform(models.fourier_features(df, cols, 64, 1.0))) > 0.7
 
 
@@ -167,6 +167,40 @@ def test_maps_hold_every_cell(spark, sf_dir):
     from urbangrid.sources.fixtures import fixture
 
     cells = {(r.y, r.x) for r in fixture(spark, sf_dir, "f2").select("y", "x").collect()}
-    for name, each in (("m17_predict_single", 1), ("m18_predict_multi", 1), ("m19_tiled_map", 2)):
+    for name in ("m17_predict_single", "m18_predict_multi"):
         got = [(r.cy, r.cx) for r in all_queries()[0][name](spark, sf_dir).select("cy", "cx").collect()]
-        assert set(got) == cells and len(got) == each * len(cells)
+        assert set(got) == cells and len(got) == len(cells)
+    got = [(r.variable, r.y, r.x) for r in all_queries()[0]["m19_tiled_map"](spark, sf_dir).collect()]
+    assert len(set(got)) == len(got) and {v for v, _, _ in got} == {"footprint", "height"}
+
+
+def test_holes_take_the_nearest_value(spark):
+    rng = np.random.default_rng(2)
+    cells = {(b, y, x): None if (b == "a" and 5 <= y < 45 and 3 <= x < 40) or rng.random() < 0.2 else float(y * 100 + x) for b in "abc" for y in range(50) for x in range(45) if rng.random() < 0.9}
+    cells.update({k: None for k in cells if k[0] == "c"})
+    cells["b", 400, 3] = None  # far from all others
+    px = spark.createDataFrame([(*k, float("nan") if v is None and k[1] % 2 else v) for k, v in cells.items()], "band string, y long, x long, value double")
+    got = {(r.band, r.y, r.x): r.value for r in patches.fill_nan_nearest(px, block=4, keys=("band",)).collect()}
+    valid = {b: np.array([(y, x, v) for (k, y, x), v in cells.items() if k == b and v is not None]) for b in "abc"}
+    for (b, y, x), v in cells.items():
+        if v is None and len(valid[b]):
+            g = valid[b]
+            v = g[np.lexsort((g[:, 1], g[:, 0], (g[:, 0] - y) ** 2 + (g[:, 1] - x) ** 2))[0], 2]
+        assert got.pop((b, y, x)) == v
+    assert not got
+
+
+def test_windows_are_filled_from_themselves():
+    nan = float("nan")
+    given = np.array([[nan, 1, nan, nan, nan, nan, nan, nan, 9], [nan] * 9, [*range(9)]], float)
+    got = patches.fill_windows(given, 3)
+    assert got[0].tolist() == [1, 1, 1, 1, 1, 9, 9, 9, 9] and np.isnan(got[1]).all() and got[2].tolist() == [*range(9)]
+
+
+def test_positions_of_hot_groups_and_common_prefixes(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("g"), F.format_string("sample-%08d", F.pmod(F.col("id") * 7919, F.lit(3000))).alias("k"))
+    rows = io.dense_position(df.repartition(5), ["g"], ["k"]).collect()
+    for g in ("rare", "hot"):
+        mine = sorted((r.k, r.position) for r in rows if r.g == g)
+        assert [p for _, p in mine] == [*range(len(mine))]
+    assert len(rows) == 3000 and io.dense_position(df.limit(0), ["g"], ["k"]).collect() == []

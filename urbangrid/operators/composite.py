@@ -136,10 +136,12 @@ def adaptive_threshold(px: DataFrame, lo: int = 20, hi: int = 80, step: int = 5,
     px: scene_id, y, x, cloud, season_rank.  A cell is cloudy at a threshold when its opened flag is set.  Gives season_rank, threshold,
     n_scenes; no row where none fits.
     """
-    tried = px.select("season_rank", "scene_id", "y", "x", "cloud", F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))).alias("threshold")).withColumn("value", (F.col("cloud") > F.col("threshold")).cast("int"))
-    keys = ("season_rank", "scene_id", "threshold")
-    opened = focal(focal(tried, "min", 1, "value", keys), "max", 1, "value", keys)
-    share = opened.groupBy(*keys).agg((100 * F.avg("value")).alias("cloudy")).filter(F.col("cloudy") < keep)
+    keys = ("season_rank", "scene_id")
+    # minimum and maximum commute with a threshold, so the score is opened once and compared with every threshold
+    opened = focal(focal(px.withColumn("value", F.col("cloud")), "min", 1, "value", keys), "max", 1, "value", keys)
+    every = [*range(lo, hi + 1, step)]
+    shares = opened.groupBy(*keys).agg(F.array(*[F.struct(F.lit(t).alias("threshold"), (100 * F.avg((F.col("value") > t).cast("int"))).alias("cloudy")) for t in every]).alias("s"))
+    share = shares.select(*keys, F.explode("s").alias("s")).select(*keys, "s.*").filter(F.col("cloudy") < keep)
     fits = share.groupBy("season_rank", "threshold").agg(F.count("*").alias("n_scenes"))
     return fits.groupBy().agg(F.min(F.struct("season_rank", "threshold", "n_scenes")).alias("best")).filter("best is not null").select("best.*")
 

@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
-from .grid import clip_raster
-from .patches import assemble_patches, patch_exchange, rescale_band
+from ..sources.io import mosaic
+from .composite import composite
+from .grid import check_extent, clip_raster
+from .patches import assemble_patches, fill_nan_nearest, rescale_band
 
 
 # ---------------------------------------------------------------- preparation
@@ -110,50 +112,56 @@ def fit_gbt(df: DataFrame, n: int = 50, depth: int = 5, gamma: float = 0.0, rate
     return GBTRegressor(maxIter=n, maxDepth=depth, minInfoGain=gamma, stepSize=rate, labelCol=label, featuresCol=features, seed=seed).fit(df)
 
 
-def fit_bagged_kernel(df: DataFrame, cols: list[str], n: int = 10, bag_rows: int = 500, width: float = 1.0, ridge: float = 1e-2, label: str = "label", id_col: str = "sample_id", seed: int = 0) -> DataFrame:
-    """bag, anchors, weights: one kernel ridge fit for each bag.
+def _fourier(n_cols: int, d_rff: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Directions, phases and scale of random Fourier features of a Gaussian kernel."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, 1 / width, (d_rff, n_cols)), rng.uniform(0, 2 * math.pi, d_rff), math.sqrt(2 / d_rff)
+
 
-    A bag holds the bag_rows rows of least hash, so a fit is bounded whatever the table's size (bagging draws samples by its nature).
+def fit_bagged_kernel(df: DataFrame, cols: list[str], n: int = 10, frac: float = 0.2, width: float = 1.0, ridge: float = 1e-2, d_rff: int = 256, piece_rows: int = 2000, label: str = "label", id_col: str = "sample_id", seed: int = 0) -> DataFrame:
+    """bag, mean, weights: kernel ridge regression for each of n bags, a bag holding about the share `frac` of all rows.
+
+    A hash puts each row into its bags, and a second one cuts a bag into pieces of about piece_rows rows: a piece is fitted alone, in random Fourier
+    features of the kernel, and the pieces' weights are averaged by their rows.  So all rows of a bag are used, a fit is bounded in memory, and the
+    model has n * d_rff numbers whatever the table's size.
     """
-    bags = df.select(label, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), id_col)
-    chosen = None
-    for b in range(n):
-        one = bags.orderBy(F.xxhash64(id_col, F.lit(seed), F.lit(b)), id_col).limit(bag_rows).withColumn("bag", F.lit(b))
-        chosen = one if chosen is None else chosen.unionByName(one)
+    w, b, scale = _fourier(len(cols), d_rff, width, seed)
+    pieces = max(1, math.ceil(df.count() * frac / piece_rows))
+    into = F.filter(F.array(*[F.when(F.pmod(F.xxhash64(id_col, F.lit(seed), F.lit(k)), F.lit(1_000_000)) < int(frac * 1_000_000), F.lit(k)) for k in range(n)]), lambda k: k.isNotNull())
+    rows = df.select(F.col(label).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.pmod(F.xxhash64(id_col, F.lit(seed), F.lit(-1)), F.lit(pieces)).alias("piece"), F.explode(into).alias("bag"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(pdf["x"].to_list()), pdf[label].to_numpy(float)
+        z, y = scale * np.cos(np.stack(pdf["x"].to_list()) @ w.T + b), pdf["y"].to_numpy(float)
         mean = y.mean()
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
-        w = np.linalg.solve(np.exp(-d / (2 * width**2)) + ridge * np.eye(len(x)), y - mean)
-        return pd.DataFrame({"bag": [pdf["bag"].iloc[0]], "mean": [mean], "anchors": [x.ravel().tolist()], "weights": [w.tolist()]})
+        weights = np.linalg.solve(z.T @ z + ridge * np.eye(d_rff), z.T @ (y - mean))
+        return pd.DataFrame({"bag": [pdf["bag"].iloc[0]], "n": [len(y)], "parts": [[mean, *weights.tolist()]]})
 
-    return chosen.groupBy("bag").applyInPandas(fit, "bag int, mean double, anchors array<double>, weights array<double>")
+    parts = rows.groupBy("bag", "piece").applyInPandas(fit, "bag int, n long, parts array<double>").select("bag", "n", F.posexplode("parts").alias("p", "v"))
+    one = parts.groupBy("bag", "p").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
+    both = one.groupBy("bag").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("v"))
+    return both.select("bag", F.col("v")[0].alias("mean"), F.slice("v", 2, d_rff).alias("weights"))
 
 
-def predict_bagged_kernel(df: DataFrame, bags: DataFrame, cols: list[str], width: float = 1.0) -> DataFrame:
-    """Adds prediction: mean over the bags (n bags of bag_rows rows: the fitted model, sent to the workers)."""
-    model = [(r["mean"], np.array(r.anchors).reshape(len(r.weights), -1), np.array(r.weights)) for r in bags.collect()]
-    sent = df.sparkSession.sparkContext.broadcast(model)
+def predict_bagged_kernel(df: DataFrame, bags: DataFrame, cols: list[str], width: float = 1.0, seed: int = 0) -> DataFrame:
+    """Adds prediction: mean over the bags (the fitted model, n rows of d_rff numbers, is sent to the workers)."""
+    model = [(r["mean"], np.array(r.weights)) for r in bags.collect()]
+    mean = float(np.mean([m for m, _ in model])) if model else 0.0
+    weights = np.mean([w for _, w in model], axis=0) if model else np.zeros(1)  # linear in the weights, so bags can be averaged before
+    sent = df.sparkSession.sparkContext.broadcast((mean, weights, *_fourier(len(cols), len(weights), width, seed)))
 
     @F.pandas_udf("double")
     def predict(*x: pd.Series) -> pd.Series:
+        mean, weights, w, b, scale = sent.value
         at = np.stack([c.to_numpy(float) for c in x], axis=1)
-        out = np.zeros(len(at))
-        for mean, anchors, weights in sent.value:
-            for k in range(0, len(at), 2000):
-                d = ((at[k : k + 2000, None, :] - anchors[None, :, :]) ** 2).sum(-1)
-                out[k : k + 2000] += mean + np.exp(-d / (2 * width**2)) @ weights
-        return pd.Series(out / max(1, len(sent.value)))
+        out = [mean + scale * np.cos(at[k : k + 10_000] @ w.T + b) @ weights for k in range(0, len(at), 10_000)]
+        return pd.Series(np.concatenate(out) if out else np.empty(0))
 
     return df.withColumn("prediction", predict(*[F.col(c).cast("double") for c in cols]))
 
 
 def fourier_features(df: DataFrame, cols: list[str], d_rff: int = 64, width: float = 1.0, seed: int = 0, out: str = "features") -> DataFrame:
     """Adds random Fourier features of a Gaussian kernel."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, 1 / width, (d_rff, len(cols))), rng.uniform(0, 2 * math.pi, d_rff)
-    scale = math.sqrt(2 / d_rff)
+    w, b, scale = _fourier(len(cols), d_rff, width, seed)
     one = lambda k: F.cos(sum((F.col(c) * float(w[k, i]) for i, c in enumerate(cols)), F.lit(float(b[k])))) * scale
     return df.withColumn(out, array_to_vector(F.array(*[one(k) for k in range(d_rff)])))
 
@@ -208,10 +216,15 @@ def cv_report(scores: DataFrame, params: list[str], score: str = "r2") -> DataFr
 
 
 # ---------------------------------------------------------------- scoring and maps
-def score_patches(df: DataFrame, make_predict_fn: Callable, patch: str = "features", batch_size: int = 1024, outputs: tuple = ("prediction",)) -> DataFrame:
-    """Adds the outputs of a user's model; make_predict_fn runs once in a worker and returns a function of a batch (rows, values)."""
+def score_patches(df: DataFrame, make_predict_fn: Callable, patch: str = "features", batch_size: int = 1024, outputs: tuple = ("prediction",), width: int | None = None) -> DataFrame:
+    """Adds the outputs of a user's model; make_predict_fn runs once in a worker and returns a function of a batch (rows, values).
+
+    width: values in a patch; where not given, the first patch is asked.
+    """
     kind = T.DoubleType() if len(outputs) == 1 else T.StructType([T.StructField(o, T.DoubleType()) for o in outputs])
-    width = df.select(F.max(F.size(patch))).first()[0] or 1
+    if width is None:
+        first = df.filter(F.col(patch).isNotNull()).select(F.size(patch)).first()
+        width = first[0] if first else 1
     run = predict_batch_udf(make_predict_fn, return_type=kind, batch_size=batch_size, input_tensor_shapes=[[int(width)]])
     out = df.withColumn("__p", run(patch))
     return out.withColumnRenamed("__p", outputs[0]) if len(outputs) == 1 else out.select(*df.columns, *[F.col(f"__p.{o}").alias(o) for o in outputs])
@@ -232,31 +245,46 @@ def predict_ml(features: DataFrame, prepared: Preprocessors, model, log: bool =
 
 
 def _feature_rows(px: DataFrame, centers: DataFrame, size: int, bands: list[str], extent: tuple | None) -> DataFrame:
-    clipped = clip_raster(px, extent, size) if extent else px
-    scaled = rescale_band(clipped.filter(F.col("band").isin(*bands)))
-    cut = assemble_patches(centers, [(scaled, bands)], size)
+    """Clip (all bands must cover the extent), fill holes, rescale, cut, fill windows over the border, quantise."""
+    px = px.filter(F.col("band").isin(*bands))
+    if extent:
+        y0, x0, y1, x1 = extent
+        metas = px.groupBy("band").agg(F.min("x").alias("x_min"), F.min("y").alias("y_min"), F.max("x").alias("x_max"), F.max("y").alias("y_max"))
+        box = check_extent(metas, (x0, y0, x1, y1)).first()
+        if box is None or not box.covers:
+            raise ValueError("the bands do not cover the extent")
+        px, centers = clip_raster(px, extent, size), centers.filter(F.col("cy").between(y0, y1) & F.col("cx").between(x0, x1))
+    scaled = rescale_band(fill_nan_nearest(px, keys=("band",)))
+    cut = assemble_patches(centers, [(scaled, bands)], size, fill=True)
     parts = [F.transform(b, lambda v: S.quantise(F.coalesce(v, F.lit(0.0)))) for b in bands]
     return cut.select("cy", "cx", F.concat(*parts).alias("features"))
 
 
 def predict_single(px: DataFrame, centers: DataFrame, make_predict_fn: Callable, size: int, bands: list[str], extent: tuple | None = None, lo: float = 0.0, hi: float = 1000.0, log: bool = False) -> DataFrame:
-    """cy, cx, value: clip, rescale, patches, quantise, model, clamp in one plan."""
-    scored = score_patches(_feature_rows(px, centers, size, bands, extent), make_predict_fn)
+    """cy, cx, value: clip, fill, rescale, patches, quantise, model, clamp in one plan."""
+    scored = score_patches(_feature_rows(px, centers, size, bands, extent), make_predict_fn, width=len(bands) * size * size)
     value = F.exp("prediction") if log else F.col("prediction")
     return scored.select("cy", "cx", S.clamp_output(value, lo, hi).alias("value"))
 
 
 def predict_multi(px: DataFrame, centers: DataFrame, make_predict_fn: Callable, size: int, bands: list[str], extent: tuple | None = None, h_max: float = 1000.0, f_max: float = 1.0) -> DataFrame:
     """cy, cx, footprint, height from a model with two outputs."""
-    scored = score_patches(_feature_rows(px, centers, size, bands, extent), make_predict_fn, outputs=("footprint", "height"))
+    scored = score_patches(_feature_rows(px, centers, size, bands, extent), make_predict_fn, outputs=("footprint", "height"), width=len(bands) * size * size)
     return scored.select("cy", "cx", S.clamp_output("footprint", 0.0, f_max).alias("footprint"), S.clamp_output("height", 0.0, h_max).alias("height"))
 
 
-def tiled_map(px: DataFrame, centers: DataFrame, make_predict_fn: Callable, size: int, bands: list[str], block: int = 100, h_min: float = 0.0, h_max: float = 1000.0) -> DataFrame:
-    """region, variable, cy, cx, value: sub-regions are a key of one plan, and variables are kept apart."""
-    region = (F.floor(F.col("cy") / block) * 1_000_000 + F.floor(F.col("cx") / block)).alias("region")
-    cut = patch_exchange(px.filter(F.col("band").isin(*bands)), centers, size).groupBy("cy", "cx").agg(*[F.max(F.when(F.col("band") == b, F.col("patch"))).alias(b) for b in bands])
-    rows = cut.dropna(subset=bands).select("cy", "cx", F.concat(*bands).alias("features"))
-    scored = score_patches(rows, make_predict_fn, outputs=("footprint", "height"))
+def tiled_map(obs: DataFrame, centers: DataFrame, make_predict_fn: Callable, size: int, bands: list[str], block: int = 100, max_cloud: float = 20.0, h_min: float = 0.0, h_max: float = 1000.0) -> DataFrame:
+    """region_y, region_x, variable, y, x, value: from observations (scene_id, band, y, x, value, cloud) to a merged map in one plan.
+
+    Clear observations give a median composite; windows around the centres are cut from it (cells that are missing take the nearest value of the
+    window; a centre without any value of a band is left out), scored and clamped; the sub-regions, blocks of block x block cells, are rasters of
+    their own that the mosaic merges.
+    """
+    px = composite(obs.filter(F.col("band").isin(*bands) & (F.col("cloud") < max_cloud)), p=50)
+    cut = assemble_patches(centers, [(px, bands)], size, fill=True)
+    whole = F.forall(F.concat(*bands), lambda v: v.isNotNull())
+    scored = score_patches(cut.filter(whole).select("cy", "cx", F.concat(*bands).alias("features")), make_predict_fn, outputs=("footprint", "height"), width=len(bands) * size * size)
     both = F.explode(F.array(F.struct(F.lit("footprint").alias("variable"), S.clamp_output("footprint", 0.0, 1.0, "min").alias("value")), F.struct(F.lit("height").alias("variable"), S.clamp_output("height", h_min, h_max, "min").alias("value")))).alias("s")
-    return scored.select(region, "cy", "cx", both).select("region", "s.variable", "cy", "cx", "s.value")
+    region = [F.floor(F.col(c) / block).alias(r) for c, r in (("cy", "region_y"), ("cx", "region_x"))]
+    regions = scored.select(*region, F.col("cy").alias("y"), F.col("cx").alias("x"), both).select("region_y", "region_x", "s.variable", "y", "x", "s.value")
+    return mosaic(regions, by=("region_y", "region_x", "variable", "y", "x"))

@@ -6,6 +6,7 @@ A patch is array<double> of size * size values, row by row; its long form has co
 from __future__ import annotations
 
 import math
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import TILE
+from ..sources.io import band_names, sample_chunks
+from ..sources.shared import stored
 
 
 def offsets(size: int) -> tuple[int, int]:
@@ -21,10 +24,33 @@ def offsets(size: int) -> tuple[int, int]:
     return -((size - 1) // 2), size // 2
 
 
-def extract_patches(px: DataFrame, centers: DataFrame, size: int, tile: int = TILE, bands: list[str] | None = None) -> DataFrame:
-    """band, cy, cx, size, patch: the window around each centre (columns cy, cx); cells that are missing are null.
+@lru_cache(maxsize=32)
+def _nearest_first(size: int) -> np.ndarray:
+    """For each cell of a window, all its cells by distance (ties: the smaller row, then column)."""
+    i, j = np.divmod(np.arange(size * size), size)
+    d2 = (i[:, None] - i[None, :]) ** 2 + (j[:, None] - j[None, :]) ** 2
+    return np.argsort(d2, axis=1, kind="stable")
 
-    bands: the names asked for; a raster's own names (a handful) where not given.
+
+def fill_windows(windows: np.ndarray, size: int) -> np.ndarray:
+    """Missing cells of each window (a row of size * size values) take the nearest valid value of that window; an empty window stays."""
+    out = windows.copy()
+    row, at = np.nonzero(np.isnan(windows))
+    order = _nearest_first(size)
+    for k in range(1, size * size):
+        if not len(row):
+            break
+        found = windows[row, order[at, k]]
+        ok = ~np.isnan(found)
+        out[row[ok], at[ok]] = found[ok]
+        row, at = row[~ok], at[~ok]
+    return out
+
+
+def extract_patches(px: DataFrame, centers: DataFrame, size: int, tile: int = TILE, bands: list[str] | None = None, fill: bool = False) -> DataFrame:
+    """band, cy, cx, size, patch: the window around each centre (columns cy, cx); cells that are missing are null, or the nearest in the window (fill).
+
+    bands: the names asked for; all of a raster's own names where not given.
 
     Cells travel once with their tile and once for each neighbour tile whose halo holds them, centres to their own tile; a task
     holds the cells of a tile as an array and slices it, so s * s rows for each centre are never made.
@@ -34,7 +60,7 @@ def extract_patches(px: DataFrame, centers: DataFrame, size: int, tile: int = TI
     reach = max(-lo, hi)
     span = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
     cells = px.select("band", "y", "x", F.col("value").cast("double").alias("value"), F.explode(span("y")).alias("ty"), F.col("x").alias("_x")).withColumn("tx", F.explode(span("_x"))).drop("_x")
-    names = bands or sorted(r.band for r in px.select("band").distinct().limit(256).collect())
+    names = bands or band_names(px)
     asked = centers.select(F.col("cy").cast("long").alias("y"), F.col("cx").cast("long").alias("x")).distinct().withColumn("ty", ty).withColumn("tx", tx)
     asked = asked.withColumn("band", F.explode(F.array(*map(F.lit, names)))).select("band", "y", "x", F.lit(None).cast("double").alias("value"), "ty", "tx", F.lit(1).alias("ask")) if names else asked.select(F.lit(None).cast("string").alias("band"), "y", "x", F.lit(None).cast("double").alias("value"), "ty", "tx", F.lit(1).alias("ask")).limit(0)
     rows = cells.withColumn("ask", F.lit(0)).select("band", "y", "x", "value", "ty", "tx", "ask").unionByName(asked)
@@ -52,7 +78,7 @@ def extract_patches(px: DataFrame, centers: DataFrame, size: int, tile: int = TI
         cy, cx = y[~own], x[~own]
         step = np.arange(lo, hi + 1)
         out = grid[(cy - y0)[:, None, None] + step[None, :, None], (cx - x0)[:, None, None] + step[None, None, :]].reshape(len(cy), size * size)
-        flat = pa.array(out.ravel(), pa.float64(), from_pandas=True)
+        flat = pa.array((fill_windows(out, size) if fill else out).ravel(), pa.float64(), from_pandas=True)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cy) + 1, dtype=np.int32) * size * size), flat)
         return pa.Table.from_arrays([pa.array([band] * len(cy), pa.string()), pa.array(cy), pa.array(cx), pa.array(np.full(len(cy), size, np.int32)), lists], names=columns)
 
@@ -72,11 +98,11 @@ def multi_size_patches(px: DataFrame, centers: DataFrame, sizes: list[int]) -> D
     return whole.select("band", "cy", "cx", F.explode(F.array(*[F.struct(F.lit(s).alias("size"), inside(s).alias("patch")) for s in sizes])).alias("p")).select("band", "cy", "cx", "p.size", "p.patch")
 
 
-def assemble_patches(centers: DataFrame, sources: list[tuple[DataFrame, list[str]]], size: int) -> DataFrame:
+def assemble_patches(centers: DataFrame, sources: list[tuple[DataFrame, list[str]]], size: int, fill: bool = False) -> DataFrame:
     """cy, cx and one patch column for each band of each source."""
     out = None
     for px, bands in sources:
-        cut = extract_patches(px.filter(F.col("band").isin(*bands)), centers, size, bands=bands).groupBy("cy", "cx").agg(*[F.max(F.when(F.col("band") == b, F.col("patch"))).alias(b) for b in bands])
+        cut = extract_patches(px.filter(F.col("band").isin(*bands)), centers, size, bands=bands, fill=fill).groupBy("cy", "cx").agg(*[F.max(F.when(F.col("band") == b, F.col("patch"))).alias(b) for b in bands])
         out = cut if out is None else out.join(cut, ["cy", "cx"])
     return out
 
@@ -93,35 +119,38 @@ def keep_complete(df: DataFrame, columns: list[str], kept_ratio: float = 0.01) -
     return df.filter(ok)
 
 
-def fill_nan_nearest(px: DataFrame, value: str = "value", block: int = 8, max_rounds: int = 64) -> DataFrame:
-    """Missing cells take the value of the nearest valid cell; ties go to the smaller (distance, y, x).
+def fill_nan_nearest(px: DataFrame, value: str = "value", block: int = 8, max_rounds: int = 64, keys: tuple = ()) -> DataFrame:
+    """Missing cells take the value of the nearest valid cell (of the same keys, such as a band); ties go to the smaller (distance, y, x).
 
-    Cells lie in blocks.  A missing cell asks the blocks of a ring around its own; one that finds a value nearer than the ring reaches is done, the
-    others ask a ring twice as wide, until none is left.  Only missing cells and the valid cells of blocks they ask are joined.
+    Cells lie in blocks.  A missing cell asks the blocks around its own, ring by ring: one that has found a value nearer than the rings reach is done,
+    the others ask the rings up to twice as far out, none of them twice and none outside the box of the valid cells.  Only missing cells and the valid
+    cells of blocks they ask are joined, and each round is written, so nothing is computed again.  Cells of keys without any valid cell stay missing.
     """
-    px = px.select("y", "x", F.col(value).cast("double").alias(value))
-    by, bx = F.floor(F.col("y") / block), F.floor(F.col("x") / block)
-    good = px.filter(F.col(value).isNotNull()).select(F.col("y").alias("gy"), F.col("x").alias("gx"), F.col(value).alias("g"), by.alias("by"), bx.alias("bx"))
-    done = px.filter(F.col(value).isNotNull())
-    open_, radius = px.filter(F.col(value).isNull()).select("y", "x"), 1
-    filled = None
-    if good.isEmpty():
-        return px
+    if not keys:
+        return fill_nan_nearest(px.withColumn("__all", F.lit(0)), value, block, max_rounds, ("__all",)).drop("__all")
+    px = px.select(*keys, "y", "x", F.col(value).cast("double").alias(value))
+    bad = F.col(value).isNull() | F.isnan(value)
+    of = lambda c: F.floor(F.col(c) / block)
+    good = px.filter(~bad).select(*keys, F.col("y").alias("gy"), F.col("x").alias("gx"), F.col(value).alias("g"), of("y").alias("__y"), of("x").alias("__x"))
+    boxes = good.groupBy(*keys).agg(F.min("__y").alias("y0"), F.max("__y").alias("y1"), F.min("__x").alias("x0"), F.max("__x").alias("x1"))
+    kind = f"struct<d2:long,gy:{px.schema['y'].dataType.simpleString()},gx:{px.schema['x'].dataType.simpleString()},g:double>"
+    missing = px.filter(bad).select(*keys, "y", "x", F.lit(None).cast(kind).alias("best"))
+    open_ = stored(missing.join(boxes, list(keys)), "holes")
+    done = [px.filter(~bad), missing.join(boxes, list(keys), "left_anti").select(*keys, "y", "x", F.lit(None).cast("double").alias(value))]
+    inner, radius = -1, 1
     for _ in range(max_rounds):
-        ask = open_.select("y", "x", F.explode(F.sequence(by - radius, by + radius)).alias("by"), bx.alias("_b")).select("y", "x", "by", F.explode(F.sequence(F.col("_b") - radius, F.col("_b") + radius)).alias("bx"))
-        d2 = (F.col("gy") - F.col("y")) * (F.col("gy") - F.col("y")) + (F.col("gx") - F.col("x")) * (F.col("gx") - F.col("x"))
-        best = ask.join(good, ["by", "bx"]).groupBy("y", "x").agg(F.min(F.struct(d2.alias("d2"), "gy", "gx", "g")).alias("b"))
-        sure = best.filter(F.col("b.d2") <= (radius * block) ** 2).select("y", "x", F.col("b.g").alias(value))
-        filled = sure if filled is None else filled.unionByName(sure)
-        open_ = open_.join(sure, ["y", "x"], "left_anti").checkpoint() if _checkpointed(px) else open_.join(sure, ["y", "x"], "left_anti")
         if open_.isEmpty():
             break
-        radius *= 2
-    return done.unionByName(filled)
-
-
-def _checkpointed(df: DataFrame) -> bool:
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir())
+        around = lambda c, lo, hi: F.when((c + radius >= F.col(lo)) & (c - radius <= F.col(hi)), F.sequence(F.greatest(c - radius, F.col(lo)), F.least(c + radius, F.col(hi))))  # noqa: B023, E731
+        ask = open_.select(*keys, "y", "x", "x0", "x1", F.explode(around(of("y"), "y0", "y1")).alias("__y"))
+        ask = ask.select(*keys, "y", "x", "__y", F.explode(around(of("x"), "x0", "x1")).alias("__x")).filter(F.greatest(F.abs(F.col("__y") - of("y")), F.abs(F.col("__x") - of("x"))) > inner)
+        d2 = (F.col("gy") - F.col("y")) * (F.col("gy") - F.col("y")) + (F.col("gx") - F.col("x")) * (F.col("gx") - F.col("x"))
+        found = ask.join(good, [*keys, "__y", "__x"]).groupBy(*keys, "y", "x").agg(F.min(F.struct(d2.cast("long").alias("d2"), "gy", "gx", "g")).cast(kind).alias("new"))
+        state = stored(open_.join(found, [*keys, "y", "x"], "left").withColumn("best", F.least("best", "new")).drop("new"), "holes")
+        sure = F.coalesce(F.col("best.d2") <= (radius * block) ** 2, F.lit(False))
+        done.append(state.filter(sure).select(*keys, "y", "x", F.col("best.g").alias(value)))
+        open_, inner, radius = state.filter(~sure), radius, radius * 2
+    return reduce(DataFrame.unionByName, done)
 
 
 def reliable_samples(df: DataFrame, h_min: float = 3.0, h_max: float = 600.0, area_min: float = 1e-2, height: str = "height", footprint: str = "footprint") -> DataFrame:
@@ -190,13 +219,11 @@ def to_grid(long: DataFrame, keys: tuple = ("patch_id",)) -> DataFrame:
 
 def patch_dataset(px: DataFrame, labels: DataFrame, size: int, chunk_size: int = 100_000, **limits) -> DataFrame:
     """city, chunk, cy, cx, height, footprint and band patches for the reliable label cells of all cities (labels: city, y, x, height, footprint)."""
-    from ..sources.io import sample_chunks
-
     good = reliable_samples(labels, **limits).withColumnRenamed("y", "cy").withColumnRenamed("x", "cx")
-    bands = [r.band for r in px.select("band").distinct().limit(64).collect()]
-    cut = assemble_patches(good, [(px, sorted(bands))], size)
-    cut = cut.select("cy", "cx", *[F.col(b).alias(f"patch_{b}") for b in sorted(bands)])  # labels may have a band's name
-    kept = keep_complete(good.join(cut, ["cy", "cx"]), [f"patch_{b}" for b in sorted(bands)])
+    bands = band_names(px)
+    cut = assemble_patches(good, [(px, bands)], size)
+    cut = cut.select("cy", "cx", *[F.col(b).alias(f"patch_{b}") for b in bands])  # labels may have a band's name
+    kept = keep_complete(good.join(cut, ["cy", "cx"]), [f"patch_{b}" for b in bands])
     return sample_chunks(kept, "city", ["cy", "cx"], chunk_size)
 
 

@@ -1,7 +1,7 @@
 """Sample sets: unions, exact-count splits and draws by hash order, summaries, batches.
 
 Draws take rows in the order of a seeded hash, so a seed gives the same rows on any partitioning, and counts are exact.  Ranks inside a
-group are made of range counts (see `dense_position`), so a group with most of the rows is not one task.
+group come from ranges of the full key (see `dense_position`), so a group with most of the rows is not one task.
 """
 
 from __future__ import annotations

@@ -123,13 +123,13 @@ def c14_quality_score(spark, sf_dir):
     return C.quality_score(px).select("scene_id", "y", "x", _r6("score"))
 
 
-@query(f"""WITH {duck('f1')}, {WIDE}, t AS (SELECT scene_id, y, x, dayofyear(CAST(scene_id AS DATE)) % 2 AS season_rank, t.t AS threshold, CAST(cloud > t.t AS INT) AS v FROM w, (SELECT unnest(range(20, 81, 5)) AS t) t WHERE y < 12),
-m AS (SELECT a.scene_id, a.season_rank, a.threshold, a.y, a.x, MIN(b.v) AS v FROM t a JOIN t b ON a.scene_id = b.scene_id AND a.threshold = b.threshold AND {NEAR} GROUP BY ALL),
-o AS (SELECT a.scene_id, a.season_rank, a.threshold, a.y, a.x, MAX(b.v) AS v FROM m a JOIN m b ON a.scene_id = b.scene_id AND a.threshold = b.threshold AND {NEAR} GROUP BY ALL),
-s AS (SELECT season_rank, threshold, scene_id FROM o GROUP BY ALL HAVING 100 * AVG(v) < 30)
+@query(f"""WITH {duck('f1')}, {WIDE}, g AS (SELECT scene_id, y, x, dayofyear(CAST(scene_id AS DATE)) % 2 AS season_rank, cloud AS v FROM w), sh AS (SELECT unnest([-1, 0, 1]) AS d),
+m AS (SELECT a.scene_id, a.season_rank, a.y, a.x, MIN(b.v) AS v FROM g a, sh p, sh q JOIN g b ON a.scene_id = b.scene_id AND b.y = a.y + p.d AND b.x = a.x + q.d GROUP BY ALL),
+o AS (SELECT a.scene_id, a.season_rank, a.y, a.x, MAX(b.v) AS v FROM m a, sh p, sh q JOIN m b ON a.scene_id = b.scene_id AND b.y = a.y + p.d AND b.x = a.x + q.d GROUP BY ALL),
+s AS (SELECT season_rank, t.t AS threshold, scene_id FROM o, (SELECT unnest(range(20, 81, 5)) AS t) t GROUP BY ALL HAVING 100 * AVG(CAST(v > t.t AS INT)) < 30)
 SELECT CAST(season_rank AS BIGINT) AS season_rank, CAST(threshold AS BIGINT) AS threshold, COUNT(*) AS n_scenes FROM s GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 1""")
 def c15_adaptive_threshold(spark, sf_dir):
-    px = _wide(spark, sf_dir).filter("y < 12").withColumn("season_rank", F.dayofyear(F.col("scene_id").cast("date")) % 2)
+    px = _wide(spark, sf_dir).withColumn("season_rank", F.dayofyear(F.col("scene_id").cast("date")) % 2)
     out = C.adaptive_threshold(px, keep=30)
     return out.select(*[F.col(c).cast("long") for c in ("season_rank", "threshold", "n_scenes")])
 

@@ -14,7 +14,20 @@ from .registry import query
 # patches of 8 x 8 cells, values scaled to 0..1, in long form
 LONG = """ln AS (SELECT CAST(vec_id AS BIGINT) AS patch_id, p // 8 AS i, p % 8 AS j, least(1.0, greatest(0.0, CAST(v AS DOUBLE) * 2 + 0.5)) AS v
   FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))"""
-CUT = "f2c AS (SELECT y AS cy, x AS cx FROM f2 WHERE (y * 7 + x) % 11 = 0)"
+CUT = "f2c AS (SELECT y AS cy, x AS cx FROM f2)"
+
+
+def _around(lo: int, hi: int) -> str:
+    """Every centre with the cells of its window: an equi-join on the shifted cell."""
+    return f"f2c, (SELECT unnest(range({lo}, {hi + 1})) AS dy) o, (SELECT unnest(range({lo}, {hi + 1})) AS dx) p JOIN f2 ON f2.y = cy + dy AND f2.x = cx + dx"
+
+
+def _windows_sql(raster: str, size: int, lo: int) -> str:
+    """wf: band, cy, cx, v for every place of every window; places without a value take the nearest one of the window."""
+    return f"""wa AS (SELECT n.band, cy, cx, dy, dx, r.v FROM f2c, (SELECT DISTINCT band FROM {raster}) n, (SELECT unnest(range({lo}, {lo + size})) AS dy) o, (SELECT unnest(range({lo}, {lo + size})) AS dx) p
+  LEFT JOIN {raster} r ON r.band = n.band AND r.y = cy + dy AND r.x = cx + dx),
+wf AS (SELECT band, cy, cx, v FROM wa WHERE v IS NOT NULL UNION ALL SELECT a.band, a.cy, a.cx, arg_min(b.v, ((a.dy - b.dy) ** 2 + (a.dx - b.dx) ** 2, b.dy, b.dx))
+  FROM wa a JOIN wa b ON a.v IS NULL AND b.v IS NOT NULL AND a.band = b.band AND a.cy = b.cy AND a.cx = b.cx GROUP BY a.band, a.cy, a.cx, a.dy, a.dx)"""
 
 
 def _r(c, n=6, name=None):
@@ -35,10 +48,6 @@ def _px(spark, d):
 
 
 def _centers(spark, d):
-    return fixture(spark, d, "f2").filter("(y * 7 + x) % 11 = 0").select(F.col("y").alias("cy"), F.col("x").alias("cx"))
-
-
-def _all_centers(spark, d):
     return fixture(spark, d, "f2").select(F.col("y").alias("cy"), F.col("x").alias("cx"))
 
 
@@ -48,7 +57,7 @@ def _sums(df):
 
 
 def _patch_sql(size: int, lo: int, hi: int) -> str:
-    return f"SELECT cy, cx, CAST({size} AS INTEGER) AS size, COUNT(height) AS n, ROUND(SUM(height), 6) AS total FROM f2c JOIN f2 ON y BETWEEN cy + {lo} AND cy + {hi} AND x BETWEEN cx + {lo} AND cx + {hi} GROUP BY 1, 2"
+    return f"SELECT cy, cx, CAST({size} AS INTEGER) AS size, COUNT(height) AS n, ROUND(SUM(height), 6) AS total FROM {_around(lo, hi)} GROUP BY 1, 2"
 
 
 @query(f"WITH {duck('f2')}, {CUT} {_patch_sql(5, -2, 2)} UNION ALL {_patch_sql(4, -1, 2)}")
@@ -61,7 +70,7 @@ def p02_multi_size_patches(spark, d):
     return _sums(P.multi_size_patches(_px(spark, d), _centers(spark, d), [3, 5]))
 
 
-@query(f"WITH {duck('f2')}, {CUT} SELECT cy, cx, ROUND(SUM(height), 6) AS h, ROUND(SUM(footprint), 6) AS f FROM f2c JOIN f2 ON y BETWEEN cy - 1 AND cy + 1 AND x BETWEEN cx - 1 AND cx + 1 GROUP BY 1, 2")
+@query(f"WITH {duck('f2')}, {CUT} SELECT cy, cx, ROUND(SUM(height), 6) AS h, ROUND(SUM(footprint), 6) AS f FROM {_around(-1, 1)} GROUP BY 1, 2")
 def p03_assemble_patches(spark, d):
     f2 = fixture(spark, d, "f2")
     other = f2.select(F.lit("footprint").alias("band"), "y", "x", F.col("footprint").alias("value"))
@@ -81,11 +90,11 @@ def p05_nan_ratio(spark, d):
     return P.keep_complete(holed, ["patch"], 0.01).select("patch_id", F.round(S.nan_ratio("patch"), 6).alias("ratio"))
 
 
-@query(f"""WITH {duck('f2')}, h AS (SELECT y, x, CASE WHEN (y + x) % 9 <> 0 THEN height END AS v FROM f2 WHERE y < 60),
+@query(f"""WITH {duck('f2')}, h AS (SELECT y, x, CASE WHEN (y + x) % 9 <> 0 THEN height END AS v FROM f2),
 n AS (SELECT a.y, a.x, arg_min(b.v, ((b.y - a.y) ** 2 + (b.x - a.x) ** 2, b.y, b.x)) AS v FROM h a JOIN h b ON a.v IS NULL AND b.v IS NOT NULL GROUP BY 1, 2)
 SELECT y, x, ROUND(v, 6) AS value FROM h WHERE v IS NOT NULL UNION ALL SELECT y, x, ROUND(v, 6) FROM n""")
 def p06_fill_nan_nearest(spark, d):
-    px = _px(spark, d).filter("y < 60").withColumn("value", F.when((F.col("y") + F.col("x")) % 9 != 0, F.col("value")))
+    px = _px(spark, d).withColumn("value", F.when((F.col("y") + F.col("x")) % 9 != 0, F.col("value")))
     return P.fill_nan_nearest(px).select("y", "x", _r("value"))
 
 
@@ -132,7 +141,7 @@ def p18_patch_dataset(spark, d):
     return P.patch_dataset(_px(spark, d), labels, 3, 50, h_min=10.0, area_min=0.2).select("city", "cy", "cx", "chunk")
 
 
-@query(f"WITH {duck('f2')}, {CUT} SELECT cy, cx, ROUND(SUM(height) - 10000.0 * (9 - COUNT(*)), 6) AS total FROM f2c JOIN f2 ON y BETWEEN cy - 1 AND cy + 1 AND x BETWEEN cx - 1 AND cx + 1 GROUP BY 1, 2")
+@query(f"WITH {duck('f2')}, {CUT} SELECT cy, cx, ROUND(SUM(height) - 10000.0 * (9 - COUNT(*)), 6) AS total FROM {_around(-1, 1)} GROUP BY 1, 2")
 def p19_patch_exchange(spark, d):
     out = P.patch_exchange(_px(spark, d), _centers(spark, d), 3)
     return out.select("cy", "cx", F.round(F.aggregate("patch", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
@@ -325,7 +334,7 @@ def _scaled(spark, d):
 @query()
 def m09_bagged_kernel(spark, d):
     df = _scaled(spark, d)
-    return M.predict_bagged_kernel(df, M.fit_bagged_kernel(df, COLS, 4, 300, 1.5), COLS, 1.5).select("sample_id", "prediction")
+    return M.predict_bagged_kernel(df, M.fit_bagged_kernel(df, COLS, 4, 0.2, 1.5), COLS, 1.5).select("sample_id", "prediction")
 
 
 @query()
@@ -361,7 +370,7 @@ def m13_score_patches(spark, d):
     return M.score_patches(_patches(spark, d), _mean_model, "patch", 128).select("patch_id", _r("prediction"))
 
 
-@query(f"""WITH {duck('f2')}, {CUT}, p AS (SELECT cy, cx, AVG(least(1.0, pow(10.0, (height - 60) / 10))) AS vv, AVG(least(1.0, pow(10.0, (footprint * 10 - 30) / 10))) AS vh FROM f2c JOIN f2 ON y BETWEEN cy - 1 AND cy + 1 AND x BETWEEN cx - 1 AND cx + 1 GROUP BY 1, 2)
+@query(f"""WITH {duck('f2')}, {CUT}, p AS (SELECT cy, cx, AVG(least(1.0, pow(10.0, (height - 60) / 10))) AS vv, AVG(least(1.0, pow(10.0, (footprint * 10 - 30) / 10))) AS vh FROM {_around(-1, 1)} GROUP BY 1, 2)
 SELECT cy, cx, ROUND(exp(0.5 * pow(vv * pow(5.0, vh), 0.4) + 1), 6) AS height FROM p""")
 def m15_predict_vvh(spark, d):
     f2 = fixture(spark, d, "f2")
@@ -380,16 +389,30 @@ def _two_bands(spark, d):
     return f2.select(F.lit("R").alias("band"), "y", "x", F.col("height").alias("value")).unionByName(f2.select(F.lit("NIR").alias("band"), "y", "x", F.col("footprint").alias("value")))
 
 
-@query()
+_SCALED = """px AS (SELECT 'R' AS band, y, x, height AS v FROM f2 UNION ALL SELECT 'NIR', y, x, footprint FROM f2),
+st AS (SELECT band, MIN(v) AS lo, quantile_cont(v, 0.98) - quantile_cont(v, 0.02) AS span FROM px GROUP BY 1),
+sc AS (SELECT px.band, y, x, least(1.0, greatest(0.0, (v - lo) / span)) AS v FROM px JOIN st ON px.band = st.band)"""
+
+
+@query(f"""WITH {duck('f2')}, {CUT}, {_SCALED}, {_windows_sql('sc', 3, -1)}, m AS (SELECT cy, cx, AVG(floor(v * 255) / 255.0) AS m FROM wf GROUP BY 1, 2)
+SELECT cy, cx, ROUND(CASE WHEN m > 0.6 THEN 0.6 WHEN m < 0 THEN 0 ELSE m END, 6) AS value FROM m""")
 def m17_predict_single(spark, d):
-    return M.predict_single(_two_bands(spark, d), _all_centers(spark, d), _mean_model, 3, ["R", "NIR"], hi=0.6)
+    return M.predict_single(_two_bands(spark, d), _centers(spark, d), _mean_model, 3, ["R", "NIR"], hi=0.6).select("cy", "cx", _r("value"))
 
 
-@query()
+@query(f"""WITH {duck('f2')}, {CUT}, {_SCALED}, {_windows_sql('sc', 3, -1)}, m AS (SELECT cy, cx, AVG(floor(v * 255) / 255.0) AS m, 100 * MAX(floor(v * 255) / 255.0) AS t FROM wf GROUP BY 1, 2)
+SELECT cy, cx, ROUND(CASE WHEN m > 1 THEN 1 WHEN m < 0 THEN 0 ELSE m END, 6) AS footprint, ROUND(CASE WHEN t > 80 THEN 80 WHEN t < 0 THEN 0 ELSE t END, 6) AS height FROM m""")
 def m18_predict_multi(spark, d):
-    return M.predict_multi(_two_bands(spark, d), _all_centers(spark, d), _two_outputs, 3, ["R", "NIR"], h_max=80.0)
+    out = M.predict_multi(_two_bands(spark, d), _centers(spark, d), _two_outputs, 3, ["R", "NIR"], h_max=80.0)
+    return out.select("cy", "cx", _r("footprint"), _r("height"))
 
 
-@query()
+@query(f"""WITH {duck('f1')}, f2c AS (SELECT DISTINCT y AS cy, x AS cx FROM f1), cm AS (SELECT band, y, x, quantile_cont(value, 0.5) / 100 AS v FROM f1 WHERE band IN ('view', 'click') AND cloud < 60 GROUP BY 1, 2, 3),
+{_windows_sql('cm', 3, -1)}, m AS (SELECT cy, cx, AVG(v) AS m, 100 * MAX(v) AS t FROM wf GROUP BY 1, 2 HAVING COUNT(*) = 18)
+SELECT cy // 20 AS region_y, cx // 20 AS region_x, 'footprint' AS variable, cy AS y, cx AS x, ROUND(least(1.0, greatest(0.0, m)), 6) AS value FROM m
+UNION ALL SELECT cy // 20, cx // 20, 'height', cy, cx, ROUND(least(100.0, greatest(2.0, t)), 6) FROM m""")
 def m19_tiled_map(spark, d):
-    return M.tiled_map(_two_bands(spark, d), _all_centers(spark, d), _two_outputs, 3, ["R", "NIR"])
+    obs = fixture(spark, d, "f1").withColumn("value", F.col("value") / 100)
+    centers = obs.select(F.col("y").alias("cy"), F.col("x").alias("cx")).distinct()
+    out = M.tiled_map(obs, centers, _two_outputs, 3, ["view", "click"], block=20, max_cloud=60, h_min=2.0, h_max=100.0)
+    return out.select("region_y", "region_x", "variable", "y", "x", _r("value"))

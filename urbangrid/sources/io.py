@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..schemas import POLYGONS, TILE, manifest_schema
+from .shared import stored
 
 
 def read_manifest(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -64,32 +65,27 @@ def read_polygons(spark: SparkSession, path: str, fmt: str = "geojson") -> DataF
 def sample_chunks(df: DataFrame, group: str, order: list[str], chunk_size: int = 100_000) -> DataFrame:
     """Adds chunk: rows of a group in order, chunk_size to a chunk.
 
-    The position is a count of earlier ranges plus a rank within one (group, range), so a city with most of the rows is not one task.
+    Positions come from ranges of the full key, so a city with most of the rows is not one task.
     """
     out = dense_position(df, [group], order)
     return out.withColumn("chunk", F.floor(F.col("position") / chunk_size)).drop("position")
 
 
-def dense_position(df: DataFrame, groups: list[str], order: list[str], parts: int = 16) -> DataFrame:
+def dense_position(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     """Adds position 0..n-1 in the given order inside each group.
 
-    Ranges of the first order column (quantiles of the whole table) split a group; each range's rows are ranked alone and the counts of the
-    ranges before it are added: the only unsplit window runs over range counts.
+    Rows are dealt to ranges of the full key (groups and order; Spark samples it, so a hot group or ids with a common prefix are cut as finely as
+    any) and sorted there; a row's place in its range and the counts of its group in earlier ranges give the position.  The ranges are written once,
+    as a second run could sample other bounds; the only windows run over the counts, a row for each range and each group in it.
     """
-    key = order[0]
-    numeric = isinstance(df.schema[key].dataType, T.NumericType)
-    if numeric:
-        cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01) or []
-        rng = reduce(lambda a, c: a + F.when(F.col(key) > c, 1).otherwise(0), sorted(set(cuts)), F.lit(0))
-    else:
-        rng = F.ascii(F.coalesce(F.substring(F.col(key).cast("string"), 1, 1), F.lit("")))
-    ranged = df.withColumn("__range", F.when(F.col(key).isNull(), -1).otherwise(rng))
-    sizes = ranged.groupBy(*groups, "__range").agg(F.count("*").alias("__n"))
+    dealt = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    local = F.monotonically_increasing_id()
+    rows = stored(dealt.withColumn("__range", F.shiftright(local, 33)).withColumn("__place", local.bitwiseAND((1 << 33) - 1)), "positions")
+    sizes = rows.groupBy(*groups, "__range").agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy(*groups).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__range").alias("__r"), before.alias("__start"))
-    rank = F.row_number().over(W.partitionBy(*groups, "__range").orderBy(*order)) - 1
+    starts = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__range").alias("__r"), (before - F.col("__first")).alias("__start"))
     on = (F.col("__range") == F.col("__r")) & reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)), F.lit(True))
-    return ranged.withColumn("__rank", rank).join(starts, on).withColumn("position", F.col("__start") + F.col("__rank")).select(*df.columns, "position")
+    return rows.join(starts, on).withColumn("position", F.col("__start") + F.col("__place")).select(*df.columns, "position")
 
 
 def write_samples(df: DataFrame, path: str, group: str = "city", order: tuple = ("sample_id",), chunk_size: int = 100_000) -> None:
@@ -141,6 +137,14 @@ def mosaic(*rasters: DataFrame, by: tuple = ("band", "y", "x")) -> DataFrame:
     return reduce(DataFrame.unionByName, ranked).filter(F.col("value").isNotNull()).groupBy(*by).agg(F.max_by("value", "src").alias("value"))
 
 
+def band_names(px: DataFrame) -> list[str]:
+    """The names of a raster's bands, sorted: all of them; a table whose bands are no handful of names is an error."""
+    names = [r.band for r in px.select("band").distinct().limit(10_001).collect()]
+    if len(names) > 10_000:
+        raise ValueError("more than 10,000 bands; is the column a band name?")
+    return sorted(n for n in names if n is not None)
+
+
 def feature_catalog(spark: SparkSession, suffixes: list[str], bands: list[str], stats: list[str]) -> DataFrame:
     """position, name: suffix@band@stat in nested order."""
     names = [f"{s}@{b}@{t}" for s in suffixes for b in bands for t in stats]
