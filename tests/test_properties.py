@@ -204,3 +204,50 @@ def test_positions_of_hot_groups_and_common_prefixes(spark):
         mine = sorted((r.k, r.position) for r in rows if r.g == g)
         assert [p for _, p in mine] == [*range(len(mine))]
     assert len(rows) == 3000 and io.dense_position(df.limit(0), ["g"], ["k"]).collect() == []
+
+
+def test_components_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) + 5
+    df = spark.createDataFrame([(k, *map(float, r), 1.0) for k, r in enumerate(x)], "k long, a double, b double, c double, d double, flat double")
+    prepared = models.fit_preprocessors(df, ["a", "b", "c", "d", "flat"], 3)
+    z = (x - x.mean(0)) / x.std(0)
+    _, _, turned = np.linalg.svd(z - z.mean(0), full_matrices=False)
+    axes = turned[:3] * np.sign(turned[:3][np.arange(3), np.abs(turned[:3]).argmax(1)])[:, None]
+    got = np.array([r.features.toArray() for r in prepared.transform(df).orderBy("k").collect()])
+    assert prepared.cols == ["a", "b", "c", "d"] and np.allclose(got, z @ axes.T, atol=1e-6)
+
+
+def test_bags_use_their_share_of_the_rows(spark):
+    df = spark.range(4000).select(F.col("id").cast("string").alias("sample_id"), (F.col("id") / 4000).alias("a"), F.sin(F.col("id") / 400).alias("label"))
+    whole = models.fit_bagged_kernel(df, ["a"], 3, 0.5, width=0.1, piece_rows=500)
+    assert sorted(r.bag for r in whole.collect()) == [0, 1, 2] and all(len(r.weights) == 256 for r in whole.collect())
+    out = models.predict_bagged_kernel(df, whole, ["a"], 0.1).select(F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("e")).first()
+    assert out.e < 0.05
+
+
+def test_features_of_patches_with_gaps(spark):
+    """Array features against the plain definitions, cell by cell."""
+    rng = np.random.default_rng(6)
+    grids = rng.random((5, 6, 6)).round(2)
+    grids[1:4][rng.random((3, 6, 6)) < 0.2] = np.nan
+    long = spark.createDataFrame([(p, "R", i, j, float(grids[p, i, j])) for p in range(5) for i in range(6) for j in range(6) if not np.isnan(grids[p, i, j])], "patch_id long, band string, i long, j long, v double")
+
+    def near(g, i, j, r, fn):
+        w = g[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1]
+        return fn(w[~np.isnan(w)])
+
+    for op, first, second in ((features.opening, min, max), (features.closing, max, min)):
+        got = {(r.patch_id, r.i, r.j): r.v for r in op(long, 3).collect()}
+        for p, g in enumerate(grids):
+            at = lambda a, fn: np.array([[near(a, i, j, 1, fn) if not np.isnan(g[i, j]) else np.nan for j in range(6)] for i in range(6)])  # noqa: B023, E731
+            want = at(at(g, first), second)
+            assert all(got[p, i, j] == want[i, j] for i in range(6) for j in range(6) if not np.isnan(g[i, j]))
+    plain = {(r.patch_id, n): r[n] for r in features.texture(long, 5, 6).collect() for n in features.TEXTURES}
+    rows = features.assemble_features(long, 6, "x", [1, 3], [5], ("R",), bands=("R",)).collect()
+    stats = {r.patch_id: r for r in features.band_stats(long).collect()}
+    assert len(rows) == 5 and rows[0].names == features.feature_names(6, "x", [1, 3], [5], ("R",), ("R",))
+    for r in rows:
+        f = dict(zip(r.names, r.features))
+        assert all(f[f"x@R@w5@{n}"] == pytest.approx(plain[r.patch_id, n]) for n in features.TEXTURES)
+        assert all(f[f"x@R@{n}"] == pytest.approx(stats[r.patch_id][n]) for n in features.STATISTICS)

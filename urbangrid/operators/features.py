@@ -1,7 +1,7 @@
 """Patch features on the long form (patch_id, band, i, j, v): statistics, morphology, texture, spectral indices.
 
-Neighbourhoods are offset explodes and aggregates keyed by the cell; co-occurrence is an equi-join of shifted cells.  Reconstruction runs
-until it is stable inside one patch, in an Arrow group.
+A patch is small, so the cells of a patch meet once in a row, and morphology works on a batch of patches as arrays; `patch_features` gives all
+features of array patches in one pass without a shuffle.  Co-occurrence on the long form is an equi-join of shifted cells.
 """
 
 from __future__ import annotations
@@ -33,89 +33,140 @@ def band_stats(long: DataFrame, names: list[str] | None = None, keys: tuple = KE
     return long.groupBy(*keys).agg(*[pick(STATISTICS, n)(F.col("v")).alias(n) for n in names or STATISTICS])
 
 
-def _window(k: int, shape: str) -> list[tuple[int, int]]:
-    r = k // 2
-    cells = [(di, dj) for di in range(-r, r + 1) for dj in range(-r, r + 1)]
-    return cells if shape == "square" else [(di, dj) for di, dj in cells if di == 0 or dj == 0]
+# ---------------------------------------------------------------- patches as arrays
+class _Grids:
+    """The patches of one Arrow batch side by side: an array (patch, row, column), NaN where a cell is missing."""
 
+    def __init__(self, cells: pa.ListArray):
+        flat = cells.flatten()
+        i, j, v = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        sizes = np.diff(cells.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        i0, j0 = (np.minimum.reduceat(c, starts) if len(c) else np.empty(0, np.int64) for c in (i, j))
+        self.at = row, i - i0[row], j - j0[row]
+        shape = [int(c.max()) + 1 if len(c) else 0 for c in self.at[1:]]
+        self.grid = np.full((len(sizes), *shape), np.nan)
+        self.grid[self.at] = v.astype(float)
+        self.cells, self.flat = cells, flat
 
-def _spread(long: DataFrame, k: int, shape: str, agg: Callable, keys: tuple) -> DataFrame:
+    def with_values(self, grid: np.ndarray) -> pa.ListArray:
+        structs = pa.StructArray.from_arrays([self.flat.field(0), self.flat.field(1), pa.array(grid[self.at])], ["i", "j", "v"])
+        return pa.ListArray.from_arrays(pa.array((self.cells.offsets.to_numpy() - self.cells.offsets[0].as_py()).astype(np.int32)), structs)
+
+
+def _gathered(long: DataFrame, keys: tuple) -> DataFrame:
+    """keys, cells: a row for each patch, so everything after it stays in the task."""
+    cell = F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+    return long.filter(F.col("v").isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+
+
+def _slide(a: np.ndarray, k: int, axis: int, low: bool) -> np.ndarray:
+    pad = [(0, 0)] * a.ndim
+    pad[axis] = (k // 2, k // 2)
+    view = np.lib.stride_tricks.sliding_window_view(np.pad(a, pad, constant_values=np.inf if low else -np.inf), 2 * (k // 2) + 1, axis=axis)
+    return view.min(axis=-1) if low else view.max(axis=-1)
+
+
+def _extreme(grid: np.ndarray, k: int, low: bool, shape: str = "square") -> np.ndarray:
+    """Least or greatest present value under a k x k square (one direction after the other) or cross."""
     if k <= 1:
-        return long.select(*keys, "i", "j", "v")
-    near = F.explode(F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di, dj in _window(k, shape)])).alias("o")
-    moved = long.select(*keys, "i", "j", "v", near).select(*keys, (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), "v", ((F.col("o.di") == 0) & (F.col("o.dj") == 0)).alias("own"))
-    return moved.groupBy(*keys, "i", "j").agg(agg("v").alias("v"), F.max("own").alias("own")).filter("own").drop("own")
+        return grid
+    a = np.where(np.isnan(grid), np.inf if low else -np.inf, grid)
+    if shape == "square":
+        out = _slide(_slide(a, k, -1, low), k, -2, low)
+    else:
+        out = (np.minimum if low else np.maximum)(_slide(a, k, -1, low), _slide(a, k, -2, low))
+    return np.where(np.isnan(grid), np.nan, out)
+
+
+def _open(grid: np.ndarray, k: int, shape: str = "square") -> np.ndarray:
+    return _extreme(_extreme(grid, k, True, shape), k, False, shape)
+
+
+def _close(grid: np.ndarray, k: int, shape: str = "square") -> np.ndarray:
+    return _extreme(_extreme(grid, k, False, shape), k, True, shape)
+
+
+def _open_rec(grid: np.ndarray, k: int, max_iter: int = 10_000) -> np.ndarray:
+    """Erosion, then dilation under the image until no patch changes."""
+    marker = _extreme(grid, k, True)
+    for _ in range(max_iter):
+        grown = np.minimum(_extreme(marker, 3, False), grid)
+        if np.array_equal(grown, marker, equal_nan=True):
+            break
+        marker = grown
+    return marker
+
+
+def _close_rec(grid: np.ndarray, k: int, max_iter: int = 10_000) -> np.ndarray:
+    return -_open_rec(-grid, k, max_iter)
+
+
+def _on_grids(long: DataFrame, change: Callable[[np.ndarray], np.ndarray], keys: tuple) -> DataFrame:
+    """keys, i, j, v with the values that `change` gives."""
+    rows = _gathered(long, keys)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                g = _Grids(b.column(len(keys)))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], g.with_values(change(g.grid))], names=[*keys, "cells"])
+
+    return rows.mapInArrow(run, rows.schema).select(*keys, F.inline("cells"))
 
 
 def erode(long: DataFrame, k: int, shape: str = "square", keys: tuple = KEYS) -> DataFrame:
     """Least value of the present cells under a k x k square (or cross)."""
-    return _spread(long, k, shape, F.min, keys)
+    return _on_grids(long, lambda g: _extreme(g, k, True, shape), keys)
 
 
 def dilate(long: DataFrame, k: int, shape: str = "square", keys: tuple = KEYS) -> DataFrame:
-    return _spread(long, k, shape, F.max, keys)
+    return _on_grids(long, lambda g: _extreme(g, k, False, shape), keys)
 
 
 def opening(long: DataFrame, k: int, shape: str = "square", keys: tuple = KEYS) -> DataFrame:
-    return dilate(erode(long, k, shape, keys), k, shape, keys)
+    return _on_grids(long, lambda g: _open(g, k, shape), keys)
 
 
 def closing(long: DataFrame, k: int, shape: str = "square", keys: tuple = KEYS) -> DataFrame:
-    return erode(dilate(long, k, shape, keys), k, shape, keys)
-
-
-def _reconstruct(long: DataFrame, k: int, up: bool, max_iter: int, keys: tuple) -> DataFrame:
-    sign = 1.0 if up else -1.0
-    schema = ", ".join([*(f"{c} {long.schema[c].dataType.simpleString()}" for c in keys), "i long, j long, v double"])
-
-    def spread(a: np.ndarray, r: int, low: bool) -> np.ndarray:
-        edge = np.inf if low else -np.inf
-        p = np.pad(a, r, constant_values=edge)
-        view = np.lib.stride_tricks.sliding_window_view(p, (2 * r + 1, 2 * r + 1))
-        return (view.min if low else view.max)(axis=(-2, -1))
-
-    def run(table):
-        i, j, v = (table.column(c).to_numpy() for c in ("i", "j", "v"))
-        i0, j0 = i.min(), j.min()
-        image = np.full((i.max() - i0 + 1, j.max() - j0 + 1), -np.inf)
-        image[i - i0, j - j0] = sign * v
-        there = np.zeros(image.shape, bool)
-        there[i - i0, j - j0] = True
-        marker = np.where(there, spread(np.where(there, image, np.inf), k // 2, True), -np.inf)
-        for _ in range(max_iter):
-            grown = np.where(there, np.minimum(spread(marker, 1, False), image), -np.inf)
-            if np.array_equal(grown, marker):
-                break
-            marker = grown
-        return pa.Table.from_arrays([*(table.column(c) for c in keys), table.column("i"), table.column("j"), pa.array(sign * marker[i - i0, j - j0])], names=[*keys, "i", "j", "v"])
-
-    typed = long.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
-    return typed.groupBy(*keys).applyInArrow(run, schema)
+    return _on_grids(long, lambda g: _close(g, k, shape), keys)
 
 
 def opening_rec(long: DataFrame, k: int, max_iter: int = 10_000, keys: tuple = KEYS) -> DataFrame:
     """Erosion, then dilation under the image until stable."""
-    return _reconstruct(long, k, True, max_iter, keys)
+    return _on_grids(long, lambda g: _open_rec(g, k, max_iter), keys)
 
 
 def closing_rec(long: DataFrame, k: int, max_iter: int = 10_000, keys: tuple = KEYS) -> DataFrame:
     """Dilation, then erosion above the image until stable."""
-    return _reconstruct(long, k, False, max_iter, keys)
+    return _on_grids(long, lambda g: _close_rec(g, k, max_iter), keys)
 
 
 MORPHOLOGY: dict[str, Callable] = {"opening": opening, "closing": closing, "opening_rec": opening_rec, "closing_rec": closing_rec}
+_ON_ARRAYS: dict[str, Callable] = {"opening": _open, "closing": _close, "opening_rec": _open_rec, "closing_rec": _close_rec}
+
+
+def _profile(grid: np.ndarray, sizes: list[int], method: str) -> np.ndarray:
+    """(patch, step): mean absolute difference of the operator at a size and at the size before it."""
+    op = pick(_ON_ARRAYS, method)
+    at = [op(grid, k) for k in sizes]
+    there = np.maximum(1, (~np.isnan(grid)).sum(axis=(-2, -1)))
+    return np.stack([np.nansum(np.abs(x - y), axis=(-2, -1)) / there for x, y in zip(at, at[1:])], axis=-1)
 
 
 def dmp_mean(long: DataFrame, sizes: list[int], method: str = "opening", keys: tuple = KEYS) -> DataFrame:
     """keys, size, dmp: mean absolute difference of the operator at a size and at the size before it."""
-    op = pick(MORPHOLOGY, method)
-    every = None  # the operator runs once for each size; sizes meet in one aggregate, not in joins
-    for k in sizes:
-        one = op(long, k, keys=keys).withColumn("k", F.lit(k))
-        every = one if every is None else every.unionByName(one)
-    at = every.groupBy(*keys, "i", "j").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"v{k}") for k in sizes])
-    steps = F.array(*[F.struct(F.lit(b).alias("size"), F.avg(F.abs(F.col(f"v{a}") - F.col(f"v{b}"))).alias("dmp")) for a, b in zip(sizes, sizes[1:])])
-    return at.groupBy(*keys).agg(steps.alias("s")).select(*keys, F.explode("s").alias("s")).select(*keys, "s.size", "s.dmp")
+    rows = _gathered(long, keys)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(_profile(_Grids(b.column(len(keys))).grid, sizes, method).tolist(), pa.list_(pa.float64()))], names=[*keys, "steps"])
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys), "steps array<double>"])
+    steps = F.arrays_zip(F.array(*map(F.lit, sizes[1:])).alias("size"), F.col("steps").alias("dmp"))
+    return rows.mapInArrow(run, schema).select(*keys, F.explode(steps).alias("s")).select(*keys, F.col("s")["size"].alias("size"), F.col("s")["dmp"].alias("dmp"))
 
 
 # fixed values: steps at distance 1 for 0, 45, 90 and 135 degrees
@@ -183,32 +234,114 @@ def backscatter_features(long: DataFrame, keys: tuple = ("patch_id",)) -> DataFr
     return long.groupBy(*keys).agg(coef("VV"), coef("VH"))
 
 
-def _side(df: DataFrame, keys: tuple, band: str, prefix: str) -> DataFrame:
-    names = [c for c in df.columns if c not in (*keys, band)]
-    long = df.select(*keys, band, F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).cast("double").alias("x")) for n in names])).alias("s"))
-    return long.select(*keys, F.concat(F.lit(prefix), F.col(band), F.lit("@"), F.col("s.k")).alias("name"), F.col("s.x").alias("x"))
-
-
-def assemble_features(long: DataFrame, size: int, suffix: str, sizes: list[int], windows: list[int], optical: tuple = ("R", "G", "B", "NIR"), methods: tuple = ("opening", "closing")) -> DataFrame:
-    """patch_id, names, features: all features of a patch in the order of their names; infinite and missing values are 0."""
-    keys = ("patch_id",)
-    long = long.repartition("patch_id")  # one exchange that all aggregates below reuse
-    head = f"{suffix}@"
-    parts = [_side(band_stats(long), keys, "band", head)]
-    wide = long.filter(F.col("band").isin(*optical)).groupBy("patch_id", "i", "j").agg(*[F.max(F.when(F.col("band") == b, F.col("v"))).alias(b) for b in optical])
-    parts.append(_side(spectral_features(wide).withColumn("band", F.lit("spectral")), keys, "band", head))
-    seen = long.filter(F.col("band").isin(*optical))
-    for m in methods:
-        d = dmp_mean(seen, sizes, m).withColumn("band", F.concat_ws("@", "band", F.lit(m), F.col("size").cast("string"))).drop("size")
-        parts.append(_side(d, keys, "band", head))
-    for w in windows:
-        parts.append(_side(texture(seen, w, size).withColumn("band", F.concat_ws("@", "band", F.lit(f"w{w}"))), keys, "band", head))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    value = F.when(F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf")), 0.0).otherwise(F.col("x"))
-    listed = F.array_sort(F.collect_list(F.struct("name", value.alias("x"))))
-    return every.groupBy("patch_id").agg(listed.alias("f")).select("patch_id", F.col("f.name").alias("names"), F.col("f.x").alias("features"))
+def _band_numbers(g: np.ndarray) -> dict[str, np.ndarray]:
+    flat = np.sort(g.reshape(len(g), -1), axis=1)  # missing values come last
+    n = (~np.isnan(flat)).sum(axis=1)
+    some = np.maximum(1, n)
+    mean = np.nansum(flat, axis=1) / some
+    out = {"Mean": mean, "Std": np.sqrt(np.nansum((flat - mean[:, None]) ** 2, axis=1) / some), "Max": flat[np.arange(len(g)), some - 1], "Min": flat[:, 0]}
+    for name, q in (("50pt", 0.5), ("25pt", 0.25), ("75pt", 0.75)):
+        at = q * (some - 1)
+        lo = np.floor(at).astype(int)
+        x, y = flat[np.arange(len(g)), lo], flat[np.arange(len(g)), np.minimum(lo + 1, some - 1)]
+        out[name] = x + (at - lo) * (y - x)
+    return out
+
+
+def _texture_numbers(g: np.ndarray, w: int, levels: int = 8) -> dict[str, np.ndarray]:
+    """The textures of the centre window, all patches at once (see `glcm` and TEXTURES)."""
+    n, size = len(g), g.shape[-1]
+    c = (size - 1) // 2
+    lo, hi = max(0, c - (w - 1) // 2), min(size - 1, c + w // 2)
+    win = g[:, lo : hi + 1, lo : hi + 1]
+    level = np.floor(np.floor(np.clip(win, 0, 1) * 255 + 0.5) / (256 // levels))
+    counts = np.zeros(n * levels * levels)
+    m = win.shape[-1]
+    for di, dj in ANGLES:
+        x = level[:, : m - di, max(0, -dj) : m - max(0, dj)]
+        y = level[:, di:, max(0, dj) : m - max(0, -dj)]
+        ok = ~np.isnan(x) & ~np.isnan(y)
+        where = np.nonzero(ok)[0]
+        counts += np.bincount((where * levels + x[ok].astype(int)) * levels + y[ok].astype(int), minlength=len(counts))
+    counts = counts.reshape(n, levels, levels)
+    p = counts / np.maximum(1, counts.sum(axis=(1, 2)))[:, None, None]
+    a, b = np.arange(levels)[:, None], np.arange(levels)[None, :]
+    total = lambda x: (p * x).sum(axis=(1, 2))
+    d, whole, square = a - b, total(np.ones((1, 1))), (p * p).sum(axis=(1, 2))
+    ma, mb = total(a), total(b)
+    va, vb = total(a * a) - ma * ma, total(b * b) - mb * mb
+    spread = np.abs(va * vb) > 1e-12
+    return {
+        "mean": whole / 64, "variance": square / 64 - (whole / 64) ** 2, "homogeneity": total(1 / (1 + d * d)), "contrast": total(d * d), "dissimilarity": total(np.abs(d)),
+        "entropy": -(p * np.log(np.where(p > 0, p, 1))).sum(axis=(1, 2)), "2nd_moment": square, "correlation": np.where(spread, (total(a * b) - ma * mb) / np.where(spread, va * vb, 1), 0),
+    }
+
+
+def _numbers(grids: dict[str, np.ndarray], suffix: str, sizes: list[int], windows: list[int], optical: tuple, methods: tuple) -> dict[str, np.ndarray]:
+    """Every feature by its name, for the patches of all bands."""
+    head, seen = f"{suffix}@", [b for b in grids if b in optical]
+    out = {f"{head}{b}@{k}": v for b, g in grids.items() for k, v in _band_numbers(g).items()}
+    mean = lambda x: np.nansum(x, axis=(1, 2)) / np.maximum(1, (~np.isnan(x)).sum(axis=(1, 2)))
+    if {"R", "G", "B", "NIR"} <= set(seen):
+        for k, a in enumerate(("R", "G", "B", "NIR")):
+            for b in ("R", "G", "B", "NIR")[k + 1 :]:
+                x, y = grids[a], grids[b]
+                out[f"{head}spectral@ndi_{a}_{b}"] = mean(np.where(x + y == 0, 0, (x - y) / np.where(x + y == 0, 1, x + y)))
+        out[f"{head}spectral@luminance"] = mean(0.2126 * grids["R"] + 0.7152 * grids["G"] + 0.0722 * grids["B"])
+    for b in seen:
+        for m in methods:
+            out.update({f"{head}{b}@{m}@{k}@dmp": v for k, v in zip(sizes[1:], _profile(grids[b], sizes, m).T)})
+        for w in windows:
+            out.update({f"{head}{b}@w{w}@{k}": v for k, v in _texture_numbers(grids[b], w).items()})
+    return out
+
+
+def patch_features(wide: DataFrame, size: int, suffix: str, sizes: list[int], windows: list[int], bands: tuple = ("R", "G", "B", "NIR"), optical: tuple = ("R", "G", "B", "NIR"), methods: tuple = ("opening", "closing"), keys: tuple = ("patch_id",)) -> DataFrame:
+    """keys, names, features: all features of a patch (keys and one array column a band) in the order of their names; infinite and missing values are 0.
+
+    One pass over the rows: nothing is shuffled, and a batch of patches is worked on as arrays.
+    """
+    rows = wide.select(*keys, *[F.col(b).cast("array<double>").alias(b) for b in bands])
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys), "names array<string>, features array<double>"])
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                grids = {}
+                for k, band in enumerate(bands, len(keys)):
+                    column = b.column(k)
+                    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+                    if column.null_count or len(values) != b.num_rows * size * size:
+                        raise ValueError(f"{band}: not {size} x {size} values in every patch")
+                    grids[band] = values.reshape(b.num_rows, size, size)
+                found = _numbers(grids, suffix, sizes, windows, optical, methods)
+                names = sorted(found)
+                x = np.stack([found[n] for n in names], axis=1)
+                x = np.where(np.isfinite(x), x, 0.0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(names)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array([names] * b.num_rows, pa.list_(pa.string())), lists], names=[*keys, "names", "features"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def feature_names(size: int, suffix: str, sizes: list[int], windows: list[int], bands: tuple = ("R", "G", "B", "NIR"), optical: tuple = ("R", "G", "B", "NIR"), methods: tuple = ("opening", "closing")) -> list[str]:
+    """The names of `patch_features`, in order."""
+    one = _numbers({b: np.zeros((1, size, size)) for b in bands}, suffix, sizes, windows, optical, methods)
+    return sorted(one)
+
+
+def assemble_features(long: DataFrame, size: int, suffix: str, sizes: list[int], windows: list[int], optical: tuple = ("R", "G", "B", "NIR"), methods: tuple = ("opening", "closing"), bands: tuple = ("R", "G", "B", "NIR")) -> DataFrame:
+    """patch_id, names, features from the long form: its cells meet once, as arrays (cells 0..size-1; missing ones are null)."""
+    place = (F.col("i") * size + F.col("j")).cast("int")
+    cells = long.groupBy("patch_id").agg(*[F.map_from_entries(F.collect_list(F.when((F.col("band") == b) & F.col("v").isNotNull(), F.struct(place.alias("p"), F.col("v"))))).alias(b) for b in bands])
+    every = F.sequence(F.lit(0), F.lit(size * size - 1))
+
+    def as_array(band: str) -> Column:
+        return F.transform(every, lambda p: F.try_element_at(F.col(band), p)).alias(band)
+
+    wide = cells.select("patch_id", *map(as_array, bands))
+    return patch_features(wide, size, suffix, sizes, windows, bands, optical, methods)
 
 
 def pick(table: dict, name: str):

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from ..functions import scalars as S
 from ..sources.io import mosaic
 from .composite import composite
+from .features import feature_names, patch_features
 from .grid import check_extent, clip_raster
 from .patches import assemble_patches, fill_nan_nearest, rescale_band
 
@@ -244,8 +245,20 @@ def predict_ml(features: DataFrame, prepared: Preprocessors, model, log: bool =
     return out.withColumn("height", F.exp("prediction") if log else F.col("prediction"))
 
 
-def _feature_rows(px: DataFrame, centers: DataFrame, size: int, bands: list[str], extent: tuple | None) -> DataFrame:
-    """Clip (all bands must cover the extent), fill holes, rescale, cut, fill windows over the border, quantise."""
+def feature_columns(px: DataFrame, centers: DataFrame, size: int, bands: list[str], sizes: list[int], windows: list[int], suffix: str = "50pt", extent: tuple | None = None) -> DataFrame:
+    """cy, cx and a column for each patch feature of the windows around the centres: clip, fill, rescale, cut, features."""
+    rows = patch_features(_windows(px, centers, size, bands, extent), size, suffix, sizes, windows, tuple(bands), tuple(bands), keys=("cy", "cx"))
+    names = feature_names(size, suffix, sizes, windows, tuple(bands), tuple(bands))
+    return rows.select("cy", "cx", *[F.col("features")[k].alias(n) for k, n in enumerate(names)])
+
+
+def predict_ml_map(px: DataFrame, centers: DataFrame, prepared: Preprocessors, model, size: int, bands: list[str], sizes: list[int], windows: list[int], suffix: str = "50pt", extent: tuple | None = None, log: bool = True) -> DataFrame:
+    """cy, cx, height: pixels to heights in one plan."""
+    return predict_ml(feature_columns(px, centers, size, bands, sizes, windows, suffix, extent), prepared, model, log).select("cy", "cx", "height")
+
+
+def _windows(px: DataFrame, centers: DataFrame, size: int, bands: list[str], extent: tuple | None) -> DataFrame:
+    """cy, cx and an array for each band: clip (all bands must cover the extent), fill holes, rescale, cut, fill windows over the border."""
     px = px.filter(F.col("band").isin(*bands))
     if extent:
         y0, x0, y1, x1 = extent
@@ -256,7 +269,13 @@ def _feature_rows(px: DataFrame, centers: DataFrame, size: int, bands: list[str]
         px, centers = clip_raster(px, extent, size), centers.filter(F.col("cy").between(y0, y1) & F.col("cx").between(x0, x1))
     scaled = rescale_band(fill_nan_nearest(px, keys=("band",)))
     cut = assemble_patches(centers, [(scaled, bands)], size, fill=True)
-    parts = [F.transform(b, lambda v: S.quantise(F.coalesce(v, F.lit(0.0)))) for b in bands]
+    whole = lambda b: F.transform(b, lambda v: F.coalesce(v, F.lit(0.0))).alias(b)
+    return cut.select("cy", "cx", *map(whole, bands))
+
+
+def _feature_rows(px: DataFrame, centers: DataFrame, size: int, bands: list[str], extent: tuple | None) -> DataFrame:
+    cut = _windows(px, centers, size, bands, extent)
+    parts = [F.transform(b, lambda v: S.quantise(v)) for b in bands]
     return cut.select("cy", "cx", F.concat(*parts).alias("features"))
 
 

@@ -190,7 +190,7 @@ def order_bands(df: DataFrame, size: int, bands: tuple = ("VV", "VH", "R", "G",
 
 def augment_flip(df: DataFrame, size: int, seed: int, patch: str = "patch", id_col: str = "patch_id") -> DataFrame:
     """With chance 0.5 each patch is flipped up-down, left-right or both, chosen by a hash of its id."""
-    h = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(6))
+    h = S.seeded_hash(id_col, F.lit(seed)) % 6
     row = lambda i, back: F.reverse(F.slice(patch, i * size + 1, size)) if back else F.slice(patch, i * size + 1, size)
     down, up = F.sequence(F.lit(0), F.lit(size - 1)), F.sequence(F.lit(size - 1), F.lit(0), F.lit(-1))
     flipped = [F.flatten(F.transform(up, lambda i: row(i, False))), F.flatten(F.transform(down, lambda i: row(i, True))), F.flatten(F.transform(up, lambda i: row(i, True)))]
@@ -201,7 +201,7 @@ def augment_noise(df: DataFrame, variance: float, seed: int, patch: str = "patch
     """Adds Gaussian noise: two hashes of id and position give a Box-Muller pair, so the same seed gives the same noise."""
 
     def unit(k: Column, salt: int) -> Column:
-        return (F.pmod(F.xxhash64(id_col, k, F.lit(seed), F.lit(salt)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+        return (S.seeded_hash(id_col, k, F.lit(seed), F.lit(salt)) % 1_000_003 + 0.5) / 1_000_003.0
 
     noise = lambda k: F.sqrt(-2 * F.ln(unit(k, 1))) * F.cos(2 * math.pi * unit(k, 2)) * math.sqrt(variance)
     return df.withColumn(patch, F.transform(patch, lambda v, k: v + noise(k)))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import seeded_hash
 from ..sources.io import dense_position
 
 
@@ -20,7 +21,7 @@ def merge_samples(*parts: DataFrame) -> DataFrame:
 
 def _ranked(df: DataFrame, groups: list[str], id_col: str, seed: int) -> DataFrame:
     """Adds __rank (0-based, by seeded hash) and __n, the size of the group."""
-    keyed = df.withColumn("__h", F.xxhash64(id_col, F.lit(seed)))
+    keyed = df.withColumn("__h", seeded_hash(id_col, F.lit(seed)))
     sizes = df.groupBy(*groups).agg(F.count("*").alias("__n"))
     return dense_position(keyed, groups, ["__h", id_col]).withColumnRenamed("position", "__rank").drop("__h").join(sizes, groups)
 
@@ -31,7 +32,7 @@ def split_samples(df: DataFrame, r: float = 0.2, g: float = 0.1, exclude: tuple
     if g == 0 and not exclude:
         return _ranked(df, [group], id_col, seed).withColumn("part", F.when(F.col("__rank") < F.ceil(F.col("__n") * (1 - r)), "train").otherwise("valid")).select(*df.columns, "part")
     names = df.filter(~out).select(group).distinct()
-    picked = dense_position(names.withColumn("__h", F.xxhash64(group, F.lit(seed))).withColumn("__all", F.lit(0)), ["__all"], ["__h", group])
+    picked = dense_position(names.withColumn("__h", seeded_hash(group, F.lit(seed))).withColumn("__all", F.lit(0)), ["__all"], ["__h", group])
     total = names.count()
     kept = picked.filter(F.col("position") < F.ceil(F.lit((1 - g) * total))).select(group)
     ranked = _ranked(df.filter(~out).join(kept, group, "left_semi"), [group], id_col, seed)
@@ -89,5 +90,5 @@ def dataset_catalog(df: DataFrame, targets: list[str], features: list[str], grou
 def batches(df: DataFrame, size: int, seed: int = 0, id_col: str = "sample_id") -> DataFrame:
     """Adds batch: rows in seeded hash order, size to a batch; an incomplete last batch goes."""
     n = df.count()
-    keyed = df.withColumn("__h", F.xxhash64(id_col, F.lit(seed))).withColumn("__all", F.lit(0))
+    keyed = df.withColumn("__h", seeded_hash(id_col, F.lit(seed))).withColumn("__all", F.lit(0))
     return dense_position(keyed, ["__all"], ["__h", id_col]).withColumn("batch", F.floor(F.col("position") / size)).filter(F.col("batch") < n // size).select(*df.columns, "batch")

@@ -115,22 +115,29 @@ def p11_quantise(spark, d):
     return _long(spark, d).select("patch_id", "i", "j", F.round(S.quantise("v"), 6).alias("v"))
 
 
-@query(f"WITH {LONG} SELECT patch_id, ROUND(MAX(CASE WHEN i = 7 AND j = 0 THEN v END), 6) AS first, ROUND(MAX(CASE WHEN i = 0 AND j = 7 THEN v END), 6) AS last, CAST(128 AS BIGINT) AS n FROM ln GROUP BY 1")
+@query(f"WITH {LONG} SELECT patch_id, CAST(b * 64 + (7 - i) * 8 + j AS BIGINT) AS p, ROUND(CASE b WHEN 0 THEN v ELSE 1 - v END, 6) AS v FROM ln, (VALUES (0), (1)) t(b)")
 def p12_order_bands(spark, d):
-    px = _patches(spark, d).select("patch_id", F.col("patch").alias("VV"), F.col("patch").alias("VH"))
-    out = P.order_bands(px, 8, ("VV", "VH"), flip=True)
-    return out.select("patch_id", F.round(F.col("features")[0], 6).alias("first"), F.round(F.col("features")[127], 6).alias("last"), F.size("features").cast("long").alias("n"))
+    px = _patches(spark, d).select("patch_id", F.transform("patch", lambda v: 1 - v).alias("VH"), F.col("patch").alias("VV"))
+    return P.order_bands(px, 8, ("VV", "VH"), flip=True).select("patch_id", F.posexplode("features").alias("p", "v")).select("patch_id", F.col("p").cast("long").alias("p"), _r("v"))
 
 
-@query(f"WITH {LONG} SELECT patch_id, ROUND(SUM(v), 6) AS total FROM ln GROUP BY 1")
+def _hash(*parts) -> str:
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 15) AS BIGINT)"
+
+
+@query(f"""WITH {LONG}, h AS (SELECT patch_id, CASE WHEN {_hash('patch_id', "'3'")} % 6 < 3 THEN {_hash('patch_id', "'3'")} % 6 + 1 ELSE 0 END AS f FROM (SELECT DISTINCT patch_id FROM ln))
+SELECT ln.patch_id, CASE WHEN f IN (1, 3) THEN 7 - i ELSE i END AS i, CASE WHEN f IN (2, 3) THEN 7 - j ELSE j END AS j, ROUND(v, 6) AS v FROM ln JOIN h ON ln.patch_id = h.patch_id""")
 def p16_augment_flip(spark, d):
-    """A flip moves values and changes none: the sum of a patch stays."""
-    return P.to_long(P.augment_flip(_patches(spark, d), 8, 3), 8).groupBy("patch_id").agg(F.round(F.sum("v"), 6).alias("total"))
+    return P.to_long(P.augment_flip(_patches(spark, d), 8, 3), 8).select("patch_id", "i", "j", _r("v"))
 
 
-@query()
+def _unit(salt: int) -> str:
+    return f"(({_hash('patch_id', 'i * 8 + j', chr(39) + '3' + chr(39), chr(39) + str(salt) + chr(39))} % 1000003 + 0.5) / CAST(1000003 AS DOUBLE))"
+
+
+@query(f"WITH {LONG} SELECT patch_id, i, j, ROUND(v + sqrt(-2 * ln({_unit(1)})) * cos(2 * pi() * {_unit(2)}) * sqrt(CAST(0.01 AS DOUBLE)), 6) + 0.0 AS v FROM ln")
 def p17_augment_noise(spark, d):
-    return P.augment_noise(_patches(spark, d), 0.01, 3)
+    return P.to_long(P.augment_noise(_patches(spark, d), 0.01, 3), 8).select("patch_id", "i", "j", _r("v"))
 
 
 @query(f"""WITH {duck('f2')}, g AS (SELECT y AS cy, x AS cx, height, footprint, y % 3 AS city FROM f2 WHERE height > 10 AND height < 600 AND NOT (footprint >= 0 AND footprint < 0.2) AND NOT (footprint < 0.8 AND height > 20)),
@@ -170,19 +177,46 @@ def x03_closing(spark, d):
     return X.closing(_long(spark, d), 3).select("patch_id", "i", "j", _r("v"))
 
 
-@query()
+def _rec_sql(sign: str) -> str:
+    """Values spread from the marker to neighbours as far as the image lets them (sign: the image turned over)."""
+    return f"""WITH RECURSIVE {LONG}, im AS (SELECT patch_id, i, j, {sign}v AS v FROM ln), er AS (SELECT a.patch_id, a.i, a.j, MIN(b.v) AS v FROM im a JOIN im b {_NB} GROUP BY 1, 2, 3),
+rc(patch_id, i, j, v) AS (SELECT * FROM er UNION SELECT b.patch_id, b.i, b.j, least(a.v, b.v) FROM rc a JOIN im b {_NB} JOIN er m ON m.patch_id = b.patch_id AND m.i = b.i AND m.j = b.j WHERE least(a.v, b.v) > m.v)
+SELECT patch_id, i, j, ROUND({sign}MAX(v), 6) + 0.0 AS v FROM rc GROUP BY 1, 2, 3"""
+
+
+@query(_rec_sql(""))
 def x04_opening_rec(spark, d):
-    return X.opening_rec(_long(spark, d), 3)
+    return X.opening_rec(_long(spark, d), 3).select("patch_id", "i", "j", _r("v"))
 
 
-@query()
+@query(_rec_sql("-"))
 def x05_closing_rec(spark, d):
-    return X.closing_rec(_long(spark, d), 3)
+    return X.closing_rec(_long(spark, d), 3).select("patch_id", "i", "j", _r("v"))
+
+
+SIZES = [1, 3, 5, 7, 9, 11, 13]
 
 
-@query(f"WITH {LONG}, {_morph_sql('MIN', 'MAX')} SELECT ln.patch_id, CAST(3 AS INTEGER) AS size, ROUND(AVG(abs(ln.v - op.v)), 6) AS dmp FROM ln JOIN op ON ln.patch_id = op.patch_id AND ln.i = op.i AND ln.j = op.j GROUP BY 1")
+def _filter_sql(name: str, src: str, fn: str, r: int) -> str:
+    """A square minimum or maximum, one direction after the other."""
+    step = lambda out, src, c, o: f"{out} AS MATERIALIZED (SELECT a.patch_id, a.i, a.j, {fn}(b.v) AS v FROM {src} a, (SELECT unnest(range(-{r}, {r + 1})) AS d) o JOIN {src} b ON b.patch_id = a.patch_id AND b.{c} = a.{c} + d AND b.{o} = a.{o} GROUP BY 1, 2, 3)"
+    return step(f"{name}r", src, "i", "j") + ", " + step(name, f"{name}r", "j", "i")
+
+
+def _profiles_sql() -> str:
+    """op: method, size, patch_id, i, j, v at all sizes."""
+    parts, every = [], []
+    for m, first, second in (("opening", "MIN", "MAX"), ("closing", "MAX", "MIN")):
+        every.append(f"SELECT '{m}' AS m, 1 AS k, patch_id, i, j, v FROM ln")
+        for k in SIZES[1:]:
+            parts += [_filter_sql(f"{m}{k}a", "ln", first, k // 2), _filter_sql(f"{m}{k}", f"{m}{k}a", second, k // 2)]
+            every.append(f"SELECT '{m}', {k}, patch_id, i, j, v FROM {m}{k}")
+    return ", ".join(parts) + ", op AS (" + " UNION ALL ".join(every) + ")"
+
+
+@query(f"WITH {LONG}, {_profiles_sql()} SELECT a.patch_id, CAST(b.k AS INTEGER) AS size, ROUND(AVG(abs(a.v - b.v)), 6) AS dmp FROM op a JOIN op b ON a.m = 'opening' AND b.m = 'opening' AND b.k = CASE a.k WHEN 1 THEN 3 ELSE a.k + 2 END AND a.patch_id = b.patch_id AND a.i = b.i AND a.j = b.j GROUP BY 1, 2")
 def x06_dmp_mean(spark, d):
-    return X.dmp_mean(_long(spark, d), [1, 3]).select("patch_id", "size", _r("dmp"))
+    return X.dmp_mean(_long(spark, d), SIZES).select("patch_id", "size", _r("dmp"))
 
 
 _GLCM = f"""{LONG}, gl AS (SELECT patch_id, i, j, CAST(floor(round(v * 255) / 32) AS INTEGER) AS g FROM ln WHERE i BETWEEN 1 AND 5 AND j BETWEEN 1 AND 5),
@@ -231,22 +265,59 @@ def x16_spectral_features(spark, d):
     return X.spectral_features(_wide(spark, d)).select("patch_id", _r("ndi_R_NIR", 6, "ndi_r_nir"), _r("ndi_G_B", 6, "ndi_g_b"), _r("luminance"))
 
 
-def _four(spark, d):
-    w = _wide(spark, d)
-    return w.select("patch_id", "i", "j", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in ("R", "G", "B", "NIR")])).alias("s")).select("patch_id", "i", "j", "s.*")
-
-
-@query(f"WITH {LONG} SELECT DISTINCT patch_id, CAST(4 * 7 + 7 + 4 * 2 * 2 + 4 * 2 * 8 AS BIGINT) AS n FROM ln")
+def _arrays(spark, d):
+    """Patches with four bands, each a function of the values."""
+    band = lambda f: F.transform("patch", f)
+    return _patches(spark, d).select("patch_id", F.col("patch").alias("R"), band(lambda v: 1 - v).alias("G"), band(lambda v: v * v).alias("B"), band(lambda v: F.sqrt(v)).alias("NIR"))
+
+
+# the bands from the first: an opening of 1 - v is 1 - the closing of v; v * v and sqrt(v) rise with v
+_BANDS = (("R", "v", 0), ("G", "1 - v", 1), ("B", "v * v", 0), ("NIR", "sqrt(v)", 0))
+_TEXTURE_SQL = dict(_TEX.values())
+
+
+def _features_sql(windows: tuple, chosen: str = "") -> str:
+    names = lambda b, k: f"'50pt@{b}@{k}'"
+    parts = []
+    stats = {"Mean": "AVG(v)", "Std": "stddev_pop(v)", "Max": "MAX(v)", "Min": "MIN(v)", "50pt": "quantile_cont(v, 0.5)", "25pt": "quantile_cont(v, 0.25)", "75pt": "quantile_cont(v, 0.75)"}
+    for b, f, _ in _BANDS:
+        parts += [f"SELECT patch_id, {names(b, k)} AS name, {q} AS x FROM (SELECT patch_id, {f} AS v FROM ln) GROUP BY 1" for k, q in stats.items()]
+    f = {b: f"({f})" for b, f, _ in _BANDS}
+    order = ("R", "G", "B", "NIR")
+    for k, a in enumerate(order):
+        parts += [f"SELECT patch_id, '50pt@spectral@ndi_{a}_{b}', AVG(CASE WHEN {f[a]} + {f[b]} = 0 THEN 0 ELSE ({f[a]} - {f[b]}) / ({f[a]} + {f[b]}) END) FROM ln GROUP BY 1" for b in order[k + 1 :]]
+    parts.append(f"SELECT patch_id, '50pt@spectral@luminance', AVG(0.2126 * {f['R']} + 0.7152 * {f['G']} + 0.0722 * {f['B']}) FROM ln GROUP BY 1")
+    for b, g, turned in _BANDS:
+        for m in ("opening", "closing"):
+            of = {"opening": "closing", "closing": "opening"}[m] if turned else m
+            x, y = g.replace("v", "a.v"), g.replace("v", "b.v")
+            parts.append(f"SELECT a.patch_id, '50pt@{b}@{m}@' || b.k || '@dmp', AVG(abs(({x}) - ({y}))) FROM op a JOIN op b ON a.m = '{of}' AND b.m = '{of}' AND b.k = CASE a.k WHEN 1 THEN 3 ELSE a.k + 2 END AND a.patch_id = b.patch_id AND a.i = b.i AND a.j = b.j GROUP BY a.patch_id, b.k")
+    shape = []
+    for b, g, _ in _BANDS:
+        for w in windows:
+            lo, hi = max(0, 3 - (w - 1) // 2), min(7, 3 + w // 2)
+            t = f"{b}{w}"
+            shape.append(f"""gl{t} AS (SELECT patch_id, i, j, CAST(floor(round(({g}) * 255) / 32) AS INTEGER) AS g FROM ln WHERE i BETWEEN {lo} AND {hi} AND j BETWEEN {lo} AND {hi}),
+pr{t} AS (SELECT a.patch_id, a.g AS a, b.g AS b FROM gl{t} a, (VALUES (0, 1), (1, 1), (1, 0), (1, -1)) o(di, dj) JOIN gl{t} b ON a.patch_id = b.patch_id AND b.i = a.i + di AND b.j = a.j + dj),
+gm{t} AS MATERIALIZED (SELECT patch_id, a, b, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY patch_id) AS p FROM pr{t} GROUP BY 1, 2, 3)""")
+            parts += [f"SELECT patch_id, '50pt@{b}@w{w}@{s}', {q} FROM gm{t} GROUP BY 1" for s, q in _TEXTURE_SQL.items()]
+    return f"WITH {LONG}, {_profiles_sql()}, {', '.join(shape)} SELECT patch_id, name, ROUND(x, 7) + 0.0 AS x FROM ({' UNION ALL '.join(parts)}) {chosen}"
+
+
+@query(_features_sql((3, 5, 7)))
 def x17_assemble_features(spark, d):
-    out = X.assemble_features(_four(spark, d), 8, "50pt", [1, 3, 5], [3, 5])
-    return out.select("patch_id", F.size("features").cast("long").alias("n"))
+    """Every feature of every patch, by name."""
+    out = X.patch_features(_arrays(spark, d), 8, "50pt", SIZES, [3, 5, 7])
+    return out.select("patch_id", F.explode(F.arrays_zip("names", "features")).alias("f")).select("patch_id", F.col("f.names").alias("name"), _r("f.features", 7, "x"))
 
 
-@query(f"WITH {LONG} SELECT patch_id, ROUND(AVG(v), 6) AS r_mean FROM ln GROUP BY 1")
+@query(_features_sql((3,), "WHERE name LIKE '%@R@%' AND name NOT LIKE '%closing%' AND name NOT LIKE '%@1_@dmp'"))
 def x18_feature_dataset(spark, d):
-    out = X.assemble_features(_four(spark, d), 8, "50pt", [1, 3], [3])
-    at = F.array_position("names", "50pt@R@Mean").cast("int")
-    return out.select("patch_id", F.round(F.element_at("features", at), 6).alias("r_mean"))
+    """The feature table of patches in long form."""
+    long = _arrays(spark, d).select("patch_id", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("patch")) for b in ("R", "G", "B", "NIR")])).alias("s")).select("patch_id", "s.*")
+    out = X.assemble_features(P.to_long(long, 8, keys=("patch_id", "band")), 8, "50pt", [1, 3, 5, 7, 9], [3], methods=("opening",))
+    rows = out.select("patch_id", F.explode(F.arrays_zip("names", "features")).alias("f")).select("patch_id", F.col("f.names").alias("name"), _r("f.features", 7, "x"))
+    return rows.filter("name like '%@R@%'")
 
 
 @query(f"WITH {LONG} SELECT patch_id, ROUND(AVG(least(1.0, pow(10.0, (v * 30 - 30) / 10))), 6) AS \"VV\", ROUND(AVG(least(1.0, pow(10.0, (v * 20 - 20) / 10))), 6) AS \"VH\" FROM ln GROUP BY 1")
@@ -348,6 +419,18 @@ def m11_grid_search(spark, d):
     return M.grid_search_vvh(_vvh(spark, d), [2.0, 5.0, 8.0])
 
 
+@query()
+def m11_grid_search_ml(spark, d):
+    """Cross-validated R2 of a linear model for each penalty, over contiguous folds."""
+    from pyspark.ml.regression import LinearRegression
+
+    _, df = _training(spark, d)
+    model = LinearRegression(featuresCol="features", labelCol="label")
+    grid = [{model.regParam: p} for p in (0.0, 0.1, 10.0)]
+    scores = M.grid_search(df, model, grid, 3).avgMetrics
+    return spark.createDataFrame([(float(g[model.regParam]), float(r)) for g, r in zip(grid, scores)], "penalty double, r2 double")
+
+
 @query(f"WITH {duck('f5')}, s AS (SELECT split_part(grp, '@', 1) AS p, split_part(grp, '@', 2) AS fold, AVG(y_pred) AS r2 FROM f5 GROUP BY 1, 2), o AS (SELECT p, AVG(r2) AS mean, stddev_pop(r2) AS std FROM s GROUP BY 1) SELECT p, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std, CAST(rank() OVER (ORDER BY ROUND(mean, 12) DESC) AS INTEGER) AS rank FROM o")
 def m12_cv_report(spark, d):
     scores = _f5(spark, d).groupBy(S.regex_key("grp", "^([^@]*)").alias("p"), S.regex_key("grp", r"@(\d+)$").alias("fold")).agg(F.avg("y_pred").alias("r2"))
@@ -380,8 +463,13 @@ def m15_predict_vvh(spark, d):
 
 @query()
 def m16_predict_ml(spark, d):
-    prepared, df = _training(spark, d)
-    return M.predict_ml(_f5(spark, d), prepared, M.fit_rf(df, 5, 4)).select("sample_id", "height")
+    """From pixels to heights: windows, features, preparation, forest."""
+    px, centers, options = _two_bands(spark, d), _centers(spark, d), {"size": 3, "bands": ["R", "NIR"], "sizes": [1, 3], "windows": [3]}
+    table = M.feature_columns(px, centers, **options)
+    labels = fixture(spark, d, "f2").select(F.col("y").alias("cy"), F.col("x").alias("cx"), S.log_target(F.col("height") + 1).alias("label"))
+    prepared = M.fit_preprocessors(table, [c for c in table.columns if c not in ("cy", "cx")], 4)
+    model = M.fit_rf(prepared.transform(table).join(labels, ["cy", "cx"]), 5, 4)
+    return M.predict_ml_map(px, centers, prepared, model, **options)
 
 
 def _two_bands(spark, d):

@@ -34,18 +34,25 @@ def d01_merge_samples(spark, d):
     return D.merge_samples(f5.filter("grp like '%@0'"), f5.filter("grp like '%@1'"))
 
 
-def _split_counts(df):
-    return df.groupBy("grp", "part").agg(F.count("*").alias("n"))
+def _hash(what: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5({what} || ':{seed}'), 1, 15) AS BIGINT)"
 
 
-@query()
+def _ranked(seed: int, where: str = "TRUE", src: str = "f5") -> str:
+    """Place of each sample in the seeded order of its group, and the group's size."""
+    return f"SELECT sample_id, grp, row_number() OVER (PARTITION BY grp ORDER BY {_hash('sample_id', seed)}, sample_id) - 1 AS p, COUNT(*) OVER (PARTITION BY grp) AS n FROM {src} WHERE {where}"
+
+
+@query(f"""WITH {duck('f5')}, g AS (SELECT grp, row_number() OVER (ORDER BY {_hash('grp', 7)}, grp) - 1 AS p, COUNT(*) OVER () AS n FROM (SELECT DISTINCT grp FROM f5 WHERE grp <> 'Brand#11@0')),
+k AS (SELECT grp FROM g WHERE p < ceil((1 - CAST(0.1 AS DOUBLE)) * n)), r AS ({_ranked(7, 'grp IN (FROM k)')})
+SELECT sample_id, grp, CASE WHEN p < ceil(n * (1 - CAST(0.2 AS DOUBLE))) THEN 'train' ELSE 'valid' END AS part FROM r UNION ALL SELECT sample_id, grp, 'valid' FROM f5 WHERE grp NOT IN (FROM k)""")
 def d02_split_samples(spark, d):
     return D.split_samples(_f5(spark, d).select("sample_id", "grp"), 0.2, 0.1, ("Brand#11@0",), 7)
 
 
-@query(f"WITH {duck('f5')} SELECT grp, CAST(floor(COUNT(*) * 0.05) AS BIGINT) AS n FROM f5 GROUP BY 1 HAVING floor(COUNT(*) * 0.05) > 0")
+@query(f"WITH {duck('f5')}, r AS ({_ranked(3)}) SELECT sample_id, grp FROM r WHERE p < floor(n * CAST(0.05 AS DOUBLE))")
 def d03_sample_groups(spark, d):
-    return D.sample_groups(_f5(spark, d).select("sample_id", "grp"), 0.05, 3).groupBy("grp").agg(F.count("*").alias("n"))
+    return D.sample_groups(_f5(spark, d).select("sample_id", "grp"), 0.05, 3)
 
 
 @query(f"WITH {duck('f5')} SELECT sample_id, grp FROM f5 WHERE grp IN ('Brand#12@1', 'Brand#33@2')")
@@ -74,9 +81,10 @@ def d08_mad(spark, d):
     return D.mad(_f5(spark, d), "y_true").select(_r("mad"))
 
 
-@query(f"WITH {duck('f5')}, n AS (SELECT grp, COUNT(*) AS n, CAST(ceil(COUNT(*) * 0.8) AS BIGINT) AS t FROM f5 GROUP BY 1), v AS (SELECT *, CAST(ceil((n - t) * 0.5) AS BIGINT) AS v FROM n) SELECT grp, 'train' AS part, t AS n FROM v UNION ALL SELECT grp, 'valid', v FROM v UNION ALL SELECT grp, 'test', n - t - v FROM v WHERE n - t - v > 0")
+@query(f"""WITH {duck('f5')}, a AS ({_ranked(5)}), rest AS (SELECT sample_id, grp FROM a WHERE p >= ceil(n * (1 - CAST(0.2 AS DOUBLE)))), b AS ({_ranked(6, src='rest')})
+SELECT sample_id, grp, 'train' AS part FROM a WHERE p < ceil(n * (1 - CAST(0.2 AS DOUBLE))) UNION ALL SELECT sample_id, grp, CASE WHEN p < ceil(n * CAST(0.5 AS DOUBLE)) THEN 'valid' ELSE 'test' END FROM b""")
 def d09_three_way_split(spark, d):
-    return _split_counts(D.three_way_split(_f5(spark, d).select("sample_id", "grp"), 5))
+    return D.three_way_split(_f5(spark, d).select("sample_id", "grp"), 5)
 
 
 @query(f"WITH {duck('f5')}, n AS (SELECT grp, COUNT(*) AS rows FROM f5 GROUP BY 1) SELECT grp, c AS \"column\", r AS role, rows, w AS width FROM n, (VALUES ('y_true', 'target', 1::BIGINT), ('bands', 'feature', 3::BIGINT)) t(c, r, w)")
@@ -85,9 +93,9 @@ def d10_dataset_catalog(spark, d):
     return D.dataset_catalog(f5, ["y_true"], ["bands"])
 
 
-@query(f"WITH {duck('f5')}, n AS (SELECT COUNT(*) AS n FROM f5) SELECT b AS batch, CAST(1000 AS BIGINT) AS n FROM (SELECT unnest(range(n // 1000)) AS b FROM n)")
+@query(f"WITH {duck('f5')}, r AS (SELECT sample_id, (row_number() OVER (ORDER BY {_hash('sample_id', 5)}, sample_id) - 1) // 1000 AS batch, COUNT(*) OVER () AS n FROM f5) SELECT sample_id, batch FROM r WHERE batch < n // 1000")
 def d11_batches(spark, d):
-    return D.batches(_f5(spark, d).select("sample_id"), 1000, 11).groupBy("batch").agg(F.count("*").alias("n"))
+    return D.batches(_f5(spark, d).select("sample_id"), 1000, 5)
 
 
 @query(f"WITH {duck('f5')} SELECT sample_id, ROUND(ln(y_true), 6) AS t, ROUND(y_true, 6) AS back FROM f5")
