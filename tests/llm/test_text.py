@@ -371,6 +371,29 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_recall_at_the_registered_parameters(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(500, 48))
+    vectors = np.concatenate([base, *(base + rng.normal(size=base.shape) * s for s in (0.3, 0.4, 0.46, 0.5))])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, [float(x) for x in v], "a", 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, key string, w int")  # clashing names
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    assert links.sum() > 1000 and all(got[i] <= links[i] for i in got)  # nothing below the limit
+    assert sum(got.values()) >= 0.98 * links.sum()
+
+
+def test_marks_bound_the_products():
+    rng = np.random.default_rng(14)
+    for d in (1, 2, 7, 64):
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 200, d)))
+        y = np.where(rng.random((200, 1)) < 0.5, x, y) + 0.1 * y
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        q = embeddings.rotation(d, 0)
+        maybe, exact = embeddings.maybe_linked(embeddings.marks(x @ q), embeddings.marks(y @ q), 0.9, 4.0), x @ y.T
+        assert maybe[exact >= 0.9].mean() > 0.99 and (d < 64 or maybe[exact < 0.3].mean() < 0.01)
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(4)
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 300, 64)))
