@@ -198,7 +198,7 @@ def test_redaction_carries_columns_of_any_name(spark):
 # ---------------------------------------------------------------- language model
 def test_scores(spark):
     rows = [(i, " ".join(words(i % 17, 60, 80))) for i in range(60)] + [(100, None), (101, ""), (5, "unseen Words\there"), (5, "unseen Words\there"), (None, "w1 w2")]
-    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in ngram.score(frame(spark, rows), block_tokens=500, hot_share=64).collect())
+    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in ngram.score(frame(spark, rows), block_tokens=500, shard_entries=40, hot_share=64).collect())
     tokens = [(d, [*(t or "").encode().lower().split(), None]) for d, t in rows]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     count = Counter(w for d, ws in tokens if not held(d) for w in ws)
@@ -215,7 +215,7 @@ def test_scores(spark):
             one = (max(count[w] - 0.75, 0) + 0.75 * v / (v + 1)) / n
             s += math.log10((max(pairs[u, w] - 0.75, 0) / count[u] if count[u] else 0) + (0.75 * after[u] / count[u] if count[u] else 1) * one)
         scores.setdefault(d, []).append((s, len(ws)))
-    for r in ngram.score(frame(spark, rows), block_tokens=500, hot_share=64).collect():
+    for r in ngram.score(frame(spark, rows), block_tokens=500, shard_entries=40, hot_share=64).collect():
         assert min(abs(r.score - s) / k for s, k in scores[r.doc_id]) < 0.05
     assert ngram.score(frame(spark, [(1, "a")]).limit(0)).collect() == []
 
@@ -425,6 +425,28 @@ def test_quality_learns_and_handles_odd_rows(spark):
     assert quality.score(docs.limit(0), model).collect() == []
 
 
+def test_scores_equal_table_lookups_row_by_row(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert len(model.pairs) == 8
+    for r in quality.score(docs, model).collect():
+        x = quality.features(text[r.doc_id])
+        place = lambda edges, v: sum(1 for e in edges if e <= v)
+        total = model.base + sum(t[place(e, v)] for e, t, v in zip(model.edges, model.tables, x))
+        total += sum(t[place(ea, x[a]), place(eb, x[b])] for (a, b), (ea, eb), t in zip(model.pairs, model.pair_edges, model.pair_tables))
+        want = 1 / (1 + math.exp(-total))
+        assert r.score == pytest.approx(want, abs=1e-12) and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_training_does_not_hang_on_order_or_repeats(spark):
+    rows = [(i % 40, f"word{i % 7} other{i % 3} " * (1 + i % 5)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one, two = (quality.train(frame(spark, r).repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 5)))
+    x = np.stack([quality.features(t) for _, t in rows])
+    assert (one.scores(x) == two.scores(x)).all()
+
+
 def test_pair_terms_catch_what_single_features_cannot():
     rng = np.random.default_rng(7)
     x = rng.uniform(-1, 1, (4000, 3))

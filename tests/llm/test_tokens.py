@@ -171,6 +171,10 @@ def test_width():
     assert [idfiles.width(n) for n in (1, 2, 3, 50_257, 65_536, 65_537)] == [1, 1, 2, 16, 16, 17]
 
 
+def test_vocabulary_size_is_the_files():
+    assert bpe.vocabulary_size(BYTE) == tokenizers.Tokenizer.from_file(BYTE).get_vocab_size() == 50_257
+
+
 def test_id_files(spark, tmp_path):
     folder = f"file://{tmp_path}/ids"
     idfiles.write_ids(rows_of(spark), BYTE, folder, file_ids=2000, block_ids=100)

@@ -385,6 +385,13 @@ class _WordCache(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the greatest id of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+
+
 _ENCODERS: dict[tuple, BpeEncoder] = {}
 _LOCK = threading.Lock()
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path, stored
+
 ARROW_ROWS = 512  # rows in an Arrow batch: bounds a worker's memory when texts are long
 ARROW_BYTES = 16 << 20
 
@@ -26,43 +25,31 @@ def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; one is set only where none is (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if (now := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="urbangrid-"))
-        now = spark.sparkContext.getCheckpointDir()
-    return now.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read again: cuts the lineage and fixes what later steps see."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_bounds(docs: DataFrame, ranges: int, id_col: str = "doc_id") -> np.ndarray:
-    """Ascending ids that occur and cut the table into about `ranges` even ranges; the last is the greatest id.  Reads the id column only.
+def id_bounds(docs: DataFrame, least: int, id_col: str = "doc_id", rows: int = 20_000, most: int = 20_000) -> np.ndarray:
+    """Ascending ids that occur and cut the table into even ranges; the last is the greatest id.  Reads the id column only.
 
-    Range r holds the ids above bound r-1 up to bound r (`np.searchsorted`).  Known before the rows are dealt, so nothing is read or
-    computed twice to sample them.
+    There are about `least` ranges, or one for each `rows` rows where that is more (up to `most`, which bounds what is sent to the tasks), so a range
+    stays small as the table grows.  Range r holds the ids above bound r-1 up to bound r (`np.searchsorted`).  Known before the rows are dealt, so
+    nothing is read or computed twice to sample them.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null")
-    top = ids.agg(F.max("id")).first()[0]
+    top, n = ids.agg(F.max("id"), F.count("*")).first()
     if top is None:
         return np.empty(0, np.int64)
+    ranges = max(least, min(n // rows, most))
     return np.unique(np.array([*map(int, ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)), top], dtype=np.int64))
 
 

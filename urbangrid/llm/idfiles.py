@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .bpe import encoder
+from .bpe import encoder, vocabulary_size
 from .common import id_bounds, shuffle_partitions, whole_texts
 
 MAGIC = b"UGBP"
@@ -90,9 +90,12 @@ class IdFile:
         return self.read(int(self.starts[i]), int(self.sizes[i]))
 
 
-def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, vocabulary: int = 50_257, block_ids: int = 65_536, file_ids: int = 8_000_000, cache_words: int = 500_000) -> DataFrame:
-    """Encode, append end_id, and write the files under folder (a URI); the manifest, as read back."""
-    bits = width(vocabulary)
+def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, vocabulary: int | None = None, block_ids: int = 65_536, file_ids: int = 8_000_000, cache_words: int = 500_000) -> DataFrame:
+    """Encode, append end_id, and write the files under folder (a URI); the manifest, as read back.
+
+    vocabulary: number of ids; the tokenizer file's where not given.
+    """
+    bits = width(max(vocabulary or vocabulary_size(path), end_id + 1))
     spark = docs.sparkSession
     bounds = id_bounds(docs, 2 * shuffle_partitions(spark))
 
@@ -137,7 +140,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, vocabula
     (
         whole_texts(docs)
         .mapInArrow(encoded, "range int, doc_id long, n int, packed binary")
-        .repartition(shuffle_partitions(spark), "range")
+        .repartition(max(shuffle_partitions(spark), len(bounds) // 2), "range")
         .sortWithinPartitions("range", "doc_id", "packed")
         .mapInArrow(files, MANIFEST)
         .write.mode("overwrite")

@@ -14,8 +14,9 @@ and then searches for the successor between the context's two pointers, relative
 
 Scoring.  A shard answers every block's distinct pairs as codes; answers return to their block, where documents are summed.
 So a pair is sent once for each block and never for each document, the model is never whole in one place, and the driver holds only N, V and
-the list of hot words: those with a share of 1 / `hot_share` or more of all training tokens, which are at most `hot_share`.  A hot
-word's pairs are dealt to 64 shards by their second word, and its number of successors is added up from these.
+the list of hot words: those with more training tokens than a shard's `shard_entries` and a share of 1 / `hot_share` or more of all, which are at most
+`hot_share`.  A hot word's pairs are dealt by their second word to as many shards as its count asks for, and its number of successors is added
+up from these.
 
 Every written table lies in the shared folder; a lost task is run again from there.
 
@@ -42,7 +43,6 @@ from .minhash import _HASHES, _mix
 DISCOUNT = 0.75
 END = np.uint64(0x656E64)  # stands for the end token, which is also the context of a text's first word
 HELD_OUT_OF, HELD_OUT = 7, 2
-FAN = 64  # shards of a hot word
 ROW = "block long, kind int, shard int, data binary"
 
 
@@ -307,35 +307,37 @@ def _pairs_of(flat: np.ndarray, lengths: np.ndarray, end: int, n_words: int):
     return np.unique(before * n_words + flat, return_inverse=True)
 
 
-def _routed(pairs: np.ndarray, vocab: np.ndarray, hot: np.ndarray, bits: int):
+def _routed(pairs: np.ndarray, vocab: np.ndarray, hot: np.ndarray, fan: np.ndarray, bits: int):
     """Order of a block's pairs on the wire: (order, shard bounds, context key and successor mark in that order)."""
     first, second = pairs // len(vocab), pairs % len(vocab)
     mark = (_mix(vocab) >> np.uint64(32)).astype(np.uint32)
+    parts = np.ones(len(vocab), np.uint32)  # shards of each word's pairs
     is_hot = np.isin(vocab, hot)
+    parts[is_hot] = fan[np.searchsorted(hot, vocab[is_hot])]
     key = vocab[first]
     fanned = is_hot[first]
-    key[fanned] = _mix(key[fanned] + (mark[second[fanned]] % FAN).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key[fanned] = _mix(key[fanned] + (mark[second[fanned]] % parts[first[fanned]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.lexsort((mark[second], key))
     key, marks = key[order], mark[second][order]
     cut = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
     return order, [*cut.tolist(), len(key)], key, marks
 
 
-def _pair_routes(bits: int, hot: np.ndarray):
+def _pair_routes(bits: int, hot: np.ndarray, fan: np.ndarray):
     def run(batches):
         for b in batches:
             for block, docs, words in zip(*(c.to_pylist() for c in b.columns)):
                 (_, _, held, lengths, flat), (vocab, _) = _arrays(docs), _arrays(words)
                 pairs, back = _pairs_of(flat.astype(np.int64), lengths, int(np.searchsorted(vocab, END)), len(vocab))
                 trained = np.bincount(back[np.repeat(~held.astype(bool), lengths)], minlength=len(pairs)).astype(np.uint32)
-                order, cut, key, marks = _routed(pairs, vocab, hot, bits)
+                order, cut, key, marks = _routed(pairs, vocab, hot, fan, bits)
                 trained = trained[order]
                 source = vocab[(pairs // len(vocab))[order]]
                 rows = []
                 for s, (i, j) in enumerate(zip(cut, cut[1:])):
                     if j > i:
                         start = np.flatnonzero(np.diff(key[i:j], prepend=key[i] ^ np.uint64(1)))
-                        hot_at = np.where(np.isin(source[i:j][start], hot), np.searchsorted(hot, source[i:j][start]) if len(hot) else 0, -1).astype(np.int16)
+                        hot_at = np.where(np.isin(source[i:j][start], hot), np.searchsorted(hot, source[i:j][start]) if len(hot) else 0, -1).astype(np.int32)
                         rows.append((block, 4, s, _blob(key[i:j][start], hot_at, np.diff(start, append=j - i).astype(np.uint32), marks[i:j], trained[i:j])))
                 for k in range(0, len(rows), 64):
                     yield _rows(rows[k : k + 64])
@@ -387,7 +389,7 @@ def _pair_shards(hot_counts: np.ndarray, discount: float):
 
 
 # ---------------------------------------------------------------------------- scores
-def _block_scores(total: int, types: int, hot: np.ndarray, hot_back: np.ndarray, bits: int, discount: float):
+def _block_scores(total: int, types: int, hot: np.ndarray, fan: np.ndarray, hot_back: np.ndarray, bits: int, discount: float):
     """Blocks (kind 0) with their answers (kinds 1 and 4, in order of shard) to scores of documents."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -399,7 +401,7 @@ def _block_scores(total: int, types: int, hot: np.ndarray, hot_back: np.ndarray,
         base = np.log10((count + 1) / (total + types + 1))
         alone = (np.maximum(count - discount, 0) + discount * types / (types + 1)) / total if total else np.full(len(count), 1.0)
         pairs, back = _pairs_of(flat, lengths, int(np.searchsorted(vocab, END)), len(vocab))
-        order, _, _, _ = _routed(pairs, vocab, hot, bits)
+        order, _, _, _ = _routed(pairs, vocab, hot, fan, bits)
         strong, weak = np.empty(len(pairs)), np.empty(len(pairs))
         at = 0
         for r in rows:
@@ -440,7 +442,7 @@ def _block_scores(total: int, types: int, hot: np.ndarray, hot_back: np.ndarray,
     return run
 
 
-def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2_000_000, hot_share: int = 2048, discount: float = DISCOUNT) -> DataFrame:
+def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2_000_000, hot_share: int = 65_536, discount: float = DISCOUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     block_tokens bounds a block (and a worker's memory), shard_entries the mean number of entries in a shard.
@@ -453,7 +455,7 @@ def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2
     routed = lambda rows: rows.repartition(parts, "shard").sortWithinPartitions("shard", "block")
 
     asked = routed(cut.select("block", "vocab").mapInArrow(_word_routes(bits), ROW))
-    answered = written(asked.mapInArrow(_word_shards(-(-(trained or 0) // hot_share)), ROW), "lm-words")
+    answered = written(asked.mapInArrow(_word_shards(max(shard_entries, -(-(trained or 0) // hot_share))), ROW), "lm-words")
     total = types = 0
     hot, hot_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     for r in answered.filter("kind in (2, 3)").collect():  # two short rows a shard; hot_share words in all
@@ -464,9 +466,10 @@ def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2
             hot, hot_counts = np.concatenate([hot, a[0]]), np.concatenate([hot_counts, a[1]])
     order = np.argsort(hot)
     hot, hot_counts = hot[order], hot_counts[order]
+    fan = (-(-hot_counts // shard_entries)).astype(np.uint32)
 
     pair_bits = max(2 * parts, (tokens or 0) // shard_entries).bit_length()
-    asked = routed(cut.select("block", "docs", "vocab").mapInArrow(_pair_routes(pair_bits, hot), ROW))
+    asked = routed(cut.select("block", "docs", "vocab").mapInArrow(_pair_routes(pair_bits, hot, fan), ROW))
     paired = written(asked.mapInArrow(_pair_shards(hot_counts, discount), ROW), "lm-pairs")
     successors = np.zeros(len(hot), np.int64)
 
@@ -490,4 +493,4 @@ def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2
     own = cut.select("block", "docs", "vocab").mapInArrow(whole, ROW)
     rows = own.unionByName(answered.filter("kind = 1")).unionByName(paired.filter("kind = 4"))
     together = rows.repartition(parts, "block").sortWithinPartitions("block", "kind", "shard")
-    return together.mapInArrow(_block_scores(total, types, hot, hot_back, pair_bits, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return together.mapInArrow(_block_scores(total, types, hot, fan, hot_back, pair_bits, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -191,14 +191,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label_c
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(sample_rows)
     )
-    joined = whole_texts(docs).join(F.broadcast(chosen), "doc_id").select("y", "text")  # sample_rows short rows at most are sent
+    joined = whole_texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # sample_rows short rows at most are sent
 
     def vectors(batches):
         for b in batches:
-            x = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            x = [features(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = joined.mapInArrow(vectors, "y double, x array<double>").limit(2 * sample_rows).toArrow()
+    # of texts that share an id and a label the one with the least vector, so no more rows than were chosen, whatever the table's order
+    rows = joined.mapInArrow(vectors, "doc_id long, y double, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()
     y = rows.column(0).to_numpy()
     x = np.array(rows.column(1).to_pylist()).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T[::-1], y))  # the same model whatever order the rows came in

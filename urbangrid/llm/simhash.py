@@ -126,7 +126,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             yield rows()
 
     placed = whole_texts(docs).mapInArrow(ranges, "range int, guest boolean, doc_id long, packed binary")
-    ordered = placed.repartition(shuffle_partitions(spark), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), F.length("packed"), "packed")
+    ordered = placed.repartition(max(shuffle_partitions(spark), len(bounds) // 4), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), F.length("packed"), "packed")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, fingerprint string, next_fingerprint string, edited_sha256 string, edited_fingerprint string")
 
 
