@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from urbangrid.llm import embeddings, minhash, ngram, quality, queries, secrets, simhash
@@ -206,18 +207,43 @@ def test_scores(spark):
     want = Counter((d, held(d), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in tokens)
     assert got == want
     # the score against the same smoothing without quantising
-    pairs = Counter(p for d, ws in tokens if not held(d) for p in zip([None, *ws[:-1]], ws))
-    after = Counter(u for u, _ in pairs)
+    close(rows, 0.02, block_tokens=500, shard_entries=40, hot_share=64)
+    assert ngram.score(frame(spark, [(1, "a")]).limit(0)).collect() == []
+
+
+def close(rows, limit, **settings):
+    """Scores against the model of order 3 without quantising, a token."""
+    spark = SparkSession.getActiveSession()
+    tokens = [(d, [*(t or "").encode().lower().split(), None]) for d, t in rows]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    grams = lambda ws: zip([None, None, *ws[:-2]][: len(ws)], [None, *ws[:-1]], ws)
+    train = [ws for d, ws in tokens if not held(d)]
+    count = Counter(w for ws in train for w in ws)
+    pairs, triples = Counter(g[1:] for ws in train for g in grams(ws)), Counter(g for ws in train for g in grams(ws))
+    after, after_pair = Counter(v for v, _ in pairs), Counter(g[:2] for g in triples)
+    contexts = Counter()
+    for g, c in triples.items():
+        contexts[g[:2]] += c
+    n, v_all = sum(count.values()), len(count)
+    back = lambda c, many, all_, lower: (max(c - 0.75, 0) + 0.75 * many * lower) / all_ if all_ else lower
     scores = {}
     for d, ws in tokens:
         s = 0.0
-        for u, w in zip([None, *ws[:-1]], ws):
-            one = (max(count[w] - 0.75, 0) + 0.75 * v / (v + 1)) / n
-            s += math.log10((max(pairs[u, w] - 0.75, 0) / count[u] if count[u] else 0) + (0.75 * after[u] / count[u] if count[u] else 1) * one)
+        for u, v, w in grams(ws):
+            one = (max(count[w] - 0.75, 0) + 0.75 * v_all / (v_all + 1)) / n
+            s += math.log10(back(triples[u, v, w], after_pair[u, v], contexts[u, v], back(pairs[v, w], after[v], count[v], one)))
         scores.setdefault(d, []).append((s, len(ws)))
-    for r in ngram.score(frame(spark, rows), block_tokens=500, shard_entries=40, hot_share=64).collect():
-        assert min(abs(r.score - s) / k for s, k in scores[r.doc_id]) < 0.05
-    assert ngram.score(frame(spark, [(1, "a")]).limit(0)).collect() == []
+    got = ngram.score(frame(spark, rows), **settings).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert min(abs(r.score - s) / k for s, k in scores[r.doc_id]) < limit
+
+
+@pytest.mark.parametrize("entries", [30, 2_000_000])
+def test_hot_words_and_pairs(spark, entries):
+    """One word and one pair hold most tokens: dealt over shards or not, scores are those of the model."""
+    rows = [(i, " ".join(["the of the of", *words(i, 12, 30), "the the the", *words(i + 1, 9, 30)])) for i in range(80)] + [(90, "the " * 300), (91, "A " * 5000), (92, "w" * 100_000), (93, "\x0b \t")]
+    close(rows, 0.02, block_tokens=700, shard_entries=entries, hot_share=64)
 
 
 def test_without_training_rows(spark):

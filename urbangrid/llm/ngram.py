@@ -1,22 +1,24 @@
-"""Language-model scores from an Elias-Fano n-gram trie of word pairs, sharded over the cluster.
+"""Language-model scores from an Elias-Fano n-gram trie of order 3, sharded over the cluster.
 
 Counting.  Texts become blocks: a block holds some documents' words as local numbers, its vocabulary as 64-bit hashes, and how often each word occurs
-in its training documents.  Distinct words (then distinct word pairs) of a block, with their counts, go to shards by the hash of the word (of the
-pair's first word); a shard sums what all blocks sent.
+in its training documents.  Distinct words (then distinct word triples) of a block, with their counts, go to shards by the hash of the word (of the
+triple's middle word v); a shard sums what all blocks sent.  The pairs (v, w) are summed from the triples (u, v, w) in the shard of v, so they are not sent.
 
-Trie.  A shard's levels are byte strings in one memory map, opened without copying: contexts (sorted hashes, Elias-Fano), pointers to each
-context's successors (monotone, Elias-Fano), successors (32-bit marks, made monotone by the rank of their context and then Elias-Fano), the
-quantised logarithm of each successor's discounted probability, and that of each context's back-off weight.  A query finds its context
-and then searches for the successor between the context's two pointers, relative to its rank.
+Trie.  A shard reads contexts backwards: last words v (sorted hashes), under each the words u before it (and an empty one, for v alone), under each of these
+contexts its successors w.  Its levels are byte strings in one memory map, opened without copying: hashes, pointers (monotone) and the marks of u and w
+(32 bits, made monotone by the rank of their parent) in Elias-Fano form, the quantised logarithm of each successor's discounted probability and
+that of each context's back-off weight.  A query finds v, then u between the two pointers of v, then w between those of (u, v), relative to their ranks.
 
-    p(w | u) = max(c(u, w) - D, 0) / c(u) + b(u) * p(w),   b(u) = D * successors(u) / c(u)
+    p(w | u v) = max(c(u, v, w) - D, 0) / c(u, v) + b(u, v) * p(w | v),   b(u, v) = D * successors(u, v) / c(u, v)
+    p(w | v) = max(c(v, w) - D, 0) / c(v) + b(v) * p(w),   b(v) = D * successors(v) / c(v)
     p(w) = max(c(w) - D, 0) / N + D * V / N / (V + 1)      (an unknown word is one more word)
 
-Scoring.  A shard answers every block's distinct pairs as codes; answers return to their block, where documents are summed.
-So a pair is sent once for each block and never for each document, the model is never whole in one place, and the driver holds only N, V and
-the list of hot words: those with more training tokens than a shard's `shard_entries` and a share of 1 / `hot_share` or more of all, which are at most
-`hot_share`.  A hot word's pairs are dealt by their second word to as many shards as its count asks for, and its number of successors is added
-up from these.
+Scoring.  A shard answers every block's distinct triples as codes; answers return to their block, where documents are summed.
+So a triple is sent once for each block and never for each document, the model is never whole in one place, and the driver holds only N, V and
+the lists of hot words and hot pairs: those with more training tokens than a shard's `shard_entries` and a share of 1 / `hot_share` or more of all, which are
+at most `hot_share` each.  The triples of a hot v are dealt by u, and its pairs are then sent as well and dealt by w; those of a hot pair (u, v) are
+dealt by w.  A count decides how many shards they are dealt to; totals and successors of such contexts are added up from these.  Whether a pair is hot is
+read from blocks where it has a fair share, which decides the dealing and no probability.
 
 Every written table lies in the shared folder; a lost task is run again from there.
 
@@ -82,13 +84,13 @@ class EliasFano:
             self._rest = lanes @ (np.uint8(1) << np.arange(rest, dtype=np.uint8))
             at += size
         size = -(-n_bits // 8)
-        self._ones = np.flatnonzero(np.unpackbits(np.frombuffer(view, np.uint8, size, at), count=n_bits, bitorder="little"))
+        self._ones = np.flatnonzero(np.unpackbits(np.frombuffer(view, np.uint8, size, at), count=n_bits, bitorder="little")).astype(np.uint32 if n_bits < 1 << 32 else np.int64)
         self.end = at + size
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions i."""
         i = np.asarray(i)
-        out = (self._ones[i] - i).astype(np.uint64) << np.uint64(self.low)
+        out = (self._ones[i].astype(np.int64) - i).astype(np.uint64) << np.uint64(self.low)
         for k, part in enumerate(self._bytes):
             out |= part[i].astype(np.uint64) << np.uint64(8 * k)
         if self._rest is not None:
@@ -97,13 +99,17 @@ class EliasFano:
 
     def successor(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Least position in [begin, end) whose value is not below the wanted one; end where there is none."""
-        lo, hi = begin.astype(np.int64).copy(), end.astype(np.int64).copy()
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) // 2
-            below = np.zeros(len(lo), bool)
-            below[open_] = self.get(mid[open_]) < values[open_]
-            lo, hi = np.where(open_ & below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
-        return lo
+        lo, hi = begin.astype(np.int64), end.astype(np.int64)
+        out, left = lo.copy(), np.flatnonzero(lo < hi)
+        lo, hi, wanted = lo[left], hi[left], values[left]
+        while len(left):
+            mid = (lo + hi) >> 1
+            below = self.get(mid) < wanted
+            lo, hi = np.where(below, mid + 1, lo), np.where(below, hi, mid)
+            out[left] = lo
+            going = lo < hi
+            left, lo, hi, wanted = left[going], lo[going], hi[going], wanted[going]
+        return out
 
 
 def quantise(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,49 +126,63 @@ class Trie:
     """One shard. Levels lie one after the other in a memory map."""
 
     @staticmethod
-    def encode(contexts: np.ndarray, counts: np.ndarray, begin: np.ndarray, marks: np.ndarray, pair_counts: np.ndarray, successors: np.ndarray, discount: float = DISCOUNT) -> bytes:
-        """contexts: sorted hashes; counts: occurrences of each; begin: n + 1 offsets; marks, pair_counts: by successor; successors: all of a context's."""
-        rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(begin))
-        prob, book = quantise(np.log10((pair_counts - discount) / counts[rank.astype(np.int64)]))
-        back, back_book = quantise(np.log10(np.minimum(1, discount * successors / counts)))
+    def encode(keys: np.ndarray, of_key: np.ndarray, befores: np.ndarray, of_node: np.ndarray, marks: np.ndarray, probs: np.ndarray, backs: np.ndarray) -> bytes:
+        """keys: sorted hashes; of_key: n + 1 offsets to contexts; befores, backs: by context, sorted in a key; of_node: offsets to successors; marks, probs: by successor, sorted in a context."""
+        low = lambda offsets, values: (np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets)) << np.uint64(32)) | values.astype(np.uint64)
+        (prob, book), (back, back_book) = quantise(np.log10(probs)), quantise(np.log10(backs))
         levels = [
-            EliasFano.encode(contexts, 1 << 64),
-            EliasFano.encode(begin.astype(np.uint64), int(begin[-1]) + 1),
-            EliasFano.encode((rank << np.uint64(32)) | marks.astype(np.uint64), max(1, len(contexts)) << 32),
+            EliasFano.encode(keys, 1 << 64),
+            EliasFano.encode(of_key.astype(np.uint64), int(of_key[-1]) + 1),
+            EliasFano.encode(low(of_key, befores), len(keys) << 32),
+            EliasFano.encode(of_node.astype(np.uint64), int(of_node[-1]) + 1),
+            EliasFano.encode(low(of_node, marks), len(befores) << 32),
             book.tobytes() + prob.tobytes(),
             back_book.tobytes() + back.tobytes(),
         ]
-        return struct.pack("<5Q", *map(len, levels)) + b"".join(levels)
+        return struct.pack("<7Q", *map(len, levels)) + b"".join(levels)
 
     def __init__(self, data: bytes):
         self.map = mmap.mmap(-1, max(1, len(data)))
         self.map.write(data)
-        sizes = struct.unpack_from("<5Q", self.map)
-        at = np.concatenate([[40], 40 + np.cumsum(sizes)]).tolist()
-        self.contexts, self.begin, self.successors = (EliasFano(self.map, a) for a in at[:3])
-        self.book, self.prob = np.frombuffer(self.map, np.float32, 256, at[3]), np.frombuffer(self.map, np.uint8, sizes[3] - 1024, at[3] + 1024)
-        self.back_book, self.back = np.frombuffer(self.map, np.float32, 256, at[4]), np.frombuffer(self.map, np.uint8, sizes[4] - 1024, at[4] + 1024)
-
-    def context(self, hashes: np.ndarray) -> np.ndarray:
-        """Rank of each context, -1 where unknown."""
-        n = self.contexts.n
-        at = self.contexts.successor(hashes, np.zeros(len(hashes), np.int64), np.full(len(hashes), n))
+        sizes = struct.unpack_from("<7Q", self.map)
+        at = np.concatenate([[56], 56 + np.cumsum(sizes)]).tolist()
+        self.keys, self.of_key, self.befores, self.of_node, self.successors = (EliasFano(self.map, a) for a in at[:5])
+        self.book, self.prob = np.frombuffer(self.map, np.float32, 256, at[5]), np.frombuffer(self.map, np.uint8, sizes[5] - 1024, at[5] + 1024)
+        self.back_book, self.back = np.frombuffer(self.map, np.float32, 256, at[6]), np.frombuffer(self.map, np.uint8, sizes[6] - 1024, at[6] + 1024)
+
+    def key(self, hashes: np.ndarray) -> np.ndarray:
+        """Rank of each last word, -1 where unknown."""
+        n = self.keys.n
+        at = self.keys.successor(hashes, np.zeros(len(hashes), np.int64), np.full(len(hashes), n))
         known = at < n
-        known[known] = self.contexts.get(at[known]) == hashes[known]
+        known[known] = self.keys.get(at[known]) == hashes[known]
         return np.where(known, at, -1)
 
-    def codes(self, rank: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """Code of each (context rank, successor mark); 0 where the pair is unknown."""
-        out = np.zeros(len(rank), np.uint8)
+    @staticmethod
+    def _child(pointers: EliasFano, level: EliasFano, rank: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Position in `level` of the child with that mark under each parent; -1 where parent or child is unknown."""
+        out = np.full(len(rank), -1, np.int64)
         ok = np.flatnonzero(rank >= 0)
-        begin, end = self.begin.get(rank[ok]).astype(np.int64), self.begin.get(rank[ok] + 1).astype(np.int64)
-        wanted = (rank[ok].astype(np.uint64) << np.uint64(32)) | marks[ok].astype(np.uint64)
-        at = self.successors.successor(wanted, begin, end)
+        parent = rank[ok]
+        end = pointers.get(parent + 1).astype(np.int64)
+        wanted = (parent.astype(np.uint64) << np.uint64(32)) | marks[ok].astype(np.uint64)
+        at = level.successor(wanted, pointers.get(parent).astype(np.int64), end)
         hit = at < end
-        hit[hit] = self.successors.get(at[hit]) == wanted[hit]
-        out[ok[hit]] = self.prob[at[hit]]
+        hit[hit] = level.get(at[hit]) == wanted[hit]
+        out[ok[hit]] = at[hit]
         return out
 
+    def context(self, key_rank: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return self._child(self.of_key, self.befores, key_rank, before)
+
+    def prob_codes(self, context: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Code of each (context, successor mark); 0 where it is unknown."""
+        at = self._child(self.of_node, self.successors, context, marks)
+        return np.where(at >= 0, self.prob[np.maximum(at, 0)], 0).astype(np.uint8)
+
+    def back_codes(self, context: np.ndarray) -> np.ndarray:
+        return np.where(context >= 0, self.back[np.maximum(context, 0)], 0).astype(np.uint8)
+
 
 # ---------------------------------------------------------------------------- blobs
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -299,99 +319,222 @@ def _word_shards(hot_least: int):
     return lambda batches: _by_shard(batches, handle)
 
 
-# ---------------------------------------------------------------------------- pairs
-def _pairs_of(flat: np.ndarray, lengths: np.ndarray, end: int, n_words: int):
-    """Distinct pairs of a block as first * n_words + second, and which pair each token ends."""
-    before = np.empty_like(flat, dtype=np.int64)
-    before[0], before[1:] = end, flat[:-1]
-    return np.unique(before * n_words + flat, return_inverse=True)
+# ---------------------------------------------------------------------------- triples
+SALT = np.uint64(0x9E3779B97F4A7C15)
+ALONE = np.uint32(0)  # stands for no word before v
+DERIVE, WHOLE = -1, -2  # contexts (u, v) whose pairs (v, w) are summed in the shard, and those of a hot v, whose pairs are sent
+
 
+def _pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return _mix(_mix(u) + v * SALT)
 
-def _routed(pairs: np.ndarray, vocab: np.ndarray, hot: np.ndarray, fan: np.ndarray, bits: int):
-    """Order of a block's pairs on the wire: (order, shard bounds, context key and successor mark in that order)."""
-    first, second = pairs // len(vocab), pairs % len(vocab)
-    mark = (_mix(vocab) >> np.uint64(32)).astype(np.uint32)
-    parts = np.ones(len(vocab), np.uint32)  # shards of each word's pairs
-    is_hot = np.isin(vocab, hot)
-    parts[is_hot] = fan[np.searchsorted(hot, vocab[is_hot])]
-    key = vocab[first]
-    fanned = is_hot[first]
-    key[fanned] = _mix(key[fanned] + (mark[second[fanned]] % parts[first[fanned]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.lexsort((mark[second], key))
-    key, marks = key[order], mark[second][order]
-    cut = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
-    return order, [*cut.tolist(), len(key)], key, marks
 
+def _ngrams(flat: np.ndarray, lengths: np.ndarray, end: int, n_words: int):
+    """A block's distinct pairs (first * n_words + second), its tokens' contexts and pairs as positions there, distinct triples (context * n_words + word), and each token's triple."""
+    before = np.empty(len(flat) + 1, np.int64)
+    before[0], before[1:-1], before[-1] = end, flat[:-1], end
+    pairs, at = np.unique(before * n_words + np.append(flat, end), return_inverse=True)  # the last is (end, end), the context of a first word
+    pair = at[:-1]
+    context = np.empty_like(pair)
+    context[1:] = pair[:-1]
+    context[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = at[-1]
+    triples, of = np.unique(context * n_words + flat, return_inverse=True)
+    return pairs, pair, triples, of
+
+
+class Hot:
+    """Hot words and hot pairs: sorted hashes, counts, and to how many shards each is dealt."""
+
+    def __init__(self, words, word_counts, pairs, pair_counts, shard_entries: int):
+        self.words, self.pairs = words, pairs
+        self.counts = np.concatenate([word_counts, pair_counts]).astype(np.int64)
+        self.fan = (-(-self.counts // shard_entries)).astype(np.uint32)
+
+    def __len__(self):
+        return len(self.counts)
+
+    @staticmethod
+    def _place(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, at, -1)
+
+    def word(self, hashes: np.ndarray) -> np.ndarray:
+        return self._place(self.words, hashes)
+
+    def pair(self, hashes: np.ndarray) -> np.ndarray:
+        at = self._place(self.pairs, hashes)
+        return np.where(at >= 0, at + len(self.words), -1)
+
+
+class Entries:
+    """A block's triples, and the pairs of its hot words, in the order in which they are sent: by key, word before and successor."""
+
+    def __init__(self, pairs: np.ndarray, triples: np.ndarray, vocab: np.ndarray, hot: Hot, bits: int):
+        n = len(vocab)
+        mark = np.maximum((_mix(vocab) >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+        hot_word = hot.word(vocab)
+        first, second = pairs // n, pairs % n
+        context, w = triples // n, triples % n
+        u, v = first[context], second[context]
+        key, before, of_v = vocab[v], mark[u], hot_word[v]
+        which = np.where(of_v >= 0, WHOLE, DERIVE).astype(np.int32)
+        self.hot_pairs = np.flatnonzero(hot_word[first] >= 0) if len(hot) else np.empty(0, np.int64)  # positions in `pairs`
+        if len(hot):
+            dealt = lambda base, by, at: _mix(base + (by % hot.fan[at]).astype(np.uint64) * SALT)
+            some = np.flatnonzero(of_v >= 0)
+            key[some] = dealt(key[some], before[some], of_v[some])
+            names = _pair_hash(vocab[first], vocab[second])
+            of_pair = hot.pair(names)[context]
+            some = np.flatnonzero(of_pair >= 0)
+            key[some], which[some] = dealt(names[context[some]], mark[w[some]], of_pair[some]), of_pair[some]
+            v2, w2 = first[self.hot_pairs], second[self.hot_pairs]
+            key = np.concatenate([key, dealt(~vocab[v2], mark[w2], hot_word[v2])])
+            before, w, which = np.append(before, np.full(len(v2), ALONE)), np.append(w, w2), np.append(which, hot_word[v2].astype(np.int32))
+        inner = (before.astype(np.uint64) << np.uint64(32)) | mark[w].astype(np.uint64)
+        self.order = np.lexsort((inner, key))
+        self.key, inner, self.which = key[self.order], inner[self.order], which[self.order]
+        self.before, self.mark = (inner >> np.uint64(32)).astype(np.uint32), inner.astype(np.uint32)
+        new_key = np.diff(self.key, prepend=~self.key[:1]) != 0
+        new = new_key | (np.diff(self.before, prepend=self.before[:1]) != 0)
+        self.key_at, self.node_at = np.flatnonzero(new_key), np.flatnonzero(new)
+        cut = np.searchsorted(self.key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
+        self.cut = [*cut.tolist(), len(self.key)]
+
+
+def _hot_pairs(hot: Hot, hot_least: int, trained: int):
+    """pair, n: pairs of hot words that have at least a fourth of a hot pair's share in a block."""
 
-def _pair_routes(bits: int, hot: np.ndarray, fan: np.ndarray):
+    def run(batches):
+        for b in batches:
+            for docs, words in zip(*(c.to_pylist() for c in b.columns)):
+                (_, _, held, lengths, flat), (vocab, _) = _arrays(docs), _arrays(words)
+                is_hot, end = hot.word(vocab) >= 0, int(np.searchsorted(vocab, END))
+                flat, train = flat.astype(np.int64), np.repeat(~held.astype(bool), lengths)
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                before = np.append(end, flat[:-1])
+                ok = train & is_hot[flat] & is_hot[before]
+                names, n = np.unique(before[ok] * len(vocab) + flat[ok], return_counts=True)
+                begun = int(train[starts].sum())
+                names, n = np.append(names, end * len(vocab) + end), np.append(n, begun)  # (end, end) begins every document
+                some = n >= max(1, hot_least * int(train.sum()) / max(1, trained) / 4)
+                names = _pair_hash(vocab[names[some] // len(vocab)], vocab[names[some] % len(vocab)])
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n[some].astype(np.int64))], names=["pair", "n"])
+
+    return run
+
+
+def _triple_routes(bits: int, hot: Hot):
     def run(batches):
         for b in batches:
             for block, docs, words in zip(*(c.to_pylist() for c in b.columns)):
                 (_, _, held, lengths, flat), (vocab, _) = _arrays(docs), _arrays(words)
-                pairs, back = _pairs_of(flat.astype(np.int64), lengths, int(np.searchsorted(vocab, END)), len(vocab))
-                trained = np.bincount(back[np.repeat(~held.astype(bool), lengths)], minlength=len(pairs)).astype(np.uint32)
-                order, cut, key, marks = _routed(pairs, vocab, hot, fan, bits)
-                trained = trained[order]
-                source = vocab[(pairs // len(vocab))[order]]
+                pairs, pair, triples, of = _ngrams(flat.astype(np.int64), lengths, int(np.searchsorted(vocab, END)), len(vocab))
+                train = np.repeat(~held.astype(bool), lengths)
+                e = Entries(pairs, triples, vocab, hot, bits)
+                trained = np.bincount(of[train], minlength=len(triples))
+                if len(e.hot_pairs):
+                    trained = np.append(trained, np.bincount(pair[train], minlength=len(pairs))[e.hot_pairs])
+                trained = trained[e.order].astype(np.uint32)
                 rows = []
-                for s, (i, j) in enumerate(zip(cut, cut[1:])):
+                for s, (i, j) in enumerate(zip(e.cut, e.cut[1:])):
                     if j > i:
-                        start = np.flatnonzero(np.diff(key[i:j], prepend=key[i] ^ np.uint64(1)))
-                        hot_at = np.where(np.isin(source[i:j][start], hot), np.searchsorted(hot, source[i:j][start]) if len(hot) else 0, -1).astype(np.int32)
-                        rows.append((block, 4, s, _blob(key[i:j][start], hot_at, np.diff(start, append=j - i).astype(np.uint32), marks[i:j], trained[i:j])))
+                        nodes = e.node_at[slice(*np.searchsorted(e.node_at, (i, j)))]
+                        keys = e.key_at[slice(*np.searchsorted(e.key_at, (i, j)))]
+                        names, at = np.unique(np.concatenate([e.before[nodes], e.mark[i:j]]), return_inverse=True)
+                        at = at.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
+                        sizes = np.diff(nodes, append=j).astype(np.uint32), np.diff(np.searchsorted(nodes, keys), append=len(nodes)).astype(np.uint32)
+                        rows.append((block, 4, s, _blob(e.key[keys], sizes[1], e.which[nodes], sizes[0], names, at, trained[i:j])))
                 for k in range(0, len(rows), 64):
                     yield _rows(rows[k : k + 64])
 
     return run
 
 
-def _pair_shards(hot_counts: np.ndarray, discount: float):
-    """Kind 4: codes of a block's pairs and of its contexts; kind 5 (block -1): successors of hot words; kind 6 (block -1): the trie's levels' sizes."""
+def _triple_shards(hot: Hot, discount: float):
+    """Kind 4: codes of a block's triples (and of their pairs) and contexts; kind 5 (block -1): counts and successors of hot contexts."""
+
+    def trie_of(asked):
+        keys = np.concatenate([np.repeat(np.repeat(a[0], a[1]), a[3]) for a in asked])
+        inner = np.concatenate([(np.repeat(b, a[3]).astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64) for a in asked for b, w in [_marks(a)]])
+        which = np.concatenate([np.repeat(a[2], a[3]) for a in asked])
+        counts = np.concatenate([a[6] for a in asked]).astype(np.int64)
+        seen = np.flatnonzero(counts)
+        keys, inner, which, counts = keys[seen], inner[seen], which[seen], counts[seen]
+        if not len(keys):
+            return None, []
+        pair = np.flatnonzero(which == DERIVE)
+        keys, inner = np.append(keys, keys[pair]), np.append(inner, inner[pair] & np.uint64(0xFFFFFFFF))
+        which, counts = np.append(which, which[pair]), np.append(counts, counts[pair])
+        order = np.lexsort((inner, keys))
+        keys, inner = keys[order], inner[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (inner[1:] != inner[:-1])
+        at = np.flatnonzero(new)
+        keys, inner, which, counts = keys[at], inner[at], which[order[at]], np.add.reduceat(counts[order], at)
+        before = (inner >> np.uint64(32)).astype(np.uint32)
+        new_key = np.ones(len(keys), bool)
+        new_key[1:] = keys[1:] != keys[:-1]
+        new = new_key.copy()
+        new[1:] |= before[1:] != before[:-1]
+        node, key = np.flatnonzero(new), np.flatnonzero(new_key)
+        of_node = np.append(node, len(keys))
+        total, successors = np.add.reduceat(counts, node), np.diff(of_node)
+        is_hot = np.flatnonzero(which[node] >= 0)
+        known = which[node[is_hot]].astype(np.int64), successors[is_hot].astype(np.int64), total[is_hot].copy()
+        total[is_hot] = hot.counts[known[0]]
+        probs = (counts - discount) / np.repeat(total, successors)
+        of_key = np.append(np.searchsorted(node, key), len(node))
+        return Trie(Trie.encode(keys[key], of_key, before[node], of_node, inner.astype(np.uint32), probs, np.minimum(1, discount * successors / total))), [known]
 
     def handle(shard, held):
-        keys = np.concatenate([np.repeat(a[0], a[2]) for _, a in held])
-        marks = np.concatenate([a[3] for _, a in held])
-        counts = np.concatenate([a[4] for _, a in held]).astype(np.int64)
-        seen = counts > 0
-        keys, marks, counts = keys[seen], marks[seen], counts[seen]
-        order = np.lexsort((marks, keys))
-        keys, marks, counts = keys[order], marks[order], counts[order]
-        rows = []
-        trie = None
-        if len(keys):
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
-            at = np.flatnonzero(new)
-            keys, marks, counts = keys[at], marks[at], np.add.reduceat(counts, at)
-            first = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)))
-            begin = np.append(first, len(keys))
-            contexts, total, successors = keys[first], np.add.reduceat(counts, first), np.diff(begin)
-            ctx = np.concatenate([a[0] for _, a in held])
-            which = np.concatenate([a[1] for _, a in held])
-            of = np.searchsorted(contexts, ctx)
-            known = (of < len(contexts)) & (contexts[np.minimum(of, len(contexts) - 1)] == ctx) & (which >= 0)
-            hot_of = np.full(len(contexts), -1)
-            hot_of[of[known]] = which[known]
-            hot_at = np.flatnonzero(hot_of >= 0)
-            total[hot_at] = hot_counts[hot_of[hot_at]]
-            trie = Trie(Trie.encode(contexts, total, begin, marks, counts, successors, discount))
-            rows.append((-1, 5, shard, _blob(hot_of[hot_at].astype(np.int64), successors[hot_at].astype(np.int64))))
-        for block, (ctx, which, size, mark, _) in held:
+        trie, known = trie_of([a for _, a in held])
+        rows = [(-1, 5, shard, _blob(*k)) for k in known]
+        for block, a in held:
+            keys, nodes_in, which, size = a[:4]
+            before, mark = _marks(a)
             if trie is None:
-                rows.append((block, 4, shard, _blob(np.zeros(len(mark), np.uint8), np.zeros(len(ctx), np.uint8), size, np.zeros(256, np.float32), np.zeros(256, np.float32), which)))
+                none = [np.zeros(len(x), np.uint8) for x in (mark, mark, before, keys)]
+                rows.append((block, 4, shard, _blob(*none, np.zeros(256, np.float32), np.zeros(256, np.float32))))
                 continue
-            rank = trie.context(ctx)
-            back = np.where(rank >= 0, trie.back[np.maximum(rank, 0)], 0).astype(np.uint8)
-            rows.append((block, 4, shard, _blob(trie.codes(np.repeat(rank, size), mark), back, size, trie.book, trie.back_book, which)))
+            rank = trie.key(keys)
+            context, alone = trie.context(np.repeat(rank, nodes_in), before), trie.context(rank, np.full(len(rank), ALONE))
+            lone = np.where(which == DERIVE, np.repeat(alone, nodes_in), -1)
+            codes = trie.prob_codes(np.repeat(context, size), mark), trie.prob_codes(np.repeat(lone, size), mark)
+            rows.append((block, 4, shard, _blob(*codes, trie.back_codes(context), trie.back_codes(alone), trie.book, trie.back_book)))
         return rows
 
     return lambda batches: _by_shard(batches, handle)
 
 
+def _marks(a: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the words before (by context) and of the successors of a request."""
+    names, at = a[4], a[5]
+    return names[at[: len(a[3])]], names[at[len(a[3]) :]]
+
+
 # ---------------------------------------------------------------------------- scores
-def _block_scores(total: int, types: int, hot: np.ndarray, fan: np.ndarray, hot_back: np.ndarray, bits: int, discount: float):
+def _block_scores(total: int, types: int, hot: Hot, hot_counts: np.ndarray, hot_back: np.ndarray, bits: int, discount: float):
     """Blocks (kind 0) with their answers (kinds 1 and 4, in order of shard) to scores of documents."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    exact = hot.counts / np.maximum(1, hot_counts)  # hot contexts were divided by the counts that dealt them
+
+    def answers(rows, e: Entries):
+        """By entry: probabilities of triples and of their pairs, back-off weights of the contexts (u, v) and v."""
+        parts = [_arrays(r[2]) for r in rows if r[0] == 4]
+        value = lambda codes, book, none: np.where(codes > 0, 10.0 ** book[codes], none)
+        get = lambda k, book, none: np.concatenate([value(a[k], a[book], none) for a in parts])
+        node = np.diff(e.node_at, append=len(e.key))
+        key = np.diff(e.key_at, append=len(e.key))
+        strong, pair, back, back_pair = get(0, 4, 0.0), get(1, 4, 0.0), np.repeat(get(2, 5, 1.0), node), np.repeat(get(3, 5, 1.0), key)
+        is_hot = np.flatnonzero(e.which >= 0)
+        strong[is_hot] *= exact[e.which[is_hot]]
+        back[is_hot] = hot_back[e.which[is_hot]]
+        out = [np.empty(len(e.order)) for _ in range(4)]
+        for to, x in zip(out, (strong, pair, back, back_pair)):
+            to[e.order] = x
+        return out
 
     def finish(rows):
         own = next(r for r in rows if r[0] == 0)
@@ -400,23 +543,18 @@ def _block_scores(total: int, types: int, hot: np.ndarray, fan: np.ndarray, hot_
         count = np.concatenate([_arrays(r[2])[0] for r in rows if r[0] == 1])  # in order of the vocabulary
         base = np.log10((count + 1) / (total + types + 1))
         alone = (np.maximum(count - discount, 0) + discount * types / (types + 1)) / total if total else np.full(len(count), 1.0)
-        pairs, back = _pairs_of(flat, lengths, int(np.searchsorted(vocab, END)), len(vocab))
-        order, _, _, _ = _routed(pairs, vocab, hot, fan, bits)
-        strong, weak = np.empty(len(pairs)), np.empty(len(pairs))
-        at = 0
-        for r in rows:
-            if r[0] == 4:
-                codes, ctx_codes, size, book, back_book, which = _arrays(r[2])
-                n = len(codes)
-                strong[at : at + n] = np.where(codes > 0, 10.0 ** book[codes], 0)
-                ctx = np.where(ctx_codes > 0, 10.0 ** back_book[ctx_codes], 1)
-                if len(hot):
-                    ctx = np.where(which >= 0, hot_back[np.maximum(which, 0)], ctx)
-                weak[at : at + n] = np.repeat(ctx, size)
-                at += n
-        p = np.empty(len(pairs))
-        p[order] = strong + weak * alone[(pairs % len(vocab))[order]]
-        logs = np.log10(p)[back] if total else np.zeros(len(flat))
+        pairs, pair, triples, of = _ngrams(flat, lengths, int(np.searchsorted(vocab, END)), len(vocab))
+        e, n = Entries(pairs, triples, vocab, hot, bits), len(triples)
+        strong, strong_pair, back, back_pair = answers(rows, e)
+        shorter = strong_pair[:n] + back_pair[:n] * alone[triples % len(vocab)]
+        if len(e.hot_pairs):
+            of_hot = np.full(len(pairs), np.nan)
+            of_hot[e.hot_pairs] = strong[n:] + back[n:] * alone[pairs[e.hot_pairs] % len(vocab)]
+            pair_of = np.empty(n, np.int64)
+            pair_of[of] = pair
+            shorter = np.where(np.isnan(of_hot[pair_of]), shorter, of_hot[pair_of])
+        p = strong[:n] + back[:n] * shorter
+        logs = np.log10(p)[of] if total else np.zeros(len(flat))
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         sums = lambda x: np.add.reduceat(x, begin)
         return pa.RecordBatch.from_arrays(
@@ -450,40 +588,47 @@ def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     cut = written(blocks(docs, block_tokens), "lm-blocks")
-    tokens, words, trained = cut.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum("trained")).first()
-    bits = max(2 * parts, (words or 0) // shard_entries).bit_length()
+    tokens, words, trained = (n or 0 for n in cut.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum("trained")).first())
+    bits = max(2 * parts, words // shard_entries).bit_length()
     routed = lambda rows: rows.repartition(parts, "shard").sortWithinPartitions("shard", "block")
+    hot_least = max(shard_entries, -(-trained // hot_share))
 
     asked = routed(cut.select("block", "vocab").mapInArrow(_word_routes(bits), ROW))
-    answered = written(asked.mapInArrow(_word_shards(max(shard_entries, -(-(trained or 0) // hot_share))), ROW), "lm-words")
+    answered = written(asked.mapInArrow(_word_shards(hot_least), ROW), "lm-words")
     total = types = 0
-    hot, hot_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    names, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for r in answered.filter("kind in (2, 3)").collect():  # two short rows a shard; hot_share words in all
         a = _arrays(r.data)
         if r.kind == 2:
             total, types = total + int(a[0][0]), types + int(a[0][1])
         else:
-            hot, hot_counts = np.concatenate([hot, a[0]]), np.concatenate([hot_counts, a[1]])
-    order = np.argsort(hot)
-    hot, hot_counts = hot[order], hot_counts[order]
-    fan = (-(-hot_counts // shard_entries)).astype(np.uint32)
+            names.append(a[0]), counts.append(a[1])
+    names, counts = np.concatenate(names), np.concatenate(counts)
+    order, none = np.argsort(names), (np.empty(0, np.uint64), np.empty(0, np.int64))
+    hot = Hot(names[order], counts[order], *none, shard_entries)
+    if len(hot):
+        found = cut.select("docs", "vocab").mapInArrow(_hot_pairs(hot, hot_least, trained), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot_least).toArrow()  # hot_share rows at most
+        names, counts_of = found.column("pair").to_numpy().view(np.uint64), found.column("n").to_numpy()
+        by = np.argsort(names)
+        hot = Hot(hot.words, counts[order], names[by], counts_of[by], shard_entries)
 
-    pair_bits = max(2 * parts, (tokens or 0) // shard_entries).bit_length()
-    asked = routed(cut.select("block", "docs", "vocab").mapInArrow(_pair_routes(pair_bits, hot, fan), ROW))
-    paired = written(asked.mapInArrow(_pair_shards(hot_counts, discount), ROW), "lm-pairs")
-    successors = np.zeros(len(hot), np.int64)
+    triple_bits = max(2 * parts, tokens // shard_entries).bit_length()
+    asked = routed(cut.select("block", "docs", "vocab").mapInArrow(_triple_routes(triple_bits, hot), ROW))
+    found = written(asked.mapInArrow(_triple_shards(hot, discount), ROW), "lm-triples")
+    successors, hot_counts = np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64)
 
     def added(batches):
-        out = np.zeros(len(hot), np.int64)
+        out = np.zeros((2, len(hot)), np.int64)
         for b in batches:
             for data in b.column(0).to_pylist():
-                which, n = _arrays(data)
-                np.add.at(out, which, n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hot)), pa.int32()), pa.array(out)], names=["which", "n"])
+                which, *sums = _arrays(data)
+                for to, x in zip(out, sums):
+                    np.add.at(to, which, x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hot)), pa.int32()), pa.array(out[0]), pa.array(out[1])], names=["which", "n", "c"])
 
     if len(hot):
-        for r in paired.filter("kind = 5").select("data").mapInArrow(added, "which int, n long").groupBy("which").agg(F.sum("n").alias("n")).collect():  # hot_share rows at most
-            successors[r.which] = r.n
+        for r in found.filter("kind = 5").select("data").mapInArrow(added, "which int, n long, c long").groupBy("which").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect():  # 2 * hot_share rows at most
+            successors[r.which], hot_counts[r.which] = r.n, r.c
     hot_back = np.minimum(1, discount * successors / np.maximum(1, hot_counts))
 
     def whole(batches):
@@ -491,6 +636,6 @@ def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2
             yield _rows([(k, 0, 0, _blob(*_arrays(d), _arrays(v)[0])) for k, d, v in zip(*(c.to_pylist() for c in b.columns))])
 
     own = cut.select("block", "docs", "vocab").mapInArrow(whole, ROW)
-    rows = own.unionByName(answered.filter("kind = 1")).unionByName(paired.filter("kind = 4"))
+    rows = own.unionByName(answered.filter("kind = 1")).unionByName(found.filter("kind = 4"))
     together = rows.repartition(parts, "block").sortWithinPartitions("block", "kind", "shard")
-    return together.mapInArrow(_block_scores(total, types, hot, fan, hot_back, pair_bits, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return together.mapInArrow(_block_scores(total, types, hot, hot_counts, hot_back, triple_bits, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
