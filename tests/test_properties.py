@@ -251,3 +251,28 @@ def test_features_of_patches_with_gaps(spark):
         f = dict(zip(r.names, r.features))
         assert all(f[f"x@R@w5@{n}"] == pytest.approx(plain[r.patch_id, n]) for n in features.TEXTURES)
         assert all(f[f"x@R@{n}"] == pytest.approx(stats[r.patch_id][n]) for n in features.STATISTICS)
+
+
+@pytest.mark.parametrize("tile", [4, 7, 256])
+def test_percolation_by_tiles_equals_labels_of_the_whole_raster(spark, tile):
+    rng = np.random.default_rng(3)
+    h, f = rng.integers(0, 40, (23, 31)), rng.integers(0, 11, (23, 31)) / 10
+    rows = [(y - 9, x - 5, float(h[y, x]), None if (y + x) % 17 == 0 else float(f[y, x])) for y in range(23) for x in range(31)]
+    px = spark.createDataFrame(rows, "y int, x int, height double, footprint double")
+    hs, ds = [0.0, 12.0, 25.0, 90.0], [0.0, 0.25, 0.4, 0.6, 0.8, 2.0]
+    got = {(r.h_id, r.d_id): round(r.value, 9) for r in masks.percolation_2d(px, hs, ds, tile=tile).collect()}
+    assert len(got) == len(hs) * len(ds)
+    for i, least in enumerate(hs):
+        for j, d in enumerate(ds):
+            left = {(y, x) for y, x, a, b in rows if a >= least and (b or 0.0) >= d}
+            total, largest = len(left), 0
+            while left:
+                todo, n = [left.pop()], 0
+                while todo:
+                    y, x = todo.pop()
+                    n += 1
+                    near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & left
+                    left -= near
+                    todo += near
+                largest = max(largest, n)
+            assert got[i, j] == round(largest / total if total else 1.0, 9)

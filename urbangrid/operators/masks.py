@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import stored
 from .components import connected_components
 
 
@@ -38,13 +40,25 @@ def urban_mask(px: DataFrame, h: float, d: float) -> DataFrame:
     return px.withColumn("urban", (F.coalesce("height", F.lit(0.0)) >= h) & (F.coalesce("footprint", F.lit(0.0)) >= d))
 
 
+def _crossing(rim: DataFrame, keys) -> DataFrame:
+    """keys, local, other: labels of touching cells that differ; rim: keys, y, x, local."""
+    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("o")
+    moved = rim.select(*keys, "local", "y", "x", near).select(*keys, F.col("local").alias("other"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    return rim.join(moved, [*keys, "y", "x"]).filter("local <> other")
+
+
+def _joined_labels(rim: DataFrame, keys) -> DataFrame:
+    """node, component: structs of keys and label, for labels that touch one another over a border."""
+    node = lambda c: F.struct(*keys, F.col(c).alias("label"))
+    return connected_components(_crossing(rim, keys).select(node("local").alias("src"), node("other").alias("dst")))
+
+
 def connected_cells(cells: DataFrame, keys: tuple = (), tile: int = 256) -> DataFrame:
     """keys, y, x, label: 8-neighbour clusters of the given cells; a label is (y << 32 | x) of the cluster's first cell.
 
     Labels are found inside tiles first; only pairs of labels across tile borders go on as edges, so the iterative part sees borders,
     not cells.
     """
-    code = lambda y, x: F.shiftleft(y.cast("long"), 32).bitwiseOR(x.cast("long"))
     key_types = [(k, cells.schema[k].dataType.simpleString()) for k in keys]
     schema = ", ".join([*(f"{k} {t}" for k, t in key_types), "y long, x long, local long"])
 
@@ -68,21 +82,17 @@ def connected_cells(cells: DataFrame, keys: tuple = (), tile: int = 256) -> Data
                     root[max(p, q)] = min(p, q)
         top = np.array([find(i) for i in range(len(y))], dtype=np.int64)
         cols = [pa.chunked_array([c]) if not isinstance(c, pa.ChunkedArray) else c for c in (table.column(k) for k in keys)]
-        return pa.Table.from_arrays([*(c.take(pa.array(order)) for c in cols), pa.array(y), pa.array(x), pa.array((y[top] << 32) | x[top] if len(y) else np.empty(0, np.int64))], names=[*keys, "y", "x", "local"])
+        return pa.Table.from_arrays([*(c.take(pa.array(order)) for c in cols), pa.array(y), pa.array(x), pa.array((y[top] << 32) | (x[top] & 0xFFFFFFFF) if len(y) else np.empty(0, np.int64))], names=[*keys, "y", "x", "local"])
 
     tiled = cells.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct().withColumn("ty", F.floor(F.col("y") / tile)).withColumn("tx", F.floor(F.col("x") / tile))
     local = tiled.groupBy(*keys, "ty", "tx").applyInArrow(label, schema)
     edge = (F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1)
     rim = local.filter(edge)
-    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("o")
-    moved = rim.select(*keys, "local", "y", "x", near).select(*keys, F.col("local").alias("other"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    crossing = rim.join(moved, [*keys, "y", "x"]).filter("local <> other")
     if not keys:
-        parts = connected_components(crossing.select("local", "other"), "local", "other")
+        parts = connected_components(_crossing(rim, keys).select("local", "other"), "local", "other")
         return local.join(parts, F.col("local") == F.col("node"), "left").select("y", "x", F.coalesce("component", "local").alias("label"))
-    node = lambda c: F.struct(*keys, F.col(c).alias("label"))
-    parts = connected_components(crossing.select(node("local").alias("src"), node("other").alias("dst")))
-    return local.withColumn("node", node("local")).join(parts, "node", "left").select(*keys, "y", "x", F.coalesce(F.col("component.label"), "local").alias("label"))
+    parts = _joined_labels(rim, keys)
+    return local.withColumn("node", F.struct(*keys, F.col("local").alias("label"))).join(parts, "node", "left").select(*keys, "y", "x", F.coalesce(F.col("component.label"), "local").alias("label"))
 
 
 def cluster_sizes(labels: DataFrame, keys: tuple = ()) -> DataFrame:
@@ -111,12 +121,12 @@ def percolation(px: DataFrame, ds: list[float], h_min: float, criterion: str = "
     return tried.join(value, "d_id", "left").select("d_id", "d", F.coalesce("value", F.lit(1.0 if criterion == "share" else 0.0)).alias("value"))
 
 
-def percolation_2d(px: DataFrame, hs: list[float], ds: list[float]) -> DataFrame:
+def percolation_2d(px: DataFrame, hs: list[float], ds: list[float], tile: int = 256) -> DataFrame:
     """h_id, h, d_id, d, value: largest-cluster share on a grid of thresholds.
 
-    For one h the masks of rising d nest, so a maximum spanning forest of cell pairs by the lesser footprint is built once for each h and
-    all d are read off by adding cells in falling order of footprint (union-find), instead of labelling every (h, d).  One task holds the cells of one
-    h (a raster of one region); thresholds h run side by side.
+    For one h the masks of rising d nest, so a tile adds its cells once in falling order of footprint (union-find) and reads off all d.  Of a d it gives its number of
+    cells, its clusters that reach the rim, the largest that does not, and the labels of the rim's cells; only these are joined over tile borders.  A task holds
+    the cells of one tile at one h, so neither a large region nor a fine grid of thresholds meets in one task.
     """
     spark, levels = px.sparkSession, np.array(sorted(ds))
     tried = spark.createDataFrame([(i, float(h)) for i, h in enumerate(hs)], "h_id int, h double")
@@ -124,10 +134,15 @@ def percolation_2d(px: DataFrame, hs: list[float], ds: list[float]) -> DataFrame
     cells = px.select(F.explode(keep).alias("h_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce("footprint", F.lit(0.0)).alias("f"))
 
     def sweep(key, table):
-        y, x, f = (table.column(c).to_numpy() for c in ("y", "x", "f"))
+        h, y, x, f = key[0].as_py(), *(table.column(c).to_numpy() for c in ("y", "x", "f"))
         order = np.argsort(-f, kind="stable")
-        y, x, f = y[order].tolist(), x[order].tolist(), f[order]
-        at, root, size, largest, share = {}, [*range(len(y))], [1] * len(y), 0, np.ones(len(levels))
+        y, x, f = y[order], x[order], f[order]
+        rim = np.flatnonzero(np.isin(y % tile, (0, tile - 1)) | np.isin(x % tile, (0, tile - 1)))
+        ys, xs = y.tolist(), x.tolist()
+        at, root, size, done, out = {}, [*range(len(y))], [1] * len(y), 0, []
+        outer = np.zeros(len(y), bool)
+        outer[rim] = True
+        outer, inside = outer.tolist(), []  # whether a root's cluster reaches the rim; heap of clusters that did not when they grew
 
         def find(i):
             while root[i] != i:
@@ -135,28 +150,43 @@ def percolation_2d(px: DataFrame, hs: list[float], ds: list[float]) -> DataFrame
                 i = root[i]
             return i
 
-        done = 0
         for k in range(len(levels) - 1, -1, -1):
             stop = int(np.searchsorted(-f, -levels[k], side="right"))
             for i in range(done, stop):
-                at[y[i], x[i]] = i
-                largest = max(largest, 1)
+                at[ys[i], xs[i]] = i
                 for dy in (-1, 0, 1):
                     for dx in (-1, 0, 1):
-                        if (j := at.get((y[i] + dy, x[i] + dx))) is not None and (p := find(i)) != (q := find(j)):
+                        if (j := at.get((ys[i] + dy, xs[i] + dx))) is not None and (p := find(i)) != (q := find(j)):
                             if size[p] < size[q]:
                                 p, q = q, p
                             root[q] = p
                             size[p] += size[q]
-                            largest = max(largest, size[p])
+                            outer[p] |= outer[q]
+                if not outer[p := find(i)]:
+                    heapq.heappush(inside, (-size[p], p))
             done = stop
-            share[k] = largest / done if done else 1.0
-        n = len(levels)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(share)], names=["h_id", "d_id", "value"])
-
-    found = cells.groupBy("h_id").applyInArrow(sweep, "h_id int, d_id int, value double")
+            own = rim[: np.searchsorted(rim, stop)]
+            tops = np.array([find(i) for i in own.tolist()], np.int64)
+            reach = set(tops.tolist())
+            while inside and (root[inside[0][1]] != inside[0][1] or outer[inside[0][1]] or size[inside[0][1]] != -inside[0][0]):
+                heapq.heappop(inside)
+            inner = inside[0][1] if inside else None
+            code = lambda i: (y[i] << 32) | (x[i] & 0xFFFFFFFF)
+            clusters = np.array(sorted(reach) + ([] if inner is None else [inner]), np.int64)
+            parts = [(0, y[:1], x[:1], np.zeros(1, np.int64), np.array([stop])), (1, y[clusters], x[clusters], code(clusters), np.array([size[i] for i in clusters], np.int64)), (2, y[own], x[own], code(tops), np.zeros(len(own), np.int64))]
+            out += [pa.table({"h_id": pa.array(np.full(len(n), h), pa.int32()), "d_id": pa.array(np.full(len(n), k), pa.int32()), "kind": pa.array(np.full(len(n), kind), pa.int32()), "y": cy, "x": cx, "label": label, "n": n}) for kind, cy, cx, label, n in parts]
+        return pa.concat_tables(out)
+
+    keys = ["h_id", "d_id"]
+    tiled = cells.groupBy("h_id", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx")).applyInArrow(sweep, "h_id int, d_id int, kind int, y long, x long, label long, n long")
+    found = stored(tiled, "percolation")
+    parts = _joined_labels(found.filter("kind = 2").select(*keys, "y", "x", F.col("label").alias("local")), keys)
+    node = F.struct(*keys, "label")
+    sums = found.filter("kind = 1").withColumn("node", node).join(parts, "node", "left").groupBy(*keys, F.coalesce("component", "node").alias("cluster")).agg(F.sum("n").alias("n"))
+    largest = sums.groupBy(*keys).agg(F.max("n").alias("largest"))
+    value = found.filter("kind = 0").groupBy(*keys).agg(F.sum("n").alias("n")).join(largest, keys, "left").select(*keys, F.try_divide("largest", "n").alias("value"))
     grid = tried.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1)))).withColumn("d", F.array(*map(F.lit, levels.tolist()))[F.col("i")]).withColumnRenamed("i", "d_id")
-    return grid.join(found, ["h_id", "d_id"], "left").select("h_id", "h", "d_id", "d", F.coalesce("value", F.lit(1.0)).alias("value"))
+    return grid.join(value, keys, "left").select("h_id", "h", "d_id", "d", F.coalesce("value", F.lit(1.0)).alias("value"))
 
 
 def otsu(df: DataFrame, value: str = "v") -> DataFrame:
