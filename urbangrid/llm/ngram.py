@@ -588,12 +588,13 @@ def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     cut = written(blocks(docs, block_tokens), "lm-blocks")
-    tokens, words, trained = (n or 0 for n in cut.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum("trained")).first())
+    tokens, words, trained, n_blocks = (n or 0 for n in cut.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum("trained"), F.count("*")).first())
     bits = max(2 * parts, words // shard_entries).bit_length()
-    routed = lambda rows: rows.repartition(parts, "shard").sortWithinPartitions("shard", "block")
+    # four shards a task, or fewer: tasks grow in number with the data, and shards are dealt evenly
+    routed = lambda rows, bits: rows.repartitionById(max(parts, (1 << bits) // 4), F.col("shard")).sortWithinPartitions("shard", "block")
     hot_least = max(shard_entries, -(-trained // hot_share))
 
-    asked = routed(cut.select("block", "vocab").mapInArrow(_word_routes(bits), ROW))
+    asked = routed(cut.select("block", "vocab").mapInArrow(_word_routes(bits), ROW), bits)
     answered = written(asked.mapInArrow(_word_shards(hot_least), ROW), "lm-words")
     total = types = 0
     names, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
@@ -613,7 +614,7 @@ def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2
         hot = Hot(hot.words, counts[order], names[by], counts_of[by], shard_entries)
 
     triple_bits = max(2 * parts, tokens // shard_entries).bit_length()
-    asked = routed(cut.select("block", "docs", "vocab").mapInArrow(_triple_routes(triple_bits, hot), ROW))
+    asked = routed(cut.select("block", "docs", "vocab").mapInArrow(_triple_routes(triple_bits, hot), ROW), triple_bits)
     found = written(asked.mapInArrow(_triple_shards(hot, discount), ROW), "lm-triples")
     successors, hot_counts = np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64)
 
@@ -637,5 +638,5 @@ def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2
 
     own = cut.select("block", "docs", "vocab").mapInArrow(whole, ROW)
     rows = own.unionByName(answered.filter("kind = 1")).unionByName(found.filter("kind = 4"))
-    together = rows.repartition(parts, "block").sortWithinPartitions("block", "kind", "shard")
+    together = rows.repartition(max(parts, n_blocks // 2), "block").sortWithinPartitions("block", "kind", "shard")
     return together.mapInArrow(_block_scores(total, types, hot, hot_counts, hot_back, triple_bits, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
