@@ -74,14 +74,16 @@ class EliasFano:
         view = memoryview(data)
         self.n, self.low, n_bits = self.HEAD.unpack_from(view, at)
         at += self.HEAD.size
-        self._bytes = [np.frombuffer(view, np.uint8, self.n, at + k * self.n) for k in range(self.low // 8)]
-        at += self.n * (self.low // 8)
+        self._lows = np.zeros(self.n, np.uint32 if self.low <= 32 else np.uint64)
+        wide = self._lows.dtype.type
+        for k in range(self.low // 8):
+            self._lows |= np.frombuffer(view, np.uint8, self.n, at).astype(wide) << wide(8 * k)
+            at += self.n
         rest = self.low % 8
-        self._rest = None
         if rest:
             size = -(-self.n * rest // 8)
             lanes = np.unpackbits(np.frombuffer(view, np.uint8, size, at), count=self.n * rest, bitorder="little").reshape(self.n, rest)
-            self._rest = lanes @ (np.uint8(1) << np.arange(rest, dtype=np.uint8))
+            self._lows |= (lanes @ (np.uint8(1) << np.arange(rest, dtype=np.uint8))).astype(wide) << wide(self.low - rest)
             at += size
         size = -(-n_bits // 8)
         self._ones = np.flatnonzero(np.unpackbits(np.frombuffer(view, np.uint8, size, at), count=n_bits, bitorder="little")).astype(np.uint32 if n_bits < 1 << 32 else np.int64)
@@ -90,12 +92,7 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions i."""
         i = np.asarray(i)
-        out = (self._ones[i].astype(np.int64) - i).astype(np.uint64) << np.uint64(self.low)
-        for k, part in enumerate(self._bytes):
-            out |= part[i].astype(np.uint64) << np.uint64(8 * k)
-        if self._rest is not None:
-            out |= self._rest[i].astype(np.uint64) << np.uint64(self.low - self.low % 8)
-        return out
+        return ((self._ones[i].astype(np.int64) - i).astype(np.uint64) << np.uint64(self.low)) | self._lows[i]
 
     def successor(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Least position in [begin, end) whose value is not below the wanted one; end where there is none."""
