@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 
 def running_mean(px: DataFrame, watermark: str | None = None, time: str = "acquired") -> DataFrame:
-    """band, y, x, value, n from a stream (or a table) of pixels; scenes later than the watermark may be left out."""
+    """band, y, x, value, n from a stream (or a table) of pixels.
+
+    State is a sum and a count for each band and cell, so it grows with the raster and not with time.  The groups have no time, so a watermark neither drops
+    late scenes nor clears state here; it only passes an event time on.
+    """
     if watermark:
         px = px.withWatermark(time, watermark)
     return px.filter(F.col("value").isNotNull()).groupBy("band", "y", "x").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
