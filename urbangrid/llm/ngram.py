@@ -110,13 +110,17 @@ class EliasFano:
 
 
 def quantise(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes 1..255, 256 values); code 0 is left for what is not there. Values are rounded down, so no mass is added."""
+    """(codes 1..255, least and greatest value); code 0 is left for what is not there. Values are rounded down, so no mass is added."""
     if not len(logs):
-        return np.empty(0, np.uint8), np.zeros(256, np.float32)
-    lo, hi = float(logs.min()), float(logs.max())
-    book = np.concatenate([[0], np.linspace(lo, hi, 255)])
-    codes = np.clip(np.searchsorted(book[1:], logs + 1e-12, side="right"), 1, 255)
-    return codes.astype(np.uint8), book.astype(np.float32)
+        return np.empty(0, np.uint8), np.zeros(2)
+    ends = np.array([logs.min(), logs.max()])
+    codes = np.clip(np.searchsorted(_book(ends)[1:], logs + 1e-12, side="right"), 1, 255)
+    return codes.astype(np.uint8), ends
+
+
+def _book(ends: np.ndarray) -> np.ndarray:
+    """The 256 values of codes between two ends."""
+    return np.concatenate([[0], np.linspace(*ends, 255)])
 
 
 class Trie:
@@ -144,8 +148,8 @@ class Trie:
         sizes = struct.unpack_from("<7Q", self.map)
         at = np.concatenate([[56], 56 + np.cumsum(sizes)]).tolist()
         self.keys, self.of_key, self.befores, self.of_node, self.successors = (EliasFano(self.map, a) for a in at[:5])
-        self.book, self.prob = np.frombuffer(self.map, np.float32, 256, at[5]), np.frombuffer(self.map, np.uint8, sizes[5] - 1024, at[5] + 1024)
-        self.back_book, self.back = np.frombuffer(self.map, np.float32, 256, at[6]), np.frombuffer(self.map, np.uint8, sizes[6] - 1024, at[6] + 1024)
+        self.book, self.prob = np.frombuffer(self.map, np.float64, 2, at[5]), np.frombuffer(self.map, np.uint8, sizes[5] - 16, at[5] + 16)
+        self.back_book, self.back = np.frombuffer(self.map, np.float64, 2, at[6]), np.frombuffer(self.map, np.uint8, sizes[6] - 16, at[6] + 16)
 
     def key(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each last word, -1 where unknown."""
@@ -206,6 +210,15 @@ def _arrays(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of an ascending array of unsigned integers: small numbers, which compress better."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     block, kind, shard, data = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), pa.array(data, pa.binary())], names=["block", "kind", "shard", "data"])
@@ -245,7 +258,7 @@ def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             back[order] = np.arange(len(order))
             flat, vocab, trained = back[flat].astype(np.uint32), vocab[order], trained[order]
             docs_of = (np.array([0 if d is None else d for d in ids], np.int64), np.array([d is None for d in ids]), held, lengths.astype(np.int64))
-            row = (part << 24 | made, _blob(*docs_of, flat), _blob(vocab, trained), len(flat), len(vocab), int(trained.sum()))
+            row = (part << 24 | made, _blob(*docs_of, flat), _blob(_steps(vocab), trained), len(flat), len(vocab), int(trained.sum()))
             made += 1
             local, ids, tokens, size = _Local({b"": 0}), [], [], 0
             get = local.__getitem__
@@ -262,6 +275,7 @@ def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
                     yield flush()
         if ids:
             yield flush()
+        _HASHES.clear()  # the worker goes on to other stages
 
     return whole_texts(docs).mapInArrow(run, "block long, docs binary, vocab binary, n_tokens long, n_words long, trained long")
 
@@ -291,9 +305,10 @@ def _word_routes(bits: int):
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 vocab, trained = _arrays(data)
+                vocab = _sums(vocab)
                 cut = np.searchsorted(vocab, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
                 cut = [*cut.tolist(), len(vocab)]
-                rows = [(block, 1, s, _blob(vocab[i:j], trained[i:j])) for s, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+                rows = [(block, 1, s, _blob(_steps(vocab[i:j]), trained[i:j])) for s, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
                 for k in range(0, len(rows), 256):
                     yield _rows(rows[k : k + 256])
 
@@ -304,6 +319,7 @@ def _word_shards(hot_least: int):
     """Kind 1: counts of a block's words; kind 2 (block -1): N, V; kind 3 (block -1): hot words and their counts."""
 
     def handle(shard, held):
+        held = [(block, (_sums(a[0]), a[1])) for block, a in held]
         words = np.concatenate([a[0] for _, a in held])
         counts = np.concatenate([a[1] for _, a in held])
         order = np.argsort(words, kind="stable")
@@ -328,15 +344,23 @@ def _pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def _ngrams(flat: np.ndarray, lengths: np.ndarray, end: int, n_words: int):
     """A block's distinct pairs (first * n_words + second), its tokens' contexts and pairs as positions there, distinct triples (context * n_words + word), and each token's triple."""
-    before = np.empty(len(flat) + 1, np.int64)
-    before[0], before[1:-1], before[-1] = end, flat[:-1], end
-    pairs, at = np.unique(before * n_words + np.append(flat, end), return_inverse=True)  # the last is (end, end), the context of a first word
+    both = np.empty(len(flat) + 1, np.int64)
+    both[0], both[1:-1], both[-1] = end, flat[:-1], end
+    both *= n_words
+    both[:-1] += flat
+    both[-1] += end
+    pairs, at = np.unique(both, return_inverse=True)  # the last is (end, end), the context of a first word
+    del both
+    at = at.astype(np.uint32)  # a block has fewer tokens
     pair = at[:-1]
     context = np.empty_like(pair)
     context[1:] = pair[:-1]
     context[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = at[-1]
-    triples, of = np.unique(context * n_words + flat, return_inverse=True)
-    return pairs, pair, triples, of
+    context = context.astype(np.int64)
+    context *= n_words
+    context += flat
+    triples, of = np.unique(context, return_inverse=True)
+    return pairs, pair, triples, of.astype(np.uint32)
 
 
 class Hot:
@@ -371,12 +395,13 @@ class Entries:
     def __init__(self, pairs: np.ndarray, triples: np.ndarray, vocab: np.ndarray, hot: Hot, bits: int):
         n = len(vocab)
         mark = np.maximum((_mix(vocab) >> np.uint64(32)).astype(np.uint32), np.uint32(1))
-        hot_word = hot.word(vocab)
-        first, second = pairs // n, pairs % n
-        context, w = triples // n, triples % n
-        u, v = first[context], second[context]
-        key, before, of_v = vocab[v], mark[u], hot_word[v]
-        which = np.where(of_v >= 0, WHOLE, DERIVE).astype(np.int32)
+        hot_word = hot.word(vocab).astype(np.int32)
+        first, second = (x.astype(np.uint32) for x in np.divmod(pairs, n))
+        context, w = (x.astype(np.uint32) for x in np.divmod(triples, n))
+        v = second[context]
+        key, before, of_v = vocab[v], mark[first[context]], hot_word[v]
+        del v
+        which = np.where(of_v >= 0, np.int32(WHOLE), np.int32(DERIVE))
         self.hot_pairs = np.flatnonzero(hot_word[first] >= 0) if len(hot) else np.empty(0, np.int64)  # positions in `pairs`
         if len(hot):
             dealt = lambda base, by, at: _mix(base + (by % hot.fan[at]).astype(np.uint64) * SALT)
@@ -407,6 +432,7 @@ def _hot_pairs(hot: Hot, hot_least: int, trained: int):
         for b in batches:
             for docs, words in zip(*(c.to_pylist() for c in b.columns)):
                 (_, _, held, lengths, flat), (vocab, _) = _arrays(docs), _arrays(words)
+                vocab = _sums(vocab)
                 is_hot, end = hot.word(vocab) >= 0, int(np.searchsorted(vocab, END))
                 flat, train = flat.astype(np.int64), np.repeat(~held.astype(bool), lengths)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -427,6 +453,7 @@ def _triple_routes(bits: int, hot: Hot):
         for b in batches:
             for block, docs, words in zip(*(c.to_pylist() for c in b.columns)):
                 (_, _, held, lengths, flat), (vocab, _) = _arrays(docs), _arrays(words)
+                vocab = _sums(vocab)
                 pairs, pair, triples, of = _ngrams(flat.astype(np.int64), lengths, int(np.searchsorted(vocab, END)), len(vocab))
                 train = np.repeat(~held.astype(bool), lengths)
                 e = Entries(pairs, triples, vocab, hot, bits)
@@ -442,34 +469,47 @@ def _triple_routes(bits: int, hot: Hot):
                         names, at = np.unique(np.concatenate([e.before[nodes], e.mark[i:j]]), return_inverse=True)
                         at = at.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
                         sizes = np.diff(nodes, append=j).astype(np.uint32), np.diff(np.searchsorted(nodes, keys), append=len(nodes)).astype(np.uint32)
-                        rows.append((block, 4, s, _blob(e.key[keys], sizes[1], e.which[nodes], sizes[0], names, at, trained[i:j])))
+                        rows.append((block, 4, s, _blob(_steps(e.key[keys]), sizes[1], e.which[nodes], sizes[0], _steps(names), at, trained[i:j])))
                 for k in range(0, len(rows), 64):
                     yield _rows(rows[k : k + 64])
 
     return run
 
 
+def _summed(keys: np.ndarray, inner: np.ndarray, which: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct (key, inner) in ascending order, with the sum of their counts."""
+    order = np.lexsort((inner, keys))
+    keys, inner = keys[order], inner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (inner[1:] != inner[:-1])
+    at = np.flatnonzero(new)
+    return [keys[at], inner[at], which[order[at]], np.add.reduceat(counts[order], at, dtype=np.int64)]
+
+
 def _triple_shards(hot: Hot, discount: float):
     """Kind 4: codes of a block's triples (and of their pairs) and contexts; kind 5 (block -1): counts and successors of hot contexts."""
 
     def trie_of(asked):
-        keys = np.concatenate([np.repeat(np.repeat(a[0], a[1]), a[3]) for a in asked])
-        inner = np.concatenate([(np.repeat(b, a[3]).astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64) for a in asked for b, w in [_marks(a)]])
-        which = np.concatenate([np.repeat(a[2], a[3]) for a in asked])
-        counts = np.concatenate([a[6] for a in asked]).astype(np.int64)
-        seen = np.flatnonzero(counts)
-        keys, inner, which, counts = keys[seen], inner[seen], which[seen], counts[seen]
-        if not len(keys):
+        parts = [[], [], [], []]
+        for a in asked:
+            seen = np.flatnonzero(a[6])
+            node, (before, mark) = np.repeat(np.arange(len(a[3]), dtype=np.uint32), a[3])[seen], _marks(a)
+            for to, x in zip(parts, (np.repeat(_sums(a[0]), a[1])[node], (before[node].astype(np.uint64) << np.uint64(32)) | mark[seen], a[2][node], a[6][seen])):
+                to.append(x)
+        entries = [np.concatenate(x) for x in parts]
+        del parts
+        if not len(entries[0]):
             return None, []
-        pair = np.flatnonzero(which == DERIVE)
-        keys, inner = np.append(keys, keys[pair]), np.append(inner, inner[pair] & np.uint64(0xFFFFFFFF))
-        which, counts = np.append(which, which[pair]), np.append(counts, counts[pair])
-        order = np.lexsort((inner, keys))
-        keys, inner = keys[order], inner[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (inner[1:] != inner[:-1])
-        at = np.flatnonzero(new)
-        keys, inner, which, counts = keys[at], inner[at], which[order[at]], np.add.reduceat(counts[order], at)
+        triples = _summed(*entries)
+        del entries
+        pair = np.flatnonzero(triples[2] == DERIVE)
+        if len(pair):
+            pairs = _summed(triples[0][pair], triples[1][pair] & np.uint64(0xFFFFFFFF), triples[2][pair], triples[3][pair])
+            triples = [np.concatenate(x) for x in zip(pairs, triples)]  # both ascend, and pairs come first under a key
+            order = np.argsort(triples[0], kind="stable")
+            triples = [x[order] for x in triples]
+            del pairs, order
+        keys, inner, which, counts = triples
         before = (inner >> np.uint64(32)).astype(np.uint32)
         new_key = np.ones(len(keys), bool)
         new_key[1:] = keys[1:] != keys[:-1]
@@ -489,11 +529,12 @@ def _triple_shards(hot: Hot, discount: float):
         trie, known = trie_of([a for _, a in held])
         rows = [(-1, 5, shard, _blob(*k)) for k in known]
         for block, a in held:
-            keys, nodes_in, which, size = a[:4]
+            nodes_in, which, size = a[1:4]
+            keys = _sums(a[0])
             before, mark = _marks(a)
             if trie is None:
                 none = [np.zeros(len(x), np.uint8) for x in (mark, mark, before, keys)]
-                rows.append((block, 4, shard, _blob(*none, np.zeros(256, np.float32), np.zeros(256, np.float32))))
+                rows.append((block, 4, shard, _blob(*none, np.zeros(2), np.zeros(2))))
                 continue
             rank = trie.key(keys)
             context, alone = trie.context(np.repeat(rank, nodes_in), before), trie.context(rank, np.full(len(rank), ALONE))
@@ -507,7 +548,7 @@ def _triple_shards(hot: Hot, discount: float):
 
 def _marks(a: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Marks of the words before (by context) and of the successors of a request."""
-    names, at = a[4], a[5]
+    names, at = _sums(a[4]), a[5]
     return names[at[: len(a[3])]], names[at[len(a[3]) :]]
 
 
@@ -520,7 +561,7 @@ def _block_scores(total: int, types: int, hot: Hot, hot_counts: np.ndarray, hot_
     def answers(rows, e: Entries):
         """By entry: probabilities of triples and of their pairs, back-off weights of the contexts (u, v) and v."""
         parts = [_arrays(r[2]) for r in rows if r[0] == 4]
-        value = lambda codes, book, none: np.where(codes > 0, 10.0 ** book[codes], none)
+        value = lambda codes, book, none: np.where(codes > 0, (10.0 ** _book(book))[codes], none)
         get = lambda k, book, none: np.concatenate([value(a[k], a[book], none) for a in parts])
         node = np.diff(e.node_at, append=len(e.key))
         key = np.diff(e.key_at, append=len(e.key))
@@ -536,6 +577,7 @@ def _block_scores(total: int, types: int, hot: Hot, hot_counts: np.ndarray, hot_
     def finish(rows):
         own = next(r for r in rows if r[0] == 0)
         doc, missing, held, lengths, flat, vocab = _arrays(own[2])
+        vocab = _sums(vocab)
         flat = flat.astype(np.int64)
         count = np.concatenate([_arrays(r[2])[0] for r in rows if r[0] == 1])  # in order of the vocabulary
         base = np.log10((count + 1) / (total + types + 1))
@@ -577,7 +619,7 @@ def _block_scores(total: int, types: int, hot: Hot, hot_counts: np.ndarray, hot_
     return run
 
 
-def score(docs: DataFrame, block_tokens: int = 1_000_000, shard_entries: int = 2_000_000, hot_share: int = 65_536, discount: float = DISCOUNT) -> DataFrame:
+def score(docs: DataFrame, block_tokens: int = 500_000, shard_entries: int = 2_000_000, hot_share: int = 65_536, discount: float = DISCOUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     block_tokens bounds a block (and a worker's memory), shard_entries the mean number of entries in a shard.
