@@ -333,6 +333,7 @@ def _word_shards(hot_least: int):
 
 
 # ---------------------------------------------------------------------------- triples
+ASKED = 200_000  # entries looked up together in a shard
 SALT = np.uint64(0x9E3779B97F4A7C15)
 ALONE = np.uint32(0)  # stands for no word before v
 DERIVE, WHOLE = -1, -2  # contexts (u, v) whose pairs (v, w) are summed in the shard, and those of a hot v, whose pairs are sent
@@ -525,23 +526,33 @@ def _triple_shards(hot: Hot, discount: float):
         of_key = np.append(np.searchsorted(node, key), len(node))
         return Trie(Trie.encode(keys[key], of_key, before[node], of_node, inner.astype(np.uint32), probs, np.minimum(1, discount * successors / total))), [known]
 
+    def answers(shard, trie, some):
+        """Rows of codes for some blocks, which are looked up together."""
+        of_keys, nodes_in, which, size = (np.concatenate(x) for x in zip(*((_sums(a[0]), *a[1:4]) for _, a in some)))
+        before, mark = (np.concatenate(x) for x in zip(*(_marks(a) for _, a in some)))
+        keys, nodes, entries = (np.cumsum([len(a[k]) for _, a in some])[:-1] for k in (0, 3, 6))
+        if trie is None:
+            found, books = [np.zeros(len(x), np.uint8) for x in (mark, mark, before, of_keys)], [np.zeros(2), np.zeros(2)]
+        else:
+            rank = trie.key(of_keys)
+            context, alone = trie.context(np.repeat(rank, nodes_in), before), trie.context(rank, np.full(len(rank), ALONE))
+            lone = np.where(which == DERIVE, np.repeat(alone, nodes_in), -1)
+            found = trie.prob_codes(np.repeat(context, size), mark), trie.prob_codes(np.repeat(lone, size), mark), trie.back_codes(context), trie.back_codes(alone)
+            books = [trie.book, trie.back_book]
+        cut = zip(*(np.split(x, at) for x, at in zip(found, (entries, entries, nodes, keys))))
+        return [(block, 4, shard, _blob(*codes, *books)) for (block, _), codes in zip(some, cut)]
+
     def handle(shard, held):
         trie, known = trie_of([a for _, a in held])
         rows = [(-1, 5, shard, _blob(*k)) for k in known]
+        some, n = [], 0
         for block, a in held:
-            nodes_in, which, size = a[1:4]
-            keys = _sums(a[0])
-            before, mark = _marks(a)
-            if trie is None:
-                none = [np.zeros(len(x), np.uint8) for x in (mark, mark, before, keys)]
-                rows.append((block, 4, shard, _blob(*none, np.zeros(2), np.zeros(2))))
-                continue
-            rank = trie.key(keys)
-            context, alone = trie.context(np.repeat(rank, nodes_in), before), trie.context(rank, np.full(len(rank), ALONE))
-            lone = np.where(which == DERIVE, np.repeat(alone, nodes_in), -1)
-            codes = trie.prob_codes(np.repeat(context, size), mark), trie.prob_codes(np.repeat(lone, size), mark)
-            rows.append((block, 4, shard, _blob(*codes, trie.back_codes(context), trie.back_codes(alone), trie.book, trie.back_book)))
-        return rows
+            some.append((block, a))
+            n += len(a[6])
+            if n >= ASKED:
+                rows += answers(shard, trie, some)
+                some, n = [], 0
+        return rows + (answers(shard, trie, some) if some else [])
 
     return lambda batches: _by_shard(batches, handle)
 
