@@ -252,6 +252,27 @@ def test_without_training_rows(spark):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0)
 
 
+def test_a_shard_answers_blocks_alone_or_together(monkeypatch):
+    rng, rows = np.random.default_rng(5), []
+    vocab = np.sort(np.append(rng.integers(1, 1 << 63, 90, dtype=np.uint64), ngram.END))
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    routes = ngram._triple_routes(1, ngram.Hot(*none, *none, 1000))
+    for block in range(6):
+        flat, lengths, held = rng.integers(0, len(vocab), 400).astype(np.uint32), np.full(8, 50), np.arange(8) < 4 * (block % 3)
+        docs = ngram._blob(np.arange(8), np.zeros(8, bool), held, lengths, flat)
+        own = pa.RecordBatch.from_arrays([pa.array([block]), pa.array([docs]), pa.array([ngram._blob(ngram._steps(vocab), np.ones(len(vocab), np.uint32))])], names=["block", "docs", "vocab"])
+        rows += [r for b in routes([own]) for r in b.to_pylist()]
+    rows = [tuple(r.values()) for r in sorted(rows, key=lambda r: (r["shard"], r["block"]))]
+    got = []
+    for asked in (1, 700, 1_000_000):
+        monkeypatch.setattr(ngram, "ASKED", asked)
+        shards = ngram._triple_shards(ngram.Hot(*none, *none, 1000), 0.75)([ngram._rows(rows)])
+        got.append([r for b in shards for r in b.to_pylist() if r["kind"] == 4])
+    assert got[0] == got[1] == got[2] and [(r["block"], r["shard"]) for r in got[0]] == [(r[0], r[2]) for r in rows]
+    ascending = np.array([3, 3, 9, 1 << 63], np.uint64)
+    assert ngram._sums(ngram._steps(ascending)).tolist() == ascending.tolist() and len(ngram._steps(ascending[:0])) == 0
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, u in ((0, 10), (1, 1), (500, 600), (500, 1 << 64), (500, 1 << 33)):
