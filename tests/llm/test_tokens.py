@@ -1,6 +1,7 @@
 """Encoding, counts, packing and id files against the tokenizer library, and the awkward inputs."""
 
 import hashlib
+import unicodedata
 import zlib
 
 import numpy as np
@@ -43,6 +44,20 @@ def test_ids_equal_the_library(path, speculate):
         assert 0 < enc.merged_words < enc.verified_words
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_combining_marks_in_any_order(path):
+    """Every combining mark of the running Unicode tables, in rows of two and more, among letters that compose and letters that do not."""
+    lib, enc = tokenizers.Tokenizer.from_file(path), bpe.BpeEncoder(path, 5000, False)
+    marks = [chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me")]
+    letters = [*"aeiosnAEC 3-.", "\u00e9", "\u1e0b", "\u0915", "\u0d15", "\uac00", "\u1100", "\u1161", "\u0627", "\u212b", "\U00011131"]
+    rng = np.random.default_rng(31)
+    texts = ["\u0366\u0d3b", "s\u0f35\u0cbce\u08d1\u08ffs\U00010d24\u0bcd", *("".join(("a", *pair)) for pair in zip(marks, marks[1:]))]
+    for _ in range(4000):
+        texts.append("".join(rng.choice(letters if rng.random() < 0.4 else marks) for _ in range(rng.integers(2, 12))))
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == want
+
+
 def test_exact_merging_agrees_with_the_plain_procedure():
     enc = bpe.BpeEncoder(BYTE, 1000)
     words = ["aaaaa", "therewhth", "ouououer", "lowest", " unbelievable", "x" * 40]

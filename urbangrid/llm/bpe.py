@@ -21,7 +21,6 @@ import itertools
 import json
 import re
 import threading
-import unicodedata
 
 import numpy as np
 
@@ -309,7 +308,7 @@ class BpeEncoder:
             self._library = Tokenizer.from_file(self.path)
             self._of_char = {ord(c): b for b, c in enumerate(self._alphabet)}
         if self.lower:
-            text = self._library.normalizer.normalize_str(unicodedata.normalize("NFC", text))
+            text = self._library.normalizer.normalize_str(text)
         return [bytes(self._of_char[ord(c)] for c in piece).decode("utf-8", "surrogatepass") for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
     def segments(self, text: str | None):
