@@ -77,3 +77,32 @@ p AS MATERIALIZED (SELECT i, j FROM b JOIN n a ON a.doc_id = i JOIN n c ON c.doc
 rc(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT p.j, rc.c FROM rc JOIN p ON p.i = rc.id),
 m AS (SELECT id, MIN(c) AS c FROM rc GROUP BY 1)
 SELECT CAST(id AS BIGINT) AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(c AS BIGINT) AS component_id, id = c AS kept FROM m LEFT JOIN n ON n.doc_id = m.id"""
+
+
+# crc32: the polynomial's remainders of all bytes, then a fold over the bytes of the text
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(n AS BIGINT))) AS crc_of"
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, next to a column crc_of."""
+    octets = f"list_transform(range(CAST(octet_length(encode({text})) AS BIGINT)), lambda k: CAST(concat('0x', substr(hex(encode({text})), CAST(2 * k + 1 AS BIGINT), 2)) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def resample_sql(percent: int = 10, least_words: int = 20, buckets: int = 10_000, seed: str = "2024") -> str:
+    """Features of all texts, gains by bucket, scores and ranks; the crc32 of each distinct word is taken once."""
+    upper = "".join(chr(c) for c in range(65, 91))
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    fresh = f"CAST(concat('0x', substr(sha256(concat('{seed}:', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 8)) AS BIGINT)"
+    return f"""WITH c AS ({CRC_TABLE}), d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+u AS MATERIALIZED (SELECT r, unnest(w) AS w FROM d), v AS MATERIALIZED (SELECT unnest({words}) AS w FROM benchmark),
+k AS MATERIALIZED (SELECT w, {crc_sql('w')} % {buckets} AS b FROM (SELECT w FROM u UNION SELECT w FROM v), c),
+s AS (SELECT b, count(*) AS n FROM u JOIN k USING (w) GROUP BY b), t AS (SELECT b, count(*) AS n FROM v JOIN k USING (w) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + CAST(1 AS DOUBLE)) * ((SELECT count(*) FROM u) + CAST({buckets} AS DOUBLE))
+  / ((coalesce(s.n, 0) + CAST(1 AS DOUBLE)) * ((SELECT count(*) FROM v) + CAST({buckets} AS DOUBLE))))) AS BIGINT) AS gain FROM (SELECT DISTINCT b FROM k) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+m AS (SELECT r, CAST(sum(gain) AS BIGINT) AS total FROM u JOIN k USING (w) JOIN g USING (b) GROUP BY r),
+f AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(floor(coalesce(total, 0) / greatest(1, len(w))) AS BIGINT) AS weight,
+  CAST(floor(-1000 * ln(-ln(({fresh} + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS luck FROM d LEFT JOIN m USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {least_words} ORDER BY weight + luck DESC, doc_id NULLS LAST, n_features) AS place,
+  count(*) FILTER (n_features >= {least_words}) OVER () AS n FROM f)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, n_features, weight, weight + luck AS score, CASE WHEN n_features >= {least_words} AND place <= {percent} * n // 100 THEN CAST(place AS BIGINT) END AS rank FROM o"""
