@@ -106,3 +106,30 @@ f AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(floor(coalesc
 o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {least_words} ORDER BY weight + luck DESC, doc_id NULLS LAST, n_features) AS place,
   count(*) FILTER (n_features >= {least_words}) OVER () AS n FROM f)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, n_features, weight, weight + luck AS score, CASE WHEN n_features >= {least_words} AND place <= {percent} * n // 100 THEN CAST(place AS BIGINT) END AS rank FROM o"""
+
+
+def repair_sql() -> str:
+    """Damage, faults, and the cheapest edits row by row: for each state of the automaton the least (cost, audit), with up to two insertions before a row."""
+    insert = "(VALUES (0, 0, 0, '', ''), (0, 2, 5, 'I', 'user:\n'), (0, 3, 10, 'II', 'user:\nassistant:\n'), (1, 1, 0, '', ''), (1, 2, 5, 'I', 'user:\n'), (1, 3, 10, 'II', 'user:\nassistant:\n'), (2, 2, 0, '', ''), (2, 3, 5, 'I', 'assistant:\n'), (3, 3, 0, '', ''), (3, 2, 5, 'I', 'user:\n')) AS n(q, p, cost, audit, line)"
+    row = "(VALUES (0, 's', 1, 'K'), (0, 'u', 2, 'K'), (1, 'u', 2, 'K'), (3, 'u', 2, 'K'), (2, 'a', 3, 'K'), (0, NULL, 2, 'R'), (1, NULL, 2, 'R'), (3, NULL, 2, 'R'), (2, NULL, 3, 'R'), (0, NULL, 0, 'D'), (1, NULL, 1, 'D'), (2, NULL, 2, 'D'), (3, NULL, 3, 'D')) AS t(q, initial, p, letter)"
+    return f"""WITH RECURSIVE c AS ({CRC_TABLE}),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+h AS MATERIALIZED (SELECT k.*, {crc_sql('key')} % 20 AS kind FROM k, c),
+e AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0)),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM e),
+g AS MATERIALIZED (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+  WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS wrong, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS after FROM f),
+s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (wrong = 1) AS blank, count(*) FILTER (wrong = 2) AS duplicate, count(*) FILTER (wrong = 3) AS truncated,
+  count(*) FILTER (after IS NOT NULL AND concat(initial, '-', after) NOT IN ('s-u', 'u-a', 'a-u')) AS illegal FROM g GROUP BY conv_id),
+w(conv_id, i, q, best) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'told': ''}} FROM g
+ UNION ALL SELECT w.conv_id, w.i + 1, t.p, min({{'cost': CAST(w.best.cost + n.cost + CASE t.letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN t.letter <> 'D' AND g.wrong = 3 THEN 5 ELSE 0 END AS BIGINT),
+   'audit': w.best.audit || n.audit || t.letter, 'told': w.best.told || n.line || CASE t.letter WHEN 'D' THEN '' ELSE concat(CASE WHEN t.letter = 'K' THEN g.role WHEN t.p = 2 THEN 'user' ELSE 'assistant' END, ':', g.text, chr(10)) END}})
+ FROM w JOIN {insert} ON n.q = w.q JOIN {row} ON t.q = n.p JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1
+ WHERE (t.letter <> 'K' OR t.initial = g.initial) AND (t.letter = 'D' OR g.wrong NOT IN (1, 2)) GROUP BY w.conv_id, w.i + 1, t.p),
+z AS (SELECT w.conv_id, min({{'cost': w.best.cost + n.cost, 'audit': w.best.audit || n.audit, 'told': w.best.told || n.line}}) AS best
+  FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i JOIN {insert} ON n.q = w.q WHERE n.p IN (0, 3) GROUP BY w.conv_id)
+SELECT CAST(o.conv_id AS BIGINT) AS conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(z.best.cost, 0) AS BIGINT) AS cost, coalesce(z.best.audit, '') AS audit,
+  sha256(coalesce(left(z.best.told, CAST(greatest(0, length(z.best.told) - 1) AS BIGINT)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id"""

@@ -83,10 +83,17 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_scores, op3_embedding_near_dedup, op4_simhash_fingerprints, op5_minhash_near_dedup, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op9_quality_classifier, op10_token_id_files, op11_importance_resampling)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_scores, op3_embedding_near_dedup, op4_simhash_fingerprints, op5_minhash_near_dedup, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op9_quality_classifier, op10_token_id_files, op11_importance_resampling, op12_conversation_repair)}
 ORACLES: dict[str, str] = {
     "op1_secret_scan": oracles.secrets_sql(),
     "op3_embedding_near_dedup": oracles.embeddings_sql(),
     "op5_minhash_near_dedup": oracles.near_duplicates_sql(),
     "op11_importance_resampling": oracles.resample_sql(),
+    "op12_conversation_repair": oracles.repair_sql(),
 }
