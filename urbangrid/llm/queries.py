@@ -89,7 +89,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_scores, op3_embedding_near_dedup, op4_simhash_fingerprints, op5_minhash_near_dedup, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op9_quality_classifier, op10_token_id_files, op11_importance_resampling, op12_conversation_repair)}
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_scores, op3_embedding_near_dedup, op4_simhash_fingerprints, op5_minhash_near_dedup, op6_bpe_speculate_verify, op7_token_counts, op8_packing, op9_quality_classifier, op10_token_id_files, op11_importance_resampling, op12_conversation_repair, op13_sharding)}
 ORACLES: dict[str, str] = {
     "op1_secret_scan": oracles.secrets_sql(),
     "op3_embedding_near_dedup": oracles.embeddings_sql(),
