@@ -206,6 +206,24 @@ def test_positions_of_hot_groups_and_common_prefixes(spark):
     assert len(rows) == 3000 and io.dense_position(df.limit(0), ["g"], ["k"]).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_positions_do_not_hang_on_the_partitions(spark, parts):
+    rng = np.random.default_rng(parts)
+    pick = lambda values: values[rng.integers(len(values))]
+    rows = [(pick([None, "a", "b", "hot", "hot", "hot", "\u00e9"]), pick([None, 1.5, float("nan"), float("-inf"), 2.0]), pick([None, -3, 5, 2**62]), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, v double, k long, position_id long")
+    key = lambda x: (x is not None, 0 if x is None else 1 if x != x else 0, 0 if x is None or x != x else x)
+    for groups in (["g"], [], ["g", "k"]):
+        at = {"g": 0, "k": 2}
+        count, want = {}, {}
+        for r in sorted(rows, key=lambda r: ([*map(key, (r[at[g]] for g in groups))], key(r[1]), key(r[2]), r[3])):
+            own = tuple(r[at[g]] for g in groups)
+            want[r[3]] = count[own] = count.get(own, -1) + 1
+        got = io.dense_position(df.repartition(parts), groups, ["v", "k", "position_id"])
+        assert got.columns == [*df.columns, "position"]
+        assert {r.position_id: r.position for r in got.collect()} == want
+
+
 def test_components_equal_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) + 5
