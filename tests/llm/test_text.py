@@ -501,3 +501,57 @@ def test_pair_terms_catch_what_single_features_cannot():
     with_pairs, alone = quality.fit(x[:3000], y[:3000]), quality.fit(x[:3000], y[:3000], n_pairs=0)
     hit = lambda m: ((m.scores(x[3000:]) > 0.5) == y[3000:]).mean()
     assert hit(with_pairs) > 0.9 > 0.7 > hit(alone)
+
+
+# ---------------------------------------------------------------- repeated ids
+def classes_by_rows(n, linked):
+    """For each row the number of its links, and a name of its component."""
+    of = [*range(n)]
+    links = [0] * n
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                links[i] += 1
+                links[j] += 1
+                a, b = of[i], of[j]
+                of = [b if c == a else c for c in of]
+    return links, of
+
+
+def least_ids(ids, of):
+    known = {c: [ids[k] for k in range(len(ids)) if of[k] == c and ids[k] is not None] for c in of}
+    return [min(known[c], default=None) for c in of]
+
+
+A = " ".join(f"alpha{i}" for i in range(40))
+B = " ".join(f"beta{i}" for i in range(40))
+REPEATED = [(3, A), (3, B), (5, A.replace("alpha39", "omega")), (3, A), (9, B + " more"), (9, None), (None, A + " tail"), (None, "nothing like it at all"), (2, "lone words of two"), (2, A[::-1]), (9, "lone words of two")]
+
+
+@pytest.mark.parametrize("order", ["given", "reversed", "shuffled"])
+def test_repeated_ids_are_rows_of_their_own(spark, order):
+    rows = {"given": REPEATED, "reversed": REPEATED[::-1], "shuffled": [REPEATED[k] for k in np.random.default_rng(4).permutation(len(REPEATED))]}[order]
+    sets = [set(minhash.shingle_set(t, 3).tolist()) for _, t in rows]
+    _, of = classes_by_rows(len(rows), lambda i, j: sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+    ids = [d for d, _ in rows]
+    want = Counter((d, len(x), c, None if d is None or c is None else d == c) for d, x, c in zip(ids, sets, least_ids(ids, of)))
+    got = minhash.near_duplicates(frame(spark, rows).repartition(3))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == want
+    assert want[3, 38, 3, True] == 3 and want[5, 38, 3, False] == 1
+    # one row of each group stays, whatever the order: the first by id and text
+    kept = minhash.keep_one(frame(spark, rows).repartition(3))
+    key = lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1] is not None, rows[k][1] or "")
+    first = {c: min((k for k in range(len(rows)) if of[k] == c), key=key) for c in of}
+    assert Counter((r.doc_id, r.text, r.spans) for r in kept.collect()) == Counter((*rows[k], "x") for k in first.values())
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_repeated_vector_ids_are_rows_of_their_own(spark, backwards):
+    rows = [(1, [1.0, 0, 0, 0]), (1, [0, 1.0, 0, 0]), (2, [1, 0.01, 0, 0]), (1, [2.0, 0, 0, 0]), (4, [0, 0.99, 0.01, 0]), (None, [0, 0, 0, 1.0]), (None, [0, 1.0, 0.02, 0]), (0, [0, 0, 1.0, 0]), (0, [0.0, 0, 0, 0]), (7, [0, 0, 1.0, 0.3])][:: -1 if backwards else 1]
+    rows = [(d, [*map(float, v)]) for d, v in rows]
+    unit = [np.array(v) / (np.linalg.norm(v) or 1) for _, v in rows]
+    links, of = classes_by_rows(len(rows), lambda i, j: unit[i] @ unit[j] >= 0.9)
+    ids = [d for d, _ in rows]
+    want = Counter((d, n, c, None if d is None or c is None else d == c) for d, n, c in zip(ids, links, least_ids(ids, of)))
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()) == want

@@ -18,8 +18,8 @@ Equal vectors form a class and are posted once.  A pair counts in the first tabl
 spanning forest of the links, never all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing (their component is
-themselves); vectors of different length do not link; repeated ids are vectors of their own row with the same id (they link as equal
-vectors do); an empty table gives an empty table; other columns are not read.
+themselves); vectors of different length do not link; a repeated id is a vector of its own on each row, whose links are those
+of the row's vector; a row without id takes part in links and has no component (null) where it reaches no id; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -119,7 +119,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if p is None else hashlib.blake2b(p, digest_size=16).digest() for p in packed], pa.binary()), pa.array(packed, pa.binary())], names=["vec_id", "key", "unit"])
 
     drawn = written(rows.mapInArrow(units, "vec_id long, key binary, unit binary"), "units")
-    classes = written(drawn.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("unit").alias("unit")), "unit-classes")
+    # a class is named by a number of its own: two vectors whose rows bear one id are two classes
+    classes = drawn.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"), F.first("unit").alias("unit"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "unit-classes")
     bits, tables = layout(classes.count(), limit, recall)
 
     each = -(-bits // 8)  # bytes of a table's value
@@ -257,7 +259,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = written(exact.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "x long, y long, k long"), "links")
     parts = connected_components(found.filter("y is not null"), "x", "y")
     sums = found.filter("k is not null").groupBy("x").agg(F.sum("k").alias("k"))
-    named = classes.select("key", "id", "w").join(sums, F.col("id") == F.col("x"), "left").join(parts, F.col("id") == F.col("node"), "left")
-    named = named.select("key", (F.col("w") - 1 + F.coalesce("k", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("component"))
+    least = parts.join(classes.select("id", "least"), F.col("node") == F.col("id")).groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = parts.join(least, "component").select("node", "component_id")
+    named = classes.select("key", "id", "w", "least").join(sums, F.col("id") == F.col("x"), "left").join(reached, F.col("id") == F.col("node"), "left")
+    named = named.select("key", (F.col("w") - 1 + F.coalesce("k", F.lit(0))).alias("n"), F.coalesce("component_id", "least").alias("component"))
     component = F.coalesce("component", "vec_id")
     return drawn.select("vec_id", "key").join(named, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))

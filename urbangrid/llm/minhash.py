@@ -14,8 +14,8 @@
 The chance to miss a pair lies in the signature alone: at the limit of 0.85, 45 of 64 coordinates are missed about once in 2,000 pairs, and far less above it.
 
 Defined results: null or empty texts (or texts of white space) have an empty set, are kept and linked with nothing; with fewer words than a
-shingle the whole sequence is one; repeated rows and equal texts are linked; a repeated id is one document on a row each; an empty
-table gives an empty table.  A row without id has no component in `near_duplicates`; `keep_one` numbers it and keeps one document of each group.
+shingle the whole sequence is one; repeated rows and equal texts are linked; a repeated id is a document of its own on each row, whose links are those of the
+row's text; a row without id takes part in links, and has no component (null) where it reaches no id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..sources.io import dense_position
 from .common import likely_among, whole_texts, written
 
 COORDINATES, LEAST, CHUNK = 64, 45, 1024
@@ -81,26 +82,31 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return shingles[best]
 
 
+def _keyed_texts(docs: DataFrame) -> DataFrame:
+    return whole_texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+
+
 def sketches(docs: DataFrame, n: int, prefix: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set; null: empty), keys (posting keys, 8 bytes each), sig (16 bits of each coordinate)."""
+    """doc_id, row_key (of id and text), n_shingles, set_key (digest of the set; null: empty), keys (posting keys, 8 bytes each), sig (16 bits of each coordinate)."""
     spread = np.arange(1, prefix + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t, n) for t in b.column(1).to_pylist()]
+            sets = [shingle_set(t, n) for t in b.column(2).to_pylist()]
             sigs = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
+                    b.column(1),
                     pa.array([*map(len, sets)], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([None if g is None else _mix(g[:prefix] ^ spread).astype("<u8").tobytes() for g in sigs], pa.binary()),
                     pa.array([None if g is None else (g >> np.uint64(48)).astype("<u2").tobytes() for g in sigs], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "keys", "sig"],
+                names=["doc_id", "row_key", "n_shingles", "set_key", "keys", "sig"],
             )
 
-    return whole_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys binary, sig binary")
+    return _keyed_texts(docs).mapInArrow(run, "doc_id long, row_key long, n_shingles long, set_key binary, keys binary, sig binary")
 
 
 def _roots(n: int):
@@ -211,15 +217,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     prefix = COORDINATES - least + 1
     drawn = written(sketches(docs, shingle, prefix), "sketches")
-    classes = written(drawn.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_set"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sig", "doc_id").alias("sig")), "classes")
+    # a class is named by a number of its own: two sets whose rows bear one id are two classes
+    classes = drawn.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_set"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     key = F.conv(F.hex(F.substring("keys", F.col("at") * 8 + 1, F.lit(8))), 16, -10).cast("long")
-    posted = classes.select(F.col("rep").alias("id"), "n_set", "keys", F.explode(F.sequence(F.lit(0), F.lit(prefix - 1))).alias("at")).select("id", "n_set", "at", key.alias("key"))
+    posted = classes.select("id", "n_set", "keys", F.explode(F.sequence(F.lit(0), F.lit(prefix - 1))).alias("at")).select("id", "n_set", "at", key.alias("key"))
     sizes = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_set").alias("n_set")).filter("n > 1")
     # a chunk holds about `chunk` members and, where their sets are needed, about chunk_shingles of their shingles
     deal = F.least("n", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("n_set") / chunk_shingles))).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int")
-    marks = classes.select(F.col("rep").alias("id"), "keys", "sig")
+    marks = classes.select("id", "keys", "sig")
     members = posted.drop("n_set").join(sizes.withColumn("chunks", deal), "key").withColumn("c", own).join(marks, "id")
     early, late = F.substring("keys", F.lit(1), F.col("at") * 8), F.substring("sig", F.col("at") * 2 + 1, F.lit(2 * COORDINATES))
     blocks = members.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")).select(
@@ -234,9 +242,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    wanted = written(wanted, "wanted")
-    texts = likely_among(whole_texts(docs), "doc_id", wanted)
-    sets = written(texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(as_sets, "id long, shingles binary"), "sets")
+    wanted = written(wanted.join(classes.select("id", "row_key"), "id"), "wanted")
+    # one text for each class asked for; equal rows meet before they are shuffled
+    texts = likely_among(_keyed_texts(docs), "row_key", wanted.select("row_key")).groupBy("row_key").agg(F.first("text").alias("text"))
+    sets = written(texts.join(wanted.hint("merge"), "row_key").select("id", "text").mapInArrow(as_sets, "id long, shingles binary"), "sets")
     tested = written(_confirm(pairs, sets, percent), "tested")
     links = tested.filter("linked").select("x", "y")
     open_ = tested.filter("not linked").select("key", "i", "j").distinct()
@@ -245,29 +254,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
         links = links.unionByName(written(_blocks(settled, least, percent).select("x", "y"), "links"))
     parts = connected_components(links, "x", "y")
 
-    named = classes.select("set_key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return drawn.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    ids = classes.select("id", "least")
+    least = parts.join(ids, F.col("node") == F.col("id")).groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = parts.join(least, "component").select("node", "component_id")
+    named = classes.select("set_key", "id", "least").join(reached, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component_id", "least").alias("component"))
+    component = F.coalesce("component", "doc_id")
+    return drawn.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows, with their columns, of one document of each group: the one with the smallest id.
 
-    A row without id is a document of its own and comes after all ids: it is dropped where a near-duplicate with an id, or an earlier row without one, stays.
+    Each row is a document: of rows that share an id, the one whose text comes first goes before the others, and rows without id come after all ids.
+    Rows with an empty set stay, each of them.
     """
-    numbered = _numbered(docs)
-    found = near_duplicates(numbered.select(F.col("__id").alias("doc_id"), "text"), **options)
-    kept = found.filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return numbered.join(kept.hint("merge"), F.col("__id") == F.col("__kept"), "left_semi").select(*docs.columns)
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds __id: the id, or for a row without one a number above all ids."""
-    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    top, without = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(-1)), F.count_if(F.col("doc_id").isNull())).first()
-    if not without:
-        return own
-    # written, so that a row keeps its number; a number is task and place in the task, closed up to stay near the number of rows
-    rows = written(docs.filter("doc_id is null").withColumn("__row", F.monotonically_increasing_id()), "without-id")
-    task, place = F.shiftright("__row", 33), F.col("__row").bitwiseAND((1 << 33) - 1)
-    most = rows.agg(F.max(place) + 1).first()[0]
-    return own.filter("doc_id is not null").unionByName(rows.withColumn("__id", F.lit(top).cast("long") + 1 + task * most + place).drop("__row"))
+    n, with_id, ids = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct(F.col("doc_id").cast("long"))).first()
+    if n == with_id == ids:
+        numbered = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("position"), "text")
+    else:  # ids that do not tell rows apart give way to positions
+        numbered = dense_position(docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "text"), [], ["none", "id", "text"])
+    found = near_duplicates(numbered.select(F.col("position").alias("doc_id"), "text"), **options)
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept"))
+    return numbered.join(kept.hint("merge"), F.col("position") == F.col("kept"), "left_semi").select("row.*")
