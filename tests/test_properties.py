@@ -280,10 +280,11 @@ def test_percolation_by_tiles_equals_labels_of_the_whole_raster(spark, tile):
     hs, ds = [0.0, 12.0, 25.0, 90.0], [0.0, 0.25, 0.4, 0.6, 0.8, 2.0]
     got = {(r.h_id, r.d_id): round(r.value, 9) for r in masks.percolation_2d(px, hs, ds, tile=tile).collect()}
     assert len(got) == len(hs) * len(ds)
+    sizes = {}
     for i, least in enumerate(hs):
         for j, d in enumerate(ds):
             left = {(y, x) for y, x, a, b in rows if a >= least and (b or 0.0) >= d}
-            total, largest = len(left), 0
+            total, largest, found = len(left), 0, []
             while left:
                 todo, n = [left.pop()], 0
                 while todo:
@@ -293,4 +294,46 @@ def test_percolation_by_tiles_equals_labels_of_the_whole_raster(spark, tile):
                     left -= near
                     todo += near
                 largest = max(largest, n)
+                found.append(n)
             assert got[i, j] == round(largest / total if total else 1.0, 9)
+            sizes[i, j] = found
+    for i, least in enumerate(hs[:3]):
+        entropy = {r.d_id: r.value for r in masks.percolation(px, ds, least, "entropy", tile=tile).collect()}
+        for j in range(len(ds)):
+            n = sum(sizes[i, j])
+            assert entropy[j] == pytest.approx(sum(s / n * np.log(s / n) for s in sizes[i, j]), abs=1e-9)
+
+
+def test_runs_make_the_clusters_of_cells():
+    rng = np.random.default_rng(12)
+    for density, shape in ((0.1, (30, 40)), (0.45, (40, 40)), (0.7, (25, 60)), (1.0, (5, 5)), (0.5, (1, 50)), (0.5, (50, 1))):
+        y, x = np.nonzero(rng.random(shape) < density)
+        y, x = y - 7, x + 11
+        first, of = masks.clusters_of_runs(y, x)
+        left, want = {p: i for i, p in enumerate(zip(y.tolist(), x.tolist()))}, {}
+        for start in list(left):
+            if start in left:
+                at, todo = left.pop(start), [start]
+                want[at] = at
+                while todo:
+                    cy, cx = todo.pop()
+                    for p in ((cy + dy, cx + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
+                        if p in left:
+                            want[left.pop(p)] = at
+                            todo.append(p)
+        assert first[of].tolist() == [want[i] for i in range(len(y))]
+
+
+def test_percolation_on_the_whole_grid_of_limits(spark, sf_dir):
+    """901 x 891 pairs; some of them against labels of the whole raster."""
+    got = {(r.h_id, r.d_id): r.value for r in all_queries()[0]["q07_percolation_grid"](spark, sf_dir).collect()}
+    assert len(got) == 901 * 891
+    from urbangrid.sources.fixtures import fixture
+
+    px = fixture(spark, sf_dir, "f2").select("y", "x", "height", "footprint").toPandas()
+    rng = np.random.default_rng(2)
+    for i, j in [(0, 0), (900, 890), *zip(rng.integers(0, 901, 40).tolist(), rng.integers(0, 891, 40).tolist())]:
+        some = px[(px.height >= 2.0 + 18.0 * i / 900) & (px.footprint >= 0.01 + 0.89 * j / 890)].sort_values(["y", "x"])
+        first, of = masks.clusters_of_runs(some.y.to_numpy(), some.x.to_numpy())
+        sizes = np.bincount(first[of]) if len(some) else [1]
+        assert got[i, j] == pytest.approx(max(sizes) / max(1, len(some)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..sources.shared import stored
 from .components import connected_components
+from .percolation import curves
 
 
 def set_nodata(px: DataFrame, lower: float | None = None, higher: float | None = None, value: str = "value") -> DataFrame:
@@ -53,6 +53,35 @@ def _joined_labels(rim: DataFrame, keys) -> DataFrame:
     return connected_components(_crossing(rim, keys).select(node("local").alias("src"), node("other").alias("dst")))
 
 
+def clusters_of_runs(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first cell of each cluster's first run, run of each cell) for cells in order of y and x: first[run] is the first cell of the run's cluster.
+
+    Cells of a row side by side are a run; runs of neighbouring rows that touch (8 neighbours) are found by two searches in the sorted runs, and
+    whole arrays of runs take the least root of what they touch until nothing changes.
+    """
+    if not len(y):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    fresh = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)])
+    begin, of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    end = np.concatenate([begin[1:], [len(y)]]) - 1
+    row, wide = y[begin] - y[0], int(x.max() - x.min()) + 4
+    left, right = row * wide + x[begin] - x.min() + 1, row * wide + x[end] - x.min() + 1
+    lo, hi = np.searchsorted(right, left + wide - 1), np.searchsorted(left, right + wide + 1, side="right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(begin)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    root = np.arange(len(begin))
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            return begin[root], of
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while ((up := root[root]) != root).any():
+            root = up
+
+
 def connected_cells(cells: DataFrame, keys: tuple = (), tile: int = 256) -> DataFrame:
     """keys, y, x, label: 8-neighbour clusters of the given cells; a label is (y << 32 | x) of the cluster's first cell.
 
@@ -66,21 +95,8 @@ def connected_cells(cells: DataFrame, keys: tuple = (), tile: int = 256) -> Data
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
         order = np.lexsort((x, y))
         y, x = y[order], x[order]
-        at = {p: i for i, p in enumerate(zip(y.tolist(), x.tolist()))}
-        root = [*range(len(y))]
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for (cy, cx), i in at.items():
-            for n in ((cy - 1, cx - 1), (cy - 1, cx), (cy - 1, cx + 1), (cy, cx - 1)):
-                if (j := at.get(n)) is not None:
-                    p, q = find(i), find(j)
-                    root[max(p, q)] = min(p, q)
-        top = np.array([find(i) for i in range(len(y))], dtype=np.int64)
+        first, of = clusters_of_runs(y, x)
+        top = first[of]
         cols = [pa.chunked_array([c]) if not isinstance(c, pa.ChunkedArray) else c for c in (table.column(k) for k in keys)]
         return pa.Table.from_arrays([*(c.take(pa.array(order)) for c in cols), pa.array(y), pa.array(x), pa.array((y[top] << 32) | (x[top] & 0xFFFFFFFF) if len(y) else np.empty(0, np.int64))], names=[*keys, "y", "x", "local"])
 
@@ -110,83 +126,18 @@ def cluster_entropy(sizes: DataFrame, keys: tuple = ()) -> DataFrame:
     return sizes.groupBy(*keys).agg(F.coalesce(F.try_divide(part, total) - F.ln(total), F.lit(0.0)).alias("entropy"))
 
 
-def percolation(px: DataFrame, ds: list[float], h_min: float, criterion: str = "share") -> DataFrame:
-    """d_id, d, value: share or entropy of the clusters of height >= h_min and footprint >= d, for each d; the threshold is a key of one plan."""
-    spark = px.sparkSession
-    tried = spark.createDataFrame([(i, float(d)) for i, d in enumerate(ds)], "d_id int, d double")
-    urban = px.filter(F.coalesce("height", F.lit(0.0)) >= h_min).select("y", "x", F.coalesce("footprint", F.lit(0.0)).alias("f"))
-    cells = urban.select("y", "x", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(ds) - 1)), lambda i: F.array(*map(F.lit, map(float, ds)))[i] <= F.col("f"))).alias("d_id")) if ds else urban.limit(0).withColumn("d_id", F.lit(0))
-    sizes = cluster_sizes(connected_cells(cells, ("d_id",)), ("d_id",))
-    value = (max_cluster_share if criterion == "share" else cluster_entropy)(sizes, ("d_id",)).toDF("d_id", "value")
-    return tried.join(value, "d_id", "left").select("d_id", "d", F.coalesce("value", F.lit(1.0 if criterion == "share" else 0.0)).alias("value"))
+def percolation(px: DataFrame, ds: list[float], h_min: float, criterion: str = "share", tile: int = 256) -> DataFrame:
+    """d_id, d, value: share or entropy of the clusters of height >= h_min and footprint >= d, for each d, from one component tree."""
+    tried = px.sparkSession.createDataFrame([(i, float(d)) for i, d in enumerate(ds)], "d_id int, d double")
+    return tried.join(curves(px, [h_min], ds, criterion, tile).select("d_id", "value"), "d_id")
 
 
 def percolation_2d(px: DataFrame, hs: list[float], ds: list[float], tile: int = 256) -> DataFrame:
-    """h_id, h, d_id, d, value: largest-cluster share on a grid of thresholds.
-
-    For one h the masks of rising d nest, so a tile adds its cells once in falling order of footprint (union-find) and reads off all d.  Of a d it gives its number of
-    cells, its clusters that reach the rim, the largest that does not, and the labels of the rim's cells; only these are joined over tile borders.  A task holds
-    the cells of one tile at one h, so neither a large region nor a fine grid of thresholds meets in one task.
-    """
-    spark, levels = px.sparkSession, np.array(sorted(ds))
-    tried = spark.createDataFrame([(i, float(h)) for i, h in enumerate(hs)], "h_id int, h double")
-    keep = F.filter(F.sequence(F.lit(0), F.lit(len(hs) - 1)), lambda i: F.array(*map(F.lit, map(float, hs)))[i] <= F.coalesce("height", F.lit(0.0)))
-    cells = px.select(F.explode(keep).alias("h_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce("footprint", F.lit(0.0)).alias("f"))
-
-    def sweep(key, table):
-        h, y, x, f = key[0].as_py(), *(table.column(c).to_numpy() for c in ("y", "x", "f"))
-        order = np.argsort(-f, kind="stable")
-        y, x, f = y[order], x[order], f[order]
-        rim = np.flatnonzero(np.isin(y % tile, (0, tile - 1)) | np.isin(x % tile, (0, tile - 1)))
-        ys, xs = y.tolist(), x.tolist()
-        at, root, size, done, out = {}, [*range(len(y))], [1] * len(y), 0, []
-        outer = np.zeros(len(y), bool)
-        outer[rim] = True
-        outer, inside = outer.tolist(), []  # whether a root's cluster reaches the rim; heap of clusters that did not when they grew
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for k in range(len(levels) - 1, -1, -1):
-            stop = int(np.searchsorted(-f, -levels[k], side="right"))
-            for i in range(done, stop):
-                at[ys[i], xs[i]] = i
-                for dy in (-1, 0, 1):
-                    for dx in (-1, 0, 1):
-                        if (j := at.get((ys[i] + dy, xs[i] + dx))) is not None and (p := find(i)) != (q := find(j)):
-                            if size[p] < size[q]:
-                                p, q = q, p
-                            root[q] = p
-                            size[p] += size[q]
-                            outer[p] |= outer[q]
-                if not outer[p := find(i)]:
-                    heapq.heappush(inside, (-size[p], p))
-            done = stop
-            own = rim[: np.searchsorted(rim, stop)]
-            tops = np.array([find(i) for i in own.tolist()], np.int64)
-            reach = set(tops.tolist())
-            while inside and (root[inside[0][1]] != inside[0][1] or outer[inside[0][1]] or size[inside[0][1]] != -inside[0][0]):
-                heapq.heappop(inside)
-            inner = inside[0][1] if inside else None
-            code = lambda i: (y[i] << 32) | (x[i] & 0xFFFFFFFF)
-            clusters = np.array(sorted(reach) + ([] if inner is None else [inner]), np.int64)
-            parts = [(0, y[:1], x[:1], np.zeros(1, np.int64), np.array([stop])), (1, y[clusters], x[clusters], code(clusters), np.array([size[i] for i in clusters], np.int64)), (2, y[own], x[own], code(tops), np.zeros(len(own), np.int64))]
-            out += [pa.table({"h_id": pa.array(np.full(len(n), h), pa.int32()), "d_id": pa.array(np.full(len(n), k), pa.int32()), "kind": pa.array(np.full(len(n), kind), pa.int32()), "y": cy, "x": cx, "label": label, "n": n}) for kind, cy, cx, label, n in parts]
-        return pa.concat_tables(out)
-
-    keys = ["h_id", "d_id"]
-    tiled = cells.groupBy("h_id", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx")).applyInArrow(sweep, "h_id int, d_id int, kind int, y long, x long, label long, n long")
-    found = stored(tiled, "percolation")
-    parts = _joined_labels(found.filter("kind = 2").select(*keys, "y", "x", F.col("label").alias("local")), keys)
-    node = F.struct(*keys, "label")
-    sums = found.filter("kind = 1").withColumn("node", node).join(parts, "node", "left").groupBy(*keys, F.coalesce("component", "node").alias("cluster")).agg(F.sum("n").alias("n"))
-    largest = sums.groupBy(*keys).agg(F.max("n").alias("largest"))
-    value = found.filter("kind = 0").groupBy(*keys).agg(F.sum("n").alias("n")).join(largest, keys, "left").select(*keys, F.try_divide("largest", "n").alias("value"))
-    grid = tried.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1)))).withColumn("d", F.array(*map(F.lit, levels.tolist()))[F.col("i")]).withColumnRenamed("i", "d_id")
-    return grid.join(value, keys, "left").select("h_id", "h", "d_id", "d", F.coalesce("value", F.lit(1.0)).alias("value"))
+    """h_id, h, d_id, d, value: largest-cluster share on a grid of thresholds (see percolation.curves); d_id counts the ds in rising order."""
+    spark, levels = px.sparkSession, sorted(map(float, ds))
+    h = spark.createDataFrame([(i, float(v)) for i, v in enumerate(hs)], "h_id int, h double")
+    d = spark.createDataFrame([*enumerate(levels)], "d_id int, d double")
+    return curves(px, hs, levels, "share", tile).join(h, "h_id").join(d, "d_id").select("h_id", "h", "d_id", "d", "value")
 
 
 def otsu(df: DataFrame, value: str = "v") -> DataFrame:

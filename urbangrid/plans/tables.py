@@ -255,6 +255,12 @@ def q07_percolation_2d(spark, d):
     return Q.percolation_2d(_f2(spark, d), [25.0, 35.0], [0.6, 0.7, 0.8]).select("h_id", "d_id", _r("value"))
 
 
+@query()
+def q07_percolation_grid(spark, d):
+    """The whole grid of 901 x 891 limits, over the whole raster."""
+    return Q.percolation_2d(_f2(spark, d), [2.0 + 18.0 * i / 900 for i in range(901)], [0.01 + 0.89 * i / 890 for i in range(891)]).select("h_id", "d_id", "value")
+
+
 _D1 = "cell0 AS (SELECT d_id AS k, y, x FROM f2, (VALUES (0, 0.5), (1, 0.7), (2, 0.9)) d(d_id, d) WHERE height >= 20 AND footprint >= d)"
 
 
