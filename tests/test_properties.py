@@ -174,13 +174,14 @@ def test_maps_hold_every_cell(spark, sf_dir):
     assert len(set(got)) == len(got) and {v for v, _, _ in got} == {"footprint", "height"}
 
 
-def test_holes_take_the_nearest_value(spark):
+@pytest.mark.parametrize(("strip", "columns"), [(8, 8), (16, 1000), (1000, 4)])
+def test_holes_take_the_nearest_value(spark, strip, columns):
     rng = np.random.default_rng(2)
     cells = {(b, y, x): None if (b == "a" and 5 <= y < 45 and 3 <= x < 40) or rng.random() < 0.2 else float(y * 100 + x) for b in "abc" for y in range(50) for x in range(45) if rng.random() < 0.9}
     cells.update({k: None for k in cells if k[0] == "c"})
     cells["b", 400, 3] = None  # far from all others
     px = spark.createDataFrame([(*k, float("nan") if v is None and k[1] % 2 else v) for k, v in cells.items()], "band string, y long, x long, value double")
-    got = {(r.band, r.y, r.x): r.value for r in patches.fill_nan_nearest(px, block=4, keys=("band",)).collect()}
+    got = {(r.band, r.y, r.x): r.value for r in patches.fill_nan_nearest(px, keys=("band",), strip=strip, columns=columns).collect()}
     valid = {b: np.array([(y, x, v) for (k, y, x), v in cells.items() if k == b and v is not None]) for b in "abc"}
     for (b, y, x), v in cells.items():
         if v is None and len(valid[b]):
@@ -190,6 +191,24 @@ def test_holes_take_the_nearest_value(spark):
     assert not got
 
 
+def test_a_wide_hole(spark):
+    """A hole of 1,000 x 1,000 cells in a frame two cells wide: every cell of it is filled, sampled ones are compared with all of the frame."""
+    n = 1004
+    side = spark.range(n * n).select(F.floor(F.col("id") / n).alias("y"), (F.col("id") % n).alias("x"))
+    inner = F.col("y").between(2, n - 3) & F.col("x").between(2, n - 3)
+    px = side.withColumn("value", F.when(~inner, (F.col("y") * 10_000 + F.col("x")).cast("double")))
+    got = patches.fill_nan_nearest(px, strip=256).toPandas()
+    assert len(got) == n * n and got.value.notna().all()
+    value = np.empty((n, n))
+    value[got.y, got.x] = got.value
+    frame = np.array([(y, x) for y in range(n) for x in range(n) if not (2 <= y <= n - 3 and 2 <= x <= n - 3)])
+    rng = np.random.default_rng(8)
+    for y, x in [*rng.integers(2, n - 2, (300, 2)).tolist(), (501, 501), (502, 502), (501, 502)]:
+        d2 = (frame[:, 0] - y) ** 2 + (frame[:, 1] - x) ** 2
+        k = np.lexsort((frame[:, 1], frame[:, 0], d2))[0]
+        assert value[y, x] == frame[k, 0] * 10_000 + frame[k, 1]
+
+
 def test_windows_are_filled_from_themselves():
     nan = float("nan")
     given = np.array([[nan, 1, nan, nan, nan, nan, nan, nan, 9], [nan] * 9, [*range(9)]], float)

@@ -6,17 +6,17 @@ A patch is array<double> of size * size values, row by row; its long form has co
 from __future__ import annotations
 
 import math
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..schemas import TILE
 from ..sources.io import band_names, sample_chunks
-from ..sources.shared import stored
 
 
 def offsets(size: int) -> tuple[int, int]:
@@ -119,38 +119,93 @@ def keep_complete(df: DataFrame, columns: list[str], kept_ratio: float = 0.01) -
     return df.filter(ok)
 
 
-def fill_nan_nearest(px: DataFrame, value: str = "value", block: int = 8, max_rounds: int = 64, keys: tuple = ()) -> DataFrame:
+def fill_nan_nearest(px: DataFrame, value: str = "value", keys: tuple = (), strip: int = 1024, columns: int = 256) -> DataFrame:
     """Missing cells take the value of the nearest valid cell (of the same keys, such as a band); ties go to the smaller (distance, y, x).
 
-    Cells lie in blocks.  A missing cell asks the blocks around its own, ring by ring: one that has found a value nearer than the rings reach is done,
-    the others ask the rings up to twice as far out, none of them twice and none outside the box of the valid cells.  Only missing cells and the valid
-    cells of blocks they ask are joined, and each round is written, so nothing is computed again.  Cells of keys without any valid cell stay missing.
+    An exact distance transform in two passes, whatever the size of the holes.  Down the columns: for each row with a hole, the nearest valid cell of each column;
+    tiles of strip x columns cells are worked alone, with the nearest valid cells of the column above and below the strip as a carry (one
+    aggregate and a window over strips).  Along the rows: a hole's cell takes the least (distance, y, x) among the columns' cells, going outwards until the
+    columns are farther away than what it has.  A task holds a tile, or one row of the raster.  Cells of keys without any valid cell stay missing.
     """
-    if not keys:
-        return fill_nan_nearest(px.withColumn("__all", F.lit(0)), value, block, max_rounds, ("__all",)).drop("__all")
     px = px.select(*keys, "y", "x", F.col(value).cast("double").alias(value))
     bad = F.col(value).isNull() | F.isnan(value)
-    of = lambda c: F.floor(F.col(c) / block)
-    good = px.filter(~bad).select(*keys, F.col("y").alias("gy"), F.col("x").alias("gx"), F.col(value).alias("g"), of("y").alias("__y"), of("x").alias("__x"))
-    boxes = good.groupBy(*keys).agg(F.min("__y").alias("y0"), F.max("__y").alias("y1"), F.min("__x").alias("x0"), F.max("__x").alias("x1"))
-    kind = f"struct<d2:long,gy:{px.schema['y'].dataType.simpleString()},gx:{px.schema['x'].dataType.simpleString()},g:double>"
-    missing = px.filter(bad).select(*keys, "y", "x", F.lit(None).cast(kind).alias("best"))
-    open_ = stored(missing.join(boxes, list(keys)), "holes")
-    done = [px.filter(~bad), missing.join(boxes, list(keys), "left_anti").select(*keys, "y", "x", F.lit(None).cast("double").alias(value))]
-    inner, radius = -1, 1
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
-        around = lambda c, lo, hi: F.when((c + radius >= F.col(lo)) & (c - radius <= F.col(hi)), F.sequence(F.greatest(c - radius, F.col(lo)), F.least(c + radius, F.col(hi))))  # noqa: B023, E731
-        ask = open_.select(*keys, "y", "x", "x0", "x1", F.explode(around(of("y"), "y0", "y1")).alias("__y"))
-        ask = ask.select(*keys, "y", "x", "__y", F.explode(around(of("x"), "x0", "x1")).alias("__x")).filter(F.greatest(F.abs(F.col("__y") - of("y")), F.abs(F.col("__x") - of("x"))) > inner)
-        d2 = (F.col("gy") - F.col("y")) * (F.col("gy") - F.col("y")) + (F.col("gx") - F.col("x")) * (F.col("gx") - F.col("x"))
-        found = ask.join(good, [*keys, "__y", "__x"]).groupBy(*keys, "y", "x").agg(F.min(F.struct(d2.cast("long").alias("d2"), "gy", "gx", "g")).cast(kind).alias("new"))
-        state = stored(open_.join(found, [*keys, "y", "x"], "left").withColumn("best", F.least("best", "new")).drop("new"), "holes")
-        sure = F.coalesce(F.col("best.d2") <= (radius * block) ** 2, F.lit(False))
-        done.append(state.filter(sure).select(*keys, "y", "x", F.col("best.g").alias(value)))
-        open_, inner, radius = state.filter(~sure), radius, radius * 2
-    return reduce(DataFrame.unionByName, done)
+    at = [F.col(c).cast("long").alias(c) for c in ("y", "x")]
+    part = [F.floor(F.col("y") / strip).alias("__s"), F.floor(F.col("x") / columns).alias("__b")]
+    good = px.filter(~bad).select(*keys, *at, F.col(value).alias("g"))
+    holes = px.filter(bad).select(*keys, *at).groupBy(*keys, "y").agg(F.collect_list("x").alias("xs"))
+    rows = holes.select(*keys, "y")
+    group = list(keys) or [F.lit(0).alias("__all")]
+    named = list(keys) or ["__all"]
+
+    # the carry: for each strip with holes and each column, the last valid cell before the strip and the first after it
+    cell = F.struct("y", "g")
+    ends = good.select(*group, *part[:1], "x", cell.alias("c")).groupBy(*named, "__s", "x").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    asked = rows.select(*group, *part[:1]).distinct()
+    needed = asked.join(ends.select(*named, "x").distinct(), named).select(*named, "__s", "x", F.lit(None).cast(ends.schema["lo"].dataType).alias("lo"), F.lit(None).cast(ends.schema["hi"].dataType).alias("hi"))
+    marked = ends.withColumn("n", F.lit(0)).unionByName(needed.withColumn("n", F.lit(1))).groupBy(*named, "__s", "x").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"))
+    by_strip = W.partitionBy(*named, "x").orderBy("__s")
+    over = F.array(F.last("hi", ignorenulls=True).over(by_strip.rowsBetween(W.unboundedPreceding, -1)), F.first("lo", ignorenulls=True).over(by_strip.rowsBetween(1, W.unboundedFollowing)))
+    carried = marked.withColumn("over", over).filter("n = 1").select(*named, "__s", "x", F.explode("over").alias("c")).filter("c is not null").select(*named, "__s", F.floor(F.col("x") / columns).alias("__b"), "c.y", "x", "c.g")
+
+    own = good.select(*group, *part, "y", "x", "g").join(asked, [*named, "__s"], "left_semi").select(*named, "__s", "__b", "y", "x", "g")
+    blocks = ends.select(*named, F.floor(F.col("x") / columns).alias("__b")).distinct()
+    wanted = rows.select(*group, *part[:1], "y").join(blocks, named).select(*named, "__s", "__b", "y", F.lit(None).cast("long").alias("x"), F.lit(None).cast("double").alias("g"))
+    names = ", ".join(f"{k} {'int' if k == '__all' else px.schema[k].dataType.simpleString()}" for k in named)
+
+    def down(table):
+        """For each wanted row the nearest valid cell of each column, as arrays."""
+        x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+        marks = table.column("x").is_null().to_numpy()
+        to = np.unique(y[marks])
+        cells = np.flatnonzero(~marks)
+        cells = cells[np.lexsort((y[cells], x[cells]))]
+        cy, cx, g = y[cells], x[cells].astype(np.int64), table.column("g").to_numpy()[cells]
+        starts = np.flatnonzero(np.concatenate([[True], cx[1:] != cx[:-1]])) if len(cx) else np.empty(0, np.int64)
+        pick = np.empty((len(to), len(starts)), np.int64)
+        for c, (i, j) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(cx)])):
+            after = np.searchsorted(cy[i:j], to)
+            lo, hi = np.maximum(after - 1, 0), np.minimum(after, j - i - 1)
+            pick[:, c] = i + np.where(np.abs(cy[i:j][hi] - to) < np.abs(to - cy[i:j][lo]), hi, lo)  # the upper one in a tie
+        lists = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(v).ravel()), len(starts)).cast(pa.list_(pa.array(v.ravel()[:0]).type)) if len(starts) else pa.array([[]] * len(to), pa.list_(pa.array(v.ravel()[:0]).type))
+        own_keys = [pa.array([table.column(k)[0].as_py()] * len(to), table.schema.field(k).type) for k in named]
+        return pa.table([*own_keys, pa.array(to), lists(np.broadcast_to(cx[starts], pick.shape) if len(starts) else pick), lists(cy[pick]), lists(g[pick])], names=[*named, "y", "gx", "gy", "g"])
+
+    columns_of = own.unionByName(carried.select(own.columns)).unionByName(wanted).groupBy(*named, "__s", "__b").applyInArrow(down, f"{names}, y long, gx array<long>, gy array<long>, g array<double>")
+
+    def along(table):
+        """The holes of one row."""
+        own_keys, y = [table.column(k)[0].as_py() for k in named], table.column("y")[0].as_py()
+        flat = lambda c: np.concatenate([np.empty(0, np.int64), *(v.values.to_numpy() for v in table.column(c) if v.is_valid)])
+        x, gx, gy, g = np.sort(flat("xs")).astype(np.int64), flat("gx").astype(np.int64), flat("gy").astype(np.int64), flat("g")
+        order = np.argsort(gx)
+        gx, gy, g = gx[order], gy[order], g[order]
+        best, got = np.full(len(x), -1), np.full(len(x), np.iinfo(np.int64).max)  # candidate, squared distance
+        right = np.searchsorted(gx, x)
+        left, open_ = right - 1, np.arange(len(x))
+        while len(open_) and len(gx):
+            going = np.zeros(len(open_), bool)
+            for side, step in ((left, -1), (right, 1)):
+                k = side[open_]
+                ok = (k >= 0) & (k < len(gx))
+                k = np.where(ok, k, 0)
+                across = (gx[k] - x[open_]) ** 2
+                ok &= across <= got[open_]
+                d2 = across + (gy[k] - y) ** 2
+                b = best[open_]
+                better = ok & ((d2 < got[open_]) | ((d2 == got[open_]) & ((gy[k] < gy[b]) | ((gy[k] == gy[b]) & (gx[k] < gx[b])))))
+                got[open_[better]], best[open_[better]] = d2[better], k[better]
+                side[open_] += step
+                going |= ok
+            open_ = open_[going]
+        filled = pa.array(g[best], pa.float64()) if len(g) else pa.nulls(len(x), pa.float64())
+        return pa.table([*[pa.array([v] * len(x), table.schema.field(k).type) for k, v in zip(named, own_keys)], pa.array(np.full(len(x), y)), pa.array(x), filled], names=[*named, "y", "x", value])
+
+    lists = ("gx", "gy", "g")
+    empty = lambda c: F.lit(None).cast(columns_of.schema[c].dataType).alias(c)
+    both = columns_of.select(*named, "y", *lists, F.lit(None).cast("array<long>").alias("xs")).unionByName(holes.select(*group, "y", *map(empty, lists), "xs"))
+    found = both.groupBy(*named, "y").applyInArrow(along, f"{names}, y long, x long, {value} double")
+    back = [F.col(c).cast(px.schema[c].dataType).alias(c) for c in ("y", "x")]
+    return px.filter(~bad).unionByName(found.select(*keys, *back, value))
 
 
 def reliable_samples(df: DataFrame, h_min: float = 3.0, h_max: float = 600.0, area_min: float = 1e-2, height: str = "height", footprint: str = "footprint") -> DataFrame:
