@@ -356,3 +356,56 @@ def test_percolation_on_the_whole_grid_of_limits(spark, sf_dir):
         first, of = masks.clusters_of_runs(some.y.to_numpy(), some.x.to_numpy())
         sizes = np.bincount(first[of]) if len(some) else [1]
         assert got[i, j] == pytest.approx(max(sizes) / max(1, len(some)))
+
+
+def plain_boosting(x, y, edges, n, depth, gamma, rate, l2):
+    """Splits and predictions by trying every threshold on the rows themselves."""
+    low = np.where(np.isnan(x), -np.inf, x)
+    margin, splits = np.full(len(y), y.mean()), []
+    for k in range(n):
+        nodes, weights = {0: np.arange(len(y))}, np.zeros(len(y))
+        for _ in range(depth):
+            below = {}
+            for node, rows in nodes.items():
+                g, best = (margin - y)[rows], (0.0, None)
+                for f in range(x.shape[1]):
+                    for t in [-np.inf, *edges[f]]:
+                        left = low[rows, f] <= t
+                        if 0 < left.sum() < len(rows):
+                            gain = (g[left].sum() ** 2 / (left.sum() + l2) + g[~left].sum() ** 2 / ((~left).sum() + l2) - g.sum() ** 2 / (len(rows) + l2)) / 2 - gamma
+                            if gain > best[0] + 1e-9:
+                                best = (gain, (f, t, left))
+                weights[rows] = -rate * g.sum() / (len(rows) + l2)
+                if best[1]:
+                    f, t, left = best[1]
+                    splits.append((k, node, f, t, best[0]))
+                    below[2 * node + 1], below[2 * node + 2] = rows[left], rows[~left]
+            nodes = below
+        for rows in nodes.values():
+            weights[rows] = -rate * (margin - y)[rows].sum() / (len(rows) + l2)
+        margin = margin + weights
+    return sorted(splits), margin
+
+
+@pytest.mark.parametrize(("gamma", "l2"), [(0.0, 0.0), (0.0, 5.0), (2.0, 1.0)])
+def test_boosted_trees_equal_all_thresholds_tried(spark, gamma, l2):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(400, 3))
+    y = np.sin(2 * x[:, 0]) + x[:, 1] * (x[:, 2] > 0) + rng.normal(0, 0.1, 400)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    edges = [np.sort(rng.choice(c[~np.isnan(c)], 12, replace=False)).tolist() for c in x.T]
+    rows = [(i, [None if np.isnan(v) else float(v) for v in r], float(t)) for i, (r, t) in enumerate(zip(x, y))] + [(900, [0.0, 0.0, 0.0], None), (901, [0.0, 0.0, 0.0], float("nan"))]
+    df = spark.createDataFrame(rows, "id int, features array<double>, label double").repartition(3)
+    model = models.fit_gbt(df, 5, 3, gamma, 0.3, l2=l2, edges=edges, refresh=2)
+    splits, margin = plain_boosting(x, y, edges, 5, 3, gamma, 0.3, l2)
+    assert [s[:4] for s in model.splits()] == [s[:4] for s in splits]
+    assert [s[4] for s in model.splits()] == pytest.approx([s[4] for s in splits])
+    got = {r.id: r.prediction for r in model.transform(df).collect()}
+    assert [got[i] for i in range(400)] == pytest.approx(margin.tolist())
+    assert models.fit_gbt(df.limit(0), 2, 2).transform(df).first().prediction == 0.0
+
+
+def test_an_l2_term_shrinks_leaves(spark):
+    df = spark.createDataFrame([([float(i % 7), float(i % 5)], float(i % 7 > 3)) for i in range(300)], "features array<double>, label double")
+    free, bound = (models.fit_gbt(df, 3, 2, l2=v) for v in (0.0, 1000.0))
+    assert max(abs(t.weight).max() for t in bound.trees) < 0.3 * max(abs(t.weight).max() for t in free.trees)

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..sources.io import mosaic
+from .boosting import BoostedTrees, fit_boosted_trees
 from .composite import composite
 from .features import feature_names, patch_features
 from .grid import check_extent, clip_raster
@@ -109,8 +110,9 @@ def fit_rf(df: DataFrame, n: int = 100, depth: int = 8, label: str = "label", fe
     return RandomForestRegressor(numTrees=n, maxDepth=depth, labelCol=label, featuresCol=features, seed=seed).fit(df)
 
 
-def fit_gbt(df: DataFrame, n: int = 50, depth: int = 5, gamma: float = 0.0, rate: float = 0.1, label: str = "label", features: str = "features", seed: int = 0):
-    return GBTRegressor(maxIter=n, maxDepth=depth, minInfoGain=gamma, stepSize=rate, labelCol=label, featuresCol=features, seed=seed).fit(df)
+def fit_gbt(df: DataFrame, n: int = 50, depth: int = 5, gamma: float = 0.0, rate: float = 0.1, label: str = "label", features: str = "features", l2: float = 1.0, **options) -> BoostedTrees:
+    """Boosted trees with least gain gamma and L2 term l2 (see boosting.fit_boosted_trees)."""
+    return fit_boosted_trees(df, n, depth, gamma, rate, l2, label, features, **options)
 
 
 def _fourier(n_cols: int, d_rff: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:

@@ -397,6 +397,22 @@ def m08_boosted_trees(spark, d):
     return M.fit_gbt(df, 5, 4).transform(df).select("sample_id", "prediction")
 
 
+_EDGES = [[5.0 * k for k in range(1, 10)], [5.5 * k for k in range(1, 9)], [0.015, 0.035, 0.055, 0.075]]
+
+
+@query(f"""WITH {duck('f5')}, r AS (SELECT AVG(y_true) AS m, COUNT(*) AS n FROM f5), e AS (SELECT 0 AS feature, unnest({_EDGES[0]}) AS t UNION ALL SELECT 1, unnest({_EDGES[1]}) UNION ALL SELECT 2, unnest({_EDGES[2]})),
+v AS (SELECT 0 AS feature, l_quantity AS x, m - y_true AS g FROM f5, r UNION ALL SELECT 1, p_size, m - y_true FROM f5, r UNION ALL SELECT 2, l_tax, m - y_true FROM f5, r),
+s AS (SELECT e.feature, t, SUM(g) FILTER (x <= t) AS gl, COUNT(*) FILTER (x <= t) AS hl, SUM(g) FILTER (x > t) AS gr, COUNT(*) FILTER (x > t) AS hr FROM e JOIN v USING (feature) GROUP BY 1, 2),
+b AS (SELECT *, (gl * gl / (hl + 25.0) + gr * gr / (hr + 25.0) - power(gl + gr, 2) / (hl + hr + 25.0)) / 2 - 1.5 AS gain FROM s WHERE hl > 0 AND hr > 0 ORDER BY gain DESC, feature, t LIMIT 1)
+SELECT CAST(feature AS INTEGER) AS feature, CAST(t AS DOUBLE) AS threshold, ROUND(gain, 2) AS gain, ROUND(-0.3 * gl / (hl + 25.0), 6) AS left_weight, ROUND(-0.3 * gr / (hr + 25.0), 6) AS right_weight FROM b""")
+def m08_boosted_split(spark, d):
+    """The first split of boosted trees, with its gain and weights under gamma 1.5 and an L2 term of 25, over all samples."""
+    df = _f5(spark, d).withColumn("features", F.array(*[F.col(c).cast("double") for c in ("l_quantity", "p_size", "l_tax")]))
+    model = M.fit_gbt(df, 1, 1, gamma=1.5, rate=0.3, label="y_true", l2=25.0, edges=_EDGES)
+    (_, _, feature, threshold, gain), weight = model.splits()[0], model.trees[0].weight
+    return spark.createDataFrame([(feature, threshold, round(gain, 2), round(float(weight[1]), 6), round(float(weight[2]), 6))], "feature int, threshold double, gain double, left_weight double, right_weight double")
+
+
 def _scaled(spark, d):
     f5 = _f5(spark, d).withColumn("label", S.log_target("y_true"))
     return M.standardise(f5, COLS).transform(f5)
