@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from ..functions import scalars as S
 from ..schemas import TILE
 from ..sources.io import band_names, sample_chunks
+from ..sources.shared import stored
 
 
 def offsets(size: int) -> tuple[int, int]:
@@ -203,7 +204,8 @@ def fill_nan_nearest(px: DataFrame, value: str = "value", keys: tuple = (), stri
     lists = ("gx", "gy", "g")
     empty = lambda c: F.lit(None).cast(columns_of.schema[c].dataType).alias(c)
     both = columns_of.select(*named, "y", *lists, F.lit(None).cast("array<long>").alias("xs")).unionByName(holes.select(*group, "y", *map(empty, lists), "xs"))
-    found = both.groupBy(*named, "y").applyInArrow(along, f"{names}, y long, x long, {value} double")
+    # written, as fits and other callers read the result more than once
+    found = stored(both.groupBy(*named, "y").applyInArrow(along, f"{names}, y long, x long, {value} double"), "holes")
     back = [F.col(c).cast(px.schema[c].dataType).alias(c) for c in ("y", "x")]
     return px.filter(~bad).unionByName(found.select(*keys, *back, value))
 
