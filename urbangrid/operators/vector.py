@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .polygons import cell_pieces, contained, in_ring, overlap_edges
 
 # Metres in each unit of height.
 UNITS = {"m": 1.0, "cm": 0.01, "FLOOR": 3.0, "feet": 0.3048}
@@ -32,39 +31,8 @@ def overlay(boxes: DataFrame, res: float) -> DataFrame:
 
 
 def overlay_polygons(polys: DataFrame, res: float) -> DataFrame:
-    """The same for polygons with holes (column rings): exact areas by clipping each ring at the cell (Sutherland-Hodgman) and the shoelace rule."""
-    boxed = with_box(polys)
-
-    def clip(ring: np.ndarray, axis: int, at: float, keep_above: bool) -> np.ndarray:
-        if not len(ring):
-            return ring
-        d = (ring[:, axis] - at) * (1 if keep_above else -1)
-        out = []
-        for k in range(len(ring)):
-            a, b, da, db = ring[k - 1], ring[k], d[k - 1], d[k]
-            if (da < 0) != (db < 0):
-                out.append(a + (b - a) * (da / (da - db)))
-            if db >= 0:
-                out.append(b)
-        return np.array(out).reshape(-1, 2)
-
-    def area(ring: np.ndarray) -> float:
-        return 0.0 if len(ring) < 3 else abs(float(np.dot(ring[:, 0], np.roll(ring[:, 1], -1)) - np.dot(ring[:, 1], np.roll(ring[:, 0], -1)))) / 2
-
-    def pieces(batches):
-        for b in batches:
-            out = []
-            for cy, cx, rings in zip(*(b.column(c).to_pylist() for c in ("cy", "cx", "rings"))):
-                total = 0.0
-                for k, ring in enumerate(rings):
-                    r = np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
-                    for axis, at, above in ((0, cx * res, True), (0, (cx + 1) * res, False), (1, cy * res, True), (1, (cy + 1) * res, False)):
-                        r = clip(r, axis, at, above)
-                    total += area(r) * (1 if k == 0 else -1)
-                out.append(total)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("cy"), b.column("cx"), pa.array(out, pa.float64())], names=["id", "cy", "cx", "area"])
-
-    return _cells(boxed, res).select("id", "cy", "cx", "rings").mapInArrow(pieces, "id long, cy long, cx long, area double").filter("area > 0")
+    """id, cy, cx, area for polygons with holes (column rings): exact areas of their pieces, cut a batch at a time."""
+    return cell_pieces(polys, ["id"], res, shapes=False)
 
 
 def with_box(polys: DataFrame) -> DataFrame:
@@ -96,23 +64,23 @@ def drop_null_geometry(df: DataFrame, geometry: str = "rings") -> DataFrame:
     return df.filter(F.col(geometry).isNotNull())
 
 
-def overlapping_pairs(boxes: DataFrame, res: float, by: tuple = ()) -> DataFrame:
-    """src < dst: pairs of boxes with a common inner point; each is found in the first cell both meet, so once."""
-    a = _cells(boxes, res).select(*by, "cy", "cx", "id", "x_min", "x_max", "y_min", "y_max")
-    b = a.select(*by, "cy", "cx", *[F.col(c).alias(f"{c}_2") for c in ("id", "x_min", "x_max", "y_min", "y_max")])
-    meet = (F.col("x_min") < F.col("x_max_2")) & (F.col("x_min_2") < F.col("x_max")) & (F.col("y_min") < F.col("y_max_2")) & (F.col("y_min_2") < F.col("y_max"))
-    first = (F.col("cx") == F.floor(F.greatest("x_min", "x_min_2") / res)) & (F.col("cy") == F.floor(F.greatest("y_min", "y_min_2") / res))
-    return a.join(b, [*by, "cy", "cx"]).filter((F.col("id") < F.col("id_2")) & meet & first).select(F.col("id").alias("src"), F.col("id_2").alias("dst"))
+def overlap_groups(shapes: DataFrame, res: float, by: tuple = (), **options) -> DataFrame:
+    """Adds group: the least id of the shapes (polygons if there is a column rings, else boxes) that overlap, directly or through others.
 
-
-def overlap_groups(boxes: DataFrame, res: float, by: tuple = ()) -> DataFrame:
-    """Adds group: the least id of the shapes that overlap, directly or through others."""
-    parts = connected_components(overlapping_pairs(boxes, res, by))
-    return boxes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    Overlap means a common inner point, within the same values of `by`; a shape without area, sound corners or a value of `by` is alone.
+    """
+    polys = shapes if "rings" in shapes.columns else as_rings(shapes.filter((F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min"))))
+    parts = connected_components(overlap_edges(polys, res, by, **options)).select(F.col("node").alias("id"), F.col("component").alias("__group"))
+    return shapes.join(parts, "id", "left").withColumn("group", F.coalesce("__group", "id")).drop("__group")
 
 
 def contains_join(outer: DataFrame, inner: DataFrame, res: float, tol: float = 1e-6) -> DataFrame:
-    """outer_id, inner_id: outer boxes that hold inner boxes shrunk by tol; met on the cell of the inner box's centre."""
+    """outer_id, inner_id: outer shapes that hold inner shapes shrunk by tol.
+
+    Boxes meet on the cell of the inner box's centre; if either side has a column rings, both are taken as polygons (see polygons.contained).
+    """
+    if "rings" in outer.columns or "rings" in inner.columns:
+        return contained(*(df if "rings" in df.columns else as_rings(df) for df in (outer, inner)), res, tol)
     a = _cells(outer, res).select("cy", "cx", F.col("id").alias("outer_id"), *[F.col(c).alias(f"o_{c}") for c in ("x_min", "x_max", "y_min", "y_max")])
     mid = lambda lo, hi: F.floor((F.col(lo) + F.col(hi)) / 2 / res)
     b = inner.select(mid("y_min", "y_max").alias("cy"), mid("x_min", "x_max").alias("cx"), F.col("id").alias("inner_id"), "x_min", "x_max", "y_min", "y_max")
@@ -158,13 +126,6 @@ def attach_height(boxes: DataFrame, raster: DataFrame, res: float, nrow: int, nc
     return out if fill is None else out.withColumn("raster_height", F.coalesce("raster_height", F.lit(fill)))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd test of a point against a ring of (x, y) corners."""
-    pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    hits = F.filter(pairs, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < F.try_divide((e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]), e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
-    return F.size(hits) % 2 == 1
-
-
 def mask_by_polygon(px: DataFrame, polys: DataFrame, grid: dict, value: str = "value") -> DataFrame:
     """Cells whose centre lies in a polygon (and in none of its holes) keep their value; others become null."""
     lon, lat = F.lit(grid["x0"]) + (F.col("x") + 0.5) * grid["dx"], F.lit(grid["y0"]) - (F.col("y") + 0.5) * grid["dy"]

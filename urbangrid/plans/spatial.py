@@ -219,6 +219,36 @@ def g13_contains_join(spark, d):
     return V.contains_join(outer, boxes, RES)
 
 
+_ARMS = """arm AS (SELECT id, city, x_min, x_max, y_min, (y_min + y_max) / 2 AS y_max FROM f4 UNION ALL SELECT id, city, x_min, (x_min + x_max) / 2 AS x_max, y_min, y_max FROM f4)"""
+
+
+def _corner_shapes(spark, d):
+    """The boxes without their upper right quarter: L-shapes."""
+    mid = lambda lo, hi: (F.col(lo) + F.col(hi)) / 2
+    xm, ym = mid("x_min", "x_max"), mid("y_min", "y_max")
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, x1, y0, y1 = (F.col(c) for c in ("x_min", "x_max", "y_min", "y_max"))
+    ring = F.array(p(x0, y0), p(x1, y0), p(x1, ym), p(xm, ym), p(xm, y1), p(x0, y1))
+    return _f4(spark, d).select("id", "city", F.array(ring).alias("rings"))
+
+
+@query(f"""WITH RECURSIVE {duck('f4')}, {_ARMS}, ed AS (SELECT DISTINCT a.id AS s, b.id AS t FROM arm a JOIN arm b ON a.city = b.city AND {_OVER}),
+rc(id, g) AS (SELECT id, id FROM f4 UNION SELECT ed.t, rc.g FROM rc JOIN ed ON ed.s = rc.id) SELECT id, MIN(g) AS "group" FROM rc GROUP BY 1""")
+def g12_overlap_polygons(spark, d):
+    """L-shapes that overlap; in SQL, two boxes each."""
+    return V.overlap_groups(_corner_shapes(spark, d), RES, ("city",)).select("id", "group")
+
+
+@query(f"""WITH {duck('f4')}, {_ARMS}, fr AS (SELECT * FROM f4 WHERE id % 5 = 0)
+SELECT o.id AS outer_id, arm.id AS inner_id FROM fr o JOIN arm ON o.x_min - 6 <= arm.x_min + 1e-6 AND o.x_max + 6 >= arm.x_max - 1e-6 AND o.y_min - 6 <= arm.y_min + 1e-6 AND o.y_max + 6 >= arm.y_max - 1e-6
+  AND NOT (o.x_min - 2 < arm.x_max - 1e-6 AND arm.x_min + 1e-6 < o.x_max + 2 AND o.y_min - 2 < arm.y_max - 1e-6 AND arm.y_min + 1e-6 < o.y_max + 2) GROUP BY 1, 2 HAVING COUNT(*) = 2""")
+def g13_contains_polygons(spark, d):
+    """Frames (boxes widened by 6 with a hole, the box widened by 2) that hold L-shapes."""
+    wide = lambda by: V.as_rings(_f4(spark, d).filter("id % 5 = 0").select("id", *[(F.col(c) + (by if c.endswith("max") else -by)).alias(c) for c in ("x_min", "x_max", "y_min", "y_max")]))
+    frames = wide(6.0).select("id", "rings").join(wide(2.0).select("id", F.col("rings").alias("holes")), "id").select("id", F.concat("rings", "holes").alias("rings"))
+    return V.contains_join(frames, _corner_shapes(spark, d), RES)
+
+
 @query(f"WITH {duck('f4')}, {CLEAN} SELECT id, ROUND(height, 6) AS height FROM c4")
 def g14_clean_height(spark, d):
     return V.clean_height(_f4(spark, d)).select("id", _r("height"))
