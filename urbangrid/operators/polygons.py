@@ -245,6 +245,21 @@ def shrunk(xy: np.ndarray, start: np.ndarray, tol: float) -> tuple[np.ndarray, n
     return (np.concatenate(out), np.cumsum([0] + [len(r) for r in out])) if out else (xy, start)
 
 
+def _rims(inner: np.ndarray, ends: np.ndarray, outer: np.ndarray, before: np.ndarray, outer_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of pieces: whether an edge of the outer one meets the inner one's bounding box, and whether that box's middle is inside the outer one."""
+    if not len(ends) - 1:
+        return np.zeros(0, bool), np.zeros(0, bool)
+    low, high = np.minimum.reduceat(inner, ends[:-1]), np.maximum.reduceat(inner, ends[:-1])
+    pair = np.repeat(np.arange(len(ends) - 1), np.diff(outer_ends))
+    prev = outer[before]
+    meets = ((np.minimum(prev, outer) < high[pair]) & (np.maximum(prev, outer) > low[pair])).all(1)
+    x, y = ((low + high) / 2)[pair].T
+    spans = (prev[:, 1] > y) != (outer[:, 1] > y)
+    rise = np.where(spans, outer[:, 1] - prev[:, 1], 1.0)
+    right = spans & (x < (outer[:, 0] - prev[:, 0]) * ((y - prev[:, 1]) / rise) + prev[:, 0])
+    return np.bincount(pair, meets, len(low)) > 0, np.bincount(pair, right, len(low)) % 2 == 1
+
+
 # ---------------------------------------------------------------- tables
 def sound(polys: DataFrame) -> DataFrame:
     """Polygons with an outer ring, all of whose corners are finite numbers."""
@@ -339,9 +354,14 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> bool:
     return area > 1e-9 * min(area_of(a), area_of(b))
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _pairs_in(leaves: DataFrame, key: list[str]) -> DataFrame:
     """src, dst: edges inside each leaf; a leaf is one row with a bounded list."""
-    lists = leaves.groupBy(*key).agg(F.collect_list(F.struct("id", "grp", "rings")).alias("m"))
+    spread = leaves.repartition(_partitions(leaves), *key)  # the aggregate's own shuffle, not merged into few tasks where leaves take few bytes
+    lists = spread.groupBy(*key).agg(F.collect_list(F.struct("id", "grp", "rings")).alias("m"))
 
     def join(batches):
         for b in batches:
@@ -440,7 +460,7 @@ def contained(outer: DataFrame, inner: DataFrame, res: float, tol: float = 1e-6,
                 shape = nested(np.concatenate(pts), np.concatenate([[0], np.cumsum(np.concatenate(cells))]), np.array([len(c) for c in cells]))
                 yield pa.RecordBatch.from_arrays([b.column("inner_id").take(pa.array(k.astype(np.int64))), shape, *map(pa.array, (x, y, area, rim))], names=["inner_id", "rings", "px", "py", "area", "rim"])
 
-    ready = stored(small.mapInArrow(prepare, f"inner_id long, rings {RINGS}, px double, py double, area double, rim double").filter("area > 0 and not isnan(px)"), "inner")
+    ready = stored(small.repartition(_partitions(small)).mapInArrow(prepare, f"inner_id long, rings {RINGS}, px double, py double, area double, rim double").filter("area > 0 and not isnan(px)"), "inner")
     pieces = stored(cell_pieces(out, ["outer_id"], res), "outer")
 
     # leaves: whole cells, and cells with few borders, on every level that was needed
@@ -468,16 +488,18 @@ def contained(outer: DataFrame, inner: DataFrame, res: float, tol: float = 1e-6,
         for b in batches:
             (xa, sa, ra), (xb, sb, rb) = flat(b.column("rings")), flat(b.column("o_rings"))
             ea, eb = np.concatenate([[0], np.cumsum(ra)]), np.concatenate([[0], np.cumsum(rb)])
-            got = []
-            for k, (whole, area) in enumerate(zip(b.column("cover").to_pylist(), b.column("area").to_pylist())):
-                if not whole:
-                    p, q = sa[ea[k] : ea[k + 1] + 1], sb[eb[k] : eb[k + 1] + 1]
-                    area = common_area(edges_of(xa[p[0] : p[-1]], p - p[0]), edges_of(xb[q[0] : q[-1]], q - q[0]))
-                got.append(area)
-            yield pa.RecordBatch.from_arrays([b.column("outer_id"), b.column("inner_id"), pa.array(got, pa.float64())], names=["outer_id", "inner_id", "common"])
+            area = b.column("area").to_numpy(zero_copy_only=False).copy()
+            crossed, odd = _rims(xa, sa[ea], xb, _before(sb), sb[eb])
+            area[~odd] = 0.0
+            for k in np.flatnonzero(crossed):
+                p, q = sa[ea[k] : ea[k + 1] + 1], sb[eb[k] : eb[k + 1] + 1]
+                area[k] = common_area(edges_of(xa[p[0] : p[-1]], p - p[0]), edges_of(xb[q[0] : q[-1]], q - q[0]))
+            yield pa.RecordBatch.from_arrays([b.column("outer_id"), b.column("inner_id"), pa.array(area, pa.float64())], names=["outer_id", "inner_id", "common"])
 
     mine = cell_pieces(ready, ["inner_id"], res).select("inner_id", "cy", "cx", "area", "rings")
-    theirs = pieces.select("outer_id", "cy", "cx", "cover", F.col("rings").alias("o_rings"))
-    shared = pairs.join(mine, "inner_id").join(theirs, ["outer_id", "cy", "cx"]).select("outer_id", "inner_id", "cover", "area", "rings", "o_rings").mapInArrow(measure, "outer_id long, inner_id long, common double")
+    theirs = pieces.select("outer_id", "cy", "cx", F.col("rings").alias("o_rings"))
+    # a row costs far more to measure than to send, and a hot outer shape or few bytes would else make few tasks: rows are dealt evenly
+    shared = pairs.join(mine, "inner_id").join(theirs, ["outer_id", "cy", "cx"]).select("outer_id", "inner_id", "area", "rings", "o_rings")
+    shared = shared.repartition(_partitions(shared)).mapInArrow(measure, "outer_id long, inner_id long, common double")
     total = shared.groupBy("outer_id", "inner_id").agg(F.sum("common").alias("common")).join(ready.select("inner_id", "area", "rim"), "inner_id")
     return total.filter(F.col("common") >= F.col("area") * (1 - 1e-11) - F.col("rim") * (tol * 1e-3)).select("outer_id", "inner_id")

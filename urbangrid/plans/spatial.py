@@ -240,12 +240,12 @@ def g12_overlap_polygons(spark, d):
 
 
 @query(f"""WITH {duck('f4')}, {_ARMS}, fr AS (SELECT * FROM f4 WHERE id % 5 = 0)
-SELECT o.id AS outer_id, arm.id AS inner_id FROM fr o JOIN arm ON o.x_min - 6 <= arm.x_min + 1e-6 AND o.x_max + 6 >= arm.x_max - 1e-6 AND o.y_min - 6 <= arm.y_min + 1e-6 AND o.y_max + 6 >= arm.y_max - 1e-6
-  AND NOT (o.x_min - 2 < arm.x_max - 1e-6 AND arm.x_min + 1e-6 < o.x_max + 2 AND o.y_min - 2 < arm.y_max - 1e-6 AND arm.y_min + 1e-6 < o.y_max + 2) GROUP BY 1, 2 HAVING COUNT(*) = 2""")
+SELECT o.id AS outer_id, arm.id AS inner_id FROM fr o JOIN arm ON o.x_min - 3 <= arm.x_min + 1e-6 AND o.x_max + 3 >= arm.x_max - 1e-6 AND o.y_min - 3 <= arm.y_min + 1e-6 AND o.y_max + 3 >= arm.y_max - 1e-6
+  AND NOT (o.x_min - 0.25 < arm.x_max - 1e-6 AND arm.x_min + 1e-6 < o.x_max + 0.25 AND o.y_min - 0.25 < arm.y_max - 1e-6 AND arm.y_min + 1e-6 < o.y_max + 0.25) GROUP BY 1, 2 HAVING COUNT(*) = 2""")
 def g13_contains_polygons(spark, d):
-    """Frames (boxes widened by 6 with a hole, the box widened by 2) that hold L-shapes."""
+    """Frames (boxes widened by 3 with a hole, the box widened by 0.25) that hold L-shapes."""
     wide = lambda by: V.as_rings(_f4(spark, d).filter("id % 5 = 0").select("id", *[(F.col(c) + (by if c.endswith("max") else -by)).alias(c) for c in ("x_min", "x_max", "y_min", "y_max")]))
-    frames = wide(6.0).select("id", "rings").join(wide(2.0).select("id", F.col("rings").alias("holes")), "id").select("id", F.concat("rings", "holes").alias("rings"))
+    frames = wide(3.0).select("id", "rings").join(wide(0.25).select("id", F.col("rings").alias("holes")), "id").select("id", F.concat("rings", "holes").alias("rings"))
     return V.contains_join(frames, _corner_shapes(spark, d), RES)
 
 
