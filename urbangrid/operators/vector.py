@@ -64,13 +64,28 @@ def drop_null_geometry(df: DataFrame, geometry: str = "rings") -> DataFrame:
     return df.filter(F.col(geometry).isNotNull())
 
 
+def overlapping_pairs(boxes: DataFrame, res: float, by: tuple = ()) -> DataFrame:
+    """src < dst: pairs of boxes with a common inner point; each is found in the first cell both meet, so once."""
+    a = _cells(boxes, res).select(*by, "cy", "cx", "id", "x_min", "x_max", "y_min", "y_max")
+    b = a.select(*by, "cy", "cx", *[F.col(c).alias(f"{c}_2") for c in ("id", "x_min", "x_max", "y_min", "y_max")])
+    meet = (F.col("x_min") < F.col("x_max_2")) & (F.col("x_min_2") < F.col("x_max")) & (F.col("y_min") < F.col("y_max_2")) & (F.col("y_min_2") < F.col("y_max"))
+    first = (F.col("cx") == F.floor(F.greatest("x_min", "x_min_2") / res)) & (F.col("cy") == F.floor(F.greatest("y_min", "y_min_2") / res))
+    return a.join(b, [*by, "cy", "cx"]).filter((F.col("id") < F.col("id_2")) & meet & first).select(F.col("id").alias("src"), F.col("id_2").alias("dst"))
+
+
 def overlap_groups(shapes: DataFrame, res: float, by: tuple = (), **options) -> DataFrame:
     """Adds group: the least id of the shapes (polygons if there is a column rings, else boxes) that overlap, directly or through others.
 
+    Boxes are compared within their cells as long as no cell holds more than `limit`; else, and for polygons, see polygons.overlap_edges.
     Overlap means a common inner point, within the same values of `by`; a shape without area, sound corners or a value of `by` is alone.
     """
-    polys = shapes if "rings" in shapes.columns else as_rings(shapes.filter((F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min"))))
-    parts = connected_components(overlap_edges(polys, res, by, **options)).select(F.col("node").alias("id"), F.col("component").alias("__group"))
+    if "rings" in shapes.columns:
+        edges = overlap_edges(shapes, res, by, **options)
+    else:
+        solid = shapes.filter((F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min")))
+        most = _cells(solid, res).groupBy(*by, "cy", "cx").count().agg(F.max("count").alias("n")).first().n or 0
+        edges = overlapping_pairs(solid, res, by) if most <= options.get("limit", 128) else overlap_edges(as_rings(solid), res, by, **options)
+    parts = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("__group"))
     return shapes.join(parts, "id", "left").withColumn("group", F.coalesce("__group", "id")).drop("__group")
 
 
