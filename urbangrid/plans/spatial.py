@@ -10,6 +10,7 @@ from ..schemas import grid as make_grid
 from ..sources import io
 from ..sources.shared import shared_path
 from ..sources.fixtures import duck, fixture, load
+from ..sources.store import lookup, read_store, stack_samples, write_store
 from .registry import query
 
 RES = 2.5
@@ -40,6 +41,12 @@ def _f2(spark, d):
     return fixture(spark, d, "f2")
 
 
+def _shape(px):
+    """Rows and columns of a raster that starts at cell (0, 0)."""
+    e = px.agg(F.max("y").alias("y"), F.max("x").alias("x")).first()
+    return (e.y or 0) + 1, (e.x or 0) + 1
+
+
 @query(f"WITH {duck('f6')} SELECT CAST(city_id AS VARCHAR) AS city, CAST(MIN(year(acquired)) AS INTEGER) AS first_year, COUNT(*) AS n_scenes, MIN(x_min) AS x_min, MAX(x_max) AS x_max FROM f6 GROUP BY 1")
 def s01_read_manifest(spark, d):
     """A manifest of the cities is written as CSV, read under its schema and joined with the scenes."""
@@ -86,6 +93,45 @@ def s06_keyed_samples(spark, d):
     return io.keyed_samples(fixture(spark, d, "f5").select("sample_id", "y_true"), ["y_true", "sample_id"]).select(F.col("key").cast("long").alias("key"), "sample_id")
 
 
+_BANDS = ("VV", "VH", "R", "G", "B", "NIR")
+_CELLS = """b AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v, label FROM embeddings), g AS (SELECT vec_id, label, i, unnest([
+  least(255.0, 255 * least(1.0, pow(10.0, (v * 10 - 3) / 10))), least(255.0, 255 * least(1.0, pow(10.0, (v * 10 - 9) / 10))), v * 1000 * 0.0001 * 255, v * 2000 * 0.0001 * 255, v * 3000 * 0.0001 * 255, v * 4000 * 0.0001 * 255]) AS z,
+  unnest([1, 2, 3, 4, 5, 6]) AS k FROM b),
+c AS (SELECT vec_id, label, SUM(((i - 1) * 6 + k) * z) AS weighted, COUNT(*) AS n FROM g GROUP BY 1, 2)"""
+
+
+def _store(spark, d):
+    """Patches of six bands, terrain and two targets in a keyed store, in the order of label and id."""
+    v = F.col("embedding").cast("array<double>")
+    times = lambda m, a=0.0: F.transform(v, lambda e: e * m + a)
+    bands = [times(10.0, -3.0).alias("VV"), times(10.0, -9.0).alias("VH"), *[times(1000.0 * (i + 1)).alias(b) for i, b in enumerate(("R", "G", "B", "NIR"))]]
+    rows = fixture(spark, d, "f3").select("patch_id", "label", *bands, times(2.0).alias("DEM"), F.col("label").cast("double").alias("height"), (F.col("patch_id") % 100 / 100).alias("footprint"))
+    path = shared_path(spark, "samples")
+    write_store(stack_samples(rows, ["VV", "VH"], ["R", "G", "B", "NIR"], ["DEM"], ["height", "footprint"]), path, ["label", "patch_id"], 500)
+    return path
+
+
+def _weighted(bands):
+    """The values weighted by their places, as a stand-in for the array."""
+    return F.aggregate(F.transform(bands, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+
+
+@query(f"""WITH {_CELLS}, t AS (SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id) - 1 AS key, embedding FROM embeddings)
+SELECT key, CAST(t.vec_id AS BIGINT) AS patch_id, CAST(n AS INTEGER) AS n_values, ROUND(weighted, 2) AS weighted, ROUND(CAST(embedding[1] AS DOUBLE) * 2, 6) AS aux_first, CAST(t.label AS DOUBLE) AS height, t.vec_id % 100 / 100 AS footprint FROM t JOIN c ON c.vec_id = t.vec_id""")
+def s06_sample_store(spark, d):
+    """The whole store read back: bands side by side in each cell, terrain and targets by key."""
+    out = read_store(spark, _store(spark, d))
+    return out.select("key", "patch_id", F.size("bands").alias("n_values"), F.round(_weighted("bands"), 2).alias("weighted"), F.round(F.col("aux")[0][0], 6).alias("aux_first"), F.col("targets")[0].alias("height"), F.col("targets")[1].alias("footprint"))
+
+
+@query(f"""WITH {_CELLS}, t AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS key FROM embeddings), a AS (SELECT CAST(l_orderkey AS BIGINT) AS key, COUNT(*) AS n_asked FROM lineitem GROUP BY 1)
+SELECT a.key, n_asked, CAST(t.vec_id AS BIGINT) AS patch_id, ROUND(weighted, 2) AS weighted FROM a LEFT JOIN t ON t.key = a.key LEFT JOIN c ON c.vec_id = t.vec_id""")
+def s06_store_lookup(spark, d):
+    """Samples by key, the keys a table of any size: those that the store does not hold give a row of nulls."""
+    asked = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("key")).agg(F.count("*").alias("n_asked"))
+    return lookup(spark, _store(spark, d), asked).select("key", "n_asked", "patch_id", F.round(_weighted("bands"), 2).alias("weighted"))
+
+
 @query(f"""WITH {duck('f5')}, n AS (SELECT grp, COUNT(*) AS n FROM f5 GROUP BY 1), s AS (SELECT grp, SUM(n) OVER (ORDER BY grp) - n AS b, SUM(n) OVER (ORDER BY grp) AS e FROM n)
 SELECT i, grp, CAST(i - b AS BIGINT) AS shift FROM (SELECT CAST(o_orderkey * 7 AS BIGINT) AS i FROM orders) JOIN s ON i >= b AND i < e""")
 def s07_index_samples(spark, d):
@@ -154,9 +200,11 @@ def g03_grid_centers(spark, d):
     return G.grid_centers(spark, (math.floor(e.x_min), math.floor(e.y_min), math.ceil(e.x_max), math.ceil(e.y_max)), 0.5).select("y", "x", _r("lon"), _r("lat"))
 
 
-@query(f"""WITH {duck('f2')} SELECT y, x, CASE WHEN y < 2 * 144 THEN y // 144 ELSE 2 + (y - 288) // 143 END AS block_y, CASE WHEN x < 2 * 15 THEN x // 15 ELSE 2 + (x - 30) // 14 END AS block_x FROM f2 WHERE y < 1003""")
+@query(f"""WITH {duck('f2')}, e AS (SELECT MAX(y) + 1 AS nr, MAX(x) + 1 AS nc FROM f2), k AS (SELECT f2.y, f2.x, nr // 7 AS sy, nr % 7 AS ey, nc // 7 AS sx, nc % 7 AS ex FROM f2, e)
+SELECT y, x, CASE WHEN y < ey * (sy + 1) THEN y // (sy + 1) ELSE ey + (y - ey * (sy + 1)) // greatest(1, sy) END AS block_y, CASE WHEN x < ex * (sx + 1) THEN x // (sx + 1) ELSE ex + (x - ex * (sx + 1)) // greatest(1, sx) END AS block_x FROM k""")
 def g04_split_region(spark, d):
-    return G.split_region(_f2(spark, d).filter("y < 1003"), 1003, 100, 7).select("y", "x", "block_y", "block_x")
+    px = _f2(spark, d)
+    return G.split_region(px, *_shape(px), 7).select("y", "x", "block_y", "block_x")
 
 
 @query(f"WITH {duck('f6')} SELECT city_id, MAX(x_min) AS x_min, MIN(x_max) AS x_max, MAX(x_min) <= city_id + 0.95 - 0.02 AND MIN(x_max) >= city_id + 0.97 + 0.02 AS covers FROM f6 GROUP BY 1")
@@ -275,16 +323,21 @@ def g17_add_row_id(spark, d):
     return V.add_row_id(_f4(spark, d).select("id", "x_min", "y_min"), "id", ["x_min", "y_min", "id"]).select("id", F.col("_id").cast("long"))
 
 
-@query(f"""WITH {duck('f4', 'f2')}, {PIECES} SELECT pc.id, ROUND(greatest(ROUND(SUM(CASE WHEN v.height > 0 THEN v.height ELSE 0 END * area) / SUM(area), 9), 2.0), 2) AS raster_height FROM pc LEFT JOIN f2 v ON v.y = least(39, cy) AND v.x = least(39, cx) GROUP BY 1""")
+@query(f"""WITH {duck('f4', 'f2')}, {PIECES}, e AS (SELECT MAX(y) AS my, MAX(x) AS mx FROM f2), pe AS (SELECT pc.id, area, least(my, cy) AS y, least(mx, cx) AS x FROM pc, e)
+SELECT pe.id, ROUND(greatest(ROUND(SUM(CASE WHEN v.height > 0 THEN v.height ELSE 0 END * area) / SUM(area), 9), 2.0), 2) AS raster_height FROM pe LEFT JOIN f2 v ON v.y = pe.y AND v.x = pe.x GROUP BY 1""")
 def g18_attach_height(spark, d):
-    return V.attach_height(_f4(spark, d), _f2(spark, d).select("y", "x", F.col("height").alias("value")), RES, 40, 40).filter("raster_height is not null").select("id", "raster_height")
+    px = _f2(spark, d).select("y", "x", F.col("height").alias("value"))
+    return V.attach_height(_f4(spark, d), px, RES, *_shape(px)).filter("raster_height is not null").select("id", "raster_height")
 
 
-@query(f"""WITH {duck('f2')}, n AS (SELECT y, x, least(29, y // 3) AS sy, least(29, x // 3) AS sx FROM f2) SELECT n.y, n.x, ROUND(s.height, 6) AS value FROM n LEFT JOIN f2 s ON s.y = sy AND s.x = sx""")
+@query(f"""WITH {duck('f2')}, e AS (SELECT MAX(y) AS my, MAX(x) AS mx FROM f2), n AS (SELECT y, x, least(my, greatest(0, CAST(floor((y - 6) / 3) AS BIGINT))) AS sy, least(mx, greatest(0, CAST(floor((x - 6) / 3) AS BIGINT))) AS sx FROM f2, e)
+SELECT n.y, n.x, ROUND(s.height, 6) AS value FROM n LEFT JOIN f2 s ON s.y = sy AND s.x = sx""")
 def g19_resample_nearest(spark, d):
+    """The raster read as one of steps of 3 that starts 6 cells further in, at the centres of its own cells."""
     px = _f2(spark, d)
-    src = px.filter("y < 30 and x < 30").select("y", "x", F.col("height").alias("value"))
-    return G.resample_nearest(src, px, make_grid(0, 0, 3.0, 30, 30), make_grid(0, 0, 1.0, 1000, 100)).select("y", "x", _r("value"))
+    nrow, ncol = _shape(px)
+    src = px.select("y", "x", F.col("height").alias("value"))
+    return G.resample_nearest(src, px, make_grid(6, -6, 3.0, nrow, ncol), make_grid(0, 0, 1.0, nrow, ncol)).select("y", "x", _r("value"))
 
 
 @query(f"WITH {duck('f4')} SELECT id, ROUND(radians(x_min) * 6378137.0, 4) AS rx, ROUND(ln(tan(radians(y_min / 2) / 2 + pi() / 4)) * 6378137.0, 4) + 0.0 AS ry, ROUND(x_min, 6) AS bx, ROUND(y_min / 2, 6) + 0.0 AS by FROM f4")
