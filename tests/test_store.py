@@ -3,7 +3,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from urbangrid.sources import store
+from urbangrid.schemas import grid
+from urbangrid.sources import io, store
 
 
 def _rows(spark, n=1000):
@@ -82,3 +83,42 @@ def test_an_empty_store(spark, tmp_path):
     assert store.write_store(store.stack_samples(_rows(spark, 0), ["VV"], ["R"], [], ["height"]), path, ["sample_id"]) == 0
     assert store.read_store(spark, path).count() == 0 and store.get(spark, path, [0]).count() == 0
     assert store.lookup(spark, path, spark.createDataFrame([(1,)], "key long")).first().sample_id is None
+
+
+def test_z_order_of_tiles(spark):
+    at = [(0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (-1, -1), (-1, 0), (0, -1), (2**29, 2**29)]
+    got = {(r.a, r.b): r.z for r in spark.createDataFrame(at, "a long, b long").select("a", "b", io.z_order("a", "b").alias("z")).collect()}
+    want = {p: sum(((p[0] + 2**30) >> k & 1) << (2 * k + 1) | ((p[1] + 2**30) >> k & 1) << (2 * k) for k in range(31)) for p in at}
+    assert got == want
+
+
+def test_an_extent_names_few_files(spark, tmp_path):
+    path = f"file://{tmp_path}/r"
+    cells = spark.range(-64 * 128, 64 * 128).select(F.lit("B").alias("band"), F.floor(F.col("id") / 128).alias("y"), (F.pmod("id", F.lit(128)) - 64).alias("x"), F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("value"))
+    io.write_pixels(cells, path, grid(0.0, 0.0, 1.0, 128, 128), 8, 512)
+    files = spark.read.parquet(f"{path}/files").collect()
+    assert sum(r.n for r in files) == 16384 and max(r.n for r in files) <= 512 and 32 <= len(files) <= 40
+    px, _ = io.read_raster(spark, path, extent=(-3, -3, 4, 4))
+    plan, _ = _files_read(px)
+    met = _scan_metric(plan, "numFiles")
+    assert 4 <= met <= 8
+    key = lambda df: sorted((r.y, r.x, r.value or 0.0, r.value is None) for r in df.collect())
+    assert key(px) == key(cells.filter("y between -3 and 4 and x between -3 and 4"))
+    assert key(io.read_raster(spark, path)[0]) == key(cells)
+    assert io.read_raster(spark, path, extent=(500, 500, 600, 600))[0].count() == 0
+
+
+def test_a_full_cell_and_cells_without_place(spark, tmp_path):
+    """All rows in one tile are cut like any; cells without coordinates stay in the whole raster and in no extent; columns of their own are kept."""
+    path = f"file://{tmp_path}/r"
+    cells = spark.range(3000).select(F.lit("B").alias("band"), F.lit(1).cast("long").alias("y"), F.when(F.col("id") > 9, F.col("id") % 3).alias("x"), F.lit(1.0).alias("value"), F.col("id").alias("scene_id"))
+    io.write_pixels(cells, path, grid(0.0, 0.0, 1.0, 1, 1), 8, 500)
+    assert spark.read.parquet(f"{path}/files").agg(F.max("n")).first()[0] <= 500
+    assert io.read_raster(spark, path)[0].select("scene_id").distinct().count() == 3000
+    assert io.read_raster(spark, path, extent=(0, 0, 9, 9))[0].count() == 2990
+
+
+def test_an_empty_raster(spark, tmp_path):
+    path = f"file://{tmp_path}/r"
+    io.write_pixels(spark.createDataFrame([], "band string, y long, x long, value double"), path, grid(0.0, 0.0, 1.0, 1, 1))
+    assert io.read_raster(spark, path)[0].count() == 0 and io.read_raster(spark, path, extent=(0, 0, 9, 9))[0].count() == 0

@@ -74,6 +74,15 @@ def s03_write_pixels(spark, d):
     return io.read_raster(spark, path)[0].select("y", "x", _r("value"))
 
 
+@query(f"WITH {duck('f2')} SELECT y, x, ROUND(height, 6) AS value FROM f2 WHERE y BETWEEN 5 AND 60 AND x BETWEEN 10 AND 50")
+def s03_read_extent(spark, d):
+    """A part of a written raster: files of at most 500 cells along a curve, of which the extent names those to read."""
+    path = shared_path(spark, "raster")
+    px = _f2(spark, d).select(F.lit("height").alias("band"), "y", "x", F.col("height").alias("value"))
+    io.write_pixels(px, path, make_grid(116.0, 40.0, 0.0009, *_shape(px)), 8, 500)
+    return io.read_raster(spark, path, ["height"], (5, 10, 60, 50))[0].select("y", "x", _r("value"))
+
+
 @query(f"WITH {duck('f4')} SELECT id, x_min, y_min, x_max, y_max FROM f4")
 def s04_read_polygons(spark, d):
     path = shared_path(spark, "polygons")

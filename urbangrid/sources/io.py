@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -33,18 +33,47 @@ def tiled(px: DataFrame, tile: int = TILE) -> DataFrame:
     return px.withColumn("ty", F.floor(F.col("y") / tile).cast("int")).withColumn("tx", F.floor(F.col("x") / tile).cast("int"))
 
 
-def write_pixels(px: DataFrame, path: str, grid: dict, tile: int = TILE) -> None:
-    """Pixels partitioned by tile, and a one-row table of the grid; null values get the grid's no-data value only here."""
+def _spread(c: Column) -> Column:
+    """The 31 low bits of a number at every second place of a long."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+    return c
+
+
+def z_order(row, column) -> Column:
+    """Place of a tile on the Z curve; rows and columns from -2^30 on."""
+    low = lambda c: _spread(F.col(c).cast("long") + (1 << 30))
+    return F.shiftleft(low(row), 1).bitwiseOR(low(column))
+
+
+def write_pixels(px: DataFrame, path: str, grid: dict, tile: int = TILE, cells_per_file: int = 16_000_000) -> None:
+    """Pixels in files of about even size, and a one-row table of the grid; null values get the grid's no-data value only here.
+
+    Cells lie along the Z curve of their tiles, so a file holds a few patches of the raster, however many tiles the world has and however full one is.
+    files: a row for each file with its box, so that an extent names the files to read.
+    """
     spark = px.sparkSession
-    value = F.coalesce("value", F.lit(float(grid["nodata"])))
-    tiled(px.withColumn("value", value), tile).repartition("ty", "tx").write.mode("overwrite").partitionBy("ty", "tx").parquet(f"{path}/pixels")
+    placed = tiled(px.withColumn("value", F.coalesce("value", F.lit(float(grid["nodata"])))), tile).withColumn("__curve", z_order("ty", "tx"))
+    keys = ["__curve", *[c for c in ("band", "y", "x") if c in px.columns]]
+    dealt = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__curve", "ty", "tx")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", cells_per_file).parquet(f"{path}/pixels")
+    boxes = spark.read.parquet(f"{path}/pixels").groupBy(F.col("_metadata.file_name").alias("file"))
+    boxes.agg(*[f(c).alias(f"{c}_{n}") for c in ("y", "x") for n, f in (("min", F.min), ("max", F.max))], F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/files")
     spark.createDataFrame([grid]).write.mode("overwrite").parquet(f"{path}/grid")
 
 
-def read_raster(spark: SparkSession, path: str, **options) -> tuple[DataFrame, dict]:
-    """What write_pixels wrote: pixels with no-data as null, and the grid."""
+def read_raster(spark: SparkSession, path: str, bands: list[str] | None = None, extent: tuple[int, int, int, int] | None = None) -> tuple[DataFrame, dict]:
+    """What write_pixels wrote: pixels with no-data as null, and the grid; of an extent (as in read_pixels) only the files whose boxes meet it."""
     grid = spark.read.parquet(f"{path}/grid").first().asDict()
-    px = read_pixels(spark, f"{path}/pixels", **options)
+    px = spark.read.parquet(f"{path}/pixels")
+    if extent:
+        y0, x0, y1, x1 = extent
+        meets = (F.col("y_min") <= y1) & (F.col("y_max") >= y0) & (F.col("x_min") <= x1) & (F.col("x_max") >= x0)
+        files = [r.file for r in spark.read.parquet(f"{path}/files").filter(meets).select("file").collect()]
+        within = F.col("y").between(y0, y1) & F.col("x").between(x0, x1)
+        px = spark.read.schema(px.schema).parquet(*[f"{path}/pixels/{f}" for f in files]).filter(within) if files else px.filter(F.lit(False))
+    if bands:
+        px = px.filter(F.col("band").isin(*bands))
     return px.withColumn("value", F.when(F.col("value") != grid["nodata"], F.col("value"))), grid
 
 
