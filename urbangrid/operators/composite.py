@@ -6,6 +6,8 @@ equi-join or aggregate on the cell, so no plan compares cells pairwise.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,30 @@ def composite(px: DataFrame, how: str = "percentile", p: float = 50, approx: boo
     return px.groupBy(*by).agg(value.alias("value"))
 
 
+SKETCH_K = 512  # a cell's quantiles are values of the cell at their rank while it has at most this many; above, ranks are off by about 1.6 / k
+
+
+def sketch_composite(px: DataFrame, k: int = SKETCH_K, by: tuple = ("band", "y", "x")) -> DataFrame:
+    """Per band and cell a quantile sketch (KLL) of its values, at most a few times k numbers however many scenes there are.
+
+    Null and NaN are no values; a cell without any keeps its row, with an empty sketch.
+    """
+    value = F.col("value").cast("double")
+    return px.groupBy(*by).agg(F.kll_sketch_agg_double(F.when(~F.isnan(value), value), k).alias("sketch"))
+
+
+def merge_sketches(*sketches: DataFrame, k: int = SKETCH_K, by: tuple = ("band", "y", "x")) -> DataFrame:
+    """One sketch for each cell from tables of sketches: those of new scenes are merged with those kept, and no old scene is read."""
+    return reduce(DataFrame.unionByName, [s.select(*by, "sketch") for s in sketches]).groupBy(*by).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_percentile(sketches: DataFrame, p: float | list[float] = 50) -> DataFrame:
+    """The p-th percentile of each cell's sketch, a value of the cell (the first whose rank reaches p), or an array for several; null for a cell without values."""
+    ranks = F.array(*[F.lit(q / 100) for q in p]) if isinstance(p, list) else F.lit(p / 100)
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    return sketches.withColumn("value", F.when(some, F.kll_sketch_get_quantile_double("sketch", ranks))).drop("sketch")
+
+
 def join_first(left: DataFrame, right: DataFrame, left_on: str, right_on: str, order_by: list[str]) -> DataFrame:
     """Each left row with the first right row of its key in the given order; left rows without one go."""
     kept = [c for c in right.columns if c != right_on]

@@ -65,6 +65,15 @@ def c05_percentile_composite(spark, sf_dir):
     return out.select("band", "y", "x", ((F.col("i") + 1) * 25).alias("p"), _r6("value"))
 
 
+@query(f"WITH {duck('f1')} SELECT band, y, x, CAST(i * 25 AS INTEGER) AS p, ROUND(q[i], 6) AS value FROM (SELECT band, y, x, quantile_disc(value, [0.25, 0.5, 0.75]) AS q FROM f1 GROUP BY 1, 2, 3), (SELECT unnest([1, 2, 3]) AS i)")
+def c05_sketch_composite(spark, sf_dir):
+    """Quartiles from sketches of two parts of the scenes, merged; cells have fewer values than a sketch holds, so they are exact."""
+    px, first = _f1(spark, sf_dir), F.crc32("scene_id") % 2 == 0
+    kept = C.merge_sketches(C.sketch_composite(px.filter(first)), C.sketch_composite(px.filter(~first)))
+    out = C.sketch_percentile(kept, [25, 50, 75]).select("band", "y", "x", F.posexplode("value").alias("i", "value"))
+    return out.select("band", "y", "x", ((F.col("i") + 1) * 25).alias("p"), _r6("value"))
+
+
 @query(f"WITH {duck('f1')} SELECT band, y, x, ROUND(AVG(value), 9) AS value FROM f1 GROUP BY 1, 2, 3")
 def c06_mean_composite(spark, sf_dir):
     return C.composite(_f1(spark, sf_dir), "mean").select("band", "y", "x", F.round("value", 9).alias("value"))
