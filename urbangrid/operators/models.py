@@ -23,6 +23,7 @@ from ..functions import scalars as S
 from ..sources.io import mosaic
 from .boosting import BoostedTrees, fit_boosted_trees
 from .composite import composite
+from .curves import fit_power
 from .features import feature_names, patch_features
 from .grid import check_extent, clip_raster
 from .patches import assemble_patches, fill_nan_nearest, rescale_band
@@ -76,29 +77,9 @@ def fit_preprocessors(df: DataFrame, cols: list[str], k: int) -> Preprocessors:
 
 
 # ---------------------------------------------------------------- curve model
-def vvh_fit(df: DataFrame, x: str = "vvh", y: str = "h", lo: float = -10.0, hi: float = 10.0, points: int = 41, rounds: int = 6, bound: float = 100.0) -> dict[str, float]:
-    """a, b, c of y = a * x^b + c by least squares.
-
-    For a grid of b, slope and intercept are closed forms, so a round is one small aggregate grouped by b; the grid closes in on the best.
-    a and c stay within +-bound, b within lo..hi.
-    """
-    best = None
-    left, right = lo, hi
-    for _ in range(rounds):
-        grid = [b for b in np.linspace(left, right, points) if abs(b) > 1e-9]
-        tried = df.select(x, y).filter(F.col(x) > 0).select(y, x, F.explode(F.array(*map(F.lit, map(float, grid)))).alias("b")).withColumn("z", F.pow(F.col(x), F.col("b")))
-        slope, cut = F.regr_slope(y, "z"), F.regr_intercept(y, "z")
-        sse = F.regr_syy(y, "z") - F.try_divide(F.pow(F.regr_sxy(y, "z"), 2), F.regr_sxx(y, "z"))
-        one = tried.groupBy("b").agg(slope.alias("a"), cut.alias("c"), sse.alias("sse")).filter(F.abs("a").between(0, bound) & F.abs("c").between(0, bound))
-        top = one.agg(F.min(F.struct("sse", "b", "a", "c")).alias("t")).first().t
-        if top is None:
-            break
-        best = {"a": top.a, "b": top.b, "c": top.c}
-        step = (right - left) / (points - 1)
-        left, right = max(lo, top.b - step), min(hi, top.b + step)
-    if best is None:
-        raise ValueError("no parameters within the bounds")
-    return best
+def vvh_fit(df: DataFrame, x: str = "vvh", y: str = "h", lo: float = -10.0, hi: float = 10.0, points: int = 41, rounds: int = 40, bound: float = 100.0) -> dict[str, float]:
+    """a, b, c of y = a * x^b + c by least squares; a and c stay within +-bound, b within lo..hi (see curves.fit_power)."""
+    return fit_power(df, x, y, lo, hi, points, rounds, bound)
 
 
 def vvh_predict(x, p: dict[str, float]) -> Column:

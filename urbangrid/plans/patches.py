@@ -373,6 +373,22 @@ def m05_vvh_fit(spark, d):
     return spark.createDataFrame([(k, round(v, 2)) for k, v in p.items()], "name string, value double")
 
 
+@query(f"""WITH {duck('f1')}, w AS (SELECT scene_id, y, x, AVG(CASE WHEN band = 'view' THEN value END) AS p, AVG(CASE WHEN band = 'click' THEN value END) AS q FROM f1 GROUP BY 1, 2, 3),
+k AS (SELECT y, x, least(1.0, pow(10.0, (p / 10 - 30) / 10)) * pow(5.0, least(1.0, pow(10.0, (q / 10 - 30) / 10))) AS v FROM w WHERE p IS NOT NULL AND q IS NOT NULL),
+m AS (SELECT v, -2 * pow(v, 0.4) + 3 + ((y * 7 + x * 13) % 11 - 5) / 200.0 AS h FROM k), g1 AS (SELECT (i - 200) / 20.0 AS b FROM range(401) r(i) WHERE i <> 200),
+e1 AS (SELECT b, regr_slope(h, pow(v, b)) AS a, regr_intercept(h, pow(v, b)) AS c, regr_syy(h, pow(v, b)) * (1 - regr_r2(h, pow(v, b))) AS sse FROM m, g1 GROUP BY 1),
+t1 AS (SELECT b FROM e1 WHERE abs(a) <= 100 AND abs(c) <= 100 ORDER BY sse LIMIT 1), g2 AS (SELECT b + (i - 100) / 2000.0 AS b FROM t1, range(201) r(i)),
+e2 AS (SELECT b, regr_slope(h, pow(v, b)) AS a, regr_intercept(h, pow(v, b)) AS c, regr_syy(h, pow(v, b)) * (1 - regr_r2(h, pow(v, b))) AS sse, COUNT(*) AS n FROM m, g2 GROUP BY 1)
+SELECT CAST(ROUND(b, 2) AS DOUBLE) AS b, ROUND(sqrt(sse / n), 6) AS rmse FROM e2 WHERE abs(a) <= 100 AND abs(c) <= 100 ORDER BY sse LIMIT 1""")
+def m05_vvh_fit_noisy(spark, d):
+    """The exponent and the error of the curve fitted to heights that lie off it."""
+    at = F.split("sample_id", "-")
+    off = ((F.element_at(at, -2).cast("long") * 7 + F.element_at(at, -1).cast("long") * 13) % 11 - 5) / 200.0
+    noisy = _vvh(spark, d).withColumn("h", F.col("h") + off)
+    p = M.vvh_fit(noisy)
+    return noisy.agg(F.round(F.lit(p["b"]), 2).alias("b"), F.round(F.sqrt(F.avg(F.pow(F.col("h") - M.vvh_predict("vvh", p), 2))), 6).alias("rmse"))
+
+
 @query(f"""WITH {duck('f1')}, w AS (SELECT scene_id, y, x, AVG(CASE WHEN band = 'view' THEN value END) AS a, AVG(CASE WHEN band = 'click' THEN value END) AS b FROM f1 GROUP BY 1, 2, 3),
 k AS (SELECT scene_id || '-' || y || '-' || x AS sample_id, least(1.0, pow(10.0, (a / 10 - 30) / 10)) * pow(5.0, least(1.0, pow(10.0, (b / 10 - 30) / 10))) AS v FROM w WHERE a IS NOT NULL AND b IS NOT NULL) SELECT sample_id, ROUND(1.5 * pow(v, 0.7) - 0.25, 6) AS height FROM k""")
 def m06_vvh_predict(spark, d):
