@@ -409,3 +409,36 @@ def test_an_l2_term_shrinks_leaves(spark):
     df = spark.createDataFrame([([float(i % 7), float(i % 5)], float(i % 7 > 3)) for i in range(300)], "features array<double>, label double")
     free, bound = (models.fit_gbt(df, 3, 2, l2=v) for v in (0.0, 1000.0))
     assert max(abs(t.weight).max() for t in bound.trees) < 0.3 * max(abs(t.weight).max() for t in free.trees)
+
+
+def test_search_scores_each_setting_on_each_fold(spark):
+    """The R2 of a learner that predicts the mean of its training rows, worked out by hand; a fold of one label has none."""
+    from urbangrid.operators.models import search
+
+    rows = [(k, float(v)) for k, v in enumerate([1, 2, 4, 8, 5, 5])]
+    df = spark.createDataFrame(rows, "sample_id long, label double")
+
+    def fit(train, shift):
+        mean = train.agg(F.avg("label")).first()[0] + shift
+        return lambda table: table.withColumn("prediction", F.lit(mean))
+
+    got = {(r.shift, r.fold): r.r2 for r in search(df, fit, [{"shift": 0.0}, {"shift": 1.0}], 3).collect()}
+    y = np.array([v for _, v in rows])
+    for shift in (0.0, 1.0):
+        for fold in range(3):
+            test, train = y[2 * fold : 2 * fold + 2], np.delete(y, [2 * fold, 2 * fold + 1])
+            want = None if fold == 2 else 1 - ((test - train.mean() - shift) ** 2).sum() / ((test - test.mean()) ** 2).sum()
+            assert got[shift, fold] == (want if want is None else pytest.approx(want))
+    with pytest.raises(ValueError):
+        search(df, fit, [{"shift": 0.0}, {"fold": 1.0}], 3)
+
+
+def test_heights_of_an_extent_that_is_not_covered(spark):
+    from urbangrid.operators.models import predict_vvh
+
+    px = spark.createDataFrame([("VV", 0, 0, -5.0), ("VV", 3, 3, -5.0), ("VH", 0, 0, -9.0)], "band string, y long, x long, value double")
+    centers = spark.createDataFrame([(0, 0), (2, 2)], "cy long, cx long")
+    params = {"a": 1.0, "b": 1.0, "c": 0.0}
+    with pytest.raises(ValueError):
+        predict_vvh(px, centers, params, 3, extent=(0, 0, 2, 2)).collect()
+    assert predict_vvh(px, centers, params, 3, extent=(0, 0, 0, 0)).count() == 1

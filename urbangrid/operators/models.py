@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..sources.io import mosaic
+from ..sources.shared import stored
 from .boosting import BoostedTrees, fit_boosted_trees
 from .composite import composite
 from .curves import fit_power
@@ -193,6 +194,34 @@ def grid_search(df: DataFrame, estimator, grid: list[dict], n_folds: int = 10, o
     return cv.fit(folds(df, n_folds, list(order)))
 
 
+def search(df: DataFrame, fit: Callable, grid: list[dict[str, float]], n_folds: int = 10, order: tuple = ("sample_id",), label: str = "label", at_once: int = 2) -> DataFrame:
+    """The parameters, fold, r2 for each parameter set of the grid and each of the contiguous folds.
+
+    fit(train, **parameters) gives a function that adds prediction to a table, so any learner can be searched: forests, boosted trees, bags, or
+    one of the caller's.  Folds are written once; a fit is a distributed job of its own and `at_once` of them run side by side.  Rows without a label
+    or a prediction are not scored; a fold with less than two different labels has no r2.  Names of parameters must not be those of fold and r2.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    if any(set(g) != set(grid[0]) or {"fold", "r2"} & set(g) for g in grid):
+        raise ValueError("parameter sets must have the same names, and none of them fold or r2")
+    dealt = stored(folds(df, n_folds, list(order)), "folds")
+    y, miss = F.col(label), F.col(label) - F.col("prediction")
+    total = F.sum(y * y) - F.pow(F.sum(y), 2) / F.count("*")
+
+    def score(job):
+        params, k = job
+        scored = fit(dealt.filter(F.col("fold") != k).drop("fold"), **params)(dealt.filter(F.col("fold") == k).drop("fold"))
+        row = scored.filter(miss.isNotNull()).agg(F.sum(miss * miss).alias("sse"), F.min(y).alias("lo"), F.max(y).alias("hi"), total.alias("sst")).first()
+        r2 = 1 - row.sse / row.sst if row.lo is not None and row.lo < row.hi else None
+        return (*[float(params[n]) for n in grid[0]], k, r2)
+
+    with ThreadPool(at_once) as pool:
+        rows = pool.map(score, [(g, k) for g in grid for k in range(n_folds)], chunksize=1) if grid else []
+    names = [*(f"`{n}` double" for n in (grid[0] if grid else [])), "fold int", "r2 double"]
+    return df.sparkSession.createDataFrame(rows, ", ".join(names))
+
+
 def cv_report(scores: DataFrame, params: list[str], score: str = "r2") -> DataFrame:
     """Mean, population deviation and rank of each parameter set (a row for each)."""
     one = scores.groupBy(*params).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
@@ -214,10 +243,17 @@ def score_patches(df: DataFrame, make_predict_fn: Callable, patch: str = "featur
     return out.withColumnRenamed("__p", outputs[0]) if len(outputs) == 1 else out.select(*df.columns, *[F.col(f"__p.{o}").alias(o) for o in outputs])
 
 
-def predict_vvh(px: DataFrame, centers: DataFrame, params: dict[str, float], size: int, gamma: float = 5.0, log: bool = True) -> DataFrame:
-    """cy, cx, height from mean coefficients of VV and VH patches and the fitted curve."""
+def predict_vvh(px: DataFrame, centers: DataFrame, params: dict[str, float], size: int, gamma: float = 5.0, log: bool = True, extent: tuple | None = None, fill: bool = False) -> DataFrame:
+    """cy, cx, height from mean coefficients of VV and VH patches and the fitted curve.
+
+    extent (y_min, x_min, y_max, x_max): both bands must cover it, cells beyond its windows are not read, and centres are those within.  fill: holes take
+    the nearest value of their band, and windows over the border the nearest in the window; else means are over the cells that are there.
+    """
+    px, centers = _clipped(px.filter(F.col("band").isin("VV", "VH")), centers, size, extent)
+    if fill:
+        px = fill_nan_nearest(px, keys=("band",))
     mean = lambda c: F.aggregate(F.filter(c, lambda v: v.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, v: F.struct((a["s"] + S.backscatter(v)).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.try_divide(a["s"], a["n"]))
-    cut = assemble_patches(centers, [(px, ["VV", "VH"])], size).select("cy", "cx", mean("VV").alias("vv"), mean("VH").alias("vh"))
+    cut = assemble_patches(centers, [(px, ["VV", "VH"])], size, fill=fill).select("cy", "cx", mean("VV").alias("vv"), mean("VH").alias("vh"))
     h = vvh_predict(S.vvh("vv", "vh", gamma), params)
     return cut.select("cy", "cx", (F.exp(h) if log else h).alias("height"))
 
@@ -240,16 +276,21 @@ def predict_ml_map(px: DataFrame, centers: DataFrame, prepared: Preprocessors, m
     return predict_ml(feature_columns(px, centers, size, bands, sizes, windows, suffix, extent), prepared, model, log).select("cy", "cx", "height")
 
 
+def _clipped(px: DataFrame, centers: DataFrame, size: int, extent: tuple | None) -> tuple[DataFrame, DataFrame]:
+    """Cells of the extent's windows and centres within it; an error where a band does not cover it."""
+    if not extent:
+        return px, centers
+    y0, x0, y1, x1 = extent
+    metas = px.groupBy("band").agg(F.min("x").alias("x_min"), F.min("y").alias("y_min"), F.max("x").alias("x_max"), F.max("y").alias("y_max"))
+    box = check_extent(metas, (x0, y0, x1, y1)).first()
+    if box is None or not box.covers:
+        raise ValueError("the bands do not cover the extent")
+    return clip_raster(px, extent, size), centers.filter(F.col("cy").between(y0, y1) & F.col("cx").between(x0, x1))
+
+
 def _windows(px: DataFrame, centers: DataFrame, size: int, bands: list[str], extent: tuple | None) -> DataFrame:
     """cy, cx and an array for each band: clip (all bands must cover the extent), fill holes, rescale, cut, fill windows over the border."""
-    px = px.filter(F.col("band").isin(*bands))
-    if extent:
-        y0, x0, y1, x1 = extent
-        metas = px.groupBy("band").agg(F.min("x").alias("x_min"), F.min("y").alias("y_min"), F.max("x").alias("x_max"), F.max("y").alias("y_max"))
-        box = check_extent(metas, (x0, y0, x1, y1)).first()
-        if box is None or not box.covers:
-            raise ValueError("the bands do not cover the extent")
-        px, centers = clip_raster(px, extent, size), centers.filter(F.col("cy").between(y0, y1) & F.col("cx").between(x0, x1))
+    px, centers = _clipped(px.filter(F.col("band").isin(*bands)), centers, size, extent)
     scaled = rescale_band(fill_nan_nearest(px, keys=("band",)))
     cut = assemble_patches(centers, [(scaled, bands)], size, fill=True)
     whole = lambda b: F.transform(b, lambda v: F.coalesce(v, F.lit(0.0))).alias(b)

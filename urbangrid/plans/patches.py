@@ -463,6 +463,34 @@ def m11_grid_search_ml(spark, d):
     return spark.createDataFrame([(float(g[model.regParam]), float(r)) for g, r in zip(grid, scores)], "penalty double, r2 double")
 
 
+@query(f"""WITH {duck('f5')}, n AS (SELECT *, (row_number() OVER (ORDER BY sample_id, l_tax, l_discount) - 1) * 3 // COUNT(*) OVER () AS fold FROM f5), k AS (SELECT DISTINCT fold AS f FROM n),
+r AS (SELECT f, AVG(y_true) AS m FROM k JOIN n ON n.fold <> f GROUP BY 1), tr AS (SELECT r.f, m - y_true AS g, l_quantity, CAST(p_size AS DOUBLE) AS p_size, l_tax FROM r JOIN n ON n.fold <> f),
+e AS (SELECT 0 AS feature, unnest({_EDGES[0]}) AS t UNION ALL SELECT 1, unnest({_EDGES[1]}) UNION ALL SELECT 2, unnest({_EDGES[2]})),
+v AS (SELECT f, 0 AS feature, l_quantity AS x, g FROM tr UNION ALL SELECT f, 1, p_size, g FROM tr UNION ALL SELECT f, 2, l_tax, g FROM tr),
+s AS (SELECT f, e.feature, t, SUM(g) FILTER (x <= t) AS gl, COUNT(*) FILTER (x <= t) AS hl, SUM(g) FILTER (x > t) AS gr, COUNT(*) FILTER (x > t) AS hr FROM e JOIN v USING (feature) GROUP BY 1, 2, 3),
+b AS (SELECT s.*, l2 FROM s, (SELECT unnest([1.0, 500.0, 20000.0]) AS l2) WHERE hl > 0 AND hr > 0 QUALIFY row_number() OVER (PARTITION BY f, l2 ORDER BY gl * gl / (hl + l2) + gr * gr / (hr + l2) - power(gl + gr, 2) / (hl + hr + l2) DESC, feature, t) = 1),
+p AS (SELECT b.l2, n.fold, y_true, m - 0.5 * CASE WHEN CASE feature WHEN 0 THEN l_quantity WHEN 1 THEN p_size ELSE l_tax END <= t THEN gl / (hl + l2) ELSE gr / (hr + l2) END AS y_fit FROM n JOIN b ON b.f = n.fold JOIN r ON r.f = n.fold)
+SELECT CAST(l2 AS DOUBLE) AS l2, CAST(fold AS INTEGER) AS fold, ROUND(1 - SUM(power(y_true - y_fit, 2)) / (SUM(y_true * y_true) - power(SUM(y_true), 2) / COUNT(*)), 6) AS r2 FROM p GROUP BY 1, 2""")
+def m11_search_boosted(spark, d):
+    """L2 terms of boosted trees searched over contiguous folds: one split from given edges, so that SQL can fit it as well."""
+    df = _f5(spark, d).withColumn("features", F.array(*[F.col(c).cast("double") for c in ("l_quantity", "p_size", "l_tax")])).select("sample_id", "l_tax", "l_discount", "y_true", "features")
+    fit = lambda train, l2: M.fit_gbt(train, 1, 1, rate=0.5, label="y_true", l2=l2, edges=_EDGES).transform
+    return M.search(df, fit, [{"l2": v} for v in (1.0, 500.0, 20000.0)], 3, ("sample_id", "l_tax", "l_discount"), "y_true").select("l2", "fold", _r("r2"))
+
+
+@query()
+def m11_search_learners(spark, d):
+    """Forests, boosted trees and bags of kernel regressions, two settings each, over two contiguous folds."""
+    _, df = _training(spark, d)
+    df = df.select("sample_id", "label", "features")
+    forest = M.search(df, lambda train, depth: M.fit_rf(train, 8, int(depth)).transform, [{"depth": v} for v in (2.0, 6.0)], 2).select(F.lit("forest").alias("learner"), F.col("depth").alias("setting"), "fold", "r2")
+    boosted = M.search(df, lambda train, gamma: M.fit_gbt(train, 4, 3, gamma=gamma).transform, [{"gamma": v} for v in (0.0, 50.0)], 2).select(F.lit("boosted").alias("learner"), F.col("gamma").alias("setting"), "fold", "r2")
+    flat = _scaled(spark, d).select("sample_id", "label", *COLS)
+    bag = lambda train, width: lambda rows: M.predict_bagged_kernel(rows, M.fit_bagged_kernel(train, COLS, 3, 0.3, width), COLS, width)
+    bags = M.search(flat, bag, [{"width": v} for v in (1.5, 4.0)], 2).select(F.lit("bags").alias("learner"), F.col("width").alias("setting"), "fold", "r2")
+    return forest.unionByName(boosted).unionByName(bags)
+
+
 @query(f"WITH {duck('f5')}, s AS (SELECT split_part(grp, '@', 1) AS p, split_part(grp, '@', 2) AS fold, AVG(y_pred) AS r2 FROM f5 GROUP BY 1, 2), o AS (SELECT p, AVG(r2) AS mean, stddev_pop(r2) AS std FROM s GROUP BY 1) SELECT p, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std, CAST(rank() OVER (ORDER BY ROUND(mean, 12) DESC) AS INTEGER) AS rank FROM o")
 def m12_cv_report(spark, d):
     scores = _f5(spark, d).groupBy(S.regex_key("grp", "^([^@]*)").alias("p"), S.regex_key("grp", r"@(\d+)$").alias("fold")).agg(F.avg("y_pred").alias("r2"))
@@ -493,6 +521,16 @@ def m15_predict_vvh(spark, d):
     return M.predict_vvh(px, _centers(spark, d), {"a": 0.5, "b": 0.4, "c": 1.0}, 3).select("cy", "cx", _r("height"))
 
 
+@query(f"""WITH {duck('f2')}, f2c AS (SELECT y AS cy, x AS cx FROM f2), px AS (SELECT 'VV' AS band, y, x, height - 60 AS v FROM f2 UNION ALL SELECT 'VH', y, x, footprint * 10 - 30 FROM f2), {_windows_sql('px', 3, -1)},
+p AS (SELECT cy, cx, AVG(CASE WHEN band = 'VV' THEN least(1.0, pow(10.0, v / 10)) END) AS vv, AVG(CASE WHEN band = 'VH' THEN least(1.0, pow(10.0, v / 10)) END) AS vh FROM wf WHERE cy BETWEEN 2 AND 9 AND cx BETWEEN 5 AND 80 GROUP BY 1, 2)
+SELECT cy, cx, ROUND(exp(0.5 * pow(vv * pow(5.0, vh), 0.4) + 1), 6) AS height FROM p""")
+def m15_predict_vvh_extent(spark, d):
+    """The heights of an extent that both bands must cover, holes filled."""
+    f2 = fixture(spark, d, "f2")
+    px = f2.select(F.lit("VV").alias("band"), "y", "x", (F.col("height") - 60).alias("value")).unionByName(f2.select(F.lit("VH").alias("band"), "y", "x", (F.col("footprint") * 10 - 30).alias("value")))
+    return M.predict_vvh(px, _centers(spark, d), {"a": 0.5, "b": 0.4, "c": 1.0}, 3, extent=(2, 5, 9, 80), fill=True).select("cy", "cx", _r("height"))
+
+
 @query()
 def m16_predict_ml(spark, d):
     """From pixels to heights: windows, features, preparation, forest."""
