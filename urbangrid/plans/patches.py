@@ -378,8 +378,10 @@ k AS (SELECT y, x, least(1.0, pow(10.0, (p / 10 - 30) / 10)) * pow(5.0, least(1.
 m AS (SELECT v, -2 * pow(v, 0.4) + 3 + ((y * 7 + x * 13) % 11 - 5) / 200.0 AS h FROM k), g1 AS (SELECT (i - 200) / 20.0 AS b FROM range(401) r(i) WHERE i <> 200),
 e1 AS (SELECT b, regr_slope(h, pow(v, b)) AS a, regr_intercept(h, pow(v, b)) AS c, regr_syy(h, pow(v, b)) * (1 - regr_r2(h, pow(v, b))) AS sse FROM m, g1 GROUP BY 1),
 t1 AS (SELECT b FROM e1 WHERE abs(a) <= 100 AND abs(c) <= 100 ORDER BY sse LIMIT 1), g2 AS (SELECT b + (i - 100) / 2000.0 AS b FROM t1, range(201) r(i)),
-e2 AS (SELECT b, regr_slope(h, pow(v, b)) AS a, regr_intercept(h, pow(v, b)) AS c, regr_syy(h, pow(v, b)) * (1 - regr_r2(h, pow(v, b))) AS sse, COUNT(*) AS n FROM m, g2 GROUP BY 1)
-SELECT CAST(ROUND(b, 2) AS DOUBLE) AS b, ROUND(sqrt(sse / n), 6) AS rmse FROM e2 WHERE abs(a) <= 100 AND abs(c) <= 100 ORDER BY sse LIMIT 1""")
+e2 AS (SELECT b, regr_slope(h, pow(v, b)) AS a, regr_intercept(h, pow(v, b)) AS c, regr_syy(h, pow(v, b)) * (1 - regr_r2(h, pow(v, b))) AS sse FROM m, g2 GROUP BY 1),
+t2 AS (SELECT b FROM e2 WHERE abs(a) <= 100 AND abs(c) <= 100 ORDER BY sse LIMIT 1), g3 AS (SELECT b + (i - 100) / 200000.0 AS b FROM t2, range(201) r(i)),
+e3 AS (SELECT b, regr_slope(h, pow(v, b)) AS a, regr_intercept(h, pow(v, b)) AS c, regr_syy(h, pow(v, b)) * (1 - regr_r2(h, pow(v, b))) AS sse, COUNT(*) AS n FROM m, g3 GROUP BY 1)
+SELECT CAST(ROUND(b, 2) AS DOUBLE) AS b, ROUND(sqrt(sse / n), 6) AS rmse FROM e3 WHERE abs(a) <= 100 AND abs(c) <= 100 ORDER BY sse LIMIT 1""")
 def m05_vvh_fit_noisy(spark, d):
     """The exponent and the error of the curve fitted to heights that lie off it."""
     at = F.split("sample_id", "-")
@@ -522,13 +524,14 @@ def m15_predict_vvh(spark, d):
 
 
 @query(f"""WITH {duck('f2')}, f2c AS (SELECT y AS cy, x AS cx FROM f2), px AS (SELECT 'VV' AS band, y, x, height - 60 AS v FROM f2 UNION ALL SELECT 'VH', y, x, footprint * 10 - 30 FROM f2), {_windows_sql('px', 3, -1)},
-p AS (SELECT cy, cx, AVG(CASE WHEN band = 'VV' THEN least(1.0, pow(10.0, v / 10)) END) AS vv, AVG(CASE WHEN band = 'VH' THEN least(1.0, pow(10.0, v / 10)) END) AS vh FROM wf WHERE cy BETWEEN 2 AND 9 AND cx BETWEEN 5 AND 80 GROUP BY 1, 2)
+p AS (SELECT cy, cx, AVG(CASE WHEN band = 'VV' THEN least(1.0, pow(10.0, v / 10)) END) AS vv, AVG(CASE WHEN band = 'VH' THEN least(1.0, pow(10.0, v / 10)) END) AS vh FROM wf GROUP BY 1, 2)
 SELECT cy, cx, ROUND(exp(0.5 * pow(vv * pow(5.0, vh), 0.4) + 1), 6) AS height FROM p""")
 def m15_predict_vvh_extent(spark, d):
-    """The heights of an extent that both bands must cover, holes filled."""
+    """The heights of the raster's extent, which both bands must cover, holes filled."""
     f2 = fixture(spark, d, "f2")
+    box = f2.agg(F.min("y"), F.min("x"), F.max("y"), F.max("x")).first()
     px = f2.select(F.lit("VV").alias("band"), "y", "x", (F.col("height") - 60).alias("value")).unionByName(f2.select(F.lit("VH").alias("band"), "y", "x", (F.col("footprint") * 10 - 30).alias("value")))
-    return M.predict_vvh(px, _centers(spark, d), {"a": 0.5, "b": 0.4, "c": 1.0}, 3, extent=(2, 5, 9, 80), fill=True).select("cy", "cx", _r("height"))
+    return M.predict_vvh(px, _centers(spark, d), {"a": 0.5, "b": 0.4, "c": 1.0}, 3, extent=tuple(box), fill=True).select("cy", "cx", _r("height"))
 
 
 @query()
