@@ -20,10 +20,11 @@ def get_by_extent(df: DataFrame, variable: str, extent: tuple, cells: tuple[int,
 
 
 def raster_to_points(px: DataFrame, grid: dict, extent: tuple | None = None, value: str = "value") -> DataFrame:
-    """lon, lat, value of the centres of cells above 0, within the extent where given."""
+    """lon, lat, value of the centres of cells above 0, within the extent (lon_min, lat_min, lon_max, lat_max) where given; a side that is None is open."""
     out = px.filter(F.col(value) > 0).select((F.lit(grid["x0"]) + (F.col("x") + 0.5) * grid["dx"]).alias("lon"), (F.lit(grid["y0"]) - (F.col("y") + 0.5) * grid["dy"]).alias("lat"), F.col(value).alias("value"))
-    if extent:
-        out = out.filter(F.col("lon").between(extent[0], extent[2]) & F.col("lat").between(extent[1], extent[3]))
+    for c, side, within in zip(("lon", "lat", "lon", "lat"), extent or (), ("__ge__", "__ge__", "__le__", "__le__")):
+        if side is not None:
+            out = out.filter(getattr(F.col(c), within)(side))
     return out
 
 
