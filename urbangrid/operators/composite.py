@@ -151,9 +151,9 @@ def cloudy_percentage(px: DataFrame, mask: str = "mask", area: str | None = None
 
 
 def quality_score(px: DataFrame, cloud: str = "cloud_score", shadow: str = "shadow_flag") -> DataFrame:
-    """scene_id, y, x, score: minus the 3 x 3 mean of the greater of cloud score and shadow flag."""
+    """scene_id, y, x, score: minus the 3 x 3 mean of the greater of cloud score and shadow flag, to nine decimals, so that equal means are ties."""
     worst = px.withColumn("value", F.greatest(F.col(cloud).cast("double"), F.col(shadow).cast("double")))
-    return focal(worst, "avg", 1, "value").select(*CELL, (-F.col("value")).alias("score"))
+    return focal(worst, "avg", 1, "value").select(*CELL, (-F.round("value", 9)).alias("score"))
 
 
 def adaptive_threshold(px: DataFrame, lo: int = 20, hi: int = 80, step: int = 5, keep: float = 2.0) -> DataFrame:
