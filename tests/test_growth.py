@@ -16,3 +16,47 @@ def test_tiles_are_few_files(spark, tmp_path):
     assert len(glob.glob(f"{tmp_path}/tiles/**/*.parquet", recursive=True)) <= 3
     got = {(r.y, r.x): r.value for r in io.read_pixels(spark, f"file://{tmp_path}/tiles", ["h"], (3, 2, 50, 5), 4).collect()}
     assert got == {(y, x): float(10 * y + x) for y in range(3, 51) for x in range(2, 6)}
+
+
+def test_averages_are_summed_in_file_order(spark, tmp_path):
+    """Two row groups read by two tasks: (0.1 + 0.2) + 0.3, not 0.1 + (0.2 + 0.3); a cell without values is null."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from urbangrid.sources.fixtures import fixture
+
+    def rows(supplier, discounts):
+        n = len(discounts)
+        return pa.table({"l_suppkey": [supplier] * n, "l_partkey": [7] * n, "l_quantity": [5.0] * n, "l_discount": pa.array(discounts, pa.float64()), "l_returnflag": ["R"] * n})
+
+    with pq.ParquetWriter(tmp_path / "lineitem.parquet", rows(1, [0.1]).schema) as out:
+        for part in (rows(1, [0.1]), rows(1, [0.2, 0.3]), rows(2, [None])):
+            out.write_table(part)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "256")
+        got = {r.y: (r.height, r.footprint) for r in fixture(spark, str(tmp_path), "f2").collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {1: (5.0, ((0.1 + 0.2) + 0.3) / 3 * 10), 2: (5.0, None)} and (0.1 + 0.2) + 0.3 != 0.1 + (0.2 + 0.3)
+
+
+def test_equal_scores_are_ties(spark):
+    """Means that differ in their last digits only are equal scores."""
+    from urbangrid.operators.composite import quality_score
+
+    px = spark.createDataFrame([("a", 0, x, v, 0) for x, v in enumerate((0.1, 0.2, 0.3))] + [("b", 0, 1, 0.2, 0)], "scene_id string, y long, x long, cloud_score double, shadow_flag int")
+    scores = {r.score for r in quality_score(px).filter("x = 1").collect()}
+    assert scores == {-0.2}
+
+
+def test_points_south_of_the_equator(spark):
+    """An open side of the extent cuts nothing: rows beyond 44,444 of this grid lie at negative latitudes."""
+    from urbangrid.operators.analytics import raster_to_points
+
+    px = spark.createDataFrame([(0, 0, 1.0), (60_000, 0, 2.0), (0, 9, 3.0)], "y long, x long, value double")
+    grid = {"x0": 116.0, "y0": 40.0, "dx": 0.0009, "dy": 0.0009}
+    assert {r.value for r in raster_to_points(px, grid, (None, None, 116.005, None)).collect()} == {1.0, 2.0}
+    assert {r.value for r in raster_to_points(px, grid, (116.0, 0.0, 117.0, 90.0)).collect()} == {1.0, 3.0}
