@@ -60,3 +60,32 @@ def test_points_south_of_the_equator(spark):
     grid = {"x0": 116.0, "y0": 40.0, "dx": 0.0009, "dy": 0.0009}
     assert {r.value for r in raster_to_points(px, grid, (None, None, 116.005, None)).collect()} == {1.0, 2.0}
     assert {r.value for r in raster_to_points(px, grid, (116.0, 0.0, 117.0, 90.0)).collect()} == {1.0, 3.0}
+
+
+@pytest.mark.parametrize("accuracy", [20, 1000])
+def test_quantiles_from_brackets_are_exact(spark, accuracy):
+    """Skewed values, ties, nulls, constants and no values at all, against NumPy."""
+    from urbangrid.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(5)
+    a, b = np.exp(rng.normal(size=5000) * 3), rng.integers(0, 4, 5000).astype(float)
+    rows = [(float(x), None if k % 7 == 0 else float(y), 2.5, None) for k, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    qs = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = quantiles(df, ["a", "b", "c", "d"], qs, accuracy)
+    assert got["a"] == pytest.approx(list(np.quantile(a, qs)), rel=1e-12)
+    assert got["b"] == pytest.approx(list(np.quantile(b[np.arange(5000) % 7 != 0], qs)), rel=1e-12)
+    assert got["c"] == [2.5] * 6 and got["d"] == [None] * 6
+
+
+def test_only_bracketed_values_are_kept(spark):
+    """Of 200,000 distinct values a quantile sorts those near its rank (`percentile` keeps all of them in one task)."""
+    from urbangrid.operators import quantiles as Q
+
+    kept, real = [], Q.stored
+    try:
+        Q.stored = lambda df, name: kept.append(real(df, name)) or kept[-1]
+        assert Q.quantiles(spark.range(200_001).select(F.col("id").cast("double").alias("v")), ["v"], [0.5])["v"] == [100_000.0]
+    finally:
+        Q.stored = real
+    assert kept[-1].count() < 1000

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import seeded_hash
 from ..sources.io import dense_position
+from .quantiles import quantiles
 
 
 def merge_samples(*parts: DataFrame) -> DataFrame:
@@ -60,14 +61,17 @@ def count_summary(df: DataFrame, group: str = "grp", marker: str = "@") -> DataF
 
 
 def quartile_summary(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    """median, q1, q3, iqr in one row."""
+    q1, middle, q3 = quantiles(df, [value], [0.25, 0.5, 0.75])[value]
+    return df.sparkSession.createDataFrame([(middle, q1, q3, None if q1 is None else q3 - q1)], "median double, q1 double, q3 double, iqr double")
 
 
 def mad(df: DataFrame, value: str, log: bool = False, scale: float = 1.4826) -> DataFrame:
     """scale * median(abs(x - median))."""
     x = df.select((F.ln(value) if log else F.col(value)).alias("x"))
-    middle = x.agg(F.median("x")).first()[0]  # one number
-    return x.agg((F.lit(scale) * F.median(F.abs(F.col("x") - F.lit(middle)))).alias("mad"))
+    middle = quantiles(x, ["x"], [0.5])["x"][0]
+    off = quantiles(x.select(F.abs(F.col("x") - F.lit(middle)).alias("off")), ["off"], [0.5])["off"][0]
+    return df.sparkSession.createDataFrame([(None if off is None else scale * off,)], "mad double")
 
 
 def three_way_split(df: DataFrame, seed: int = 0, group: str = "grp", id_col: str = "sample_id") -> DataFrame:
