@@ -89,3 +89,14 @@ def test_only_bracketed_values_are_kept(spark):
     finally:
         Q.stored = real
     assert kept[-1].count() < 1000
+
+
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
+    """Rows beyond RANGE_ROWS a range make more ranges; positions stay whole."""
+    monkeypatch.setattr(io, "RANGE_ROWS", 100)
+    df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"))
+    kept, real = [], io.stored
+    monkeypatch.setattr(io, "stored", lambda d, name: kept.append(real(d, name)) or kept[-1])
+    got = io.sample_chunks(df, "g", ["k"], 1).collect()
+    assert {(r.k, r.chunk) for r in got} == {(k, k // 3) for k in range(2000)}
+    assert kept[0].select("__range").distinct().count() == 20

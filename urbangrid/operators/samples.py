@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import seeded_hash
 from ..sources.io import dense_position
+from ..sources.shared import stored
 from .quantiles import quantiles
 
 
@@ -23,8 +24,9 @@ def merge_samples(*parts: DataFrame) -> DataFrame:
 def _ranked(df: DataFrame, groups: list[str], id_col: str, seed: int) -> DataFrame:
     """Adds __rank (0-based, by seeded hash) and __n, the size of the group."""
     keyed = df.withColumn("__h", seeded_hash(id_col, F.lit(seed)))
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("__n"))
-    return dense_position(keyed, groups, ["__h", id_col]).withColumnRenamed("position", "__rank").drop("__h").join(sizes, groups)
+    sizes = stored(df.groupBy(*groups).agg(F.count("*").alias("__n")), "sizes")
+    n = sizes.agg(F.sum("__n")).first()[0] or 0
+    return dense_position(keyed, groups, ["__h", id_col], n).withColumnRenamed("position", "__rank").drop("__h").join(sizes, groups)
 
 
 def split_samples(df: DataFrame, r: float = 0.2, g: float = 0.1, exclude: tuple = (), seed: int = 0, group: str = "grp", id_col: str = "sample_id") -> DataFrame:
@@ -35,7 +37,7 @@ def split_samples(df: DataFrame, r: float = 0.2, g: float = 0.1, exclude: tuple
     names = df.filter(~out).select(group).distinct()
     picked = dense_position(names.withColumn("__h", seeded_hash(group, F.lit(seed))).withColumn("__all", F.lit(0)), ["__all"], ["__h", group])
     total = names.count()
-    kept = picked.filter(F.col("position") < F.ceil(F.lit((1 - g) * total))).select(group)
+    kept = stored(picked.filter(F.col("position") < F.ceil(F.lit((1 - g) * total))).select(group), "kept")
     ranked = _ranked(df.filter(~out).join(kept, group, "left_semi"), [group], id_col, seed)
     train = ranked.withColumn("part", F.when(F.col("__rank") < F.ceil(F.col("__n") * (1 - r)), "train").otherwise("valid")).select(*df.columns, "part")
     rest = df.join(kept, group, "left_anti").withColumn("part", F.lit("valid"))
@@ -95,4 +97,4 @@ def batches(df: DataFrame, size: int, seed: int = 0, id_col: str = "sample_id")
     """Adds batch: rows in seeded hash order, size to a batch; an incomplete last batch goes."""
     n = df.count()
     keyed = df.withColumn("__h", seeded_hash(id_col, F.lit(seed))).withColumn("__all", F.lit(0))
-    return dense_position(keyed, ["__all"], ["__h", id_col]).withColumn("batch", F.floor(F.col("position") / size)).filter(F.col("batch") < n // size).select(*df.columns, "batch")
+    return dense_position(keyed, ["__all"], ["__h", id_col], n).withColumn("batch", F.floor(F.col("position") / size)).filter(F.col("batch") < n // size).select(*df.columns, "batch")
