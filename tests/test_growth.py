@@ -100,3 +100,30 @@ def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
     got = io.sample_chunks(df, "g", ["k"], 1).collect()
     assert {(r.k, r.chunk) for r in got} == {(k, k // 3) for k in range(2000)}
     assert kept[0].select("__range").distinct().count() == 20
+
+
+@pytest.mark.parametrize("rings", [False, True])
+def test_equal_shapes_are_compared_once(spark, monkeypatch, rings):
+    """30 equal outer and 40 equal inner shapes are one pair to compare and 1,200 pairs of ids, ids that repeat too."""
+    from urbangrid.operators import vector
+
+    box = lambda ids, lo, hi: spark.createDataFrame([(i, lo, hi, lo, hi) for i in ids], "id long, x_min double, x_max double, y_min double, y_max double")
+    outer, inner = box([*range(29), 5], 0.0, 9.0), box(range(100, 140), 2.0, 3.0).unionByName(box([7], 8.0, 10.0))
+    name, seen = ("contained" if rings else "_boxes_held"), []
+    real = getattr(vector, name)
+    monkeypatch.setattr(vector, name, lambda a, b, *rest: seen.append((a.count(), b.count())) or real(a, b, *rest))
+    monkeypatch.setattr(vector, "CHUNK", 8)
+    shapes = [vector.as_rings(df) if rings else df for df in (outer, inner)]
+    got = sorted(tuple(r) for r in vector.contains_join(*shapes, 2.5).collect())
+    assert got == sorted((i, j) for i in [*range(29), 5] for j in range(100, 140)) and seen == [(1, 2)]
+
+
+def test_equal_boxes_hang_on_one(spark, monkeypatch):
+    """500 copies of one box in two cities are two boxes to compare; each city's copies are one group."""
+    from urbangrid.operators import vector
+
+    real, seen = vector.overlapping_pairs, []
+    monkeypatch.setattr(vector, "overlapping_pairs", lambda df, *rest: seen.append(df.count()) or real(df, *rest))
+    boxes = spark.range(1000).select("id", (F.col("id") % 2).cast("string").alias("city"), *[F.lit(v).alias(c) for c, v in (("x_min", 0.0), ("x_max", 3.0), ("y_min", 0.0), ("y_max", 3.0))])
+    got = {(r.id, r.group) for r in vector.overlap_groups(boxes, 2.5, ("city",)).collect()}
+    assert got == {(i, i % 2) for i in range(1000)} and seen == [2]

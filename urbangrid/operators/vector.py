@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .components import connected_components
-from .polygons import cell_pieces, contained, in_ring, overlap_edges
+from .polygons import RINGS, cell_pieces, contained, in_ring, overlap_edges
 
 # Metres in each unit of height.
 UNITS = {"m": 1.0, "cm": 0.01, "FLOOR": 3.0, "feet": 0.3048}
@@ -73,6 +74,16 @@ def overlapping_pairs(boxes: DataFrame, res: float, by: tuple = ()) -> DataFrame
     return a.join(b, [*by, "cy", "cx"]).filter((F.col("id") < F.col("id_2")) & meet & first).select(F.col("id").alias("src"), F.col("id_2").alias("dst"))
 
 
+def _distinct_boxes(boxes: DataFrame, by: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """One of each set of equal boxes (the least id), and edges that hang the others on it: copies cost a row each, not a pair each."""
+    corners = ["x_min", "x_max", "y_min", "y_max"]
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by), F.col("id").isNotNull())
+    rows = boxes.filter(known).select(*by, "id", *corners)
+    one = stored(rows.groupBy(*by, *corners).agg(F.min("id").alias("id")), "boxes")
+    equal = rows.select(*by, *corners, F.col("id").alias("src")).join(one.withColumnRenamed("id", "dst"), [*by, *corners]).filter("src <> dst").select("src", "dst")
+    return one, equal
+
+
 def overlap_groups(shapes: DataFrame, res: float, by: tuple = (), **options) -> DataFrame:
     """Adds group: the least id of the shapes (polygons if there is a column rings, else boxes) that overlap, directly or through others.
 
@@ -82,9 +93,11 @@ def overlap_groups(shapes: DataFrame, res: float, by: tuple = (), **options) ->
     if "rings" in shapes.columns:
         edges = overlap_edges(shapes, res, by, **options)
     else:
-        solid = shapes.filter((F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min")))
+        sound_ = shapes.filter((F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min")))
+        solid, equal = _distinct_boxes(sound_, by)
         most = _cells(solid, res).groupBy(*by, "cy", "cx").count().agg(F.max("count").alias("n")).first().n or 0
         edges = overlapping_pairs(solid, res, by) if most <= options.get("limit", 128) else overlap_edges(as_rings(solid), res, by, **options)
+        edges = edges.unionByName(equal)
     parts = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("__group"))
     return shapes.join(parts, "id", "left").withColumn("group", F.coalesce("__group", "id")).drop("__group")
 
@@ -92,10 +105,50 @@ def overlap_groups(shapes: DataFrame, res: float, by: tuple = (), **options) ->
 def contains_join(outer: DataFrame, inner: DataFrame, res: float, tol: float = 1e-6) -> DataFrame:
     """outer_id, inner_id: outer shapes that hold inner shapes shrunk by tol.
 
+    Equal shapes are compared once and their pairs made by joins of the members, dealt evenly.
     Boxes meet on the cell of the inner box's centre; if either side has a column rings, both are taken as polygons (see polygons.contained).
     """
     if "rings" in outer.columns or "rings" in inner.columns:
-        return contained(*(df if "rings" in df.columns else as_rings(df) for df in (outer, inner)), res, tol)
+        outer, inner = (df if "rings" in df.columns else as_rings(df) for df in (outer, inner))
+        (outer, of_outer), (inner, of_inner) = (_classes(df.select("id", F.col("rings").cast(RINGS).alias("rings")), ["rings"]) for df in (outer, inner))
+        held = contained(outer, inner, res, tol)
+    else:
+        corners = ["x_min", "x_max", "y_min", "y_max"]
+        (outer, of_outer), (inner, of_inner) = (_classes(df.select("id", *corners), corners) for df in (outer, inner))
+        held = _boxes_held(outer, inner, res, tol)
+    return _members_of(stored(held, "held"), of_outer, of_inner)
+
+
+def _classes(shapes: DataFrame, geometry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(id, geometry) of each set of equal shapes, and (class, id) for every shape; the class is a row of its own, whatever ids repeat."""
+    hashed = shapes.withColumn("__h", F.sha2(F.to_json(F.struct(*geometry)), 256))
+    one = hashed.groupBy("__h").agg(*[F.first(c).alias(c) for c in geometry])
+    one = stored(one.withColumn("__class", F.monotonically_increasing_id()), "classes")
+    of = stored(hashed.select("__h", "id").join(one.select("__h", "__class"), "__h").select("__class", "id"), "members")
+    return one.select(F.col("__class").alias("id"), *geometry), of
+
+
+CHUNK = 1_000  # members of a class that are joined as one row
+
+
+def _chunks(of: DataFrame, ids: str) -> DataFrame:
+    """class, and its members' ids in lists of about CHUNK."""
+    n = of.groupBy("__class").agg(F.count("*").alias("__n"))
+    dealt = of.join(n, "__class").withColumn("__c", F.pmod(F.xxhash64("id"), F.ceil(F.col("__n") / CHUNK)))
+    return dealt.groupBy("__class", "__c").agg(F.collect_list("id").alias(ids)).drop("__c")
+
+
+def _members_of(held: DataFrame, of_outer: DataFrame, of_inner: DataFrame) -> DataFrame:
+    """outer_id, inner_id of the members of the classes: rows of two lists are dealt evenly before they are unfolded, so a hot class is many tasks."""
+    a = _chunks(of_outer, "__outer").withColumnRenamed("__class", "outer_id")
+    b = _chunks(of_inner, "__inner").withColumnRenamed("__class", "inner_id")
+    lists = held.join(a, "outer_id").join(b, "inner_id").select("__outer", "__inner")
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    return lists.repartition(parts).select(F.explode("__outer").alias("outer_id"), "__inner").select("outer_id", F.explode("__inner").alias("inner_id"))
+
+
+def _boxes_held(outer: DataFrame, inner: DataFrame, res: float, tol: float) -> DataFrame:
+    """outer_id, inner_id of boxes that hold boxes."""
     a = _cells(outer, res).select("cy", "cx", F.col("id").alias("outer_id"), *[F.col(c).alias(f"o_{c}") for c in ("x_min", "x_max", "y_min", "y_max")])
     mid = lambda lo, hi: F.floor((F.col(lo) + F.col(hi)) / 2 / res)
     b = inner.select(mid("y_min", "y_max").alias("cy"), mid("x_min", "x_max").alias("cx"), F.col("id").alias("inner_id"), "x_min", "x_max", "y_min", "y_max")
