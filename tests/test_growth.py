@@ -127,3 +127,16 @@ def test_equal_boxes_hang_on_one(spark, monkeypatch):
     boxes = spark.range(1000).select("id", (F.col("id") % 2).cast("string").alias("city"), *[F.lit(v).alias(c) for c, v in (("x_min", 0.0), ("x_max", 3.0), ("y_min", 0.0), ("y_max", 3.0))])
     got = {(r.id, r.group) for r in vector.overlap_groups(boxes, 2.5, ("city",)).collect()}
     assert got == {(i, i % 2) for i in range(1000)} and seen == [2]
+
+
+def test_component_trees_keep_no_cells_of_the_rasters_own_border(spark):
+    """A raster one tile wide: the last tree holds nothing that could still grow, and equal limits share a tree."""
+    import numpy as np
+
+    from urbangrid.operators import percolation
+
+    cells = spark.range(40 * 3).selectExpr("id div 3 AS y", "id % 3 AS x", "CAST(7 + id % 2 AS LONG) AS hl", "CAST(5 AS LONG) AS lev")
+    rows = percolation._trees(cells, np.array([7, 8]), np.array([5]), 4, False).collect()
+    assert sorted(r.h for r in rows) == [0, 1]
+    assert all(r.rim == [] and r.levels == [] for r in rows)
+    assert {r.h: r.best[1] for r in rows} == {0: 120, 1: 60}

@@ -11,6 +11,9 @@ running maximum that needs no bookkeeping of which clusters are finished.
 
 Four tiles make a tile of twice the side: their trees are connected over the borders between them and cut down to the new rim, until one is
 left for each height limit.  A row holds a tree, so rows are tiles times height limits, whatever the number of footprint limits, and cells are never copied.
+A tile's rim is only where other tiles follow, not along the raster's own border, so trees stay as small as the border between two tiles.
+
+Limits that no cell tells apart give the same clusters, so trees are made for the limits that some cell stops at, and hold those levels only.
 """
 
 from __future__ import annotations
@@ -133,24 +136,29 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _TREES)], schema=_TREES) if rows else _TREES.empty_table()
 
 
-def _on_rim(c: str, side: int):
-    return F.pmod(F.col(c), F.lit(side)).isin(0, side - 1)
-
+def _trees(cells: DataFrame, h_used: np.ndarray, d_used: np.ndarray, tile: int, entropy: bool) -> DataFrame:
+    """A row for each number of limits in h_used, by its place: best (and sums) of the whole raster, by places in d_used.
 
-def _trees(cells: DataFrame, n_levels: int, tile: int, entropy: bool) -> DataFrame:
-    """A row for each height limit that any cell reaches: best (and sums) of the whole raster; cells: y, x, hl, lev (limits reached, 1 or more)."""
+    cells: y, x, hl, lev (limits reached, 1 or more); h_used and d_used hold all values of hl and lev, ascending.
+    """
+    n_levels = len(d_used)
     corner = cells.agg(F.min("y"), F.min("x"), F.max("y"), F.max("x")).first()
     y0, x0 = (corner[0] or 0), (corner[1] or 0)
-    span = max((corner[2] or 0) - y0, (corner[3] or 0) - x0) // tile
+    y_last, x_last = (corner[2] or 0) - y0, (corner[3] or 0) - x0
+    span = max(y_last, x_last) // tile
     wide = tile + 2
 
+    def on_rim(y, x, side):
+        """Cells of a tile with that side which may touch another tile of the raster."""
+        return ((y % side == 0) & (y > 0)) | ((y % side == side - 1) & (y < y_last)) | ((x % side == 0) & (x > 0)) | ((x % side == side - 1) & (x < x_last))
+
     def sweep(key, table):
         ty, tx = key[0].as_py(), key[1].as_py()
         y, x, hl, lev = (table.column(c).to_numpy() for c in ("y", "x", "hl", "lev"))
         order = np.lexsort((x, y, -hl))
         codes, place = ((y << 32) + x)[order].tolist(), ((y - ty * tile + 1) * wide + x - tx * tile + 1)[order].tolist()
-        outer = (np.isin(y % tile, (0, tile - 1)) | np.isin(x % tile, (0, tile - 1)))[order].tolist()
-        hl, lev = hl[order], lev[order].tolist()
+        outer = on_rim(y, x, tile)[order].tolist()
+        hl, lev = np.searchsorted(h_used, hl[order]) + 1, (np.searchsorted(d_used, lev[order]) + 1).tolist()
         tree, grid, rim, rim_codes, out, done = ComponentTree(n_levels), [-1] * (wide * wide), [], [], [], 0
         near = (-wide - 1, -wide, -wide + 1, -1, 1, wide - 1, wide, wide + 1)
         for h in range(int(hl[0]) - 1, -1, -1):
@@ -192,7 +200,7 @@ def _trees(cells: DataFrame, n_levels: int, tile: int, entropy: bool) -> DataFra
                 for i in np.flatnonzero((code[other] == code + (dy << 32) + dx) & (of[other] != of)).tolist():
                     tree.connect(cells_[i], cells_[other[i]])
             y, x = code >> 32, code & 0xFFFFFFFF
-            rim = np.flatnonzero(np.isin(y % side, (0, side - 1)) | np.isin(x % side, (0, side - 1))).tolist()
+            rim = np.flatnonzero(on_rim(y, x, side)).tolist()
             return _table([_row(tree, h, ty, tx, [cells_[i] for i in rim], [codes[i] for i in rim], sums.tolist() if entropy else None)])
 
         return merge
@@ -241,7 +249,10 @@ def curves(px: DataFrame, hs: list[float], ds: list[float], criterion: str = "sh
     # cells of each pair, from their counts by limits reached: no more rows than pairs
     counts = np.zeros((n_h + 1, n_d + 1), np.int64)
     seen = cells.groupBy("hl", "lev").agg(F.count("*").alias("n")).toArrow()
-    counts[seen.column("hl").to_numpy(), seen.column("lev").to_numpy()] = seen.column("n").to_numpy()
+    hl, lev = seen.column("hl").to_numpy(), seen.column("lev").to_numpy()
+    counts[hl, lev] = seen.column("n").to_numpy()
+    h_used, d_used = np.unique(hl), np.unique(lev)
+    at_h, at_d = np.searchsorted(h_used, np.arange(n_h), side="right"), np.searchsorted(d_used, np.arange(n_d), side="right")  # the first that holds more
     totals = counts[::-1, ::-1].cumsum(axis=0).cumsum(axis=1)[::-1, ::-1][1:, 1:]
 
     def values(batches):
@@ -253,11 +264,11 @@ def curves(px: DataFrame, hs: list[float], ds: list[float], criterion: str = "sh
                     some = n > 0
                     if entropy:
                         s = np.cumsum(np.array(sums)[::-1])[::-1][1:]
-                        out[some] = s[some] / n[some] - np.log(n[some])
+                        out[some] = s[at_d[some]] / n[some] - np.log(n[some])
                     else:
-                        out[some] = np.maximum.accumulate(np.array(best)[::-1])[::-1][1:][some] / n[some]
+                        out[some] = np.maximum.accumulate(np.array(best)[::-1])[::-1][1:][at_d[some]] / n[some]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n_d, by_h[h]), pa.int32()), pa.array(by_d, pa.int32()), pa.array(out, pa.float64())], names=["h_id", "d_id", "value"])
 
-    found = _trees(cells, n_d, tile, entropy).select(F.col("h").alias("of"), "best", "sums")
-    every = spark.range(n_h, numPartitions=max(1, min(n_h, int(spark.conf.get("spark.sql.shuffle.partitions"))))).select(F.col("id").cast("int").alias("h"))
-    return every.join(found, F.col("h") == F.col("of"), "left").select("h", "best", "sums").mapInArrow(values, "h_id int, d_id int, value double")
+    found = _trees(cells, h_used, d_used, tile, entropy).select(F.col("h").alias("of"), "best", "sums")
+    every = spark.createDataFrame([(h, int(r)) for h, r in enumerate(at_h)], "h int, r int")
+    return every.join(found, F.col("r") == F.col("of"), "left").select("h", "best", "sums").mapInArrow(values, "h_id int, d_id int, value double")
