@@ -140,3 +140,59 @@ def test_component_trees_keep_no_cells_of_the_rasters_own_border(spark):
     assert sorted(r.h for r in rows) == [0, 1]
     assert all(r.rim == [] and r.levels == [] for r in rows)
     assert {r.h: r.best[1] for r in rows} == {0: 120, 1: 60}
+
+
+@pytest.mark.parametrize("name", ["m07_random_forest", "m10_kernel_regression", "m16_predict_ml"])
+def test_learners_join_their_samples_once(spark, sf_dir, name):
+    """What is predicted is read from the samples as written, not joined or cut again."""
+    from urbangrid.plans import all_queries
+
+    assert not [f for f in all_queries()[0][name](spark, sf_dir).inputFiles() if "lineitem" in f]
+
+
+def test_kernel_regression_is_sparks_huber_fit(spark):
+    """The same loss as Spark ML's, from columns without a table of features."""
+    from pyspark.ml.regression import LinearRegression
+
+    from urbangrid.operators import models
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 2))
+    y = np.sin(x[:, 0]) + 0.1 * rng.standard_t(2, 500)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, label double")
+    model = models.fit_kernel(df, 8, 1.5, ["a", "b"])
+    want = LinearRegression(loss="huber", maxIter=1000, tol=1e-12).fit(models.fourier_features(df, ["a", "b"], 8, 1.5))
+    assert model.scale == pytest.approx(want.scale, rel=1e-3)
+    both = want.transform(models.fourier_features(df, ["a", "b"], 8, 1.5)).withColumnRenamed("prediction", "want")
+    assert max(abs(r.want - r.prediction) for r in model.transform(both).select("want", "prediction").collect()) < 1e-2
+    assert models.fit_kernel(df.withColumn("label", F.lit(2.0)), 8, 1.5, ["a", "b"]).transform(df).first().prediction == 2.0
+
+
+def test_rows_of_arrow_batches_are_taken_whole():
+    """Slices, missing lists and missing values; bins packed and opened again."""
+    import pyarrow as pa
+
+    from urbangrid.operators import boosting
+
+    lists = pa.array([[1.0, 2.0], [3.0, None], None, [5.0, 6.0]], pa.list_(pa.float64()))
+    for part in (lists, lists.slice(1, 1), lists.slice(1, 2), lists.slice(3), lists.slice(0, 0)):
+        want = boosting._matrix([r if r is None else [np.nan if v is None else v for v in r] for r in part.to_pylist()], 2)
+        np.testing.assert_array_equal(boosting._flat(part, 2), want)
+    bins = np.arange(12, dtype=np.uint8).reshape(6, 2)
+    packed = boosting._packed(bins)
+    assert packed.to_pylist()[5] == b"\x0a\x0b"
+    assert (boosting._unpacked(packed.slice(2, 3), 2) == bins[2:5]).all() and boosting._unpacked(packed.slice(0, 0), 2).shape == (0, 2)
+
+
+def test_search_takes_a_table_as_it_is_dealt(spark):
+    from urbangrid.operators import models
+
+    df = spark.createDataFrame([(f"s{i}", float(i), i % 2 + 5) for i in range(10)], "sample_id string, label double, fold int").withColumn("fold", F.col("fold") - 5)
+    seen = []
+
+    def fit(train, p):
+        seen.append(sorted(r.sample_id for r in train.collect()))
+        return lambda rows: rows.withColumn("prediction", F.lit(p))
+
+    models.search(df, fit, [{"p": 1.0}], 2, at_once=1)
+    assert seen == [[f"s{i}" for i in (1, 3, 5, 7, 9)], [f"s{i}" for i in (0, 2, 4, 6, 8)]]
