@@ -196,3 +196,35 @@ def test_search_takes_a_table_as_it_is_dealt(spark):
 
     models.search(df, fit, [{"p": 1.0}], 2, at_once=1)
     assert seen == [[f"s{i}" for i in (1, 3, 5, 7, 9)], [f"s{i}" for i in (0, 2, 4, 6, 8)]]
+
+
+def test_patch_dataset_keeps_a_footprint_on_the_limit(spark, tmp_path):
+    """Two row groups read by two tasks: in file order the centre's footprint is 0.2 and passes; summed by tasks it is less."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from urbangrid.plans import all_queries
+
+    def rows(cells, discounts):
+        n = len(cells)
+        return pa.table({"l_suppkey": [y for y, _ in cells], "l_partkey": [x for _, x in cells], "l_quantity": [15.0] * n, "l_discount": discounts, "l_returnflag": ["R"] * n})
+
+    around = [(y, x) for y in (1, 2, 3) for x in (10, 11, 12) if (y, x) != (2, 11)]
+    parts = [rows([*around, (2, 11), (2, 11)], [0.05] * 8 + [0.0, 0.01]), rows([(2, 11)] * 2, [0.01, 0.06])]
+    assert (0.0 + 0.01 + 0.01 + 0.06) / 4 * 10 == 0.2 > ((0.0 + 0.01) + (0.01 + 0.06)) / 4 * 10
+    with pq.ParquetWriter(tmp_path / "lineitem.parquet", parts[0].schema) as out:
+        for part in parts:
+            out.write_table(part)
+    queries, oracles = all_queries()
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "256")
+        got = [(r.city, r.cy, r.cx, r.chunk) for r in queries["p18_patch_dataset"](spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == [(2, 2, 11, 0)] == con.execute(oracles["p18_patch_dataset"]).fetchall()
