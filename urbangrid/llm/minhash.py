@@ -11,6 +11,9 @@
    of the list whose ends are not joined yet is tested, until links or pairs run out; again only links of a forest leave the block.
    So classes end in one component exactly when confirmed links join them.
 
+Joins are by shuffle: Spark sizes a table by its file, so what comes of an explode (20 postings a class), an aggregate of it or well-packed ids is taken
+for a few MB, and the driver would collect millions of rows to broadcast them.
+
 The chance to miss a pair lies in the signature alone: at the limit of 0.85, 45 of 64 coordinates are missed about once in 2,000 pairs, and far less above it.
 
 Defined results: null or empty texts (or texts of white space) have an empty set, are kept and linked with nothing; with fewer words than a
@@ -208,8 +211,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("set_x").to_pylist(), b.column("set_y").to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(kept, pa.bool_())], names=["key", "i", "j", "x", "y", "linked"])
 
-    with_x = pairs.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("set_x")), "x")
-    with_y = with_x.join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("set_y")), "y")
+    with_x = pairs.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("set_x")).hint("merge"), "x")
+    with_y = with_x.join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("set_y")).hint("merge"), "y")
     return with_y.select("key", "i", "j", "x", "y", "set_x", "set_y").mapInArrow(run, "key long, i int, j int, x long, y long, linked boolean")
 
 
@@ -228,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
     deal = F.least("n", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("n_set") / chunk_shingles))).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int")
     marks = classes.select("id", "keys", "sig")
-    members = posted.drop("n_set").join(sizes.withColumn("chunks", deal), "key").withColumn("c", own).join(marks, "id")
+    members = posted.drop("n_set").join(sizes.withColumn("chunks", deal).hint("merge"), "key").withColumn("c", own).join(marks.hint("merge"), "id")
     early, late = F.substring("keys", F.lit(1), F.col("at") * 8), F.substring("sig", F.col("at") * 2 + 1, F.lit(2 * COORDINATES))
     blocks = members.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")).select(
         "key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2).alias("side"), "id", F.col("id").alias("part"), late.alias("sig"), early.alias("early")
@@ -242,7 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    wanted = written(wanted.join(classes.select("id", "row_key"), "id"), "wanted")
+    wanted = written(wanted.join(classes.select("id", "row_key").hint("merge"), "id"), "wanted")
     # one text for each class asked for; equal rows meet before they are shuffled
     texts = likely_among(_keyed_texts(docs), "row_key", wanted.select("row_key")).groupBy("row_key").agg(F.first("text").alias("text"))
     sets = written(texts.join(wanted.hint("merge"), "row_key").select("id", "text").mapInArrow(as_sets, "id long, shingles binary"), "sets")
@@ -250,16 +253,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, least:
     links = tested.filter("linked").select("x", "y")
     open_ = tested.filter("not linked").select("key", "i", "j").distinct()
     if not open_.isEmpty():
-        settled = posts.join(open_, ["key", "i", "j"], "left_semi").join(sets, "id")
+        settled = posts.join(open_.hint("merge"), ["key", "i", "j"], "left_semi").join(sets.hint("merge"), "id")
         links = links.unionByName(written(_blocks(settled, least, percent).select("x", "y"), "links"))
     parts = connected_components(links, "x", "y")
 
     ids = classes.select("id", "least")
-    least = parts.join(ids, F.col("node") == F.col("id")).groupBy("component").agg(F.min("least").alias("component_id"))
-    reached = parts.join(least, "component").select("node", "component_id")
-    named = classes.select("set_key", "id", "least").join(reached, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component_id", "least").alias("component"))
+    least = parts.join(ids.hint("merge"), F.col("node") == F.col("id")).groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = parts.join(least.hint("merge"), "component").select("node", "component_id")
+    named = classes.select("set_key", "id", "least").join(reached.hint("merge"), F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component_id", "least").alias("component"))
     component = F.coalesce("component", "doc_id")
-    return drawn.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return drawn.select("doc_id", "n_shingles", "set_key").join(named.hint("merge"), "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

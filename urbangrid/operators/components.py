@@ -10,9 +10,9 @@ from ..sources.shared import stored
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """Each (u, v) with m, the least of u and all its v; the aggregate combines on the map side, and a node with very many
-    neighbours is a skewed side of an ordinary join, which is split at run time."""
+    neighbours is a skewed side of an ordinary join, which is split at run time (never a broadcast: packed ids hide their number)."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(least.hint("merge"), "u")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
