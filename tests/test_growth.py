@@ -228,3 +228,65 @@ def test_patch_dataset_keeps_a_footprint_on_the_limit(spark, tmp_path):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert got == [(2, 2, 11, 0)] == con.execute(oracles["p18_patch_dataset"]).fetchall()
+
+
+def test_boosting_passes_over_blocks(spark, monkeypatch):
+    """50,000 rows in two tasks are a few blocks, before and after margins are written; the fit is that of blocks of one batch."""
+    from urbangrid.operators import boosting
+
+    df = spark.range(0, 50_000, 1, 2).select(F.array(F.pmod("id", F.lit(97)).cast("double"), F.pmod("id", F.lit(11)).cast("double")).alias("features"), (F.pmod("id", F.lit(97)) * 2.0 + F.pmod("id", F.lit(11))).alias("label"))
+    kept, real = [], boosting.stored
+    monkeypatch.setattr(boosting, "stored", lambda d, name: kept.append(real(d, name)) or kept[-1])
+    edges = [[float(e) for e in range(5, 97, 6)], [2.0, 5.0, 8.0]]
+    model = boosting.fit_boosted_trees(df, 3, 3, edges=edges, refresh=2)
+    assert [k.count() <= 6 for k in kept] == [True, True]
+    monkeypatch.setattr(boosting, "BLOCK", 1)
+    again = boosting.fit_boosted_trees(df, 3, 3, edges=edges, refresh=2)
+    assert [t[:4] for t in model.splits()] == [t[:4] for t in again.splits()] and model.base == pytest.approx(np.mean([2.0 * (i % 97) + i % 11 for i in range(50_000)]))
+
+
+def test_search_of_learners_reads_features_as_written(spark, sf_dir, monkeypatch):
+    """Preparation is not run again by each pass of each fit."""
+    from urbangrid.operators import models
+    from urbangrid.plans import all_queries
+
+    read = []
+    monkeypatch.setattr(models, "search", lambda df, *rest: read.append(df) or spark.createDataFrame([(1.0, 1.0, 0, 0.5)], f"{next(iter(rest[1][0]))} double, other double, fold int, r2 double"))
+    all_queries()[0]["m11_search_learners"](spark, sf_dir)
+    assert [sorted({f.split("/")[-2].split("-")[0] for f in df.inputFiles()}) for df in read] == [["features"], ["features"], ["folds"]]
+    assert "UDF" not in read[0]._jdf.queryExecution().analyzed().toString()
+
+
+def test_bags_make_a_rows_features_once(spark, monkeypatch):
+    """A bag's weights, with rows in several bags, are those of a fit of the bag alone."""
+    from urbangrid.operators import models
+
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i}", float(a), float(c), float(a + c * c)) for i, (a, c) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "sample_id string, a double, c double, label double")
+    got = {r.bag: (r["mean"], r.weights) for r in models.fit_bagged_kernel(df, ["a", "c"], 3, 0.6, 1.5, d_rff=16, piece_rows=1000).collect()}
+    many = models.fit_bagged_kernel(df, ["a", "c"], 3, 0.6, 1.5, d_rff=16, piece_rows=10)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(piece" in many and "REPARTITION_BY_NUM" in many  # small rows are not gathered in one task
+    w, b, scale = models._fourier(2, 16, 1.5, 0)
+    for k in range(3):
+        mine = df.filter(F.pmod(F.xxhash64("sample_id", F.lit(0), F.lit(k)), F.lit(1_000_000)) < 600_000).toPandas()
+        z, y = scale * np.cos(mine[["a", "c"]].to_numpy() @ w.T + b), mine["label"].to_numpy()
+        assert got[k][0] == pytest.approx(y.mean()) and got[k][1] == pytest.approx(list(np.linalg.solve(z.T @ z + 1e-2 * np.eye(16), z.T @ (y - y.mean()))), rel=1e-6)
+
+
+def test_search_runs_a_model_once_on_a_row(spark):
+    """Rows that are scored go through the model once; rows without label or prediction are not scored."""
+    import pandas as pd
+
+    from urbangrid.operators import models
+
+    df = spark.createDataFrame([(f"s{i}", None if i == 9 else float(i), i % 2) for i in range(10)], "sample_id string, label double, fold int")
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def predict(y: pd.Series) -> pd.Series:
+        runs.add(len(y))
+        return y.where(y != 8, None) + 1
+
+    got = {r.fold: r.r2 for r in models.search(df, lambda train, p: lambda rows: rows.withColumn("prediction", predict("label")), [{"p": 1.0}], 2).collect()}
+    assert got == {0: pytest.approx(1 - 4 / 20), 1: pytest.approx(1 - 4 / 20)} and runs.value == 10
